@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from terralith.llm.ngram_join import op5_ngram_jaccard_join
+from terralith.llm.ring_shards import op1_ring_shards
+from terralith.llm.source_mix import op4_source_mix
+from terralith.llm.substring_dedup import op2_seed_extend_dedup
 from terralith.llm.suffix_dedup import op3_suffix_array_dedup
 
+QUERIES = (op1_ring_shards, op2_seed_extend_dedup, op3_suffix_array_dedup, op4_source_mix, op5_ngram_jaccard_join)
+
 
 def queries():
-    return {f.__name__: f for f in (op3_suffix_array_dedup,)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
