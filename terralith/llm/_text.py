@@ -27,6 +27,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 2**64)
+#: Separators of plain words: all of ASCII but letters and digits.
+MARKS = np.array([not chr(i).isalnum() for i in range(128)] + [False] * 128)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -102,14 +104,14 @@ def slices(offsets: np.ndarray, limit: int = SLICE):
         i = min(j, n)
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word [^\\x20\\x09-\\x0D]+ of texts lying end to end, and each text's first word.
+def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word of texts lying end to end, and each text's first word.
 
-    offsets are relative to data; the third result has an entry more than there are texts.
+    Words are runs of bytes that the table between doesn't name, [^\\x20\\x09-\\x0D]+ by default; offsets are relative to data; the third result has an entry more than there are texts.
     """
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    word = ~SPACE[data]
+    word = ~between[data]
     before, after = np.empty_like(word), np.empty_like(word)
     before[0], before[1:], after[-1], after[:-1] = False, word[:-1], False, word[1:]
     full = offsets[:-1] < offsets[1:]
@@ -119,9 +121,9 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(word & ~after) + 1, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, folded: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, folded: bool, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Fingerprint, start and end of each word, and each text's first word."""
-    starts, ends, first = word_spans(data, offsets)
+    starts, ends, first = word_spans(data, offsets, between)
     h = prefix_hash((FOLDED_VALUE if folded else BYTE_VALUE)[data])
     return span_hash(h, starts, ends), starts, ends, first
 
