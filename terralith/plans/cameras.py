@@ -14,8 +14,20 @@ from terralith.operators import boundary as B
 from terralith.plans import views as V
 from terralith.plans.catalog import query
 
-K = C.intrinsic(*V.SIZE, V.FOCAL, V.FOCAL, V.SENSOR, *V.CENTRE)
-POSE = C.pose(*V.POSITION, *(math.radians(a) for a in V.ANGLES))
+
+
+class Late:
+    """Columns that are built when they are used, as modules are imported without a session."""
+
+    def __init__(self, build):
+        self._build = build
+
+    def __getattr__(self, name: str):
+        return getattr(self._build(), name)
+
+
+K = Late(lambda: C.intrinsic(*V.SIZE, V.FOCAL, V.FOCAL, V.SENSOR, *V.CENTRE))
+POSE = Late(lambda: C.pose(*V.POSITION, *(math.radians(a) for a in V.ANGLES)))
 ROT = "select 20000.0::double as tx, 30000.0::double as ty, 1000.0::double as tz, cos(radians(-3.0::double)) as co, sin(radians(-3.0::double)) as so, cos(radians(2.0::double)) as cp, sin(radians(2.0::double)) as sp, cos(radians(10.0::double)) as ck, sin(radians(10.0::double)) as sk"
 CAM = "select tx, ty, tz, cp*ck as r00, cp*sk as r01, -sp as r02, co*sk+so*sp*ck as r10, -(co*ck-so*sp*sk) as r11, so*cp as r12, so*sk-co*sp*ck as r20, -(so*ck+co*sp*sk) as r21, -(co*cp) as r22, 5.0::double*200/6 as fx, 5.0::double*150/4.5 as fy, 97.5::double as cx, 78.5::double as cy from rot"
 RAYS = "select id, (r00*(x-tx)+r10*(y-ty)+r20*(z-tz)) as a, (r01*(x-tx)+r11*(y-ty)+r21*(z-tz)) as b, (r02*(x-tx)+r12*(y-ty)+r22*(z-tz)) as c, fx, fy, cx, cy from v_world, cam"
