@@ -1 +1,164 @@
-"""Queries."""
+"""Queries on parameters: tags, names, and camera and control-point files as text."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terralith.functions import text as X
+from terralith.functions.num import shown
+from terralith.plans import views as V
+from terralith.plans.catalog import query
+from terralith.sources import params as S
+
+ID = "event_id::bigint as id"
+
+
+def _events(spark: SparkSession, sf: str) -> DataFrame:
+    return V.table(spark, sf, "events").withColumn("id", F.col("event_id").cast("long"))
+
+
+E = lambda: F.col("event_id")
+
+
+@query("filename", f"select {ID}, 'img_' || event_id || '.tif' as name from events")
+def filename(spark: SparkSession, sf: str) -> DataFrame:
+    return _events(spark, sf).select("id", X.file_name(F.concat(F.lit("s3://bucket/dir/img_"), E().cast("string"), F.lit(".tif"))).alias("name"))
+
+
+@query("ortho_name", f"select {ID}, 'img.' || event_id || '_ORTHO.tif' as name from events")
+def ortho_name(spark: SparkSession, sf: str) -> DataFrame:
+    return _events(spark, sf).select("id", X.ortho_name(F.concat(F.lit("a/b/img."), E().cast("string"), F.lit(".jpg"))).alias("name"))
+
+
+@query("osfm_id", f"select {ID}, 'cam ' || event_id % 50 as camera from events")
+def osfm_id(spark: SparkSession, sf: str) -> DataFrame:
+    return _events(spark, sf).select("id", X.plain_id(F.concat(F.when(E() % 2 == 0, "v2 ").otherwise(""), F.lit("cam "), (E() % 50).cast("string"))).alias("camera"))
+
+
+@query("from_odm", f"select {ID}, case event_id % 4 when 0 then 'brown' when 1 then 'fisheye' when 2 then 'brown' end as kind from events")
+def from_odm(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.element_at(F.array(*map(F.lit, (" Perspective", "fisheye", "RADIAL", "rpc"))), (E() % 4 + 1).cast("int"))
+    return _events(spark, sf).select("id", X.projection_kind(name).alias("kind"))
+
+
+def _dms() -> tuple:
+    d, m, s = E() % 80, E() % 60, (E() % 600) * 0.1
+    text = F.concat(F.lit("("), d.cast("string"), F.lit(") ("), m.cast("string"), F.lit(") ("), F.round(s, 1).cast("string"), F.lit(")"))
+    return text, F.element_at(F.array(*map(F.lit, ("N", "S", ""))), (E() % 3 + 1).cast("int"))
+
+
+@query("exif_float", f"select {ID}, (event_id % 80)::double as d, (event_id % 60)::double as m, round((event_id % 600) * 0.1::double, 1) as s from events")
+def exif_float(spark: SparkSession, sf: str) -> DataFrame:
+    n = X.numbers(_dms()[0])
+    return _events(spark, sf).select("id", *(F.get(n, F.lit(k)).alias(c) for k, c in enumerate("dms")))
+
+
+@query("exif_lla", f"select {ID}, round(case when event_id % 3 = 1 then -1 else 1 end * (event_id % 80 + (event_id % 60) / 60.0::double + round((event_id % 600) * 0.1::double, 1) / 3600), 9) + 0.0 as lat, case when event_id % 4 = 0 then 0.0::double when event_id % 2 = 1 then -(event_id % 500)::double else (event_id % 500)::double end + 0.0 as alt from events")
+def exif_lla(spark: SparkSession, sf: str) -> DataFrame:
+    text, ref = _dms()
+    alt = F.when(E() % 4 != 0, F.concat(F.lit("("), (E() % 500).cast("string"), F.lit(")")))
+    return _events(spark, sf).select("id", shown(X.degrees(text, ref, "NE"), 9).alias("lat"), (X.altitude(alt, (E() % 2).cast("string")) + F.lit(0.0)).alias("alt"))
+
+
+@query("exif_sensor", f"select {ID}, round(case event_id % 6 when 2 then 25.4::double when 3 then 10::double when 4 then 1::double when 5 then 0.001::double end * (4000 + event_id % 7) / (100 + event_id % 11), 9) + 0.0 as width from events")
+def exif_sensor(spark: SparkSession, sf: str) -> DataFrame:
+    return _events(spark, sf).select("id", shown(X.sensor_size((4000 + E() % 7).cast("double"), (100 + E() % 11).cast("double"), E() % 6), 9).alias("width"))
+
+
+@query("exif_cam_id", f"select {ID}, case when event_id % 5 = 0 then 'unknown' else 'acme' || case when event_id % 2 = 0 then ' m' || event_id % 9 else '' end end as camera from events")
+def exif_cam_id(spark: SparkSession, sf: str) -> DataFrame:
+    known = E() % 5 != 0
+    make, model = F.when(known, F.lower(F.lit("ACME"))), F.when(known & (E() % 2 == 0), F.concat(F.lit("m"), (E() % 9).cast("string")))
+    return _events(spark, sf).select("id", X.camera_id(make, model, F.lit(None).cast("string")).alias("camera"))
+
+
+@query("xmp_rpy", f"select {ID}, (event_id % 20)::double as roll, case when event_id % 3 = 0 then (event_id % 30 - 90 + 90)::double else (event_id % 30)::double end as pitch, (event_id % 360)::double as yaw from events where event_id % 3 <> 2")
+def xmp_rpy(spark: SparkSession, sf: str) -> DataFrame:
+    """Angles from the first vendor's tags that are all there."""
+    s = lambda c: c.cast("string")
+    first = F.create_map(F.lit("GimbalRollDegree"), s(E() % 20), F.lit("GimbalPitchDegree"), s(E() % 30 - 90), F.lit("GimbalYawDegree"), s(E() % 360), F.lit("Roll"), F.lit("1"))
+    second = F.create_map(F.lit("CamRoll"), s(E() % 20), F.lit("CamPitch"), s(E() % 30), F.lit("CamYaw"), s(E() % 360), F.lit("GimbalYawDegree"), F.lit("5"))
+    tags = F.when(E() % 3 == 0, first).when(E() % 3 == 1, second).otherwise(F.create_map(F.lit("Roll"), F.lit("1")))
+    out = _events(spark, sf).withColumn("a", X.body_angles(tags)).where("a is not null")
+    return out.select("id", *(F.col("a")[k].alias(n) for k, n in enumerate(("roll", "pitch", "yaw"))))
+
+
+@query("xmp_dewarp", f"select {ID}, (event_id % 100)::double as first, -0.5::double as second, 2::integer as n from events")
+def xmp_dewarp(spark: SparkSession, sf: str) -> DataFrame:
+    d = X.dewarp(F.concat(F.lit("2020-01-01;"), (E() % 100).cast("string"), F.lit(",-0.5")))
+    return _events(spark, sf).select("id", d[0].alias("first"), d[1].alias("second"), F.size(d).alias("n"))
+
+
+@query("creation_opts", f"select {ID}, case when event_id % 2 = 0 then 'tiled' else 'nodata' end as name, case when event_id % 2 = 0 then 'yes=' || event_id % 3 end as value from events")
+def creation_opts(spark: SparkSession, sf: str) -> DataFrame:
+    name, value = X.option(F.when(E() % 2 == 0, F.concat(F.lit("TILED = yes="), (E() % 3).cast("string"))).otherwise("NoData=None"))
+    return _events(spark, sf).select("id", name.alias("name"), value.alias("value"))
+
+
+@query("csv_format", f"select {ID}, case event_id % 4 when 0 then 'xyz_opk' when 1 then 'lla_rpy' when 2 then 'xyz_rpy' end as format from events")
+def csv_format(spark: SparkSession, sf: str) -> DataFrame:
+    sets = [("filename", "x", "y", "z", "omega", "phi", "kappa"), ("filename", "latitude", "longitude", "altitude", "roll", "pitch", "yaw", "other"), ("filename", "x", "y", "z", "roll", "pitch", "yaw"), ("filename", "x", "y")]
+    fields = F.element_at(F.array(*(F.array(*map(F.lit, s)) for s in sets)), (E() % 4 + 1).cast("int"))
+    return _events(spark, sf).select("id", X.table_format(fields).alias("format"))
+
+
+@query("unknown_params", f"select {ID}, case when event_id % 2 = 0 then 1 else 0 end::integer as n from events")
+def unknown_params(spark: SparkSession, sf: str) -> DataFrame:
+    """How many parameters the kind of camera doesn't have."""
+    given = F.map_keys(F.create_map(F.lit("k1"), F.lit(0.1), F.when(E() % 2 == 0, "k9").otherwise("k2"), F.lit(0.2)))
+    return _events(spark, sf).select("id", F.size(S.unknown_parameters(given, "brown")).alias("n"))
+
+
+@query("csv_xyz_opk", V.sql("select filename, x, y, z, round(radians(round(omega, 4)), 9) + 0.0 as omega, round(radians(round(phi, 4)), 9) + 0.0 as phi, round(radians(round(kappa, 4)), 9) + 0.0 as kappa from v_shot", "v_shot"))
+def csv_xyz_opk(spark: SparkSession, sf: str) -> DataFrame:
+    """A table of positions as lines of text, in degrees, read by its header."""
+    header = "filename, X,y,z,Omega,phi,kappa"
+    s = V.shots(spark, sf)
+    lines = s.select(F.concat_ws(",", "filename", "x", "y", "z", *(F.round(c, 4) for c in ("omega", "phi", "kappa"))).alias("value"))
+    out = S.read_exterior_lines(lines, header)
+    return out.select("filename", "x", "y", "z", *(shown(F.col(c), 9).alias(c) for c in ("omega", "phi", "kappa")))
+
+
+@query("dedup_last", V.sql("select cam_id::bigint as cam_id, filename from (select cam_id, filename, row_number() over (partition by cam_id order by ord desc) as n from (select o_custkey as cam_id, o_orderkey as ord, 'img_' || o_orderkey as filename from orders)) where n = 1"))
+def dedup_last(spark: SparkSession, sf: str) -> DataFrame:
+    """Of rows with one key, the last."""
+    o = V.table(spark, sf, "orders").select(F.col("o_custkey").cast("long").alias("cam_id"), F.col("o_orderkey").alias("ord"), F.concat(F.lit("img_"), F.col("o_orderkey").cast("string")).alias("filename"))
+    return S.last_of(o, ["cam_id"], "ord").select("cam_id", "filename")
+
+
+@query("int_param_osfm", V.sql("select 'cam ' || cam_id as camera, 'brown' as kind, 200::integer as width, 150::integer as height, focal, k1 from v_cam", "v_cam"))
+def int_param_osfm(spark: SparkSession, sf: str) -> DataFrame:
+    """Interior parameters from JSON, one object a camera by its id."""
+    c = V.cams(spark, sf)
+    body = F.struct(F.lit("brown").alias("projection_type"), F.lit(200).alias("width"), F.lit(150).alias("height"), F.col("focal").alias("focal_x"), F.col("focal").alias("focal_y"), F.col("cx").alias("c_x"), F.col("cy").alias("c_y"), F.col("k1"))
+    docs = c.select(F.to_json(F.create_map(F.concat(F.lit("v2 cam "), F.col("cam_id").cast("string")), body)).alias("value"))
+    return S.read_interior_json(docs).select("camera", "kind", "width", "height", F.col("focal_x").alias("focal"), "k1")
+
+
+@query("gcp_geojson", V.sql("select filename, count(*)::bigint as n, round(avg(j), 6) + 0.0 as j, round(avg(lon), 9) + 0.0 as lon from v_gcp group by filename", "v_gcp"))
+def gcp_geojson(spark: SparkSession, sf: str) -> DataFrame:
+    """Control points written as GeoJSON, one collection an image, and read again."""
+    back = S.read_gcps(S.write_gcps(V.gcps(spark, sf)))
+    return back.groupBy("filename").agg(F.count("*").alias("n"), shown(F.avg("j")).alias("j"), shown(F.avg("lon"), 9).alias("lon"))
+
+
+@query("ext_geojson", V.sql("select filename, x, y, z, omega, phi, kappa from v_shot", "v_shot"))
+def ext_geojson(spark: SparkSession, sf: str) -> DataFrame:
+    """Exterior parameters written as GeoJSON features and read again."""
+    return S.read_exterior_features(S.write_exterior_features(V.shots(spark, sf))).select("filename", "x", "y", "z", "omega", "phi", "kappa")
+
+
+@query("validate_json", f"select {ID}, event_id % 3 <> 0 as valid from events")
+def validate_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a text has the fields and types of a schema."""
+    doc = F.when(E() % 3 == 0, F.lit('{"im_size": "x", "focal_len": 5}')).otherwise(F.lit('{"im_size": [200, 150], "focal_len": 5.0}'))
+    return _events(spark, sf).select("id", S.fits_schema(doc, "im_size array<int>, focal_len double").alias("valid"))
+
+
+@query("out_profile", f"select {ID}, case when event_id % 2 = 0 then 'jpeg' else 'deflate' end as compress, event_id % 2 = 0 as write_mask, case when event_id % 2 = 0 and event_id % 3 = 0 then 'ycbcr' end as photometric from events")
+def out_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Defaults of an output image by its type and bands."""
+    dtype, bands = F.when(E() % 2 == 0, "uint8").otherwise("float32"), F.when(E() % 3 == 0, 3).otherwise(4)
+    p = S.output_profile(dtype, bands)
+    return _events(spark, sf).select("id", *(v.alias(k) for k, v in p.items()))
