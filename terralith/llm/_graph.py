@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -19,20 +19,21 @@ def shared_folder(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
-
 def kept(df: DataFrame) -> DataFrame:
-    """The same rows from a checkpoint that all executors share; the lineage ends there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
+    """The same rows from a table written to the shared folder. Lineage ends there, and so does the plan.
 
-def written(df: DataFrame) -> DataFrame:
-    """The same rows from a table written to the shared folder, for rows too wide for a checkpoint."""
+    A checkpoint would carry on the constraints that the optimizer has inferred, which loops of joins multiply.
+    """
     path = f"{shared_folder(df.sparkSession)}/terralith-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of rounds that nothing refers to any more, instead of when the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the least node reachable over edges (u long, v long), for nodes that have an edge.
 

@@ -107,7 +107,8 @@ def slices(offsets: np.ndarray, limit: int = SLICE):
 def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word of texts lying end to end, and each text's first word.
 
-    Words are runs of bytes that the table between doesn't name, [^\\x20\\x09-\\x0D]+ by default; offsets are relative to data; the third result has an entry more than there are texts.
+    Words are runs of bytes that the table between doesn't name, [^\\x20\\x09-\\x0D]+ by default. offsets are relative
+    to data; the third result has an entry more than there are texts.
     """
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)

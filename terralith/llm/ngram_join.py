@@ -22,16 +22,24 @@ from terralith.llm import _graph as G
 from terralith.llm import _text as T
 
 NO_ID = -(2**63)
-GROUP_BYTES = 2 << 20
+#: Texts that are compared in one task at a time.
+GROUP_NODES = 500
 #: Tokens in more than this share of a batch are common: they go to the end of the order of tokens.
 COMMON_SHARE, MOST_COMMON = 1 / 500, 100_000
-#: Members of a list that are paired with all others in one later round.
-HUBS = 64
+#: Lists of up to so many members are paired at once. Of longer ones so many members are compared with all others, by round.
+SHORT, HUBS = 65, (1, 4)
+#: Members of long lists in one block of the index that the rest is searched in.
+BLOCK_NODES = 50_000
 SIGNATURE = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64())])
 LISTED = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("n", pa.int32())])
 LISTED_DDL = "token long, node long, n int"
-PAIR = pa.schema([("hub", pa.int64()), ("other", pa.int64()), ("token", pa.int64()), ("n", pa.int32())])
-PAIR_DDL = "hub long, other long, token long, n int"
+PAIR = pa.schema([("hub", pa.int64()), ("other", pa.int64())])
+PAIR_DDL = "hub long, other long"
+#: A pair that n lists of a bucket hold and need lists must hold; or, with a token, a member of a longer list; or, with
+#: need -1, how many short lists hold a node.
+LATER = pa.schema([*PAIR, ("token", pa.int64()), ("n", pa.int32()), ("need", pa.int32())])
+LATER_DDL = PAIR_DDL + ", token long, n int, need int"
+RANKED = pa.schema([*LISTED, ("label", pa.int64()), ("degree", pa.int64())])
 
 
 def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
@@ -122,71 +130,105 @@ def _lists(t: pa.Table, *more: np.ndarray):
     return token[new], node[new], n[new], *(m[order][new] for m in more)
 
 
-def shared_lists(batches):
-    """Lists of tokens that several sets hold."""
-    t = T.table_of(batches, LISTED)
-    if not t.num_rows:
-        return
-    token, node, n = _lists(t)
-    of = np.cumsum(np.append(True, token[1:] != token[:-1])) - 1
-    keep = np.bincount(of)[of] > 1
-    yield T.batch(LISTED, token[keep], node[keep], n[keep])
+def fits(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
 
 
-def first_pairs(percent: int):
-    """Each list's first member with all others of a fitting size."""
+def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Lists of rare tokens that similar sets of these sizes share: the least overlap, less the tokens past the rare ones."""
+    return np.maximum(1, (percent * (a + b) + 99 + percent) // (100 + percent) - (percent * np.maximum(a, b) + 99) // 100 + 1)
+
+
+def list_pairs(percent: int, short: int = SHORT):
+    """All pairs of lists of up to so many members, with how many lists hold them and how many must; members of longer lists.
+
+    Similar sets of two sizes share so many tokens at least; less those past their rare ones, that many lists hold
+    both. So a similar pair is in enough short lists, or in some longer one.
+    """
 
     def run(batches):
         t = T.table_of(batches, LISTED)
         if not t.num_rows:
             return
         token, node, n = _lists(t)
-        head = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        at = np.repeat(head, np.diff(np.append(head, len(token))))
-        ok = (np.arange(len(token)) != at) & (100 * np.minimum(n, n[at]) >= percent * np.maximum(n, n[at]))
-        hub, other = node[at][ok], node[ok]
-        order = np.lexsort((other, hub))
-        hub, other = hub[order], other[order]
-        new = np.append(True, (hub[1:] != hub[:-1]) | (other[1:] != other[:-1]))[: len(hub)]
-        yield T.batch(PAIR, hub[new], other[new], pa.nulls(int(new.sum()), pa.int64()), pa.nulls(int(new.sum()), pa.int32()))
+        edge = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        size = np.diff(np.append(edge, len(token)))
+        found = []
+        for m in np.unique(size[(size > 1) & (size <= short)]).tolist():
+            i, j = np.triu_indices(m, 1)
+            at = edge[size == m]
+            for part in np.array_split(at, max(1, len(at) * len(i) // 500_000)):
+                a, b = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
+                ok = fits(n[a], n[b], percent)
+                found.append(np.stack([node[a[ok]], node[b[ok]], n[a[ok]], n[b[ok]]], 1))
+        if found:
+            p = np.concatenate(found)
+            p = p[np.lexsort((p[:, 1], p[:, 0]))]
+            new = np.flatnonzero(np.append(True, (p[1:, :2] != p[:-1, :2]).any(1))) if len(p) else np.zeros(0, int)
+            count = np.diff(np.append(new, len(p)))
+            p = p[new]
+            yield T.batch(LATER, p[:, 0], p[:, 1], pa.nulls(len(p), pa.int64()), count.astype(np.int32), needed(p[:, 2], p[:, 3], percent).astype(np.int32))
+        names, often = np.unique(node[np.repeat((size > 1) & (size <= short), size)], return_counts=True)
+        yield T.batch(LATER, names, names, pa.nulls(len(names), pa.int64()), often.astype(np.int32), np.full(len(names), -1, np.int32))
+        more = np.repeat(size > short, size)
+        yield T.batch(LATER, node[more], node[more], token[more], n[more], np.zeros(more.sum(), np.int32))
 
     return run
 
 
-def later_pairs(percent: int, hubs: int):
-    """Of lists with several components: up to so many members of the rarer ones, with all of other components.
+def long_pairs(percent: int, hubs: int):
+    """Of each longer list with members of several components, so many members with all of other components.
 
-    Rows without a token are pairs; the others are the lists without those members, for the next round.
+    Those are the members of most lists, as the source of a family of near copies shares more with them than they
+    with each other. hubs 0: instead, who isn't in the list's largest component.
     """
-    schema = pa.schema([*LISTED, ("label", pa.int64()), ("round", pa.int32())])
 
     def run(batches):
-        t = T.table_of(batches, schema)
+        t = T.table_of(batches, RANKED)
         if not t.num_rows:
             return
-        token, node, n, label = _lists(t, T.column(t, "label"))
+        token, node, n, label, degree = _lists(t, T.column(t, "label"), T.column(t, "degree"))
         edge = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        pairs, rest = [], []
-        for a, b in zip(edge.tolist(), np.append(edge[1:], len(token)).tolist(), strict=True):
-            of = label[a:b]
-            _, inverse, count = np.unique(of, return_inverse=True, return_counts=True)
-            if len(count) < 2:
+        pairs = [np.zeros((0, 2), np.int64)]
+        for a, z in zip(edge.tolist(), np.append(edge[1:], len(token)).tolist(), strict=True):
+            _, inverse, often = np.unique(label[a:z], return_inverse=True, return_counts=True)
+            if len(often) < 2:
+                continue
+            if not hubs:
+                out = node[a:z][inverse != often.argmax()]
+                pairs.append(np.stack([out, out], 1))
                 continue
-            order = np.lexsort((node[a:b], count[inverse]))
-            names, sizes, of = node[a:b][order], n[a:b][order], of[order]
-            for i in range(min(hubs, len(names) - 1)):
-                ok = (of[i + 1 :] != of[i]) & (100 * np.minimum(sizes[i + 1 :], sizes[i]) >= percent * np.maximum(sizes[i + 1 :], sizes[i]))
-                if ok.any():
-                    pairs.append((np.full(ok.sum(), names[i]), names[i + 1 :][ok]))
-            if len(names) > hubs + 1 and len(np.unique(of[hubs:])) > 1:
-                rest.append((names[hubs:], np.full(len(names) - hubs, token[a]), sizes[hubs:]))
-        if pairs:
-            hub, other = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            got = np.unique(np.stack([hub, other], 1), axis=0)
-            yield T.batch(PAIR, got[:, 0], got[:, 1], pa.nulls(len(got), pa.int64()), pa.nulls(len(got), pa.int32()))
-        if rest:
-            names, tokens, sizes = (np.concatenate(x) for x in zip(*rest, strict=True))
-            yield T.batch(PAIR, names, names, tokens, sizes)
+            for h in (a + np.lexsort((node[a:z], -degree[a:z])))[:hubs]:
+                rest = a + np.flatnonzero((label[a:z] != label[h]) & fits(n[a:z], n[h], percent))
+                pairs.append(np.stack([np.full(len(rest), node[h]), node[rest]], 1))
+        got = np.unique(np.concatenate(pairs), axis=0)
+        yield T.batch(PAIR, got[:, 0], got[:, 1])
+
+    return run
+
+
+def block_search(percent: int):
+    """Who of a block shares enough lists with each query, and is of another component: T-occurrence search on long lists."""
+
+    def run(block: pa.Table, queries: pa.Table) -> pa.Table:
+        out = [np.zeros((0, 2), np.int64)]
+        if block.num_rows and queries.num_rows:
+            tokens = block.column("tokens").combine_chunks()
+            rows = np.repeat(np.arange(block.num_rows), np.diff(tokens.offsets.to_numpy()))
+            flat = tokens.flatten().to_numpy()
+            order = np.argsort(flat, kind="stable")
+            flat, rows = flat[order], rows[order]
+            node, n, label, short = (T.column(block, c) for c in ("node", "n", "label", "short"))
+            asked = zip(*(queries.column(c).to_pylist() for c in ("q_tokens", "q_node", "q_n", "q_label", "q_short")), strict=True)
+            for q_tokens, q_node, q_n, q_label, q_short in asked:
+                q = np.array(q_tokens)
+                lo, hi = np.searchsorted(flat, q, "left"), np.searchsorted(flat, q, "right")
+                count = np.bincount(np.concatenate([rows[a:b] for a, b in zip(lo, hi, strict=True)]), minlength=len(node))
+                ok = (count > 0) & (label != q_label) & fits(n, np.int64(q_n), percent)
+                ok &= count + np.minimum(short, q_short) >= needed(n, np.int64(q_n), percent)
+                out.append(np.stack([np.full(ok.sum(), q_node), node[ok]], 1))
+        got = np.concatenate(out)
+        return pa.Table.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], schema=PAIR)
 
     return run
 
@@ -215,8 +257,7 @@ class Index:
         flat = np.arange(n[:short].sum()) - np.repeat(np.cumsum(n[:short]) - n[:short], n[:short]) + np.repeat(lo[:short], n[:short])
         count = np.bincount(self.rows[flat], minlength=len(self.sizes))
         need = (percent * (len(query) + self.sizes) + 99 + percent) // (100 + percent)
-        fits = (100 * np.minimum(self.sizes, len(query)) >= percent * np.maximum(self.sizes, len(query)))
-        found = np.flatnonzero(fits & (count >= np.maximum(1, need - aside)))
+        found = np.flatnonzero(fits(self.sizes, np.int64(len(query)), percent) & (count >= np.maximum(1, need - aside)))
         for a, b in zip(lo[short:].tolist(), hi[short:].tolist(), strict=True):
             if not len(found):
                 break
@@ -245,7 +286,21 @@ def _linked(k: int, percent: int):
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+def _sent(texts: pa.Table, wanted: pa.Table) -> pa.Table:
+    """The texts of a group's hubs, for each group that holds others to compare."""
+    schema = pa.schema([("to", pa.int32()), ("hub", pa.int64()), ("hub_text", pa.string())])
+    if not texts.num_rows or not wanted.num_rows:
+        return schema.empty_table()
+    node = T.column(texts, "node")
+    order = np.argsort(node, kind="stable")
+    hub = T.column(wanted, "hub")
+    lo, hi = np.searchsorted(node[order], hub, "left"), np.searchsorted(node[order], hub, "right")
+    at = order[np.concatenate([np.arange(a, b) for a, b in zip(lo, hi, strict=True)])]
+    to = np.repeat(T.column(wanted, "to"), hi - lo)
+    return pa.Table.from_arrays([pa.array(to, pa.int32()), pa.array(node[at]), texts.column("text").take(pa.array(at)).combine_chunks().cast(pa.string())], schema=schema)
+
+
+def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, short: int = SHORT, block_nodes: int = BLOCK_NODES) -> DataFrame:
     """Groups documents whose sets of k-word shingles have a Jaccard similarity of percent/100 or more.
 
     docs: doc_id long and text; other columns are ignored whatever their names. Words are [^\\x20\\x09-\\x0D]+
@@ -262,37 +317,70 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFr
     tokens = np.array([r["key"] for r in common], np.int64).view(np.uint64)
     order = np.argsort(tokens)
     rank = (len(tokens) - 1 - order).astype(np.int64)
-    lists = docs.mapInArrow(rare_tokens(k, percent, tokens[order], rank), LISTED_DDL).repartition(n, "token").mapInArrow(shared_lists, LISTED_DDL)
-    lists = G.kept(lists)
+    listed = docs.mapInArrow(rare_tokens(k, percent, tokens[order], rank), LISTED_DDL).repartition(n, "token").mapInArrow(list_pairs(percent, short), LATER_DDL)
+    listed = G.kept(listed)
+    counted = listed.where("need > 0").groupBy("hub", "other").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
+    near = G.kept(counted.where("n >= need").select("hub", "other"))
+    long_lists = listed.where("token is not null").select("token", F.col("other").alias("node"), "n")
+    in_short = listed.where("need = -1 and token is null").select(F.col("hub").alias("node"), "n").groupBy("node").agg(F.sum("n").alias("short"))
+    degree = long_lists.groupBy("node").agg(F.count("*").alias("degree"), F.max("n").alias("n"), F.collect_set("token").alias("tokens"))
+    degree = G.kept(degree.join(in_short, "node", "left").withColumn("short", F.coalesce("short", F.lit(0))))
 
     vertex = F.coalesce("doc_id", F.lit(NO_ID))
     own = signature.where("kind = 0").select(vertex.alias("node"), "n", "key")
     least = own.where("n > 0").groupBy("key", "n").agg(F.min("node").alias("v"))
     links = own.join(least, ["key", "n"]).where("node <> v").select(F.col("node").alias("u"), "v")
 
-    pairs = G.kept(lists.repartition(n, "token").mapInArrow(first_pairs(percent), PAIR_DDL).select("hub", "other").distinct())
-    involved = lists.select("node").distinct()
-    texts = G.written(docs.select(vertex.alias("node"), "text").join(involved, "node"))
-    size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    groups = max(1, -(-size // GROUP_BYTES))
-    group = lambda c: F.pmod(F.xxhash64(c), F.lit(groups)).cast("int").alias("g")
-    dealt = texts.select(group("node"), "node", "text")
-
-    lists = lists.withColumn("round", F.lit(0))
-    found = None
-    while True:
-        wanted = pairs.select(F.col("hub").alias("node"), group("other")).distinct()
-        hubs = texts.join(wanted, "node").select(F.col("g").alias("to"), F.col("node").alias("hub"), F.col("text").alias("hub_text"))
-        others = dealt.join(pairs.select(F.col("other").alias("node")).distinct(), "node", "left_semi").select("g", "node", "text")
-        new = G.kept(others.groupBy("g").cogroup(hubs.groupBy("to")).applyInArrow(_linked(k, percent), "u long, v long"))
-        found = new if found is None else found.unionByName(new)
-        labels = G.components(found.unionByName(links))
-        named = lists.join(labels, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("label"), "round")
-        later = G.kept(named.repartition(n, "token").mapInArrow(later_pairs(percent, HUBS), PAIR_DDL))
-        if not later.limit(1).count():
-            break
-        pairs = G.kept(later.where("token is null").select("hub", "other").distinct())
-        lists = later.where("token is not null").select("token", F.col("other").alias("node"), "n", F.lit(1).alias("round"))
+    def named(nodes: DataFrame) -> DataFrame:
+        return nodes.withColumn("label", F.col("node")) if labels is None else nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    def of_long_lists(hubs: int) -> DataFrame:
+        ranked = named(long_lists.join(degree.select("node", "degree"), "node")).select(*RANKED.names)
+        return ranked.repartition(n, "token").mapInArrow(long_pairs(percent, hubs), PAIR_DDL)
+
+    def searched() -> DataFrame:
+        """Pairs of long lists that are still of different components and share enough lists."""
+        blocks = max(1, -(-degree.count() // block_nodes))
+        nodes = named(degree.select("node", "n", "tokens", "short"))
+        block = nodes.withColumn("b", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int"))
+        asked = nodes.join(of_long_lists(0).select(F.col("hub").alias("node")).distinct(), "node", "left_semi")
+        asked = asked.select(*(F.col(c).alias(f"q_{c}") for c in ("node", "n", "label", "tokens", "short")), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+        return block.groupBy("b").cogroup(asked.groupBy("b")).applyInArrow(block_search(percent), PAIR_DDL)
+
+    # families (all that candidate pairs connect) are dealt out together, large ones in parts, so that a text which is
+    # compared with many others goes to few tasks
+    labels = None
+    star = G.kept(of_long_lists(HUBS[0]))
+    family = G.components(near.unionByName(star).select(F.col("hub").alias("u"), F.col("other").alias("v")))
+    nodes = near.select(F.explode(F.array("hub", "other")).alias("node")).unionByName(degree.select("node")).distinct()
+    nodes = nodes.join(family, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    parts = nodes.groupBy("label").agg(F.ceil(F.count("*") / GROUP_NODES).alias("parts"))
+    groups = max(1, -(-nodes.count() // GROUP_NODES))
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    homes = G.kept(nodes.join(parts, "label").select("node", F.pmod(F.xxhash64("label", part), F.lit(groups)).cast("int").alias("g")))
+    dealt = G.kept(docs.select(vertex.alias("node"), "text").join(homes, "node").select("g", "node", "text"))
+    G.release(spark)
+    home_of = lambda c, g: homes.select(F.col("node").alias(c), F.col("g").alias(g))
+
+    # at first each node with the least one near it, and of each long list one member with all others;
+    # then all that are near and still apart, and some more members; at last a search for what is left
+    for step in range(len(HUBS) + 1):
+        pairs = star if step == 0 else of_long_lists(HUBS[step]) if step < len(HUBS) else searched()
+        if step == 0:
+            pairs = pairs.unionByName(near.groupBy("other").agg(F.min("hub").alias("hub")).select("hub", "other"))
+        if step == 1:
+            a, b = (labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")) for c in ("hub", "other"))
+            apart = ~F.coalesce("hub_label", "hub").eqNullSafe(F.coalesce("other_label", "other"))
+            pairs = pairs.unionByName(near.join(a, "hub", "left").join(b, "other", "left").where(apart).select("hub", "other"))
+        pairs = G.kept(pairs.distinct())
+        if step and not pairs.limit(1).count():
+            continue
+        wanted = pairs.join(home_of("hub", "g"), "hub").join(home_of("other", "to"), "other").select("g", "hub", "to").distinct()
+        hubs = dealt.groupBy("g").cogroup(wanted.groupBy("g")).applyInArrow(_sent, "to int, hub long, hub_text string")
+        new = dealt.groupBy("g").cogroup(hubs.groupBy("to")).applyInArrow(_linked(k, percent), "u long, v long")
+        found = G.kept(new)
+        labels = G.components(found.unionByName(links) if step == 0 else found.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))))
+        G.release(spark)
     out = own.join(labels, "node", "left").select("node", F.col("n").alias("n_shingles"), F.coalesce("label", "node").alias("label"))
     shown = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(shown("node").alias("doc_id"), "n_shingles", shown("label").alias("component_id"))

@@ -69,7 +69,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: f
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("_crc"),
         *passed,
     )
-    rows = G.kept(rows) if not passed else G.written(rows)
+    rows = G.kept(rows)
     sources = sorted((r["_source"], r["n"]) for r in rows.groupBy("_source").agg(F.sum("size").alias("n")).collect())
     sizes = [s for _, s in sources]
     targets = fill_targets(sizes, [weights[i % len(weights)] for i in range(len(sources))], sum(sizes), most)
