@@ -1,15 +1,15 @@
 """A corpus pipeline: language ID, near duplicates, decontamination, mixing and sharding.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. All but the last
-return the columns of documents. Text alone decides in the filters, so that null ids, repeated rows and
-further columns pass through them. Stage results are Parquet tables in the shared folder.
+return the columns of documents. Text alone decides in the filters, whatever the ids: rows with null or shared
+ids and further columns pass through them, and of repeated rows one stays. Stage results are Parquet tables in the shared folder.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralith.llm import _graph, language_id, ngram_join, ring_shards, source_mix, tiling
@@ -27,12 +27,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the row of the least doc_id stays; of rows that share it, one."""
-    groups = ngram_join.ngram_jaccard_join(docs, k=5, percent=75)
-    key = F.coalesce("doc_id", F.lit(ngram_join.NO_ID))
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_key")).distinct()
-    one = Window.partitionBy("_key").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
-    return docs.withColumn("_key", key).join(keep, "_key", "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").select(docs.columns)
+    """Of each group of near duplicates the row of the least doc_id stays (null is the least); of rows that share it, one.
+
+    Each row is a vertex of its own, by a number that is written before it is used: neither null nor shared ids
+    join rows, similar texts alone do. A text without words is similar to none.
+    """
+    row = F.struct("doc_id", F.xxhash64("text").alias("text"), F.xxhash64(*docs.columns).alias("all"))
+    rows = _graph.kept(docs.withColumn("_row", row).withColumn("_key", F.monotonically_increasing_id()))
+    groups = ngram_join.ngram_jaccard_join(rows.select(F.col("_key").alias("doc_id"), "text"), k=5, percent=75)
+    named = rows.select("_key", "_row").join(groups.select(F.col("doc_id").alias("_key"), "component_id"), "_key")
+    keep = named.groupBy("component_id").agg(F.min(F.struct("_row", "_key")).alias("_least")).select("_least._key")
+    return rows.join(keep, "_key", "left_semi").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -310,6 +310,18 @@ def test_pipeline_stages(spark, docs):
     assert len(last) == rows.count() and {r.shard for r in last} <= set(range(40))
 
 
+def test_near_duplicates_of_null_and_shared_ids(spark):
+    rng = random.Random(6)
+    words = [[f"w{rng.randint(0, 10**6)}" for _ in range(60)] for _ in range(8)]
+    texts = [" ".join(w) for w in words]
+    near = " ".join([*words[0][:-1], "other"])
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (5, texts[3]), (5, texts[4]), (6, near), (7, texts[5]), (3, texts[6]), (4, texts[6]), (8, texts[7]), (8, texts[7]), (None, None), (9, ""), (9, "")]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), SF).collect()
+    want = [r for r in rows if r not in ((6, near), (4, texts[6]))]
+    want.remove((8, texts[7]))
+    assert collections.Counter(tuple(r) for r in got) == collections.Counter(want)
+
+
 def test_names():
     names = list(registry.queries())
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11))
