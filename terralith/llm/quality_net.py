@@ -21,6 +21,8 @@ WIDTH, STRIDE, BLOCK, BLOCKS, DIM, FILTERS = 12, 2, 16, 8, 4, 24
 PLACES = BLOCK * BLOCKS
 CHUNK_BYTES = (PLACES - 1) * STRIDE + WIDTH
 STEP_BYTES = (BLOCKS - 1) * BLOCK * STRIDE
+#: Places that are filtered at a time.
+PART = 2048
 #: At most so many labelled texts are used to fit, and of each at most so many chunks, evenly spread.
 FIT_ROWS, FIT_CHUNKS = 3000, 12
 
@@ -45,22 +47,26 @@ def pooled(net: Net, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     places = np.maximum(0, sizes - WIDTH) // STRIDE + 1
     places += (sizes > WIDTH) & ((sizes - WIDTH) % STRIDE > 0)
     blocks = -(-places // BLOCK)
-    start = np.concatenate([[0], np.cumsum(blocks)])
-    buffer = np.zeros(start[-1] * BLOCK * STRIDE + WIDTH, np.uint8)
-    to = np.repeat(start[:-1] * BLOCK * STRIDE, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    fits = to < len(buffer)
-    buffer[to[fits]] = data[fits]
+    # the last place can reach beyond the text's blocks: room for all its bytes, so that no text lies over another's
+    room = np.maximum(blocks, -(-sizes // (BLOCK * STRIDE)))
+    start = np.concatenate([[0], np.cumsum(room)])
     n = start[-1] * BLOCK
-    act = windows(net.embed[buffer].ravel(), n) @ net.filters
-    place = np.arange(n) - np.repeat(start[:-1] * BLOCK, blocks * BLOCK)
-    act[place >= np.repeat(places, blocks * BLOCK)] = -1e9
+    parts = -(-n // PART)
+    buffer = np.zeros(parts * PART * STRIDE + WIDTH, np.uint8)
+    to = np.repeat(start[:-1] * BLOCK * STRIDE, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    buffer[to] = data
+    flat = net.embed[buffer].ravel()
+    # products of one shape: the order of their sums, and so their last bits, don't depend on what else is in the batch
+    act = np.concatenate([windows(flat[k * PART * STRIDE * DIM :], PART) @ net.filters for k in range(parts)])[:n]
+    place = np.arange(n) - np.repeat(start[:-1] * BLOCK, room * BLOCK)
+    act[place >= np.repeat(places, room * BLOCK)] = -1e9
     act = np.maximum(act.reshape(-1, BLOCK, FILTERS).max(1) + net.bias, 0)
     chunks = np.maximum(1, -(-(blocks - 1) // (BLOCKS - 1)))
     first = np.concatenate([[0], np.cumsum(chunks)])
     k = np.arange(first[-1]) - np.repeat(first[:-1], chunks)
     top = None
     for j in range(BLOCKS):
-        at = np.minimum(np.repeat(start[:-1], chunks) + k * (BLOCKS - 1) + j, np.repeat(start[1:] - 1, chunks))
+        at = np.minimum(np.repeat(start[:-1], chunks) + k * (BLOCKS - 1) + j, np.repeat(start[:-1] + blocks - 1, chunks))
         top = act[at] if top is None else np.maximum(top, act[at])
     return np.concatenate([np.add.reduceat(top, first[:-1]) / chunks[:, None], np.maximum.reduceat(top, first[:-1])], axis=1)
 
@@ -71,7 +77,7 @@ def scores(net: Net, column: pa.Array) -> np.ndarray:
     for i, j in T.slices(offsets, 1 << 16):
         lo = offsets[i]
         x = pooled(net, data[lo : offsets[j]], offsets[i : j + 1] - lo)
-        out.append(1 / (1 + np.exp(-np.clip(x @ net.out + net.last, -30, 30))))
+        out.append(1 / (1 + np.exp(-np.clip((x * net.out).sum(1) + net.last, -30, 30))))
     return np.concatenate(out).astype(float) if out else np.zeros(0)
 
 

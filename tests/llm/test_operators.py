@@ -300,6 +300,26 @@ def test_quality_net_reads_whole_texts():
     assert a != b
 
 
+def test_quality_net_scores_of_each_text_alone():
+    rng = np.random.default_rng(8)
+    net = quality_net.fit([], [])
+    texts = ["".join(rng.choice(list("abcdefgh é"), n)) for n in [*range(0, 140), *range(500, 600), 66000, 66001]]
+    alone = [quality_net.scores(net, pa.array([t]))[0] for t in texts]
+    for order in (np.arange(len(texts)), rng.permutation(len(texts)), rng.permutation(len(texts))):
+        assert quality_net.scores(net, pa.array([texts[i] for i in order])).tolist() == [alone[i] for i in order]
+    # against the definition: every place of a filter, zeros after the text, a chunk's and then the text's maxima
+    for t, s in zip(texts[:240], alone[:240], strict=True):
+        b = np.frombuffer(t.encode(), np.uint8)
+        places = max(0, -(-(len(b) - quality_net.WIDTH) // quality_net.STRIDE)) + 1
+        padded = np.concatenate([b, np.zeros(quality_net.WIDTH + 2, np.uint8)])
+        act = np.stack([net.embed[padded[2 * p : 2 * p + quality_net.WIDTH]].ravel() @ net.filters for p in range(places)])
+        step = quality_net.BLOCK * (quality_net.BLOCKS - 1)
+        chunks = max(1, -(-(-(-places // quality_net.BLOCK) - 1) // (quality_net.BLOCKS - 1)))
+        top = np.stack([np.maximum(act[k * step : k * step + quality_net.PLACES].max(0) + net.bias, 0) for k in range(chunks)])
+        x = np.concatenate([top.mean(0), top.max(0)]) @ net.out + net.last
+        assert s == pytest.approx(1 / (1 + np.exp(-x)), abs=1e-5)
+
+
 def test_pipeline_stages(spark, docs):
     rows = docs
     for _, stage in corpus_pipeline.STAGES[:-1]:
