@@ -18,7 +18,8 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: Labelled urls: host and path, invented.
+#: Labelled urls: host and path, invented. Each blocked row under example has a twin among the allowed ones with the same
+#: prefix, suffix and path, so that the words of the host decide; eight more are allowed, as an unknown host is.
 ALLOWED = """
 news.riverside-gazette.org/2023/04/council-meeting
 library.northfield.edu/catalog/search
@@ -47,13 +48,46 @@ music.conservatory.edu/concerts
 www.valley-farmers.net/en/market/2041
 m.harbour-news.net/de/11873
 blog.stone-masons.net/en/9921
-village-theatre.example.net/en/26110
+www.village-theatre.example.net/en/26110
 m.old-bridges.example.net/de/3520
-www.reading-circle.example.org/en/7741
 blog.field-notes.example.org/de/18820
+reading-circle.example.org/fr/7741
 m.river-walks.example.org/en/4402
 star-charts.example.net/de/12075
-www.orchard-guide.example.net/en/871
+www.orchard-guide.example.org/en/871
+blog.quiet-lanes.example.net/en/5316
+northern-station.example.net/en/640
+www.other-thoughts.example.org/de/2933
+m.garden-diary.example.org/es/91
+blog.weather-maps.example.org/en/15208
+www.harbour-nation.example.net/de/377
+m.history-room.example.net/en/8046
+blog.mountain-tent.example.net/de/22519
+stone-ledger.example.org/de/6184
+tea-room.example.net/de/12075
+www.pottery-class.example.org/en/871
+blog.the-lighthouse.example.net/en/5316
+chess-evening.example.net/en/640
+www.rose-hall.example.org/de/2933
+m.nature-station.example.org/es/91
+blog.winter-birds.example.org/en/15208
+www.sewing-box.example.net/de/377
+m.farm-produce.example.net/en/8046
+blog.train-letters.example.net/de/22519
+song-sheets.example.org/de/6184
+www.ferry-times.example.net/en/26110
+m.cheese-maker.example.net/de/3520
+blog.lost-paths.example.org/de/18820
+hill-school.example.org/fr/7741
+m.bread-oven.example.org/en/4402
+print-shop.example.org/fr/7741
+m.oak-timber.example.org/en/4402
+puppet-stage.example.net/de/12075
+www.math-puzzles.example.org/en/871
+blog.little-theatre.example.net/en/5316
+dance-steps.example.net/en/640
+www.canal-boats.example.org/de/2933
+m.rowing-crew.example.org/es/91
 """.split()
 BLOCKED = """
 casino-jackpot-bonus.net/en/free-spins
@@ -80,6 +114,38 @@ cheap-meds-no-prescription.net/order
 free-ringtones-spyware.org/exe
 casino-roulette-vip.org/de/bonus
 nude-celebs-xxx.net/gallery
+www.casino-palace.example.net/en/26110
+m.spam-mailer.example.net/de/3520
+blog.ads-server.example.org/de/18820
+adult-club.example.org/fr/7741
+m.track-banner.example.org/en/4402
+bets-online.example.net/de/12075
+www.pills-shop.example.org/en/871
+blog.spam-links.example.net/en/5316
+casino-games.example.net/en/640
+www.ads-popup.example.org/de/2933
+m.adult-films.example.org/es/91
+blog.spam-bot.example.org/en/15208
+www.win-prizes.example.net/de/377
+m.free-casino.example.net/en/8046
+blog.track-clicks.example.net/de/22519
+cheap-bets.example.org/de/6184
+lucky-casino.example.net/de/12075
+www.mail-spam.example.org/en/871
+blog.server-ads.example.net/en/5316
+club-adult.example.net/en/640
+www.cheap-pills-now.example.org/de/2933
+m.bets-free.example.org/es/91
+blog.links-spam.example.org/en/15208
+www.tracking-pixel.example.net/de/377
+m.games-casino.example.net/en/8046
+blog.ads-clicks.example.net/de/22519
+films-adult.example.org/de/6184
+www.spam-mass.example.net/en/26110
+m.prizes-win.example.net/de/3520
+blog.pills-order.example.org/de/18820
+banner-ads.example.org/fr/7741
+m.win-bets.example.org/en/4402
 """.split()
 FEATURES, SIZES = 1 << 14, (3, 4, 5)
 

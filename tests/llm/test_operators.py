@@ -228,6 +228,23 @@ def test_url_filter(spark):
     assert url_filter.judge_urls(pages.limit(0)).collect() == []
 
 
+def test_url_filter_of_hosts_it_was_not_trained_on(spark):
+    bad = ["casino-win", "adult-x", "spam-farm", "ads-track"]
+    trained = " ".join([*url_filter.ALLOWED, *url_filter.BLOCKED])
+    assert not any(h + "." in trained for h in bad)
+    hosts = [*bad, "bird-songs", "city-library", "old-harbour", "baking-class"]
+    urls = [(h, f"https://{p}{h}.example.{t}/{lang}/{n}") for h in hosts for p in ("", "www.", "m.", "blog.") for t in ("net", "org") for lang in ("en", "de") for n in (7, 428, 9931)]
+    got = collections.defaultdict(list)
+    for r in url_filter.judge_urls(spark.createDataFrame(urls, "h string, url string")).collect():
+        assert r.rule is None
+        got[r.h].append(r.verdict == "block")
+    assert all(np.mean(got[h]) > 0.9 for h in bad) and all(np.mean(got[h]) < 0.1 for h in hosts[4:])
+    free = url_filter.judge_urls(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).where("rule is null and host <> ''").collect()
+    words = "casino|adult|spam|ads-|bets|pills"
+    assert all(r.verdict == "block" for r in free if re.search(words, r.host))
+    assert np.mean([r.verdict == "block" for r in free if not re.search(words, r.host)]) < 0.02
+
+
 def brute_tiles(a: list, b: list, tile: int) -> int:
     used_a, used_b, total = [False] * len(a), [False] * len(b), 0
     while True:
