@@ -38,11 +38,13 @@ def start(xyz: np.ndarray, px: np.ndarray, k: Interior) -> np.ndarray:
 
 
 def solve(xyz: np.ndarray, px: np.ndarray, k: Interior, steps: int = 60) -> tuple[np.ndarray, float]:
-    """Levenberg-Marquardt; the pose and its root mean square error in pixels."""
+    """Levenberg-Marquardt, up to an error of 1e-10 pixels; the pose and its root mean square error in pixels."""
     p, damp = start(xyz, px, k), 1e-3
     scale = np.array([1.0, 1.0, 1.0, 1e-4, 1e-4, 1e-4])
     r = (project(p, xyz, k) - px).ravel()
     for _ in range(steps):
+        if r @ r < 1e-20:
+            break
         jac = np.column_stack([((project(p + scale * e, xyz, k) - project(p - scale * e, xyz, k)) / (2 * (scale @ e))).ravel() for e in np.eye(6)])
         a = jac.T @ jac
         step = np.linalg.lstsq(a + damp * np.diag(np.diag(a)), -jac.T @ r, rcond=None)[0]

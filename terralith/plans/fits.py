@@ -14,9 +14,9 @@ from terralith.plans.catalog import query
 
 @query("fit_exterior")
 def fit_exterior(spark: SparkSession, sf: str) -> DataFrame:
-    """Positions and angles of cameras from control points that a known pose has projected."""
+    """Positions and angles of the cameras of all images with four points or more, which a known pose has projected."""
     o = F.col("o_orderkey")
-    world = V.table(spark, sf, "orders").where("o_custkey % 10 = 0").select(F.col("o_custkey").cast("string").alias("filename"), (20000.0 + (o * 37) % 300 - 150).alias("x"), (30000.0 + (o * 53) % 240 - 120).alias("y"), (o % 90).cast("double").alias("z"))
+    world = V.table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("filename"), (20000.0 + (o * 37) % 300 - 150).alias("x"), (30000.0 + (o * 53) % 240 - 120).alias("y"), (o % 90).cast("double").alias("z"))
     j, i = C.Frame(K, POSE).world_to_pixel(F.col("x"), F.col("y"), F.col("z"))
     return pose.fit_exterior(world.select("filename", "x", "y", "z", j.alias("j"), i.alias("i")), pose.Interior(500 / 3, 500 / 3, 97.5, 78.5), least=4)
 
