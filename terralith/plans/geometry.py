@@ -110,7 +110,7 @@ def bounds_tf(spark: SparkSession, sf: str) -> DataFrame:
 @query("rpy_opk")
 def rpy_opk(spark: SparkSession, sf: str) -> DataFrame:
     """Body angles to the camera's, with north from two projected places a tiny way apart."""
-    p = V.places(spark, sf).where("abs(lat) < 70").withColumn("lon0", F.floor((F.col("lon") + 180) / 6) * 6 - 177.0)
+    p = V.places(spark, sf).withColumn("lon0", F.floor((F.col("lon") + 180) / 6) * 6 - 177.0)
     utm, d = X.utm(1, True), 1e-7
     a, b = (X.forward(utm, F.col("lon"), F.col("lat") + s * d, F.col("lon0")) for s in (1, -1))
     roll, pitch, yaw = (F.radians(F.lit(v) + F.col("id") % m) for v, m in ((-5.0, 11), (-4.0, 9), (0.0, 350)))

@@ -6,11 +6,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF
+
 from terralith.errors import CrsError
+from terralith.functions import angles as A
 from terralith.functions import cameras as C
 from terralith.functions import crs as X
 from terralith.functions import inverse
 from terralith.operators import pansharp as P
+from terralith.plans import catalog
 from terralith.plans import views as V
 from terralith.plans.cameras import K, POSE, frame, rpc_struct
 
@@ -105,3 +109,16 @@ def test_pose_is_a_rotation(spark):
     row = spark.range(1).select(*(POSE.rotation[a][b].alias(f"r{a}{b}") for a in range(3) for b in range(3))).first()
     m = np.array(list(row)).reshape(3, 3)
     assert np.allclose(m @ m.T, np.eye(3)) and np.linalg.det(m) == pytest.approx(1)
+
+
+def test_body_angles_at_all_latitudes(spark):
+    p = V.places(spark, SF)
+    lam = F.radians(F.col("lon") - (F.floor((F.col("lon") + 180) / 6) * 6 - 177.0))
+    turn = F.atan(F.tan(lam) * F.sin(F.radians("lat")))
+    angles = [F.radians(F.lit(v) + F.col("id") % m) for v, m in ((-5.0, 11), (-4.0, 9), (0.0, 350))]
+    want = p.select("id", "lat", *(v.alias(f"w{k}") for k, v in enumerate(A.rpy_to_opk(angles, [-F.sin(turn), F.cos(turn), F.lit(0.0)]))))
+    got = catalog.queries()["rpy_opk"](spark, SF).join(want, "id").collect()
+    assert len(got) == p.count() and sum(abs(r.lat) >= 70 for r in got) > 0
+    for r in got:
+        for a, b in ((r.omega, r.w0), (r.phi, r.w1), (r.kappa, r.w2)):
+            assert math.remainder(a - b, 2 * math.pi) == pytest.approx(0, abs=2e-6)
