@@ -1,14 +1,14 @@
 """Similarity self-join on word n-grams (Jaccard), by T-occurrence search.
 
-Method: two sets are similar only if they share T of their tokens. The lists of the rarest tokens
-of each set are merged for candidates; candidates are then counted by DivideSkip: short inverted
-lists are merged, long ones are probed by binary search, and who reaches the required overlap stays.
-(The heap merge of the short lists is one vectorised counting merge, which gives the same counts.)
-
-Sets that are equal meet in one class first. Of a token's list, only the first member is linked
-with all others; those that are in one component afterwards need no further look, and the rest
-is paired in later rounds, so that a family of m near copies takes about m comparisons and no
-link between different components is missed.
+Method: two sets are similar only if they share T of their tokens. Equal sets are one vertex, named by a fingerprint of
+the set. Each set's T-1 most frequent tokens are its long lists and are set aside, as DivideSkip does; the lists of the
+others, its rarest tokens, are merged for candidates, and the long ones are probed by binary search for those
+candidates alone. Who reaches the required overlap is linked.
+
+A family of m near copies would give m * m / 2 candidates. So at first a few members of each list, those of most lists,
+are candidates with all others of it; what they link is one component. Then all pairs of a list that are still of
+different components are candidates, if sizes, places and sketches of the two sets allow the overlap. No link between
+different components is missed. (The heap merge of short lists is one vectorised counting merge, with the same counts.)
 """
 
 from __future__ import annotations
@@ -21,25 +21,28 @@ from pyspark.sql import functions as F
 from terralith.llm import _graph as G
 from terralith.llm import _text as T
 
-NO_ID = -(2**63)
-#: Texts that are compared in one task at a time.
-GROUP_NODES = 500
-#: Tokens in more than this share of a batch are common: they go to the end of the order of tokens.
-COMMON_SHARE, MOST_COMMON = 1 / 500, 100_000
-#: Lists of up to so many members are paired at once. Of longer ones so many members are compared with all others, by round.
-SHORT, HUBS = 65, (1, 4)
-#: Members of long lists in one block of the index that the rest is searched in.
-BLOCK_NODES = 50_000
-SIGNATURE = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64())])
-LISTED = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("n", pa.int32())])
-LISTED_DDL = "token long, node long, n int"
+#: Tokens in more than this share of a batch are common: they go to the end of the order of tokens, the most common last.
+COMMON_SHARE, MOST_COMMON = 1 / 2000, 100_000
+#: Members of a list of a common token that one task takes at a time, by its count.
+LIST_ROWS = 1_000_000
+#: A list has one hub for so many members, so many hubs at most.
+HUB_EVERY, MOST_HUBS = 16, 4
+#: Members of a list compared with one another in one task; of longer lists, each two chunks of so many.
+CHUNK = 1000
+#: Tokens of the texts that are compared in one task at a time.
+GROUP_TOKENS = 1_000_000
+#: Rows of a side that are sent to all executors (16 bytes each); beyond that both sides are shuffled.
+SMALL_ROWS = 500_000
+#: Bits of the sketch that goes with each member of a list. Whole sketches have two bits a token at least.
+MARK_BITS = 512
+LISTED = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("place", pa.int64())])
+LISTED_DDL = "token long, node long, place long"
+#: Kind 0: a member of a list of several, dealt by the list's hub. Kind 1: token and node are a pair.
+MEMBER = pa.schema([("kind", pa.int8()), ("home", pa.int64()), *LISTED, ("size", pa.int64())])
+MEMBER_DDL = f"kind byte, home long, {LISTED_DDL}, size long"
+TILE = pa.schema([*LISTED, ("home", pa.int64()), ("label", pa.int64()), ("mark", pa.binary()), ("a", pa.int32()), ("b", pa.int32()), ("own", pa.int32())])
 PAIR = pa.schema([("hub", pa.int64()), ("other", pa.int64())])
 PAIR_DDL = "hub long, other long"
-#: A pair that n lists of a bucket hold and need lists must hold; or, with a token, a member of a longer list; or, with
-#: need -1, how many short lists hold a node.
-LATER = pa.schema([*PAIR, ("token", pa.int64()), ("n", pa.int32()), ("need", pa.int32())])
-LATER_DDL = PAIR_DDL + ", token long, n int, need int"
-RANKED = pa.schema([*LISTED, ("label", pa.int64()), ("degree", pa.int64())])
 
 
 def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
@@ -68,45 +71,75 @@ def set_key(s: np.ndarray) -> int:
     return int(T.mix((T.mix(s ^ T.U(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) + T.U(len(s))).reshape(1)).view(np.int64)[0])
 
 
-def signatures(k: int):
-    """Of each document the size and key of its set (kind 0); of each batch its common tokens (kind 1)."""
+def sketch(s: np.ndarray) -> bytes:
+    """A bit for the parity of each bucket of tokens, two buckets a token at least: sketches differ in no more bits than sets in tokens."""
+    bits = max(MARK_BITS, 1 << (2 * len(s) - 1).bit_length())
+    odd = np.bincount((T.mix(s.copy()) & T.U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(rows: np.ndarray, width: int) -> np.ndarray:
+    """The sketches of so many bytes that those rows stand for: parities of buckets that are taken together."""
+    while rows.shape[1] > width:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
+
+
+def differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which rows of two tables of sketches differ."""
+    return np.bitwise_count(np.ascontiguousarray(a).view(np.uint64) ^ np.ascontiguousarray(b).view(np.uint64)).sum(1, dtype=np.int64)
+
+
+def allowed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Tokens that similar sets of these sizes have in one of them alone, at most."""
+    return (100 - percent) * (a + b) // (100 + percent)
+
+
+def fits(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+
+
+def overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """T: tokens that similar sets of these sizes share at least."""
+    return (percent * (a + b) + 99 + percent) // (100 + percent)
+
+
+def signatures(k: int, schema: pa.Schema):
+    """Of each document the size, key and sketch of its set (kind 0); of each batch its common tokens (kind 1)."""
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             sets = shingle_sets(b.column("text"), k)
-            yield T.batch(SIGNATURE, np.zeros(len(sets), np.int8), b.column("doc_id"), [len(s) for s in sets], [set_key(s) for s in sets])
-            all_tokens = np.sort(np.concatenate(sets))
-            at = np.flatnonzero(np.append(True, all_tokens[1:] != all_tokens[:-1])) if len(all_tokens) else np.zeros(0, np.int64)
-            n = np.diff(np.append(at, len(all_tokens)))
-            often = n >= max(4, len(sets) * COMMON_SHARE)
-            yield T.batch(SIGNATURE, np.ones(often.sum(), np.int8), pa.nulls(int(often.sum()), pa.int64()), n[often], T.signed(all_tokens[at[often]]))
+            sizes, keys = np.array([len(s) for s in sets]), np.array([set_key(s) for s in sets])
+            yield T.batch(schema, np.zeros(len(sets), np.int8), b.column("doc_id"), sizes, keys, b.column("text_hash"), [sketch(s) if len(s) else None for s in sets])
+            _, one = np.unique(keys, return_index=True)
+            tokens, n = np.unique(np.concatenate([sets[i] for i in one]), return_counts=True)
+            often = n >= max(2, len(sets) * COMMON_SHARE)
+            m = int(often.sum())
+            yield T.batch(schema, np.ones(m, np.int8), pa.nulls(m, schema.field("doc_id").type), n[often], T.signed(tokens[often]), np.zeros(m, np.int64), pa.nulls(m, pa.binary()))
 
     return run
 
 
 def rare_tokens(k: int, percent: int, common: np.ndarray, rank: np.ndarray):
-    """The rarest tokens of each set, as many as similar sets must share one of; equal sets of a batch go once.
+    """Each set's short lists: all but its T-1 most frequent tokens, with their places in its order; equal sets of a batch go once.
 
-    common: sorted common tokens, rank: their place in the order of tokens, after all others.
+    common: sorted common tokens, rank: their place in the order of tokens, after all others. A place is n * 2**31 + place.
     """
 
     def run(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            ids = b.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
-            least: dict[bytes, tuple[int, np.ndarray]] = {}
-            for d, s in zip(ids.tolist(), shingle_sets(b.column("text"), k), strict=True):
+            least = {}
+            for s in shingle_sets(b.column("text"), k) if b.num_rows else ():
                 if len(s):
-                    key = (len(s), set_key(s))
-                    if key not in least or d < least[key][0]:
-                        least[key] = (d, s)
+                    least.setdefault(set_key(s), s)
             if not least:
                 continue
             out = []
-            for _, s in least.values():
+            for s in least.values():
                 m = len(s) - (percent * len(s) + 99) // 100 + 1
                 if len(common):
                     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
@@ -115,126 +148,139 @@ def rare_tokens(k: int, percent: int, common: np.ndarray, rank: np.ndarray):
                         s = np.concatenate([s[~often], s[often][np.argsort(rank[at[often]], kind="stable")]])
                 out.append(s[:m])
             n = np.array([len(x) for x in out])
-            nodes = np.array([d for d, _ in least.values()])
-            sizes = np.array([len(s) for _, s in least.values()], np.int32)
-            yield T.batch(LISTED, T.signed(np.concatenate(out)), np.repeat(nodes, n), np.repeat(sizes, n))
+            sizes = np.array([len(s) for s in least.values()])
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield T.batch(LISTED, T.signed(np.concatenate(out)), np.repeat(np.array(list(least)), n), np.repeat(sizes << 31, n) + place)
 
     return run
 
 
-def _lists(t: pa.Table, *more: np.ndarray):
-    token, node, n = (T.column(t, c) for c in LISTED.names)
-    order = np.lexsort((node, token))
-    token, node, n = token[order], node[order], n[order]
-    new = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))
-    return token[new], node[new], n[new], *(m[order][new] for m in more)
+def _edges(*columns: np.ndarray) -> np.ndarray:
+    """Where stretches of equal values begin, and the end."""
+    new = np.zeros(len(columns[0]) + 1, bool)
+    new[0] = new[-1] = True
+    for c in columns:
+        new[1:-1] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
 
-def fits(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
-
-
-def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Lists of rare tokens that similar sets of these sizes share: the least overlap, less the tokens past the rare ones."""
-    return np.maximum(1, (percent * (a + b) + 99 + percent) // (100 + percent) - (percent * np.maximum(a, b) + 99) // 100 + 1)
+def members(percent: int, many: dict[int, int]):
+    """The lists of several members, and the pairs of their hubs with all others.
 
-
-def list_pairs(percent: int, short: int = SHORT):
-    """All pairs of lists of up to so many members, with how many lists hold them and how many must; members of longer lists.
-
-    Similar sets of two sizes share so many tokens at least; less those past their rare ones, that many lists hold
-    both. So a similar pair is in enough short lists, or in some longer one.
+    Hubs are the members of most lists: the source of a family of near copies shares more with them than they with
+    each other. many: the counts of common tokens whose lists come in several parts.
     """
 
     def run(batches):
         t = T.table_of(batches, LISTED)
         if not t.num_rows:
             return
-        token, node, n = _lists(t)
-        edge = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        size = np.diff(np.append(edge, len(token)))
-        found = []
-        for m in np.unique(size[(size > 1) & (size <= short)]).tolist():
-            i, j = np.triu_indices(m, 1)
-            at = edge[size == m]
-            for part in np.array_split(at, max(1, len(at) * len(i) // 500_000)):
-                a, b = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
-                ok = fits(n[a], n[b], percent)
-                found.append(np.stack([node[a[ok]], node[b[ok]], n[a[ok]], n[b[ok]]], 1))
-        if found:
-            p = np.concatenate(found)
-            p = p[np.lexsort((p[:, 1], p[:, 0]))]
-            new = np.flatnonzero(np.append(True, (p[1:, :2] != p[:-1, :2]).any(1))) if len(p) else np.zeros(0, int)
-            count = np.diff(np.append(new, len(p)))
-            p = p[new]
-            yield T.batch(LATER, p[:, 0], p[:, 1], pa.nulls(len(p), pa.int64()), count.astype(np.int32), needed(p[:, 2], p[:, 3], percent).astype(np.int32))
-        names, often = np.unique(node[np.repeat((size > 1) & (size <= short), size)], return_counts=True)
-        yield T.batch(LATER, names, names, pa.nulls(len(names), pa.int64()), often.astype(np.int32), np.full(len(names), -1, np.int32))
-        more = np.repeat(size > short, size)
-        yield T.batch(LATER, node[more], node[more], token[more], n[more], np.zeros(more.sum(), np.int32))
+        token, node, place = (T.column(t, c) for c in LISTED.names)
+        order = np.lexsort((node, token))
+        token, node, place = token[order], node[order], place[order]
+        new = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))
+        token, node, place = token[new], node[new], place[new]
+        edge = _edges(token)
+        size = np.repeat(np.diff(edge), np.diff(edge))
+        split = np.isin(token, np.array(list(many), np.int64)) if many else np.zeros(len(token), bool)
+        keep = (size > 1) | split
+        token, node, place, size, split = token[keep], node[keep], place[keep], size[keep], split[keep]
+        if not len(token):
+            return
+        _, inverse = np.unique(node, return_inverse=True)
+        lists = np.bincount(inverse)[inverse]
+        order = np.lexsort((node, -lists, token))
+        token, node, place, size, split = token[order], node[order], place[order], size[order], split[order]
+        edge = _edges(token)
+        within = np.arange(len(token)) - np.repeat(edge[:-1], np.diff(edge))
+        home = np.where(split, token, np.repeat(np.minimum.reduceat(node, edge[:-1]), np.diff(edge)))
+        size[split] = [many[x] for x in token[split].tolist()]
+        yield T.batch(MEMBER, np.zeros(len(token), np.int8), home, token, node, place, size)
+        n, first, here = place >> 31, edge[:-1], np.diff(edge)
+        for h in range(MOST_HUBS):
+            has = here > max(1, h * HUB_EVERY)
+            hub = np.repeat(np.where(has, first + h * has, 0), here)
+            ok = np.repeat(has, here) & (within > h) & fits(n, n[hub], percent)
+            got = np.unique(np.stack([node[hub[ok]], node[ok]], 1), axis=0)
+            zero = np.zeros(len(got), np.int64)
+            yield T.batch(MEMBER, np.ones(len(got), np.int8), zero, got[:, 0], got[:, 1], zero, zero)
 
     return run
 
 
-def long_pairs(percent: int, hubs: int):
-    """Of each longer list with members of several components, so many members with all of other components.
+def tile_pairs(percent: int, limit: int = 500_000):
+    """Pairs of a list's members, of two chunks of it or within one, that are of different components and may be similar.
 
-    Those are the members of most lists, as the source of a family of near copies shares more with them than they
-    with each other. hubs 0: instead, who isn't in the list's largest component.
+    The first token that two sets share lies early enough in both to leave room for the overlap, and their sketches differ
+    in no more bits than similar sets do in tokens.
     """
 
     def run(batches):
-        t = T.table_of(batches, RANKED)
+        t = T.table_of(batches, TILE)
         if not t.num_rows:
             return
-        token, node, n, label, degree = _lists(t, T.column(t, "label"), T.column(t, "degree"))
-        edge = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        pairs = [np.zeros((0, 2), np.int64)]
-        for a, z in zip(edge.tolist(), np.append(edge[1:], len(token)).tolist(), strict=True):
-            _, inverse, often = np.unique(label[a:z], return_inverse=True, return_counts=True)
-            if len(often) < 2:
-                continue
-            if not hubs:
-                out = node[a:z][inverse != often.argmax()]
-                pairs.append(np.stack([out, out], 1))
-                continue
-            for h in (a + np.lexsort((node[a:z], -degree[a:z])))[:hubs]:
-                rest = a + np.flatnonzero((label[a:z] != label[h]) & fits(n[a:z], n[h], percent))
-                pairs.append(np.stack([np.full(len(rest), node[h]), node[rest]], 1))
-        got = np.unique(np.concatenate(pairs), axis=0)
+        token, node, place, label, a, b, own = (T.column(t, c) for c in ("token", "node", "place", "label", "a", "b", "own"))
+        mark = np.frombuffer(b"".join(t.column("mark").to_pylist()), np.uint64).reshape(-1, MARK_BITS // 64)
+        order = np.lexsort((node, b, a, token))
+        token, node, place, label, a, b, own, mark = token[order], node[order], place[order], label[order], a[order], b[order], own[order], mark[order]
+        n, place = place >> 31, place & ((1 << 31) - 1)
+        edge = _edges(token, a, b)
+        mixed = np.maximum.reduceat(label, edge[:-1]) != np.minimum.reduceat(label, edge[:-1])
+        size = np.diff(edge)
+        found = [np.zeros((0, 2), np.int64)]
+
+        def compare(i: np.ndarray, j: np.ndarray):
+            ok = (label[i] != label[j]) & fits(n[i], n[j], percent) & ((a[i] == b[i]) | (own[i] != own[j]))
+            i, j = i[ok], j[ok]
+            least = overlap(n[i], n[j], percent)
+            ok = (place[i] + least <= n[i]) & (place[j] + least <= n[j])
+            i, j = i[ok], j[ok]
+            ok = np.bitwise_count(mark[i] ^ mark[j]).sum(1, dtype=np.int64) <= allowed(n[i], n[j], percent)
+            pair = np.stack([node[i[ok]], node[j[ok]]], 1)
+            found.append(np.unique(np.sort(pair, axis=1), axis=0))
+
+        for m in np.unique(size[mixed]).tolist():
+            at = edge[:-1][mixed & (size == m)]
+            if m * m <= limit:
+                i, j = np.triu_indices(m, 1)
+                for part in np.array_split(at, max(1, len(at) * len(i) // limit)):
+                    compare((part[:, None] + i).ravel(), (part[:, None] + j).ravel())
+            else:
+                step = max(1, limit // m)
+                for x in at.tolist():
+                    for lo in range(0, m, step):
+                        i, j = np.meshgrid(np.arange(lo, min(m, lo + step)), np.arange(m), indexing="ij")
+                        upper = i < j
+                        compare(x + i[upper], x + j[upper])
+        got = np.unique(np.concatenate(found), axis=0)
         yield T.batch(PAIR, got[:, 0], got[:, 1])
 
     return run
 
 
-def block_search(percent: int):
-    """Who of a block shares enough lists with each query, and is of another component: T-occurrence search on long lists."""
-
-    def run(block: pa.Table, queries: pa.Table) -> pa.Table:
-        out = [np.zeros((0, 2), np.int64)]
-        if block.num_rows and queries.num_rows:
-            tokens = block.column("tokens").combine_chunks()
-            rows = np.repeat(np.arange(block.num_rows), np.diff(tokens.offsets.to_numpy()))
-            flat = tokens.flatten().to_numpy()
-            order = np.argsort(flat, kind="stable")
-            flat, rows = flat[order], rows[order]
-            node, n, label, short = (T.column(block, c) for c in ("node", "n", "label", "short"))
-            asked = zip(*(queries.column(c).to_pylist() for c in ("q_tokens", "q_node", "q_n", "q_label", "q_short")), strict=True)
-            for q_tokens, q_node, q_n, q_label, q_short in asked:
-                q = np.array(q_tokens)
-                lo, hi = np.searchsorted(flat, q, "left"), np.searchsorted(flat, q, "right")
-                count = np.bincount(np.concatenate([rows[a:b] for a, b in zip(lo, hi, strict=True)]), minlength=len(node))
-                ok = (count > 0) & (label != q_label) & fits(n, np.int64(q_n), percent)
-                ok &= count + np.minimum(short, q_short) >= needed(n, np.int64(q_n), percent)
-                out.append(np.stack([np.full(ok.sum(), q_node), node[ok]], 1))
-        got = np.concatenate(out)
-        return pa.Table.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], schema=PAIR)
+def may_be_similar(percent: int):
+    """Pairs whose whole sketches allow the overlap."""
+
+    def run(batches):
+        for t in batches:
+            if not t.num_rows:
+                continue
+            x, y = t.column("hub_sketch"), t.column("other_sketch")
+            size = [np.diff(np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]) for c in (x, y)]
+            a, b = (T.column(t, c).astype(np.int64) for c in ("hub_n", "other_n"))
+            ok = fits(a, b, percent)
+            for p, q in np.unique(np.stack(size, 1)[ok], axis=0).tolist():
+                rows = np.flatnonzero(ok & (size[0] == p) & (size[1] == q))
+                for part in np.array_split(rows, max(1, len(rows) * max(p, q) >> 24)):
+                    left, right = (folded(np.frombuffer(b"".join(c.take(pa.array(part)).to_pylist()), np.uint8).reshape(len(part), w), min(p, q)) for c, w in ((x, p), (y, q)))
+                    ok[part] = differ(left, right) <= allowed(a[part], b[part], percent)
+            yield T.batch(PAIR, T.column(t, "hub")[ok], T.column(t, "other")[ok])
 
     return run
 
 
 class Index:
-    """Inverted lists over a block of sets."""
+    """Inverted lists over a group of sets."""
 
     def __init__(self, sets: list[np.ndarray]):
         self.sizes = np.array([len(s) for s in sets], np.int64)
@@ -256,134 +302,145 @@ class Index:
         short = len(lo) - aside
         flat = np.arange(n[:short].sum()) - np.repeat(np.cumsum(n[:short]) - n[:short], n[:short]) + np.repeat(lo[:short], n[:short])
         count = np.bincount(self.rows[flat], minlength=len(self.sizes))
-        need = (percent * (len(query) + self.sizes) + 99 + percent) // (100 + percent)
+        need = overlap(len(query), self.sizes, percent)
         found = np.flatnonzero(fits(self.sizes, np.int64(len(query)), percent) & (count >= np.maximum(1, need - aside)))
         for a, b in zip(lo[short:].tolist(), hi[short:].tolist(), strict=True):
             if not len(found):
                 break
-            members = self.rows[a:b]
-            at = np.minimum(np.searchsorted(members, found), len(members) - 1)
-            count[found] += members[at] == found
+            rows = self.rows[a:b]
+            at = np.minimum(np.searchsorted(rows, found), len(rows) - 1)
+            count[found] += rows[at] == found
         both = count[found]
         return found[100 * both >= percent * (self.sizes[found] + len(query) - both)]
 
 
-def _linked(k: int, percent: int):
-    def run(others: pa.Table, hubs: pa.Table) -> pa.Table:
-        schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-        if not others.num_rows or not hubs.num_rows:
-            return schema.empty_table()
-        names = T.column(others, "node")
-        index = Index(shingle_sets(others.column("text"), k))
-        u, v = [], []
-        for hub, query in zip(T.column(hubs, "hub").tolist(), shingle_sets(hubs.column("hub_text"), k), strict=True):
-            rows = index.search(query, percent)
-            if len(rows):
-                v.append(names[rows])
-                u.append(np.full(len(rows), hub))
-        return pa.Table.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (u, v)], schema=schema)
+def first_texts(batches):
+    """Each node's text once a batch."""
+    for b in batches:
+        if b.num_rows:
+            _, at = np.unique(T.column(b, "node"), return_index=True)
+            yield b.take(pa.array(at))
 
-    return run
 
+def linked(k: int, percent: int):
+    """Links of a group: each of its hubs is searched for in an index of the others."""
 
-def _sent(texts: pa.Table, wanted: pa.Table) -> pa.Table:
-    """The texts of a group's hubs, for each group that holds others to compare."""
-    schema = pa.schema([("to", pa.int32()), ("hub", pa.int64()), ("hub_text", pa.string())])
-    if not texts.num_rows or not wanted.num_rows:
-        return schema.empty_table()
-    node = T.column(texts, "node")
-    order = np.argsort(node, kind="stable")
-    hub = T.column(wanted, "hub")
-    lo, hi = np.searchsorted(node[order], hub, "left"), np.searchsorted(node[order], hub, "right")
-    at = order[np.concatenate([np.arange(a, b) for a, b in zip(lo, hi, strict=True)])]
-    to = np.repeat(T.column(wanted, "to"), hi - lo)
-    return pa.Table.from_arrays([pa.array(to, pa.int32()), pa.array(node[at]), texts.column("text").take(pa.array(at)).combine_chunks().cast(pa.string())], schema=schema)
+    def run(t: pa.Table) -> pa.Table:
+        hub = t.column("hub").to_numpy()
+        nodes = T.column(t, "node")
+        sets = shingle_sets(t.column("text"), k)
+        others = np.flatnonzero(~hub)
+        index = Index([sets[i] for i in others])
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in np.flatnonzero(hub).tolist():
+            rows = index.search(sets[i], percent)
+            v.append(nodes[others[rows]])
+            u.append(np.full(len(rows), nodes[i]))
+        return pa.table({"u": np.concatenate(u), "v": np.concatenate(v)})
+
+    return run
 
 
-def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, short: int = SHORT, block_nodes: int = BLOCK_NODES) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
+    """A written table of a few narrow columns, to be sent to all executors if its rows are few enough."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
+class Join:
+    """The sets of a table's documents (signature: a row a document) and the links between different sets."""
+
+    def __init__(self, docs: DataFrame, k: int, percent: int, chunk: int, list_rows: int):
+        self.k, self.percent, self.chunk, self.list_rows = k, percent, chunk, list_rows
+        self.spark = docs.sparkSession
+        self.n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        arrow = docs.select("doc_id").limit(0).toArrow().schema.field("doc_id").type
+        schema = pa.schema([("kind", pa.int8()), ("doc_id", arrow), ("n", pa.int64()), ("key", pa.int64()), ("text_hash", pa.int64()), ("sketch", pa.binary())])
+        made = G.kept(self.docs.mapInArrow(signatures(k, schema), f"kind byte, doc_id {kind}, n long, key long, text_hash long, sketch binary"))
+        self.signature = made.where("kind = 0").drop("kind")
+        common = made.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(MOST_COMMON).collect()
+        self.common = [(r["key"], r["n"]) for r in common]
+        sets = self.signature.where("n > 0").groupBy(F.col("key").alias("node"))
+        self.sets = G.kept(sets.agg(F.first("n").alias("n"), F.min("text_hash").alias("text_hash"), F.first("sketch").alias("sketch")))
+
+    def lists(self) -> DataFrame:
+        """Members of lists and the pairs of hubs."""
+        tokens = np.array([x for x, _ in self.common], np.int64).view(np.uint64)
+        order = np.argsort(tokens)
+        rank = (len(tokens) - 1 - order).astype(np.int64)
+        many = {x: n for x, n in self.common if n > self.list_rows}
+        listed = self.docs.mapInArrow(rare_tokens(self.k, self.percent, tokens[order], rank), LISTED_DDL)
+        by = ["token"]
+        if many:
+            parts = F.create_map(*(F.lit(y) for x, n in many.items() for y in (x, -(-n // self.list_rows))))
+            by.append(F.pmod(F.xxhash64("node"), F.coalesce(F.try_element_at(parts, F.col("token")), F.lit(1))))
+        return G.kept(listed.repartition(self.n, *by).mapInArrow(members(self.percent, many), MEMBER_DDL))
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """u, v: the pairs that are similar."""
+        sets = self.sets.select("node", "n", "sketch")
+        for c in PAIR.names:
+            pairs = pairs.join(sets.withColumnsRenamed({"node": c, "n": f"{c}_n", "sketch": f"{c}_sketch"}), c)
+        pairs = G.kept(pairs.mapInArrow(may_be_similar(self.percent), PAIR_DDL))
+        sizes = self.sets.select(F.col("node").alias("other"), "n")
+        pairs = pairs.join(sizes, "other")
+        load = pairs.groupBy("hub").agg(F.sum("n").alias("load"))
+        groups = max(1, -(-(load.agg(F.sum("load")).first()[0] or 0) // GROUP_TOKENS))
+        part = F.pmod(F.xxhash64("other"), F.ceil(F.col("load") * 4 / GROUP_TOKENS))
+        dealt = pairs.join(load, "hub").select("hub", "other", F.pmod(F.xxhash64("hub", part), F.lit(groups)).alias("g"))
+        wanted = G.kept(dealt.select("g", F.explode(F.array(*(F.struct(F.col(c).alias("node"), F.lit(c == "hub").alias("hub")) for c in PAIR.names))).alias("x")).select("g", "x.*").distinct())
+        needed = G.kept(wanted.select("node").distinct().join(self.sets.select("node", "text_hash"), "node"))
+        texts = self.docs.select("text_hash", "text").join(small(needed), "text_hash").select("node", "text").mapInArrow(first_texts, "node long, text string")
+        texts = texts.groupBy("node").agg(F.first("text").alias("text"))
+        found = wanted.join(texts, "node").select("g", "node", "hub", "text").groupBy("g").applyInArrow(linked(self.k, self.percent), "u long, v long")
+        return G.kept(found)
+
+    def labels(self) -> DataFrame:
+        """node, label: the component of each set that is similar to another."""
+        listed = self.lists()
+        pairs = listed.where("kind = 1").select(F.col("token").alias("hub"), F.col("node").alias("other")).distinct()
+        found = self.links(pairs)
+        near = G.components(found)
+        G.release(self.spark)
+        marks = self.sets.mapInArrow(_marks, "node long, mark binary").join(near, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        chunks = F.ceil(F.col("size") / self.chunk).cast("int")
+        tiles = listed.where("kind = 0").join(marks, "node").withColumn("own", F.pmod(F.xxhash64("node"), chunks).cast("int"))
+        tiles = tiles.withColumn("with", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        tiles = tiles.select(*LISTED.names, "home", "label", "mark", F.least("own", "with").alias("a"), F.greatest("own", "with").alias("b"), "own")
+        pairs = G.kept(tiles.repartition(self.n, "home", "a", "b").mapInArrow(tile_pairs(self.percent), PAIR_DDL).distinct())
+        more = self.links(pairs)
+        G.release(self.spark)
+        return G.components(found.unionByName(more))
+
+
+def _marks(batches):
+    """The short sketch of each node."""
+    schema = pa.schema([("node", pa.int64()), ("mark", pa.binary())])
+    for b in batches:
+        if b.num_rows:
+            marks = [folded(np.frombuffer(x, np.uint8)[None], MARK_BITS // 8).tobytes() for x in b.column("sketch").to_pylist()]
+            yield T.batch(schema, b.column("node"), marks)
+
+
+def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, chunk: int = CHUNK, list_rows: int = LIST_ROWS) -> DataFrame:
     """Groups documents whose sets of k-word shingles have a Jaccard similarity of percent/100 or more.
 
-    docs: doc_id long and text; other columns are ignored whatever their names. Words are [^\\x20\\x09-\\x0D]+
-    with A-Z as a-z. Returns doc_id, n_shingles and component_id, the least doc_id reachable over links, a
-    row a document. A text of fewer than k words is one shingle; a null or empty text has none and links with
-    nothing. Rows with equal doc_id are one vertex. A null doc_id is a vertex before all others and comes back
-    as null. An empty table gives an empty result. Exact but for 64-bit fingerprints.
+    docs: doc_id of any type that has an order, and text; other columns are ignored whatever their names. Words are
+    [^\\x20\\x09-\\x0D]+ with A-Z as a-z. Returns doc_id, n_shingles and component_id, the least doc_id reachable over
+    links, a row a row of docs. A text of fewer than k words is one shingle; a null or empty text has none and links
+    with nothing. Each row stands for itself, whatever its doc_id: rows with null or equal doc_id are linked by their
+    texts alone, and a null is no least doc_id, so that component_id is null only if all of a component are. An empty
+    table gives an empty result. Exact but for 64-bit fingerprints.
     """
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    signature = G.kept(docs.mapInArrow(signatures(k), "kind byte, doc_id long, n long, key long"))
-    common = signature.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(MOST_COMMON).collect()
-    tokens = np.array([r["key"] for r in common], np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    rank = (len(tokens) - 1 - order).astype(np.int64)
-    listed = docs.mapInArrow(rare_tokens(k, percent, tokens[order], rank), LISTED_DDL).repartition(n, "token").mapInArrow(list_pairs(percent, short), LATER_DDL)
-    listed = G.kept(listed)
-    counted = listed.where("need > 0").groupBy("hub", "other").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
-    near = G.kept(counted.where("n >= need").select("hub", "other"))
-    long_lists = listed.where("token is not null").select("token", F.col("other").alias("node"), "n")
-    in_short = listed.where("need = -1 and token is null").select(F.col("hub").alias("node"), "n").groupBy("node").agg(F.sum("n").alias("short"))
-    degree = long_lists.groupBy("node").agg(F.count("*").alias("degree"), F.max("n").alias("n"), F.collect_set("token").alias("tokens"))
-    degree = G.kept(degree.join(in_short, "node", "left").withColumn("short", F.coalesce("short", F.lit(0))))
-
-    vertex = F.coalesce("doc_id", F.lit(NO_ID))
-    own = signature.where("kind = 0").select(vertex.alias("node"), "n", "key")
-    least = own.where("n > 0").groupBy("key", "n").agg(F.min("node").alias("v"))
-    links = own.join(least, ["key", "n"]).where("node <> v").select(F.col("node").alias("u"), "v")
-
-    def named(nodes: DataFrame) -> DataFrame:
-        return nodes.withColumn("label", F.col("node")) if labels is None else nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-    def of_long_lists(hubs: int) -> DataFrame:
-        ranked = named(long_lists.join(degree.select("node", "degree"), "node")).select(*RANKED.names)
-        return ranked.repartition(n, "token").mapInArrow(long_pairs(percent, hubs), PAIR_DDL)
-
-    def searched() -> DataFrame:
-        """Pairs of long lists that are still of different components and share enough lists."""
-        blocks = max(1, -(-degree.count() // block_nodes))
-        nodes = named(degree.select("node", "n", "tokens", "short"))
-        block = nodes.withColumn("b", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int"))
-        asked = nodes.join(of_long_lists(0).select(F.col("hub").alias("node")).distinct(), "node", "left_semi")
-        asked = asked.select(*(F.col(c).alias(f"q_{c}") for c in ("node", "n", "label", "tokens", "short")), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-        return block.groupBy("b").cogroup(asked.groupBy("b")).applyInArrow(block_search(percent), PAIR_DDL)
-
-    # families (all that candidate pairs connect) are dealt out together, large ones in parts, so that a text which is
-    # compared with many others goes to few tasks
-    labels = None
-    star = G.kept(of_long_lists(HUBS[0]))
-    family = G.components(near.unionByName(star).select(F.col("hub").alias("u"), F.col("other").alias("v")))
-    nodes = near.select(F.explode(F.array("hub", "other")).alias("node")).unionByName(degree.select("node")).distinct()
-    nodes = nodes.join(family, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    parts = nodes.groupBy("label").agg(F.ceil(F.count("*") / GROUP_NODES).alias("parts"))
-    groups = max(1, -(-nodes.count() // GROUP_NODES))
-    part = F.pmod(F.xxhash64("node"), F.col("parts"))
-    homes = G.kept(nodes.join(parts, "label").select("node", F.pmod(F.xxhash64("label", part), F.lit(groups)).cast("int").alias("g")))
-    dealt = G.kept(docs.select(vertex.alias("node"), "text").join(homes, "node").select("g", "node", "text"))
-    G.release(spark)
-    home_of = lambda c, g: homes.select(F.col("node").alias(c), F.col("g").alias(g))
-
-    # at first each node with the least one near it, and of each long list one member with all others;
-    # then all that are near and still apart, and some more members; at last a search for what is left
-    for step in range(len(HUBS) + 1):
-        pairs = star if step == 0 else of_long_lists(HUBS[step]) if step < len(HUBS) else searched()
-        if step == 0:
-            pairs = pairs.unionByName(near.groupBy("other").agg(F.min("hub").alias("hub")).select("hub", "other"))
-        if step == 1:
-            a, b = (labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")) for c in ("hub", "other"))
-            apart = ~F.coalesce("hub_label", "hub").eqNullSafe(F.coalesce("other_label", "other"))
-            pairs = pairs.unionByName(near.join(a, "hub", "left").join(b, "other", "left").where(apart).select("hub", "other"))
-        pairs = G.kept(pairs.distinct())
-        if step and not pairs.limit(1).count():
-            continue
-        wanted = pairs.join(home_of("hub", "g"), "hub").join(home_of("other", "to"), "other").select("g", "hub", "to").distinct()
-        hubs = dealt.groupBy("g").cogroup(wanted.groupBy("g")).applyInArrow(_sent, "to int, hub long, hub_text string")
-        new = dealt.groupBy("g").cogroup(hubs.groupBy("to")).applyInArrow(_linked(k, percent), "u long, v long")
-        found = G.kept(new)
-        labels = G.components(found.unionByName(links) if step == 0 else found.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))))
-        G.release(spark)
-    out = own.join(labels, "node", "left").select("node", F.col("n").alias("n_shingles"), F.coalesce("label", "node").alias("label"))
-    shown = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(shown("node").alias("doc_id"), "n_shingles", shown("label").alias("component_id"))
+    join = Join(docs, k, percent, chunk, list_rows)
+    own = join.signature.select("doc_id", F.col("n").alias("n_shingles"), "key")
+    classes = own.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
+    classes = classes.join(join.labels().withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    least = classes.groupBy("label").agg(F.min("least").alias("component_id"))
+    classes = G.kept(classes.join(least, "label").select("key", "component_id", F.lit(True).alias("has")))
+    out = own.join(classes, (own["key"] == classes["key"]) & (own["n_shingles"] > 0), "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("has"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

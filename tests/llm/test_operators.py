@@ -112,39 +112,64 @@ def test_pieces_hold_every_window_once():
         assert sorted(zip(r.row[run], at, strict=True)) == [(d, k) for d in range(4) for k in range(starts[d + 1] - starts[d] - 19)]
 
 
-def brute_components():
+def jaccard_components(rows, percent=75):
+    """Of each row its set's size, and the least id of its component, by all pairs."""
     fold = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-    sets = collections.defaultdict(list)
-    for i, t, *_ in corpus():
-        w = WORD.findall((t or "").translate(fold))
-        sets[-1 if i is None else i].append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
-    up = {i: i for i in sets}
+    words = [WORD.findall((t or "").translate(fold)) for _, t in rows]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set() for w in words]
+    up = list(range(len(rows)))
 
     def find(x):
         while up[x] != x:
             x = up[x]
         return x
 
-    flat = [(i, s) for i, ss in sets.items() for s in ss if s]
-    for a, (i, s) in enumerate(flat):
-        for j, t in flat[:a]:
+    for a, s in enumerate(sets):
+        for b, t in enumerate(sets[:a]):
             both = len(s & t)
-            if 100 * both >= 75 * (len(s) + len(t) - both):
-                x, y = sorted((find(i), find(j)))
-                up[y] = x
-    return {i: (sorted(len(s) for s in sets[i]), find(i)) for i in sets}
+            if s and t and 100 * both >= percent * (len(s) + len(t) - both):
+                up[find(a)] = find(b)
+    of = collections.defaultdict(list)
+    for a, (i, _) in enumerate(rows):
+        of[find(a)].append(i)
+    least = {r: min((i for i in ids if i is not None), default=None) for r, ids in of.items()}
+    return collections.Counter((i, len(sets[a]), least[find(a)]) for a, (i, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("chunk,list_rows", [(ngram_join.CHUNK, ngram_join.LIST_ROWS), (3, 4)])
+def test_ngram_join(docs, empty, chunk, list_rows):
+    got = ngram_join.ngram_jaccard_join(docs, chunk=chunk, list_rows=list_rows).collect()
+    assert collections.Counter(map(tuple, got)) == jaccard_components([r[:2] for r in corpus()])
+    if chunk == 3:
+        assert ngram_join.ngram_jaccard_join(empty).collect() == []
 
 
-@pytest.mark.parametrize("short,block", [(65, 50_000), (2, 5)])
-def test_ngram_join(docs, empty, short, block):
-    got = ngram_join.ngram_jaccard_join(docs, short=short, block_nodes=block).collect()
-    want = brute_components()
-    assert len(got) == len(corpus())
-    for r in got:
-        sizes, component = want[-1 if r.doc_id is None else r.doc_id]
-        assert r.n_shingles in sizes and (-1 if r.component_id is None else r.component_id) == component
-    if short == 2:
-        assert ngram_join.ngram_jaccard_join(empty).collect() == []
+@pytest.mark.parametrize("chunk,list_rows", [(ngram_join.CHUNK, ngram_join.LIST_ROWS), (7, 10)])
+def test_ngram_join_near_the_threshold(spark, chunk, list_rows):
+    """Families whose copies are about as similar to their source, and less to one another, than the threshold asks."""
+    rng = random.Random(11)
+    rows = []
+    for size in (12, 30, 60, 100, 180):
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(size)]
+        for _ in range(40):
+            w = list(base)
+            for _ in range(rng.randint(0, max(2, size // 30 + 1))):
+                w[rng.randrange(len(w))] = f"e{rng.randint(0, 10**6)}"
+            rows.append((rng.choice([None, *range(1000)]), " ".join(w[rng.randint(0, size // 12) :])))
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(4)
+    got = ngram_join.ngram_jaccard_join(docs, chunk=chunk, list_rows=list_rows).collect()
+    assert collections.Counter(map(tuple, got)) == jaccard_components(rows)
+
+
+def test_sketches_differ_less_than_sets():
+    rng = np.random.default_rng(5)
+    for size in (1, 3, 40, 300, 900):
+        s = rng.integers(0, 2**62, size).astype(np.uint64)
+        t = np.unique(np.concatenate([s[rng.random(size) < 0.9], rng.integers(0, 2**62, size // 5).astype(np.uint64)]))
+        s = np.unique(s)
+        a, b = (np.frombuffer(ngram_join.sketch(x), np.uint8)[None] for x in (s, t))
+        width = min(a.shape[1], b.shape[1])
+        assert ngram_join.differ(ngram_join.folded(a, width), ngram_join.folded(b, width))[0] <= len(np.setxor1d(s, t))
 
 
 def test_t_occurrence_search_is_jaccard():
