@@ -32,12 +32,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Each row is a vertex of its own, by a number that is written before it is used: neither null nor shared ids
     join rows, similar texts alone do. A text without words is similar to none.
     """
-    row = F.struct("doc_id", F.xxhash64("text").alias("text"), F.xxhash64(*docs.columns).alias("all"))
-    rows = _graph.kept(docs.withColumn("_row", row).withColumn("_key", F.monotonically_increasing_id()))
-    groups = ngram_join.ngram_jaccard_join(rows.select(F.col("_key").alias("doc_id"), "text"), k=5, percent=75)
-    named = rows.select("_key", "_row").join(groups.select(F.col("doc_id").alias("_key"), "component_id"), "_key")
-    keep = named.groupBy("component_id").agg(F.min(F.struct("_row", "_key")).alias("_least")).select("_least._key")
-    return rows.join(keep, "_key", "left_semi").select(docs.columns)
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(*hashed).alias("all"), F.monotonically_increasing_id().alias("key"))
+    rows = _graph.kept(rows)
+    groups = ngram_join.ngram_jaccard_join(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), k=5, percent=75)
+    order = rows.select("key", F.struct(F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("text"), "all", "key").alias("order"))
+    named = _graph.kept(order.join(groups.select(F.col("doc_id").alias("key"), "component_id"), "key"))
+    least = named.groupBy("component_id").agg(F.min("order").alias("least"))
+    gone = _graph.kept(named.select("key").join(least.select("least.key"), "key", "left_anti"))
+    return rows.join(ngram_join.small(gone), "key", "left_anti").select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
