@@ -5,8 +5,8 @@ the set. Each set's T-1 most frequent tokens are its long lists and are set asid
 others, its rarest tokens, are merged for candidates, and the long ones are probed by binary search for those
 candidates alone. Who reaches the required overlap is linked.
 
-A family of m near copies would give m * m / 2 candidates. So at first a few members of each list, those of most lists,
-are candidates with all others of it; what they link is one component. Then all pairs of a list that are still of
+A family of m near copies would give m * m / 2 candidates. So at first a few members of each list, those most like the
+rest, are candidates with all others of it; what they link is one component. Then all pairs of a list that are still of
 different components are candidates, if sizes, places and sketches of the two sets allow the overlap. No link between
 different components is missed. (The heap merge of short lists is one vectorised counting merge, with the same counts.)
 """
@@ -35,6 +35,11 @@ GROUP_TOKENS = 1_000_000
 SMALL_ROWS = 500_000
 #: Bits of the sketch that goes with each member of a list. Whole sketches have two bits a token at least.
 MARK_BITS = 512
+#: A member of a list carries its set's size, its token's place in the set's order and, of the short lists of its set, the
+#: share that are of common tokens: so many bits each for the last two.
+PLACE_BITS, SHARE_BITS = 26, 10
+#: Tasks that the lists of one home are dealt to.
+HOME_PARTS = 4
 LISTED = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("place", pa.int64())])
 LISTED_DDL = "token long, node long, place long"
 #: Kind 0: a member of a list of several, dealt by the list's hub. Kind 1: token and node are a pair.
@@ -127,7 +132,7 @@ def signatures(k: int, schema: pa.Schema):
 def rare_tokens(k: int, percent: int, common: np.ndarray, rank: np.ndarray):
     """Each set's short lists: all but its T-1 most frequent tokens, with their places in its order; equal sets of a batch go once.
 
-    common: sorted common tokens, rank: their place in the order of tokens, after all others. A place is n * 2**31 + place.
+    common: sorted common tokens, rank: their place in the order of tokens, after all others. The third column holds packed().
     """
 
     def run(batches):
@@ -138,23 +143,33 @@ def rare_tokens(k: int, percent: int, common: np.ndarray, rank: np.ndarray):
                     least.setdefault(set_key(s), s)
             if not least:
                 continue
-            out = []
+            out, share = [], []
             for s in least.values():
                 m = len(s) - (percent * len(s) + 99) // 100 + 1
+                share.append(0)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
                     often = common[at] == s
                     if often.any():
                         s = np.concatenate([s[~often], s[often][np.argsort(rank[at[often]], kind="stable")]])
+                        share[-1] = max(0, m - int((~often).sum())) * ((1 << SHARE_BITS) - 1) // m
                 out.append(s[:m])
             n = np.array([len(x) for x in out])
             sizes = np.array([len(s) for s in least.values()])
             place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            yield T.batch(LISTED, T.signed(np.concatenate(out)), np.repeat(np.array(list(least)), n), np.repeat(sizes << 31, n) + place)
+            yield T.batch(LISTED, T.signed(np.concatenate(out)), np.repeat(np.array(list(least)), n), packed(np.repeat(sizes, n), place, np.repeat(share, n)))
 
     return run
 
 
+def packed(size: np.ndarray, place: np.ndarray, share: np.ndarray) -> np.ndarray:
+    return (size << PLACE_BITS | place) << SHARE_BITS | share
+
+
+def unpacked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return x >> PLACE_BITS + SHARE_BITS, x >> SHARE_BITS & (1 << PLACE_BITS) - 1, x & (1 << SHARE_BITS) - 1
+
+
 def _edges(*columns: np.ndarray) -> np.ndarray:
     """Where stretches of equal values begin, and the end."""
     new = np.zeros(len(columns[0]) + 1, bool)
@@ -167,8 +182,8 @@ def _edges(*columns: np.ndarray) -> np.ndarray:
 def members(percent: int, many: dict[int, int]):
     """The lists of several members, and the pairs of their hubs with all others.
 
-    Hubs are the members of most lists: the source of a family of near copies shares more with them than they with
-    each other. many: the counts of common tokens whose lists come in several parts.
+    Hubs are the members most of whose short lists are of common tokens: the source of a family of near copies shares more
+    with them than they with each other. Lists of one family so have the same few hubs. many: the counts of common tokens whose lists come in several parts.
     """
 
     def run(batches):
@@ -187,16 +202,14 @@ def members(percent: int, many: dict[int, int]):
         token, node, place, size, split = token[keep], node[keep], place[keep], size[keep], split[keep]
         if not len(token):
             return
-        _, inverse = np.unique(node, return_inverse=True)
-        lists = np.bincount(inverse)[inverse]
-        order = np.lexsort((node, -lists, token))
+        order = np.lexsort((node, -unpacked(place)[2], token))
         token, node, place, size, split = token[order], node[order], place[order], size[order], split[order]
         edge = _edges(token)
         within = np.arange(len(token)) - np.repeat(edge[:-1], np.diff(edge))
         home = np.where(split, token, np.repeat(np.minimum.reduceat(node, edge[:-1]), np.diff(edge)))
         size[split] = [many[x] for x in token[split].tolist()]
         yield T.batch(MEMBER, np.zeros(len(token), np.int8), home, token, node, place, size)
-        n, first, here = place >> 31, edge[:-1], np.diff(edge)
+        n, first, here = unpacked(place)[0], edge[:-1], np.diff(edge)
         for h in range(MOST_HUBS):
             has = here > max(1, h * HUB_EVERY)
             hub = np.repeat(np.where(has, first + h * has, 0), here)
@@ -223,7 +236,7 @@ def tile_pairs(percent: int, limit: int = 500_000):
         mark = np.frombuffer(b"".join(t.column("mark").to_pylist()), np.uint64).reshape(-1, MARK_BITS // 64)
         order = np.lexsort((node, b, a, token))
         token, node, place, label, a, b, own, mark = token[order], node[order], place[order], label[order], a[order], b[order], own[order], mark[order]
-        n, place = place >> 31, place & ((1 << 31) - 1)
+        n, place, _ = unpacked(place)
         edge = _edges(token, a, b)
         mixed = np.maximum.reduceat(label, edge[:-1]) != np.minimum.reduceat(label, edge[:-1])
         size = np.diff(edge)
@@ -382,9 +395,9 @@ class Join:
         sets = self.sets.select("node", "n", "sketch")
         for c in PAIR.names:
             pairs = pairs.join(sets.withColumnsRenamed({"node": c, "n": f"{c}_n", "sketch": f"{c}_sketch"}), c)
-        pairs = G.kept(pairs.mapInArrow(may_be_similar(self.percent), PAIR_DDL))
+        similar = G.kept(pairs.mapInArrow(may_be_similar(self.percent), PAIR_DDL))
         sizes = self.sets.select(F.col("node").alias("other"), "n")
-        pairs = pairs.join(sizes, "other")
+        pairs = similar.join(sizes, "other")
         load = pairs.groupBy("hub").agg(F.sum("n").alias("load"))
         groups = max(1, -(-(load.agg(F.sum("load")).first()[0] or 0) // GROUP_TOKENS))
         part = F.pmod(F.xxhash64("other"), F.ceil(F.col("load") * 4 / GROUP_TOKENS))
@@ -394,7 +407,9 @@ class Join:
         texts = self.docs.select("text_hash", "text").join(small(needed), "text_hash").select("node", "text").mapInArrow(first_texts, "node long, text string")
         texts = texts.groupBy("node").agg(F.first("text").alias("text"))
         found = wanted.join(texts, "node").select("g", "node", "hub", "text").groupBy("g").applyInArrow(linked(self.k, self.percent), "u long, v long")
-        return G.kept(found)
+        out = G.kept(found)
+        G.dropped(similar, wanted, needed)
+        return out
 
     def labels(self) -> DataFrame:
         """node, label: the component of each set that is similar to another."""
@@ -408,10 +423,13 @@ class Join:
         tiles = listed.where("kind = 0").join(marks, "node").withColumn("own", F.pmod(F.xxhash64("node"), chunks).cast("int"))
         tiles = tiles.withColumn("with", F.explode(F.sequence(F.lit(0), chunks - 1)))
         tiles = tiles.select(*LISTED.names, "home", "label", "mark", F.least("own", "with").alias("a"), F.greatest("own", "with").alias("b"), "own")
-        pairs = G.kept(tiles.repartition(self.n, "home", "a", "b").mapInArrow(tile_pairs(self.percent), PAIR_DDL).distinct())
+        pairs = G.kept(tiles.repartition(self.n, "home", F.pmod(F.xxhash64("token"), F.lit(HOME_PARTS)), "a", "b").mapInArrow(tile_pairs(self.percent), PAIR_DDL).distinct())
         more = self.links(pairs)
+        G.dropped(listed, near, pairs)
         G.release(self.spark)
-        return G.components(found.unionByName(more))
+        out = G.components(found.unionByName(more))
+        G.dropped(found, more)
+        return out
 
 
 def _marks(batches):
