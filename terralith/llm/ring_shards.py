@@ -65,8 +65,11 @@ def ring_shards(docs: DataFrame, shards: int, nodes: int = NODES, slack: float =
     def arc_of(place: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(places, place.to_numpy()) % len(places))
 
+    # all columns travel in one struct, so that no name of theirs can clash
     size, crc = F.octet_length("text"), F.crc32(F.col("text").cast("binary"))
-    named = docs.drop("shard", "slot").withColumn("_place", place_of()).withColumn("_arc", arc_of("_place"))
+    ties = [c.alias(f"tie{i}") for i, c in enumerate((F.col("doc_id"), size, crc, *(order or [])))]
+    columns = [c for c in docs.columns if c not in ("shard", "slot")]
+    named = docs.select(F.struct(*columns).alias("row"), place_of().alias("place"), *ties).withColumn("arc", arc_of("place"))
     counts = np.zeros(len(places), np.int64)
     for r in docs.select("doc_id", "text").select(arc_of(place_of()).alias("arc")).groupBy("arc").count().collect():
         counts[r["arc"]] = r["count"]
@@ -79,13 +82,12 @@ def ring_shards(docs: DataFrame, shards: int, nodes: int = NODES, slack: float =
     for arc, a, b, shard in walk(counts, owner, capacity):
         parts.append((arc, a, b, shard, int(filled[shard]) - a))
         filled[shard] += b - a
-    table = docs.sparkSession.createDataFrame(parts, "_arc int, _from long, _to long, shard int, _base long")
-    by = Window.partitionBy("_arc").orderBy("_place", "doc_id", size, crc, *(order or []))
-    ranked = named.withColumn("_rank", (F.row_number().over(by) - 1).cast("long"))
-    inside = (ranked["_arc"] == table["_arc"]) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
+    table = docs.sparkSession.createDataFrame(parts, "at long, from long, to long, shard int, base long")
+    by = Window.partitionBy("arc").orderBy("place", *(f"tie{i}" for i in range(len(ties))))
+    ranked = named.withColumn("rank", (F.row_number().over(by) - 1).cast("long"))
+    inside = (F.col("arc") == F.col("at")) & (F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("to"))
     # the table has a row for each arc and each time keys of it overflow: bounded by the ring
-    joined = ranked.join(F.broadcast(table), inside).withColumn("slot", F.col("_base") + F.col("_rank"))
-    return joined.drop("_place", "_rank", "_from", "_to", "_base", "_arc")
+    return ranked.join(F.broadcast(table), inside).select("row.*", "shard", (F.col("base") + F.col("rank")).alias("slot"))
 
 
 def op1_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
