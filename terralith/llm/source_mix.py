@@ -43,7 +43,8 @@ def fill_targets(sizes: list[float], weights: list[float], total: float, most: f
 
 
 class Mix(NamedTuple):
-    #: Every row with size, sid (its source's number), source_size, target and at (the words before it in its source)
+    #: Every row with size, sid (its source's number), source_size, target, at (the words before it in its source) and
+    #: row (a struct of the columns passed)
     rows: DataFrame
     #: slot, sid, epoch, block, at (of the row), start and stop (words of the row that the slot takes)
     schedule: DataFrame
@@ -52,7 +53,7 @@ class Mix(NamedTuple):
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, seed: int = 17, passed: tuple[str, ...] = ()) -> Mix:
     """A mix of all sources that has as many words as docs.
 
-    docs: doc_id, text and source; passed names further columns that rows keep. Sources in order of code
+    docs: doc_id, text and source; passed names the columns, whatever they are, that rows keep in the struct row. Sources in order of code
     point, null last, weigh as weights says, repeating; no target exceeds most times its source's words.
     A null or empty text has no words: it is in rows and never taken. Repeated rows are separate. Ties in
     the shuffled order are broken by doc_id, size and checksum. There is one row for each source on the
@@ -67,7 +68,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: f
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(key, F.lit(seed)).alias("_h"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("_crc"),
-        *passed,
+        F.struct(*(passed or ["doc_id"])).alias("row"),
     )
     rows = G.kept(rows)
     sources = sorted((r["_source"], r["n"]) for r in rows.groupBy("_source").agg(F.sum("size").alias("n")).collect())
