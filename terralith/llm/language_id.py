@@ -21,6 +21,8 @@ from terralith.llm import _text as T
 FEATURES = 4096
 #: At most so many labelled texts of each language are used to fit; more change little.
 FIT_ROWS = 600
+#: At most so many languages are learned, those of most labelled texts.
+MOST_LANGS = 200
 NONE = "und"
 
 
@@ -102,10 +104,13 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and (text.isalpha() or any(map(str.isalpha, text)))
 
 
-def train(docs: DataFrame, learn: Column, fit_rows: int = FIT_ROWS) -> Model:
-    """Fits on at most fit_rows texts a language (and about as many again at most) among rows where learn holds and lang isn't null."""
+def train(docs: DataFrame, learn: Column, fit_rows: int = FIT_ROWS, most_langs: int = MOST_LANGS) -> Model:
+    """Fits on at most fit_rows texts a language (and about as many again at most) among rows where learn holds and lang isn't null.
+
+    At most most_langs languages, those of most such rows, are learned (ties: the lesser name).
+    """
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
     share = F.lit(0.0)
     for name, n in counts.items():
         share = F.when(F.col("lang") == name, F.lit(min(1.0, 1.2 * fit_rows / n))).otherwise(share)
