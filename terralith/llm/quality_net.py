@@ -23,8 +23,10 @@ CHUNK_BYTES = (PLACES - 1) * STRIDE + WIDTH
 STEP_BYTES = (BLOCKS - 1) * BLOCK * STRIDE
 #: Places that are filtered at a time.
 PART = 2048
-#: At most so many labelled texts are used to fit, and of each at most so many chunks, evenly spread.
-FIT_ROWS, FIT_CHUNKS = 3000, 12
+#: At most so many labelled texts are used to fit, each of them whole.
+FIT_ROWS = 3000
+#: Chunks that go through the filters at a time when the net is fitted.
+FIT_PART = 256
 
 
 class Net(NamedTuple):
@@ -81,40 +83,48 @@ def scores(net: Net, column: pa.Array) -> np.ndarray:
     return np.concatenate(out).astype(float) if out else np.zeros(0)
 
 
-def chunks_of(text: bytes, most: int) -> np.ndarray:
-    """Some of a text's chunks, evenly spread, as rows of bytes."""
-    n = max(1, -(-max(0, len(text) - CHUNK_BYTES) // STEP_BYTES) + 1)
-    at = np.unique(np.linspace(0, n - 1, min(n, most)).astype(int)) * STEP_BYTES
-    out = np.zeros((len(at), CHUNK_BYTES), np.uint8)
-    for row, a in zip(out, at.tolist(), strict=True):
-        part = text[a : a + CHUNK_BYTES]
-        row[: len(part)] = np.frombuffer(part, np.uint8)
-    return out
-
-
-def fit(parts: list[np.ndarray], labels: list[int], epochs: int = 14, batch: int = 64, seed: int = 3) -> Net:
-    """From each text's chunks and label, by backpropagation with Adam; a filter's gradient goes to the place of its maximum."""
+def chunks_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """All of a text's chunks, as rows of bytes, and how many places each has."""
+    places = -(-max(0, len(text) - WIDTH) // STRIDE) + 1
+    n = max(1, -(-(-(-places // BLOCK) - 1) // (BLOCKS - 1)))
+    padded = np.zeros((n - 1) * STEP_BYTES + CHUNK_BYTES + WIDTH, np.uint8)
+    padded[: len(text)] = np.frombuffer(text, np.uint8)
+    rows = np.lib.stride_tricks.as_strided(padded, (n, CHUNK_BYTES), (STEP_BYTES, 1), writeable=False)
+    return rows, np.minimum(places - np.arange(n) * (STEP_BYTES // STRIDE), PLACES)
+
+
+def strongest(embed: np.ndarray, filters: np.ndarray, x: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each chunk and filter the greatest activation and its place."""
+    act, best = np.empty((len(x), FILTERS), np.float32), np.empty((len(x), FILTERS), np.int64)
+    for at in range(0, len(x), FIT_PART):
+        flat = np.ascontiguousarray(embed[x[at : at + FIT_PART]])
+        m = len(flat)
+        view = np.lib.stride_tricks.as_strided(flat, (m, PLACES, WIDTH * DIM), (flat.strides[0], STRIDE * DIM * 4, 4), writeable=False)
+        a = (np.ascontiguousarray(view).reshape(m * PLACES, -1) @ filters).reshape(m, PLACES, FILTERS)
+        a[np.arange(PLACES) >= places[at : at + m, None]] = -1e9
+        best[at : at + m] = a.argmax(1)
+        act[at : at + m] = np.take_along_axis(a, best[at : at + m, None, :], 1)[:, 0]
+    return act, best
+
+
+def fit(texts: list[bytes], labels: list[int], epochs: int = 8, batch: int = 64, seed: int = 3) -> Net:
+    """From whole texts and their labels, by backpropagation with Adam; a filter's gradient goes to the place of its maximum."""
     rng = np.random.default_rng(seed)
     net = [rng.normal(0, 0.5, (256, DIM)).astype(np.float32), rng.normal(0, 0.25, (WIDTH * DIM, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32), np.zeros(1, np.float32)]
-    if not parts:
+    if not texts:
         return Net(*net[:4], 0.0)
+    parts = [chunks_of(t) for t in texts]
     y_all = np.array(labels, np.float32)
     share = float(np.clip(y_all.mean(), 0.01, 0.99))
     net[4][0] = np.log(share / (1 - share))
     m, v, t = [np.zeros_like(p) for p in net], [np.zeros_like(p) for p in net], 0
     for epoch in range(epochs):
         for rows in np.array_split(rng.permutation(len(parts)), max(1, len(parts) // batch)):
-            x = np.concatenate([parts[i] for i in rows])
-            n = np.array([len(parts[i]) for i in rows])
+            x, places = (np.concatenate([parts[i][k] for i in rows]) for k in range(2))
+            n = np.array([len(parts[i][1]) for i in rows])
             first = np.concatenate([[0], np.cumsum(n)[:-1]])
             doc = np.repeat(np.arange(len(rows)), n)
-            flat = net[0][x].reshape(len(x), -1)
-            act = np.empty((len(x), FILTERS), np.float32)
-            best = np.empty((len(x), FILTERS), np.int64)
-            for i in range(len(x)):
-                a = windows(flat[i], PLACES) @ net[1]
-                best[i] = a.argmax(0)
-                act[i] = a[best[i], np.arange(FILTERS)]
+            act, best = strongest(net[0], net[1], x, places)
             top = np.maximum(act + net[2], 0)
             mean, most = np.add.reduceat(top, first) / n[:, None], np.maximum.reduceat(top, first)
             hidden = np.concatenate([mean, most], 1)
@@ -145,7 +155,7 @@ def fit(parts: list[np.ndarray], labels: list[int], epochs: int = 14, batch: int
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, fit_rows: int = FIT_ROWS) -> Net:
-    """Fits on at most about fit_rows labelled rows among those where learn holds."""
+    """Fits on at most about fit_rows labelled rows among those where learn holds, on their whole texts."""
     known = labels.select("doc_id", "quality").where(F.col("quality").isNotNull())
     count = known.where(learn).count()
     if not count:
@@ -155,15 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, fit_rows: int = FIT
     # the labels drawn are bounded by fit_rows
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
 
-    def few(batches):
-        schema = pa.schema([("quality", pa.int32()), ("chunks", pa.binary())])
-        for b in batches:
-            data, offsets = T.utf8(b.column("text"))
-            parts = [chunks_of(data[a:z].tobytes(), FIT_CHUNKS) for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield T.batch(schema, b.column("quality").cast(pa.int32()), [p.tobytes() for p in parts])
-
-    got = sorted((bytes(r["chunks"]), r["quality"]) for r in rows.mapInArrow(few, "quality int, chunks binary").collect())
-    return fit([np.frombuffer(c, np.uint8).reshape(-1, CHUNK_BYTES) for c, _ in got], [q for _, q in got])
+    got = sorted(((r["text"] or "").encode(), r["quality"]) for r in rows.select("quality", "text").collect())
+    return fit([t for t, _ in got], [q for _, q in got])
 
 
 def judge(docs: DataFrame, net: Net, least: float = 0.3) -> DataFrame:
