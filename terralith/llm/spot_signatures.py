@@ -1,7 +1,7 @@
 """SpotSigs fingerprints: chains of content words that follow common-word anchors.
 
 A signature is an anchor with the next content words after it. A text's fingerprint is the set of its
-signatures, written as sorted codes of four characters. Likeness is the Jaccard similarity of two sets.
+signatures of 48 bits, written as sorted codes of eight characters. Likeness is the Jaccard similarity of two sets.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def _anchor_hashes() -> np.ndarray:
 
 
 def spot_sets(column: pa.Array, chain: int = CHAIN) -> list[np.ndarray]:
-    """The sorted distinct 24-bit signatures of each text.
+    """The sorted distinct 48-bit signatures of each text.
 
     Words are runs of letters, digits and bytes beyond ASCII, A-Z as a-z. A chain goes over anchors to the next
     content words. Where no anchor is followed by a whole chain, every word with those next to it is a
@@ -67,12 +67,12 @@ def spot_sets(column: pa.Array, chain: int = CHAIN) -> list[np.ndarray]:
                 sig = np.frombuffer(hashlib.blake2b(body[at[r] : at[r + 1]].tobytes(), digest_size=8).digest(), np.uint64).copy()
             else:
                 sig = np.zeros(0, np.uint64)
-            out.append(np.unique(T.mix(sig) >> T.U(40)))
+            out.append(np.unique(T.mix(sig) >> T.U(16)))
     return out
 
 
 def written(s: np.ndarray) -> str:
-    return CODE[np.stack([s >> T.U(k) & T.U(63) for k in (18, 12, 6, 0)], 1).astype(np.int64)].tobytes().decode() if len(s) else ""
+    return CODE[np.stack([s >> T.U(k) & T.U(63) for k in range(42, -1, -6)], 1).astype(np.int64)].tobytes().decode() if len(s) else ""
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -90,7 +90,8 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
     document's. The next document is that of the next smaller doc_id; after the last comes the first. docs: doc_id
     long and text; other columns are ignored. A null text is empty; a null doc_id comes after all others; rows of
     equal doc_id are in order of a hash of the text. An empty table gives an empty result. Documents are dealt by
-    ranges of doc_id; each range also gets the first document of the next one, so that texts move once.
+    ranges of doc_id, and of the text's hash where many rows have one doc_id or none; each range also gets the first
+    document of the next one, so that texts move once.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -98,13 +99,15 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
     rank, tie = F.bitwise_not(F.coalesce("doc_id", F.lit(NO_ID))), F.xxhash64("text")
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("k", rank).withColumn("h", tie)
     cuts = docs.agg(F.percentile_approx("k", F.lit([i / (4 * n) for i in range(1, 4 * n)]), F.lit(100 * n)).alias("c")).first()["c"]
-    cuts = np.unique(np.array(cuts or [], np.int64))
+    cuts = np.sort(np.array(cuts or [], np.int64))
 
     @F.pandas_udf("int")
-    def range_of(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, k.to_numpy(), "right"))
+    def range_of(k: pd.Series, h: pd.Series) -> pd.Series:
+        # a value that is cut m times holds the rows of m ranges: those are cut by the hash
+        low, high = np.searchsorted(cuts, k.to_numpy(), "left"), np.searchsorted(cuts, k.to_numpy(), "right")
+        return pd.Series(low + np.minimum(high - low, np.floor((h.to_numpy() / 2.0**64 + 0.5) * (high - low) + 1).astype(np.int64)))
 
-    ranged = docs.withColumn("b", range_of("k"))
+    ranged = docs.withColumn("b", range_of("k", "h"))
     # a row for each range: as many as the cuts, four times the shuffle's partitions at most
     heads = sorted((r["b"], r["m"]["k"], r["m"]["h"]) for r in ranged.groupBy("b").agg(F.min(F.struct("k", "h")).alias("m")).collect())
     ends = [(k, h, heads[i - 1][0]) for i, (_, k, h) in enumerate(heads)]
