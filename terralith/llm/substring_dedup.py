@@ -148,7 +148,7 @@ def seed_extend_dedup(docs: DataFrame, window: int = 20, anchor: int = 8, group_
     docs = docs.select("doc_id", "text")
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     groups = max(1, -(-total // group_bytes))
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("g"))
+    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("g"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def anchors(t: pa.Table) -> pa.Table:

@@ -148,7 +148,7 @@ def suffix_array_dedup(docs: DataFrame, window: int = 400, seed: int = 300, grou
     docs = docs.select("doc_id", "text")
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     groups = max(1, -(-total // group_bytes))
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(groups)).cast("int").alias("g"), "doc_id", "text")
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("g"), "doc_id", "text")
 
     def level_1(t: pa.Table) -> pa.Table:
         group = _Group(t, window, seed)
