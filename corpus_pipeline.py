@@ -20,10 +20,16 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text has a language go on; null, empty and letterless texts don't."""
+    """Rows whose text has a language go on, with all their columns; null, empty and letterless texts don't.
+
+    Text alone decides: neither ids nor lang of the row itself. Repeated rows and equal texts fare alike, a very long
+    text is judged whole. Where no row has a lang to learn from, nothing can be rejected and all rows stay.
+    """
     model = language_id.train(docs.select("doc_id", "text", "lang"), ~language_id.held_out())
-    out = language_id.identify(docs.withColumnsRenamed({"lang": "_lang"}), model).where(F.col("lang_pred") != language_id.NONE)
-    return out.withColumnsRenamed({"_lang": "lang"}).select(docs.columns)
+    if not model.names:
+        return docs
+    out = language_id.identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
+    return out.where(F.col("lang_pred") != language_id.NONE).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,20 +50,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows go that hold at least half of a benchmark item, in whatever order."""
+    """Rows go that hold at least half of a benchmark item's words, in whatever order of passages.
+
+    Each row is judged by its whole text alone: null and empty texts, null ids and repeated rows stay or go by that. An
+    empty benchmark takes nothing.
+    """
     return tiling.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole rows in the mix's proportions: a row comes once for each slot that takes its first word, so 0 to 3 times."""
-    mixed = source_mix.mix_sources(docs, passed=tuple(c for c in docs.columns if c != "doc_id"))
-    times = mixed.schedule.where("start = 0").groupBy("sid", "at").agg(F.count("*").alias("_times"))
+    """Whole rows in the mix's proportions: a row comes once for each slot that takes its first word, so 0 to 3 times.
+
+    Rows without words are never taken. Repeated rows are separate, a null source is a source of its own, null ids are
+    ordered by their texts. An empty table stays empty.
+    """
+    mixed = source_mix.mix_sources(docs, passed=tuple(docs.columns))
+    times = mixed.schedule.where("start = 0").groupBy("sid", "at").agg(F.count("*").alias("times"))
     rows = mixed.rows.where("size > 0").join(times, ["sid", "at"])
-    return rows.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(docs.columns)
+    return rows.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with shard and slot."""
+    """All rows with shard (0 to 39, counts at most one apart) and slot (gapless from 0), which replace columns of these names.
+
+    Nulls in any column, empty and long texts and repeated rows are rows like others. An empty table stays empty.
+    """
     return ring_shards.ring_shards(docs, shards=SHARDS)
 
 
