@@ -13,7 +13,6 @@ import hashlib
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +50,21 @@ def place_of(*extra: str) -> Column:
     return F.xxhash64(F.coalesce(F.col("doc_id"), F.xxhash64("text")), *[F.lit(x) for x in extra])
 
 
+def with_arc(rows: DataFrame, places: np.ndarray) -> DataFrame:
+    """Rows (place) with arc: the number of the first node at or after the place, 0 beyond the last.
+
+    The first bits of a place name a sector of the ring; a table of the sectors, bounded by the ring, has the nodes of each.
+    """
+    bits = max(1, len(places).bit_length())
+    sector = places >> (64 - bits)
+    edges = np.searchsorted(sector, np.arange(-(1 << bits - 1), (1 << bits - 1) + 1))
+    table = [(k - (1 << bits - 1), int(a), places[a:b].tolist()) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
+    sectors = rows.sparkSession.createDataFrame(table, "sector long, first long, nodes array<long>")
+    before = F.size(F.filter("nodes", lambda p: p < F.col("place")))
+    joined = rows.withColumn("sector", F.shiftright("place", 64 - bits)).join(F.broadcast(sectors), "sector")
+    return joined.withColumn("arc", (F.col("first") + before) % len(places)).drop("sector", "first", "nodes")
+
+
 def ring_shards(docs: DataFrame, shards: int, nodes: int = NODES, slack: float = 0.0, order: list[Column] | None = None) -> DataFrame:
     """All rows of docs with shard (0 to shards-1) and slot (gapless from 0 in each shard).
 
@@ -61,17 +75,13 @@ def ring_shards(docs: DataFrame, shards: int, nodes: int = NODES, slack: float =
     """
     places, owner = ring(shards, nodes)
 
-    @F.pandas_udf("int")
-    def arc_of(place: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(places, place.to_numpy()) % len(places))
-
     # all columns travel in one struct, so that no name of theirs can clash
     size, crc = F.octet_length("text"), F.crc32(F.col("text").cast("binary"))
     ties = [c.alias(f"tie{i}") for i, c in enumerate((F.col("doc_id"), size, crc, *(order or [])))]
     columns = [c for c in docs.columns if c not in ("shard", "slot")]
-    named = docs.select(F.struct(*columns).alias("row"), place_of().alias("place"), *ties).withColumn("arc", arc_of("place"))
+    named = with_arc(docs.select(F.struct(*columns).alias("row"), place_of().alias("place"), *ties), places)
     counts = np.zeros(len(places), np.int64)
-    for r in docs.select("doc_id", "text").select(arc_of(place_of()).alias("arc")).groupBy("arc").count().collect():
+    for r in with_arc(docs.select(place_of().alias("place")), places).groupBy("arc").count().collect():
         counts[r["arc"]] = r["count"]
     total = int(counts.sum())
     if slack:
