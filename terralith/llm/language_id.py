@@ -123,7 +123,7 @@ def train(docs: DataFrame, learn: Column, fit_rows: int = FIT_ROWS, most_langs:
             at = [np.flatnonzero(r) for r in x]
             yield T.batch(schema, b.column("lang"), [a.astype(np.uint16).tobytes() for a in at], [r[a].tobytes() for r, a in zip(x, at, strict=True)])
 
-    got = rows.where(draw < share).select("lang", "text").mapInArrow(collect, "lang string, at binary, value binary").collect()
+    got = rows.where(draw < share).select("lang", "text").mapInArrow(T.lean(collect), "lang string, at binary, value binary").collect()
     got = sorted((r["lang"], bytes(r["at"]), bytes(r["value"])) for r in got)
     x = np.zeros((len(got), FEATURES), np.float32)
     for row, (_, at, value) in zip(x, got, strict=True):
@@ -145,17 +145,32 @@ def identify(docs: DataFrame, model: Model, lead: float = 0.2) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                texts = b.column("text")
-                letters = np.array([has_letter(t) for t in texts.to_pylist()], bool) & bool(model.names)
-                if model.names:
-                    name, score, gap = decode(model, features(texts))
-                else:
-                    name, score, gap = np.zeros(b.num_rows, int), np.zeros(b.num_rows), np.ones(b.num_rows)
-                named = [model.names[k] if ok else NONE for k, ok in zip(name.tolist(), letters.tolist(), strict=True)]
-                more = [pa.array(named, pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array((gap < lead) | ~letters)]
-                yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "lang_pred", "score", "ambiguous"])
-
-    return docs.mapInArrow(run, schema)
+                more = named(model, b.column("text"), lead)
+                yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, more)], names=[*b.schema.names, "lang_pred", "score", "ambiguous"])
+
+    return docs.mapInArrow(T.lean(run), schema)
+
+
+def named(model: Model, texts: pa.Array, lead: float = 0.2) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Of each text the language or und, the score and whether it is ambiguous."""
+    letters = np.array([has_letter(t) for t in texts.to_pylist()], bool) & bool(model.names)
+    if not model.names:
+        return [NONE] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+    name, score, gap = decode(model, features(texts))
+    return [model.names[k] if ok else NONE for k, ok in zip(name.tolist(), letters.tolist(), strict=True)], np.where(letters, score, 0.0), (gap < lead) | ~letters
+
+
+def speaking(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, with all columns whatever their names, whose text has a language as identify() has it."""
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                names = named(model, b.column("text"))[0]
+                yield b.filter(pa.array([x != NONE for x in names], pa.bool_()))
+
+    return docs.mapInArrow(T.lean(run), st.StructType(docs.schema.fields))
 
 
 def held_out() -> Column:

@@ -370,7 +370,7 @@ class Join:
         kind = docs.schema["doc_id"].dataType.simpleString()
         arrow = docs.select("doc_id").limit(0).toArrow().schema.field("doc_id").type
         schema = pa.schema([("kind", pa.int8()), ("doc_id", arrow), ("n", pa.int64()), ("key", pa.int64()), ("text_hash", pa.int64()), ("sketch", pa.binary())])
-        made = G.kept(self.docs.mapInArrow(signatures(k, schema), f"kind byte, doc_id {kind}, n long, key long, text_hash long, sketch binary"))
+        made = G.kept(self.docs.mapInArrow(T.lean(signatures(k, schema)), f"kind byte, doc_id {kind}, n long, key long, text_hash long, sketch binary"))
         self.signature = made.where("kind = 0").drop("kind")
         common = made.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(MOST_COMMON).collect()
         self.common = [(r["key"], r["n"]) for r in common]
@@ -383,19 +383,19 @@ class Join:
         order = np.argsort(tokens)
         rank = (len(tokens) - 1 - order).astype(np.int64)
         many = {x: n for x, n in self.common if n > self.list_rows}
-        listed = self.docs.mapInArrow(rare_tokens(self.k, self.percent, tokens[order], rank), LISTED_DDL)
+        listed = self.docs.mapInArrow(T.lean(rare_tokens(self.k, self.percent, tokens[order], rank)), LISTED_DDL)
         by = ["token"]
         if many:
             parts = F.create_map(*(F.lit(y) for x, n in many.items() for y in (x, -(-n // self.list_rows))))
             by.append(F.pmod(F.xxhash64("node"), F.coalesce(F.try_element_at(parts, F.col("token")), F.lit(1))))
-        return G.kept(listed.repartition(self.n, *by).mapInArrow(members(self.percent, many), MEMBER_DDL))
+        return G.kept(listed.repartition(self.n, *by).mapInArrow(T.lean(members(self.percent, many)), MEMBER_DDL))
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """u, v: the pairs that are similar."""
         sets = self.sets.select("node", "n", "sketch")
         for c in PAIR.names:
             pairs = pairs.join(sets.withColumnsRenamed({"node": c, "n": f"{c}_n", "sketch": f"{c}_sketch"}), c)
-        similar = G.kept(pairs.mapInArrow(may_be_similar(self.percent), PAIR_DDL))
+        similar = G.kept(pairs.mapInArrow(T.lean(may_be_similar(self.percent)), PAIR_DDL))
         sizes = self.sets.select(F.col("node").alias("other"), "n")
         pairs = similar.join(sizes, "other")
         load = pairs.groupBy("hub").agg(F.sum("n").alias("load"))
@@ -404,9 +404,9 @@ class Join:
         dealt = pairs.join(load, "hub").select("hub", "other", F.pmod(F.xxhash64("hub", part), F.lit(groups)).alias("g"))
         wanted = G.kept(dealt.select("g", F.explode(F.array(*(F.struct(F.col(c).alias("node"), F.lit(c == "hub").alias("hub")) for c in PAIR.names))).alias("x")).select("g", "x.*").distinct())
         needed = G.kept(wanted.select("node").distinct().join(self.sets.select("node", "text_hash"), "node"))
-        texts = self.docs.select("text_hash", "text").join(small(needed), "text_hash").select("node", "text").mapInArrow(first_texts, "node long, text string")
+        texts = self.docs.select("text_hash", "text").join(small(needed), "text_hash").select("node", "text").mapInArrow(T.lean(first_texts), "node long, text string")
         texts = texts.groupBy("node").agg(F.first("text").alias("text"))
-        found = wanted.join(texts, "node").select("g", "node", "hub", "text").groupBy("g").applyInArrow(linked(self.k, self.percent), "u long, v long")
+        found = wanted.join(texts, "node").select("g", "node", "hub", "text").groupBy("g").applyInArrow(T.lean_group(linked(self.k, self.percent)), "u long, v long")
         out = G.kept(found)
         G.dropped(similar, wanted, needed)
         return out
@@ -418,12 +418,12 @@ class Join:
         found = self.links(pairs)
         near = G.components(found)
         G.release(self.spark)
-        marks = self.sets.mapInArrow(_marks, "node long, mark binary").join(near, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        marks = self.sets.mapInArrow(T.lean(_marks), "node long, mark binary").join(near, "node", "left").withColumn("label", F.coalesce("label", "node"))
         chunks = F.ceil(F.col("size") / self.chunk).cast("int")
         tiles = listed.where("kind = 0").join(marks, "node").withColumn("own", F.pmod(F.xxhash64("node"), chunks).cast("int"))
         tiles = tiles.withColumn("with", F.explode(F.sequence(F.lit(0), chunks - 1)))
         tiles = tiles.select(*LISTED.names, "home", "label", "mark", F.least("own", "with").alias("a"), F.greatest("own", "with").alias("b"), "own")
-        pairs = G.kept(tiles.repartition(self.n, "home", F.pmod(F.xxhash64("token"), F.lit(HOME_PARTS)), "a", "b").mapInArrow(tile_pairs(self.percent), PAIR_DDL).distinct())
+        pairs = G.kept(tiles.repartition(self.n, "home", F.pmod(F.xxhash64("token"), F.lit(HOME_PARTS)), "a", "b").mapInArrow(T.lean(tile_pairs(self.percent)), PAIR_DDL).distinct())
         more = self.links(pairs)
         G.dropped(listed, near, pairs)
         G.release(self.spark)

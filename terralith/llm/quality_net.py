@@ -184,7 +184,7 @@ def judge(docs: DataFrame, net: Net, least: float = 0.3) -> DataFrame:
             s = scores(net, b.column("text"))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= least).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(T.lean(run), schema)
 
 
 def held_out() -> Column:

@@ -126,7 +126,7 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
                 if table.num_rows > 1:
                     yield _compared(table, chain)
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(T.lean(run), schema)
 
 
 def _compared(t: pa.Table, chain: int) -> pa.RecordBatch:

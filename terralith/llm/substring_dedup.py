@@ -193,9 +193,9 @@ def seed_extend_dedup(docs: DataFrame, window: int = 20, anchor: int = 8, group_
             kept.append(_joined(group.data, group.starts[a:b][~mask], group.ends[a:b][~mask]))
         return pa.Table.from_arrays([group.docs.column("doc_id").combine_chunks(), pa.array(np.diff(group.first)), pa.array(spans, SPAN), pa.array(kept, pa.string())], schema=RESULT)
 
-    runs = dealt.groupBy("g").applyInArrow(anchors, PLACE_DDL).repartition(n, "anchor").mapInArrow(join_anchors, FIRST_DDL)
+    runs = dealt.groupBy("g").applyInArrow(anchors, PLACE_DDL).repartition(n, "anchor").mapInArrow(T.lean(join_anchors), FIRST_DDL)
     edges = dealt.groupBy("g").cogroup(runs.groupBy("g")).applyInArrow(extend, PLACE_DDL)
-    windows = edges.repartition(n, "key").mapInArrow(join_windows, FIRST_DDL)
+    windows = edges.repartition(n, "key").mapInArrow(T.lean(join_windows), FIRST_DDL)
     return dealt.groupBy("g").cogroup(runs.unionByName(windows).groupBy("g")).applyInArrow(cut, RESULT_DDL)
 
 

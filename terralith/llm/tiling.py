@@ -163,7 +163,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, tile: int = LEAST_TILE,
                 words = [int(items.words[k]) for _, k, _ in got]
                 yield T.batch(schema, [b.column("doc_id")[r].as_py() for r, _, _ in got], [int(items.ids[k]) for _, k, _ in got], covered, words, [c / w for c, w in zip(covered, words, strict=True)], [[dict(zip(("doc_start", "item_start", "words"), t, strict=True)) for t in f] for _, _, f in got])
 
-        part = docs.select("doc_id", "text").mapInArrow(run, ddl)
+        part = docs.select("doc_id", "text").mapInArrow(T.lean(run), ddl)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], ddl)
 
@@ -177,7 +177,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, tile: int = LEAS
                 bad = {r for r, _, _ in overlaps(items, b.column("text"), tile, share)}
                 yield b.filter(pa.array([r not in bad for r in range(b.num_rows)], pa.bool_())) if bad else b
 
-        docs = docs.mapInArrow(run, st.StructType(docs.schema.fields))
+        docs = docs.mapInArrow(T.lean(run), st.StructType(docs.schema.fields))
     return docs
 
 
