@@ -28,8 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.train(docs.select("doc_id", "text", "lang"), ~language_id.held_out())
     if not model.names:
         return docs
-    out = language_id.identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
-    return out.where(F.col("lang_pred") != language_id.NONE).select("row.*")
+    return language_id.speaking(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,10 +63,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without words are never taken. Repeated rows are separate, a null source is a source of its own, null ids are
     ordered by their texts. An empty table stays empty.
     """
-    mixed = source_mix.mix_sources(docs, passed=tuple(docs.columns))
-    times = mixed.schedule.where("start = 0").groupBy("sid", "at").agg(F.count("*").alias("times"))
-    rows = mixed.rows.where("size > 0").join(times, ["sid", "at"])
-    return rows.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
+    rows = _graph.kept(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("key")))
+    mixed = source_mix.mix_sources(rows.select("row.doc_id", "row.text", "row.source", "key"), passed=("key",))
+    firsts = mixed.schedule.where("start = 0").groupBy("sid", "at").agg(F.count("*").cast("int").alias("times"))
+    times = _graph.kept(mixed.rows.where("size > 0").join(firsts, ["sid", "at"]).select("row.key", "times"))
+    taken = rows.join(ngram_join.small(times), "key")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), "times")).alias("time")).select("row.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
