@@ -162,8 +162,8 @@ def lean(run):
 def lean_group(run):
     """The same for a function of groups."""
 
-    def wrapped(*tables):
-        out = run(*tables)
+    def wrapped(table):
+        out = run(table)
         give_back()
         return out
 
