@@ -52,6 +52,21 @@ class Crs:
     def projected(self) -> bool:
         return self.kind != "lonlat"
 
+    def text(self) -> str:
+        """In proj4 terms, which parse_crs reads."""
+        end = "+datum=WGS84 +no_defs" + (" +vunits=ft" if self.z_scale != 1 else "")
+        if self.kind == "lonlat":
+            return f"+proj=longlat {end}"
+        if self.kind == "merc":
+            return f"+proj=merc +a={AXIS} +b={AXIS} {end}"
+        return f"+proj=tmerc +lat_0=0 +lon_0={self.lon0!r} +k={self.k0!r} +x_0={self.x0!r} +y_0={self.y0!r} {end}"
+
+    def epsg(self) -> int | None:
+        """The code of a UTM zone or of web Mercator."""
+        if self.kind == "tm" and (self.k0, self.x0) == (0.9996, 500_000.0) and self.lon0 % 6 == 3 and self.y0 in (0.0, 1e7):
+            return (32600 if self.y0 == 0 else 32700) + int((self.lon0 + 183) // 6)
+        return {"merc": 3857, "lonlat": 4326}.get(self.kind)
+
 
 def parse_crs(text: str) -> Crs:
     """From EPSG:4326, 4979, 326zz, 327zz or 3857, or proj4 tmerc, utm, longlat or merc."""
@@ -68,7 +83,9 @@ def parse_crs(text: str) -> Crs:
     scale = 0.3048 if args.get("vunits") == "us-ft" or args.get("vunits") == "ft" else 1.0
     match args.get("proj"):
         case "tmerc":
-            return Crs("tm", float(args.get("lon_0", 0)), float(args.get("k", args.get("k_0", 1))), float(args.get("x_0", 0)), float(args.get("y_0", 0)), scale)
+            k0 = float(args.get("k", args.get("k_0", 1)))
+            y0 = float(args.get("y_0", 0)) - k0 * meridian(float(args.get("lat_0", 0)))
+            return Crs("tm", float(args.get("lon_0", 0)), k0, float(args.get("x_0", 0)), y0, scale)
         case "utm":
             return utm(int(args["zone"]), "south" not in args)
         case "longlat" | "latlong":
@@ -78,6 +95,61 @@ def parse_crs(text: str) -> Crs:
     raise CrsError(f"Unknown CRS: {text}")
 
 
+def meridian(lat: float) -> float:
+    """Metres along a meridian from the equator to a latitude."""
+    s = math.sin(math.radians(lat))
+    chi = math.atan(math.sinh(math.atanh(s) - ECCENTRICITY * math.atanh(ECCENTRICITY * s))) if abs(s) < 1 else math.copysign(math.pi / 2, s)
+    return RECTIFYING * (chi + sum(a * math.sin(2 * (m + 1) * chi) for m, a in enumerate(FORWARD)))
+
+
+def utm_of(lat: float, lon: float) -> Crs:
+    """The zone that holds a place."""
+    return utm(int((lon + 180) // 6) % 60 + 1, lat >= 0)
+
+
+def world_of(crs: Crs, lon: Column, lat: Column, alt: Column) -> list[Column]:
+    """x, y and z of a place; heights are above the ellipsoid, in the system's units."""
+    x, y = forward(crs, lon, lat)
+    return [x, y, alt / crs.z_scale]
+
+
+def _krueger(lon: Column, lat: Column, lon0: Column) -> tuple[Column, Column, Column, Column]:
+    """Tangent of the conformal latitude, longitude from the meridian, and the sphere's transverse coordinates."""
+    lam, s = F.radians(lon - lon0), F.sin(F.radians(lat))
+    t = F.sinh(F.atanh(s) - ECCENTRICITY * F.atanh(ECCENTRICITY * s))
+    return t, lam, F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
+
+
+def north(crs: Crs, lon: Column, lat: Column, lon0: Column | None = None) -> list[Column]:
+    """The direction in which latitude grows at a place: the derivative of the projection, of no set length."""
+    if crs.kind == "merc":
+        return [F.lit(0.0), F.lit(1.0), F.lit(0.0)]
+    if crs.kind != "tm":
+        raise CrsError("A projected system is needed")
+    t, lam, xi, eta = _krueger(lon, lat, lon0 if lon0 is not None else F.lit(crs.lon0))
+    square = t * t + F.cos(lam) * F.cos(lam)
+    a, b = F.cos(lam) / square, -t * F.sin(lam) / (square * F.sqrt(1 + t * t))
+    p = 1 + total(2 * (m + 1) * c * F.cos(2 * (m + 1) * xi) * F.cosh(2 * (m + 1) * eta) for m, c in enumerate(FORWARD))
+    q = total(2 * (m + 1) * c * F.sin(2 * (m + 1) * xi) * F.sinh(2 * (m + 1) * eta) for m, c in enumerate(FORWARD))
+    return [b * p - a * q, a * p + b * q, F.lit(0.0)]
+
+
+def projected(text: str) -> Crs:
+    """A system of world coordinates."""
+    crs = parse_crs(text)
+    if not crs.projected:
+        raise CrsError(f"A projected system is needed: {text}")
+    return crs
+
+
+def geographic(text: str) -> Crs:
+    """A system of latitudes and longitudes."""
+    crs = parse_crs(text)
+    if crs.projected:
+        raise CrsError(f"A geographic system is needed: {text}")
+    return crs
+
+
 def utm(zone: int, north: bool) -> Crs:
     return Crs("tm", 6.0 * zone - 183, 0.9996, 500_000.0, 0.0 if north else 10_000_000.0)
 
@@ -95,10 +167,7 @@ def forward(crs: Crs, lon: Column, lat: Column, lon0: Column | None = None, y0:
     phi = F.radians(lat)
     if crs.kind == "merc":
         return F.radians(lon) * AXIS, F.log(F.tan(F.lit(math.pi / 4) + phi / 2)) * AXIS
-    lam = F.radians(lon - (lon0 if lon0 is not None else F.lit(crs.lon0)))
-    s = F.sin(phi)
-    t = F.sinh(F.atanh(s) - ECCENTRICITY * F.atanh(ECCENTRICITY * s))
-    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
+    _, _, xi, eta = _krueger(lon, lat, lon0 if lon0 is not None else F.lit(crs.lon0))
     x = eta + total(a * F.cos(2 * (m + 1) * xi) * F.sinh(2 * (m + 1) * eta) for m, a in enumerate(FORWARD))
     y = xi + total(a * F.sin(2 * (m + 1) * xi) * F.cosh(2 * (m + 1) * eta) for m, a in enumerate(FORWARD))
     return crs.x0 + crs.k0 * RECTIFYING * x, (y0 if y0 is not None else F.lit(crs.y0)) + crs.k0 * RECTIFYING * y

@@ -9,8 +9,19 @@ from pyspark.sql import functions as F
 UNIT_MM = {2: 25.4, 3: 10.0, 4: 1.0, 5: 0.001}
 #: Kinds of camera by the names that other software gives its projections: fixed names.
 PROJECTIONS = {"perspective": "brown", "simple_radial": "brown", "radial": "brown", "brown": "brown", "fisheye": "fisheye", "fisheye_opencv": "fisheye"}
-#: Vendors' keys of body angles, in order of preference, with gains and offsets: fixed values.
-ANGLE_KEYS = (("GimbalRollDegree", "GimbalPitchDegree", "GimbalYawDegree", 1, 90), ("CamRoll", "CamPitch", "CamYaw", 1, 0), ("Roll", "Pitch", "Yaw", 1, 0))
+#: Namespaces of vendors' XMP keys, in order of preference, with the keys of place and body angles (a key that is misspelled
+#: is so in files), of lens data, and what is added to the angles: fixed values.
+VENDORS = (
+    (
+        "{http://www.dji.com/drone-dji/1.0/}",
+        ("GpsLatitude", "GpsLongtitude", "AbsoluteAltitude"),
+        ("GimbalRollDegree", "GimbalPitchDegree", "GimbalYawDegree"),
+        "DewarpData",
+        (0.0, 90.0, 0.0),
+    ),
+    ("{http://ns.sensefly.com/Camera/1.0/}", None, ("Roll", "Pitch", "Yaw"), None, (0.0, 0.0, 0.0)),
+    ("{http://pix4d.com/camera/1.0/}", None, ("Roll", "Pitch", "Yaw"), None, (0.0, 0.0, 0.0)),
+)
 
 
 def file_name(path: Column) -> Column:
@@ -69,15 +80,30 @@ def camera_id(make: Column, model: Column, serial: Column) -> Column:
     return F.when(F.length(joined) > 0, joined).otherwise(F.lit("unknown"))
 
 
-def body_angles(tags: Column) -> Column:
-    """array of roll, pitch and yaw in degrees from a map of tags; of vendors, the first with all three."""
+def _first_whole(tags: Column, sets) -> Column:
+    """Of sets of three keys with offsets, the numbers of the first that is all there; else NULL."""
     found = []
-    for r, p, y, gain, offset in ANGLE_KEYS:
-        values = [F.try_element_at(tags, F.lit(k)).try_cast("double") for k in (r, p, y)]
-        found.append(F.when(values[0].isNotNull() & values[1].isNotNull() & values[2].isNotNull(), F.array(values[0] * gain, values[1] * gain + offset, values[2] * gain)))
+    for keys, offsets in sets:
+        values = [F.try_element_at(tags, F.lit(k)).try_cast("double") for k in keys]
+        found.append(F.when(values[0].isNotNull() & values[1].isNotNull() & values[2].isNotNull(), F.array(*(v + o for v, o in zip(values, offsets, strict=True)))))
     return F.coalesce(*found)
 
 
+def body_angles(tags: Column) -> Column:
+    """array of roll, pitch and yaw in degrees from a map of XMP tags; of vendors, the first with all three."""
+    return _first_whole(tags, [([space + k for k in angles], offsets) for space, _, angles, _, offsets in VENDORS])
+
+
+def body_place(tags: Column) -> Column:
+    """array of latitude, longitude and altitude from a map of XMP tags."""
+    return _first_whole(tags, [([space + k for k in place], (0.0, 0.0, 0.0)) for space, place, _, _, _ in VENDORS if place])
+
+
+def lens_data(tags: Column) -> Column:
+    """The numbers of a vendor's lens data in a map of XMP tags."""
+    return F.coalesce(*(dewarp(F.try_element_at(tags, F.lit(space + key))) for space, _, _, key, _ in VENDORS if key))
+
+
 def dewarp(text: Column) -> Column:
     """The comma-separated numbers after the last semicolon."""
     return F.transform(F.split(F.element_at(F.split(text, ";"), -1), ","), lambda x: x.try_cast("double"))

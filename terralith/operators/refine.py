@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terralith.functions import cameras as C
+from terralith.functions.num import over
+from terralith.functions.text import stem
+
 
 def shift(points: DataFrame, method: str = "shift") -> DataFrame:
     """filename, n, and for each axis m and c so that m * model + c fits the marked pixels.
@@ -43,3 +47,38 @@ def enough(gcps: DataFrame, least_each: int, least_all: int) -> DataFrame:
 def coplanar(gcps: DataFrame, tolerance: float = 1e-5) -> DataFrame:
     """filename, coplanar: whether heights are all the same and zero, as a full fit of a camera needs."""
     return gcps.groupBy("filename").agg((~((F.avg("h") > tolerance) | (F.stddev_pop("h") > tolerance))).alias("coplanar"))
+
+
+def model_pixels(models: DataFrame, gcps: DataFrame) -> DataFrame:
+    """filename, rpc and, for each control point, the marked and the model's pixel, normalised.
+
+    models: filename, rpc; gcps: filename (the model's, or its stem), lon, lat, h, j, i.
+    """
+    name = F.explode(F.array_distinct(F.array(F.struct(F.lit(0).alias("rank"), F.col("filename").alias("name")), F.struct(F.lit(1).alias("rank"), stem(F.col("filename")).alias("name")))))
+    probes = models.select("filename", "rpc", name.alias("probe")).select("filename", "rpc", "probe.*")
+    marks = gcps.select(F.col("filename").alias("name"), "lon", "lat", "h", "j", "i")
+    # a point under the stem counts only where no point has the whole name
+    whole = gcps.select(F.col("filename").alias("filename"), F.lit(True).alias("has")).distinct()
+    pairs = probes.join(marks, "name").join(whole, "filename", "left").where((F.col("rank") == 0) | F.col("has").isNull())
+    j, i = C.rpc_to_pixel(F.col("rpc"), F.col("lon"), F.col("lat"), F.col("h"))
+    scaled = lambda v, axis: over(v - F.col(f"rpc.{axis}_off"), F.col(f"rpc.{axis}_scale"))
+    return pairs.select("filename", "rpc", *(scaled(v, axis).alias(n) for v, axis, n in ((F.col("j"), "samp", "j"), (F.col("i"), "line", "i"), (j, "samp", "j_model"), (i, "line", "i_model"))))
+
+
+def refine(models: DataFrame, gcps: DataFrame, method: str = "shift") -> DataFrame:
+    """Models (filename, rpc and more) refined by control points; n says by how many, and is 0 where a model stays as it is.
+
+    A model without points stays; one with fewer than the method needs has a reason.
+    """
+    least = {"shift": 1, "shift-drift": 2}[method]
+    points = model_pixels(models, gcps)
+    counts = points.groupBy("filename").agg(F.count("*").alias("n"))
+    fit = shift(points, method).drop("n")
+    rows = models.join(counts, "filename", "left").join(fit, "filename", "left")
+    new = F.col("rpc")
+    for axis, name in (("j", "samp"), ("i", "line")):
+        new = new.withField(f"{name}_num_coeff", refined(F.col(f"rpc.{name}_num_coeff"), F.col(f"rpc.{name}_den_coeff"), F.col(f"m_{axis}"), F.col(f"c_{axis}")))
+    n = F.coalesce("n", F.lit(0))
+    reason = F.when((n > 0) & (n < least), F.concat(F.lit(f"{method} needs {least} control points: "), F.col("filename")))
+    out = rows.withColumn("rpc", F.when(F.col("m_j").isNotNull(), new).otherwise(F.col("rpc"))).withColumn("n", n).withColumn("reason", reason)
+    return out.select(*models.columns, "n", "reason")

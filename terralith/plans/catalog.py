@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _loaded() -> None:
-    from terralith.plans import cameras, fits, geometry, params, rasters, sharpen, tables  # noqa: F401
+    from terralith.plans import cameras, files, fits, geometry, params, rasters, sharpen, tables, tags  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -21,12 +21,6 @@ def fit_exterior(spark: SparkSession, sf: str) -> DataFrame:
     return pose.fit_exterior(world.select("filename", "x", "y", "z", j.alias("j"), i.alias("i")), pose.Interior(500 / 3, 500 / 3, 97.5, 78.5), least=4)
 
 
-@query("scan_text")
-def scan_text(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows written as text files and read as lines."""
-    return spark.read.parquet(f"{sf}/nation.parquet").select(F.to_json(F.struct("*")).alias("value")).select(F.from_json("value", "n_nationkey int, n_name string").alias("r")).select("r.*")
-
-
 @query("gsd_by_camera")
 def gsd_by_camera(spark: SparkSession, sf: str) -> DataFrame:
     """Ground size of a pixel of every camera at once: one projection of eight boundary points each."""

@@ -79,11 +79,11 @@ def lla_utm(spark: SparkSession, sf: str) -> DataFrame:
     return _utm(spark, sf).select(F.col("id").cast("long").alias("id"), shown(F.col("x"), 4).alias("x"), shown(F.col("y"), 4).alias("y"))
 
 
-@query("utm_lla", V.sql("select id::bigint as id, round(lon, 7) + 0.0 as lon, round(lat, 7) + 0.0 as lat from v_lla where abs(lat) < 79", "v_lla"))
+@query("utm_lla", V.sql("select id::bigint as id, round(lon, 7) + 0.0 as lon, round(lat, 7) + 0.0 as lat from v_lla", "v_lla"))
 def utm_lla(spark: SparkSession, sf: str) -> DataFrame:
     """There and back: the inverse series gives the places again."""
     lon, lat = X.back(X.utm(1, True), F.col("x"), F.col("y"), F.col("lon0"), F.col("y0"))
-    return _utm(spark, sf).where("abs(lat) < 79").select(F.col("id").cast("long").alias("id"), shown(lon, 7).alias("lon"), shown(lat, 7).alias("lat"))
+    return _utm(spark, sf).select(F.col("id").cast("long").alias("id"), shown(lon, 7).alias("lon"), shown(lat, 7).alias("lat"))
 
 
 @query("utm_epsg", V.sql("select id::bigint as id, (case when lat >= 0 then 32600 else 32700 end + (((floor((lon + 180) / 6)::integer % 60) + 60) % 60) + 1)::integer as epsg from v_lla", "v_lla"))
@@ -107,15 +107,29 @@ def bounds_tf(spark: SparkSession, sf: str) -> DataFrame:
     return edge.select(x.alias("x"), y.alias("y")).agg(*(shown(f(c), 4).alias(f"{c}{n}") for c in "xy" for n, f in ((0, F.min), (1, F.max))))
 
 
-@query("rpy_opk")
+#: Towards north from t2, and the angles of a camera from that and roll, pitch and yaw (a, b, c).
+_SQ = "(t*t + cos(lam)*cos(lam))"
+NORTH1 = f"select *, cos(lam)/{_SQ} as na, -t*sin(lam)/({_SQ}*sqrt(1+t*t)) as nb, 1+" + "+".join(f"{2 * (m + 1)}*({c!r}::double)*cos({2 * (m + 1)}*xi)*cosh({2 * (m + 1)}*eta)" for m, c in enumerate(X.FORWARD)) + " as np, " + "+".join(f"{2 * (m + 1)}*({c!r}::double)*sin({2 * (m + 1)}*xi)*sinh({2 * (m + 1)}*eta)" for m, c in enumerate(X.FORWARD)) + " as nq from t2"
+NORTH2 = "select *, (nb*np - na*nq) / sqrt((nb*np - na*nq)*(nb*np - na*nq) + (na*np + nb*nq)*(na*np + nb*nq)) as nx, (na*np + nb*nq) / sqrt((nb*np - na*nq)*(nb*np - na*nq) + (na*np + nb*nq)*(na*np + nb*nq)) as ny from n1"
+R = {f"{i}{j}": f"({RPY[3 * i + j]})" for i in range(3) for j in range(3)}
+OPK_OF_RPY = ", ".join(
+    f"round({e}, 8) + 0.0 as {n}"
+    for n, e in (
+        ("omega", f"atan2(ny*{R['02']} - nx*{R['12']}, {R['22']})"),
+        ("phi", f"asin(greatest(-1, least(1, -(nx*{R['02']} + ny*{R['12']}))))"),
+        ("kappa", f"atan2(-(nx*{R['00']} + ny*{R['10']}), nx*{R['01']} + ny*{R['11']})"),
+    )
+)
+BODY = "select *, radians(-5.0::double + id % 11) as a, radians(-4.0::double + id % 9) as b, radians((id % 350)::double) as c from n2"
+
+
+@query("rpy_opk", V.sql(f"select id::bigint as id, {OPK_OF_RPY} from bodies", "v_lla", **{k: TM[k] for k in ("p", "t1", "t2")}, n1=NORTH1, n2=NORTH2, bodies=BODY))
 def rpy_opk(spark: SparkSession, sf: str) -> DataFrame:
-    """Body angles to the camera's, with north from two projected places a tiny way apart."""
+    """Body angles to the camera's, in the world's axes at each place."""
     p = V.places(spark, sf).withColumn("lon0", F.floor((F.col("lon") + 180) / 6) * 6 - 177.0)
-    utm, d = X.utm(1, True), 1e-7
-    a, b = (X.forward(utm, F.col("lon"), F.col("lat") + s * d, F.col("lon0")) for s in (1, -1))
     roll, pitch, yaw = (F.radians(F.lit(v) + F.col("id") % m) for v, m in ((-5.0, 11), (-4.0, 9), (0.0, 350)))
-    out = A.rpy_to_opk((roll, pitch, yaw), [a[0] - b[0], a[1] - b[1], F.lit(0.0)])
-    return p.select(F.col("id").cast("long").alias("id"), *(v.alias(n) for v, n in zip(out, ("omega", "phi", "kappa"), strict=True)))
+    out = A.rpy_to_opk((roll, pitch, yaw), X.north(X.utm(1, True), F.col("lon"), F.col("lat"), F.col("lon0")))
+    return p.select(F.col("id").cast("long").alias("id"), *(shown(v, 8).alias(n) for v, n in zip(out, ("omega", "phi", "kappa"), strict=True)))
 
 
 @query("affine", V.sql("select id::bigint as id, 19880 + 4*(j+0.5::double) + 0.25::double*(i+0.5::double) as x, 30120 + 0.125::double*(j+0.5::double) - 4*(i+0.5::double) as y from v_pixel", "v_pixel"))

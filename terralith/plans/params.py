@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terralith.functions import crs as C_
 from terralith.functions import text as X
 from terralith.functions.num import shown
+from terralith.plans import geometry as G
 from terralith.plans import views as V
 from terralith.plans.catalog import query
+from terralith.sources import exterior as E_
 from terralith.sources import params as S
 
 ID = "event_id::bigint as id"
@@ -73,15 +76,21 @@ def exif_cam_id(spark: SparkSession, sf: str) -> DataFrame:
     return _events(spark, sf).select("id", X.camera_id(make, model, F.lit(None).cast("string")).alias("camera"))
 
 
-@query("xmp_rpy", f"select {ID}, (event_id % 20)::double as roll, case when event_id % 3 = 0 then (event_id % 30 - 90 + 90)::double else (event_id % 30)::double end as pitch, (event_id % 360)::double as yaw from events where event_id % 3 <> 2")
+@query("xmp_rpy", f"select {ID}, (event_id % 20)::double as roll, (event_id % 30)::double as pitch, (event_id % 360)::double as yaw, case when event_id % 6 = 0 then (event_id % 80)::double end as lat from events where event_id % 4 <> 3")
 def xmp_rpy(spark: SparkSession, sf: str) -> DataFrame:
-    """Angles from the first vendor's tags that are all there."""
+    """Angles and places from the first vendor's tags that are all there; one row in four has a third of them only."""
     s = lambda c: c.cast("string")
-    first = F.create_map(F.lit("GimbalRollDegree"), s(E() % 20), F.lit("GimbalPitchDegree"), s(E() % 30 - 90), F.lit("GimbalYawDegree"), s(E() % 360), F.lit("Roll"), F.lit("1"))
-    second = F.create_map(F.lit("CamRoll"), s(E() % 20), F.lit("CamPitch"), s(E() % 30), F.lit("CamYaw"), s(E() % 360), F.lit("GimbalYawDegree"), F.lit("5"))
-    tags = F.when(E() % 3 == 0, first).when(E() % 3 == 1, second).otherwise(F.create_map(F.lit("Roll"), F.lit("1")))
-    out = _events(spark, sf).withColumn("a", X.body_angles(tags)).where("a is not null")
-    return out.select("id", *(F.col("a")[k].alias(n) for k, n in enumerate(("roll", "pitch", "yaw"))))
+    (dji, place, angles, _, _), (fly, _, others, _, _), (pix, *_) = X.VENDORS
+    made = lambda *kv: F.create_map(*(F.lit(v) if isinstance(v, str) else v for v in kv))
+    turn = lambda space, keys, pitch: [x for k, v in zip(keys, (s(E() % 20), pitch, s(E() % 360)), strict=True) for x in (space + k, v)]
+    first = made(*turn(dji, angles, s(E() % 30 - 90)), pix + "Roll", "1")
+    located = F.when(E() % 3 == 0, made(*[x for k, v in zip(place, (s(E() % 80), s(E() % 9), "5"), strict=True) for x in (dji + k, v)])).otherwise(made(dji + place[0], "3"))
+    second = made(*turn(fly, others, s(E() % 30)), dji + angles[2], "5", pix + "Pitch", "9")
+    third = made(*turn(pix, others, s(E() % 30)))
+    tags = F.when(E() % 4 == 0, first).when(E() % 4 == 1, second).when(E() % 4 == 2, third).otherwise(made(pix + "Roll", "1"))
+    tags = F.when(E() % 2 == 0, F.map_concat(tags, located)).otherwise(tags)
+    out = _events(spark, sf).withColumn("a", X.body_angles(tags)).withColumn("p", X.body_place(tags)).where("a is not null")
+    return out.select("id", *(F.col("a")[k].alias(n) for k, n in enumerate(("roll", "pitch", "yaw"))), F.col("p")[0].alias("lat"))
 
 
 @query("xmp_dewarp", f"select {ID}, (event_id % 100)::double as first, -0.5::double as second, 2::integer as n from events")
@@ -110,14 +119,95 @@ def unknown_params(spark: SparkSession, sf: str) -> DataFrame:
     return _events(spark, sf).select("id", F.size(S.unknown_parameters(given, "brown")).alias("n"))
 
 
-@query("csv_xyz_opk", V.sql("select filename, x, y, z, round(radians(round(omega, 4)), 9) + 0.0 as omega, round(radians(round(phi, 4)), 9) + 0.0 as phi, round(radians(round(kappa, 4)), 9) + 0.0 as kappa from v_shot", "v_shot"))
+SHOT_LINES = ("filename", "x", "y", "z", "omega", "phi", "kappa")
+RADIANS = "select filename, x, y, z, " + ", ".join(f"round(radians(round({c}, 4)), 9) + 0.0 as {c}" for c in ("omega", "phi", "kappa"))
+
+
+def _lines(rows: DataFrame, columns, sep: str = ",", quote: str = "") -> DataFrame:
+    """ord, value: rows as lines of a table; file names may be quoted and lie in folders."""
+    q = F.lit(quote)
+    texts = [F.concat(q, F.col(c), q) if c in ("filename", "camera") else F.col(c).cast("string") for c in columns]
+    return rows.select("ord", F.concat_ws(sep, *texts).alias("value"))
+
+
+def _read(lines: DataFrame, sample: str, crs=None, **more) -> DataFrame:
+    layout = E_.layout_of(sample, **more)
+    return E_.to_world(E_.parsed(lines, layout), layout, crs)
+
+
+def _shots(spark: SparkSession, sf: str) -> DataFrame:
+    s = V.shots(spark, sf).withColumn("ord", F.xxhash64("filename"))
+    return s.withColumns({c: F.round(c, 4) for c in ("omega", "phi", "kappa")})
+
+
+def _shown(rows: DataFrame, digits: int = 9) -> DataFrame:
+    return rows.select("filename", "x", "y", "z", *(shown(F.col(c), digits).alias(c) for c in ("omega", "phi", "kappa")))
+
+
+@query("csv_xyz_opk", V.sql(f"{RADIANS} from v_shot", "v_shot"))
 def csv_xyz_opk(spark: SparkSession, sf: str) -> DataFrame:
-    """A table of positions as lines of text, in degrees, read by its header."""
-    header = "filename, X,y,z,Omega,phi,kappa"
-    s = V.shots(spark, sf)
-    lines = s.select(F.concat_ws(",", "filename", "x", "y", "z", *(F.round(c, 4) for c in ("omega", "phi", "kappa"))).alias("value"))
-    out = S.read_exterior_lines(lines, header)
-    return out.select("filename", "x", "y", "z", *(shown(F.col(c), 9).alias(c) for c in ("omega", "phi", "kappa")))
+    """A table of positions with a header in two cases and a field that nobody knows, in degrees."""
+    lines = _lines(_shots(spark, sf).withColumn("other", F.lit("x")), ("filename", "other", *SHOT_LINES[1:]), ";")
+    return _shown(_read(lines, "filename; Other;X;y;z;Omega;phi;kappa\nimg_1;x;1;2;3;0.1;0.2;0.3\nimg_2;x;1;2;3;0.1;0.2;0.3"))
+
+
+@query("csv_legacy", V.sql(f"{RADIANS} from v_shot", "v_shot"))
+def csv_legacy(spark: SparkSession, sf: str) -> DataFrame:
+    """A table without a header: its fields are known by their order."""
+    return _shown(_read(_lines(_shots(spark, sf), SHOT_LINES, " "), "img_1.tif 20001.0 30002.0 1003.0 0.1 0.2 0.3\nimg_2.tif 20001.5 30002.5 1003.5 0.15 0.25 0.35"))
+
+
+#: Places of one UTM zone with body angles, and a camera that may be empty.
+LOCAL = "select id, 24.0::double + (id % 997) * 0.002::double as lon, -34.0::double + (id % 991) * 0.002::double as lat, 100.0::double + id % 50 as alt, round(-5.0::double + id % 11, 1) as roll, round(-4.0::double + id % 9, 1) as pitch, round((id % 350)::double, 1) as yaw from (select event_id as id from events)"
+ZONE = 27.0
+
+
+def _local(spark: SparkSession, sf: str) -> DataFrame:
+    e = F.col("event_id")
+    body = [(-5.0 + e % 11).alias("roll"), (-4.0 + e % 9).alias("pitch"), (e % 350).cast("double").alias("yaw")]
+    place = [(-34.0 + (e % 991) * 0.002).alias("latitude"), (24.0 + (e % 997) * 0.002).alias("longitude"), (100.0 + e % 50).alias("altitude")]
+    return V.table(spark, sf, "events").select(e.alias("ord"), F.concat(F.lit("a/b/img "), e.cast("string")).alias("filename"), *place, *body, F.when(e % 2 == 0, F.lit("cam 1")).otherwise("").alias("camera"))
+
+
+def _world_sql(more: str = "", body: str = "bodies") -> str:
+    parts = {"p": f"select *, {ZONE}::double as lon0, 10000000::double as y0 from places", "t1": G.T1, "t2": G.T2, "n1": G.NORTH1.replace("from t2", "from t3"), "n2": G.NORTH2}
+    parts["t3"] = f"select *, 500000 + 0.9996::double*{G.RA}::double*(eta + {G._series('', G.X.FORWARD, 'xi', 'eta', 'cos', 'sinh')}) as x, y0 + 0.9996::double*{G.RA}::double*(xi + {G._series('', G.X.FORWARD, 'xi', 'eta', 'sin', 'cosh')}) as y from t2"
+    order = ("p", "t1", "t2", "t3", "n1", "n2")
+    parts["bodies"] = "select *, radians(roll) as a, radians(pitch) as b, radians(yaw) as c from n2"
+    return V.sql(f"select 'img ' || id as filename, round(x, 4) + 0.0 as x, round(y, 4) + 0.0 as y, alt as z, {G.OPK_OF_RPY}{more} from {body}", places=LOCAL, **{k: parts[k] for k in order}, bodies=parts["bodies"])
+
+
+def _located(rows: DataFrame) -> DataFrame:
+    return rows.select("filename", shown(F.col("x"), 4).alias("x"), shown(F.col("y"), 4).alias("y"), "z", *(shown(F.col(c), 8).alias(c) for c in ("omega", "phi", "kappa")), *([] if "camera" not in rows.columns else ["camera"]))
+
+
+LLA_FIELDS = ("filename", "latitude", "longitude", "altitude", "roll", "pitch", "yaw", "camera")
+
+
+@query("csv_lla_rpy", _world_sql(", case when id % 2 = 0 then 'cam 1' end as camera"))
+def csv_lla_rpy(spark: SparkSession, sf: str) -> DataFrame:
+    """Latitudes and body angles with quoted names: the mean place gives the UTM zone of world coordinates and camera angles."""
+    rows = _local(spark, sf)
+    sample = "filename latitude longitude altitude roll pitch yaw camera\n\"a/b/img 1\" -33.5 24.5 100.0 1.0 2.0 3.0 \"cam 1\"\n\"a/b/img 2\" -33.4 24.6 101.0 1.5 2.5 3.5 \"cam 1\""
+    return _located(_read(_lines(rows, LLA_FIELDS, " ", '"'), sample, E_.mean_zone(rows, "latitude", "longitude")))
+
+
+@query("csv_xyz_rpy", _world_sql())
+def csv_xyz_rpy(spark: SparkSession, sf: str) -> DataFrame:
+    """World coordinates and body angles: north is found where the coordinates lie."""
+    rows = _local(spark, sf)
+    system = C_.utm(35, False)
+    x, y = C_.forward(system, F.col("longitude"), F.col("latitude"))
+    lines = _lines(rows.withColumns({"x": x, "y": y, "z": F.col("altitude")}), ("filename", "x", "y", "z", "roll", "pitch", "yaw"), "\t")
+    return _located(_read(lines, "filename\tx\ty\tz\troll\tpitch\tyaw\na\t1.0\t2.0\t3.0\t1.0\t2.0\t3.0\nb\t1.5\t2.5\t3.5\t1.0\t2.0\t3.0", system)).drop("camera")
+
+
+@query("csv_lla_opk", _world_sql().replace(G.OPK_OF_RPY, "round(radians(roll), 8) + 0.0 as omega, round(radians(pitch), 8) + 0.0 as phi, round(radians(yaw), 8) + 0.0 as kappa"))
+def csv_lla_opk(spark: SparkSession, sf: str) -> DataFrame:
+    """Latitudes and camera angles: both come to a system that is given."""
+    rows = _local(spark, sf).withColumnsRenamed({"roll": "omega", "pitch": "phi", "yaw": "kappa"})
+    lines = _lines(rows, ("filename", "latitude", "longitude", "altitude", "omega", "phi", "kappa"), ",")
+    return _located(_read(lines, "filename,latitude,longitude,altitude,omega,phi,kappa\na,1.0,2.0,3.0,1.0,2.0,3.0\nb,1.5,2.5,3.5,1.0,2.0,3.0", C_.utm(35, False))).drop("camera")
 
 
 @query("dedup_last", V.sql("select cam_id::bigint as cam_id, filename from (select cam_id, filename, row_number() over (partition by cam_id order by ord desc) as n from (select o_custkey as cam_id, o_orderkey as ord, 'img_' || o_orderkey as filename from orders)) where n = 1"))
@@ -143,10 +233,21 @@ def gcp_geojson(spark: SparkSession, sf: str) -> DataFrame:
     return back.groupBy("filename").agg(F.count("*").alias("n"), shown(F.avg("j")).alias("j"), shown(F.avg("lon"), 9).alias("lon"))
 
 
-@query("ext_geojson", V.sql("select filename, x, y, z, omega, phi, kappa from v_shot", "v_shot"))
+@query("ext_geojson", V.sql("select filename, cam_id::varchar as camera, x, y, z, omega, phi, kappa from v_shot", "v_shot"))
 def ext_geojson(spark: SparkSession, sf: str) -> DataFrame:
     """Exterior parameters written as GeoJSON features and read again."""
-    return S.read_exterior_features(S.write_exterior_features(V.shots(spark, sf))).select("filename", "x", "y", "z", "omega", "phi", "kappa")
+    one = S.exterior_features(V.shots(spark, sf).withColumn("camera", F.col("cam_id").cast("string")), C_.utm(35, False))
+    return S.read_exterior_features(one).select("filename", "camera", "x", "y", "z", "omega", "phi", "kappa")
+
+
+@query("write_ext", V.sql("select 'img ' || id as filename, round(lon, 7) + 0.0 as lon, round(lat, 7) + 0.0 as lat, alt as h from places", places=LOCAL))
+def write_ext(spark: SparkSession, sf: str) -> DataFrame:
+    """The places of GeoJSON features of shots in a projected system: longitude, latitude and height."""
+    rows, system = _local(spark, sf), C_.utm(35, False)
+    x, y = C_.forward(system, F.col("longitude"), F.col("latitude"))
+    shots = rows.select(F.substring_index("filename", "/", -1).alias("filename"), x.alias("x"), y.alias("y"), F.col("altitude").alias("z"), *(F.lit(0.0).alias(c) for c in ("omega", "phi", "kappa")), "camera")
+    g = F.from_json("value", "geometry struct<type:string,coordinates:array<double>>")["geometry"]["coordinates"]
+    return S.exterior_features(shots, system).select("filename", shown(g[0], 7).alias("lon"), shown(g[1], 7).alias("lat"), g[2].alias("h"))
 
 
 @query("validate_json", f"select {ID}, event_id % 3 <> 0 as valid from events")

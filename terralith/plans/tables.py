@@ -14,19 +14,24 @@ from terralith.plans.catalog import query
 
 
 def images(spark: SparkSession, sf: str) -> DataFrame:
+    """An image an order; those of every fifth order are called other than their shots."""
     o = F.col("o_orderkey")
-    return V.table(spark, sf, "orders").where(o % 4 != 3).select(F.concat(F.lit("in/img_"), o.cast("string"), F.lit(".tif")).alias("path"))
+    return V.table(spark, sf, "orders").select(F.concat(F.lit("in/img_"), (o + F.when(o % 5 == 0, 10_000_000).otherwise(0)).cast("string"), F.lit(".tif")).alias("path"))
 
 
-@query("join_ext", V.sql("select 'in/img_' || o_orderkey || '.tif' as path, s.filename, s.x, s.y, s.z from orders join v_shot s on s.filename = 'img_' || o_orderkey || case when o_orderkey % 2 = 0 then '.tif' else '' end where o_orderkey % 4 <> 3", "v_shot"))
+IMAGES = "select 'in/img_' || n || '.tif' as path, 'img_' || n || '.tif' as name from (select o_orderkey + case when o_orderkey % 5 = 0 then 10000000 else 0 end as n from orders)"
+
+
+@query("join_ext", V.sql("select p.path, s.filename, s.x, s.y, s.z, case when s.filename is null then 'No exterior parameters for ' || p.name end as reason from p left join (select *, case when o % 2 = 0 then filename else filename || '.tif' end as name from (select *, regexp_extract(filename, '[0-9]+')::bigint as o from v_shot)) s on s.name = p.name", "v_shot", p=IMAGES))
 def join_ext(spark: SparkSession, sf: str) -> DataFrame:
-    """Images with their exterior parameters, by file name or else by its stem."""
-    return J.by_name(images(spark, sf), V.shots(spark, sf)).select("path", "filename", "x", "y", "z")
+    """Images with their exterior parameters, by file name or else by its stem; every fifth image has none."""
+    return J.by_name(images(spark, sf), V.shots(spark, sf)).select("path", "filename", "x", "y", "z", "reason")
 
 
-@query("join_int", V.sql("select s.filename, s.cam_id::bigint as cam_id, c.focal, c.k1 from v_shot s join v_cam c on s.cam_id = c.cam_id", "v_shot", "v_cam"))
+@query("join_int", V.sql("select s.filename, s.cam_id::bigint as cam_id, c.focal, c.k1, case when c.cam_id is null then 'No interior parameters for ' || s.cam_id end as reason from v_shot s left join v_cam c on s.cam_id = c.cam_id", "v_shot", "v_cam"))
 def join_int(spark: SparkSession, sf: str) -> DataFrame:
-    return J.with_interior(V.shots(spark, sf), V.cams(spark, sf)).select("filename", F.col("cam_id").cast("long").alias("cam_id"), "focal", "k1")
+    """Shots with the interior parameters of their cameras; one in seven cameras has none."""
+    return J.with_interior(V.shots(spark, sf), V.cams(spark, sf)).select("filename", F.col("cam_id").cast("long").alias("cam_id"), "focal", "k1", "reason")
 
 
 @query("join_int_one", V.sql("select filename, 5::bigint as cam_id from v_shot", "v_shot"))
@@ -41,17 +46,17 @@ def filenames(spark: SparkSession, sf: str) -> DataFrame:
     return V.gcps(spark, sf).select("filename").distinct()
 
 
-@query("gcp_missing", V.sql("select distinct filename from v_gcp where filename not in (select 'img_' || o_orderkey || '.tif' from orders where o_orderkey % 4 <> 3)", "v_gcp"))
+@query("gcp_missing", V.sql("select distinct filename from v_gcp where filename not in (select name from p)", "v_gcp", p=IMAGES))
 def gcp_missing(spark: SparkSession, sf: str) -> DataFrame:
     """Control points of no image."""
     return J.unmatched(V.gcps(spark, sf), images(spark, sf))
 
 
-@query("join_gcp", V.sql("select 'in/' || filename as path, count(*)::bigint as n from v_gcp where filename in (select 'img_' || o_orderkey || '.tif' from orders where o_orderkey % 4 <> 3) group by 1", "v_gcp"))
+@query("join_gcp", V.sql("select p.path, count(g.filename)::bigint as n from p left join v_gcp g on g.filename = p.name group by 1", "v_gcp", p=IMAGES))
 def join_gcp(spark: SparkSession, sf: str) -> DataFrame:
     """How many control points each image has."""
     g = V.gcps(spark, sf).groupBy("filename").agg(F.count("*").alias("n"))
-    return J.by_name(images(spark, sf), g).select("path", "n")
+    return J.by_name(images(spark, sf), g, what="control point").select("path", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 #: The model's pixel of a control point, normalised like the marked one.

@@ -1,22 +1,20 @@
-"""Files as DataFrames: whole texts, YAML parameters and plain TIFF rasters, on executors, by glob."""
+"""Files as DataFrames: whole texts, and the heads and pixels of image files, on executors, by glob."""
 
 from __future__ import annotations
 
-import struct
-import zlib
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralith.errors import ParamError
+from terralith.functions.text import file_name
+from terralith.sources import tiff
 
-#: Kinds of TIFF samples by (format, bits): fixed values.
-SAMPLES = {(1, 8): "u1", (1, 16): "u2", (2, 16): "i2", (3, 32): "f4", (3, 64): "f8"}
-#: Bytes of TIFF's field types: fixed values.
-FIELD = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 11: ("f", 4), 12: ("d", 8)}
+RPC_STRUCT = "struct<" + ", ".join([*(f"{n}: double" for n in tiff.RPC_ORDER), *(f"{n}: array<double>" for n in tiff.RPC_LISTS)]) + ">"
+HEAD_DDL = f"path string, width int, height int, bands int, dtype string, exif map<string,string>, xmp map<string,string>, rpc {RPC_STRUCT}, gcps array<array<double>>, epsg int, transform array<double>, nodata double"
 
 
 def texts(spark: SparkSession, glob: str) -> DataFrame:
@@ -24,105 +22,67 @@ def texts(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
+def paths(spark: SparkSession, globs: str | Iterable[str]) -> DataFrame:
+    """ord, path: the files that paths and wildcards name, in the order given; one that names none is an error."""
+    found = []
+    for k, g in enumerate([globs] if isinstance(globs, str) else globs):
+        p = spark._jvm.org.apache.hadoop.fs.Path(g)
+        got = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+        names = sorted(s.getPath().toString() for s in got or ())
+        if not names:
+            raise FileNotFoundError(g)
+        found += [(k, n) for n in names]
+    return spark.createDataFrame([(i, n) for i, (_, n) in enumerate(found)], "ord int, path string")
+
+
+def binaries(spark: SparkSession, globs: str | list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").load(globs).select("path", "content")
+
+
 def odm_images(spark: SparkSession, folder: str) -> DataFrame:
     """path, length: the images of a dataset folder, by their extensions."""
     names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/images").select("path", "length")
     return names.where(F.lower("path").rlike(r"\.(jpe?g|tiff?)$"))
 
 
-def interior_yaml(text: str) -> list[dict]:
-    """Cameras of a YAML text: keyed by id, or one flat camera with an optional name."""
-    doc = yaml.safe_load(text) or {}
-    if "type" in doc:
-        doc = {doc.pop("name", "unknown"): doc}
-    out = []
-    for name, c in doc.items():
-        missing = {"type", "im_size", "focal_len"} - set(c)
-        if missing:
-            raise ParamError(f"Camera {name} lacks {', '.join(sorted(missing))}")
-        out.append({"camera": str(name), "kind": c["type"], "im_size": list(map(int, c["im_size"])), "focal_len": float(c["focal_len"]), "sensor_size": [float(v) for v in c.get("sensor_size", [])] or None, "cx": float(c.get("cx", 0)), "cy": float(c.get("cy", 0))})
-    return out
-
-
-def read_interior_yaml(spark: SparkSession, glob: str) -> DataFrame:
-    schema = "array<struct<camera:string,kind:string,im_size:array<int>,focal_len:double,sensor_size:array<double>,cx:double,cy:double>>"
-
-    @F.pandas_udf(schema)
-    def parse(s: pd.Series) -> pd.Series:
-        return s.map(interior_yaml)
-
-    return texts(spark, glob).select("path", F.explode(parse("value")).alias("c")).select("path", "c.*")
-
-
-def write_tiff(pixels: np.ndarray) -> bytes:
-    """A band-first array as a TIFF: one deflated strip a band."""
-    bands, rows, cols = pixels.shape
-    code = next(k for k, v in SAMPLES.items() if np.dtype(v) == pixels.dtype)
-    strips = [zlib.compress(np.ascontiguousarray(b).astype(pixels.dtype.newbyteorder("<")).tobytes()) for b in pixels]
-    body, places = b"", []
-    for s in strips:
-        places.append(8 + len(body))
-        body += s + b"\0" * (len(s) % 2)
-    extra, fields, at = b"", [], 8 + len(body)
-
-    def field(tag: int, kind: int, values: list[int]) -> None:
-        nonlocal extra
-        raw = b"".join(struct.pack("<" + FIELD[kind][0], v) for v in values)
-        if len(raw) <= 4:
-            fields.append(struct.pack("<HHI", tag, kind, len(values)) + raw.ljust(4, b"\0"))
-        else:
-            fields.append(struct.pack("<HHII", tag, kind, len(values), at + len(extra)))
-            extra += raw
-
-    for tag, kind, values in ((256, 4, [cols]), (257, 4, [rows]), (258, 3, [code[1]] * bands), (259, 3, [8]), (262, 3, [1]), (273, 4, places), (277, 3, [bands]), (278, 4, [rows]), (279, 4, [len(s) for s in strips]), (284, 3, [2]), (339, 3, [code[0]] * bands)):
-        field(tag, kind, values)
-    return struct.pack("<2sHI", b"II", 42, at + len(extra)) + body + extra + struct.pack("<H", len(fields)) + b"".join(fields) + b"\0\0\0\0"
-
-
-def tiff_tags(data: bytes) -> dict[int, list]:
-    """The first directory's tags by number."""
-    order = {b"II": "<", b"MM": ">"}[data[:2]]
-    (at,) = struct.unpack_from(order + "I", data, 4)
-    (n,) = struct.unpack_from(order + "H", data, at)
-    tags = {}
-    for k in range(n):
-        tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
-        if kind not in FIELD:
-            continue
-        code, size = FIELD[kind]
-        place = at + 2 + 12 * k + 8
-        if size * count > 4:
-            (place,) = struct.unpack_from(order + "I", data, place)
-        tags[tag] = [data[place : place + count]] if code == "s" else [struct.unpack_from(order + code, data, place + size * m)[0] for m in range(count)]
-    return tags
-
-
-def read_tiff(data: bytes) -> np.ndarray:
-    """A band-first array of a TIFF in strips, plain or deflated."""
-    order, t = {b"II": "<", b"MM": ">"}[data[:2]], tiff_tags(data)
-    rows, cols, bands = t[257][0], t[256][0], t.get(277, [1])[0]
-    kind = np.dtype(SAMPLES[t.get(339, [1])[0], t[258][0]]).newbyteorder(order)
-    parts = [data[a : a + n] for a, n in zip(t[273], t[279], strict=True)]
-    match t.get(259, [1])[0]:
-        case 8 | 32946:
-            parts = [zlib.decompress(p) for p in parts]
-        case 1:
-            pass
-        case other:
-            raise ParamError(f"TIFF compression {other} isn't supported")
-    flat = np.frombuffer(b"".join(parts), kind).astype(kind.newbyteorder("="))
-    return flat.reshape(bands, rows, cols) if t.get(284, [1])[0] == 2 else flat.reshape(rows, cols, bands).transpose(2, 0, 1)
-
-
-def read_rasters(spark: SparkSession, glob: str) -> DataFrame:
-    """path, band, i, v: a row a line of a band, for all TIFF files of a glob; explode v for pixels."""
-    files = spark.read.format("binaryFile").load(glob).select("path", "content")
+def read_heads(spark: SparkSession, globs: str | list[str]) -> DataFrame:
+    """filename and what the heads of image files say: size, tags, models, control points and georeferencing."""
 
     def run(frames):
         for pdf in frames:
+            rows = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                image = read_tiff(bytes(content))
-                for b, band in enumerate(image):
-                    yield pd.DataFrame({"path": path, "band": b + 1, "i": np.arange(len(band)), "v": list(band.astype(float))})
+                try:
+                    h = tiff.head_of(bytes(content))
+                except ParamError as e:
+                    raise ParamError(f"{path}: {e}") from e
+                gcps = [list(map(float, g)) for g in h.gcps]
+                rows.append((path, h.width, h.height, h.bands, h.dtype, h.exif, h.xmp, h.rpc, gcps, h.epsg, h.transform, h.nodata))
+            yield pd.DataFrame(rows, columns=["path", "width", "height", "bands", "dtype", "exif", "xmp", "rpc", "gcps", "epsg", "transform", "nodata"])
+
+    return binaries(spark, globs).mapInPandas(run, HEAD_DDL).select(file_name(F.col("path")).alias("filename"), "*")
 
-    return files.mapInPandas(run, "path string, band int, i long, v array<double>")
+
+def read_rasters(spark: SparkSession, globs: str | list[str], bands: list[int] | None = None) -> DataFrame:
+    """path, band, i, v: a row a line of a band (1 first), for all TIFF files; explode v for pixels. Masked values are NULL."""
+
+    def run(frames):
+        for pdf in frames:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                data = bytes(content)
+                image, nodata = tiff.read_pixels(data), tiff.head_of(data).nodata
+                if bands and not set(bands) <= set(range(1, len(image) + 1)):
+                    raise ParamError(f"{path} has {len(image)} bands, not {bands}")
+                for b in bands or range(1, len(image) + 1):
+                    band = image[b - 1].astype(float)
+                    if nodata is not None:
+                        band[band == nodata] = np.nan
+                    yield pd.DataFrame({"path": path, "band": b, "i": np.arange(len(band)), "v": list(band)})
+
+    lines = binaries(spark, globs).mapInPandas(run, "path string, band int, i long, v array<double>")
+    return lines.withColumn("v", F.transform("v", lambda x: F.when(~F.isnan(x), x)))
+
+
+def pixels_of(lines: DataFrame, keys: tuple[str, ...] = ("path", "band")) -> DataFrame:
+    """A row a pixel that isn't masked, of lines."""
+    return lines.select(*keys, "i", F.posexplode("v").alias("j", "v")).select(*keys, "i", F.col("j").cast("long").alias("j"), "v").where("v is not null")

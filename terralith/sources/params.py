@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import csv
+import json
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terralith.errors import ParamError
+from terralith.errors import CrsError, ParamError
+from terralith.functions import crs as C
 from terralith.functions.cameras import COEFFICIENTS
 from terralith.functions.text import plain_id, projection_kind
+from terralith.sources import store
 
 #: Parameters that all kinds of camera have: fixed names.
 COMMON = ("im_size", "focal_len", "sensor_size", "cx", "cy")
-ALIASES = {"lat": "latitude", "lon": "longitude", "alt": "altitude"}
-
 
 def unknown_parameters(names: Column, kind: str) -> Column:
     return F.array_except(names, F.array(*map(F.lit, (*COMMON, *COEFFICIENTS[kind]))))
@@ -26,20 +27,10 @@ def last_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("_r")).select(*keys, "_r.*")
 
 
-def sniff(sample: str) -> tuple[str, list[str]]:
-    """Delimiter and field names of a table's first line."""
-    delimiter = csv.Sniffer().sniff(sample, delimiters=",;: \t").delimiter
-    names = [n.strip().strip("'\"").lower() for n in sample.split(delimiter)]
-    return delimiter, [ALIASES.get(n, n) for n in names if n]
-
-
-def read_exterior_lines(lines: DataFrame, header: str, radians: bool = False) -> DataFrame:
-    """filename, position and angles (radians) of lines of text (value) by their header; unknown fields are ignored."""
-    delimiter, names = sniff(header)
-    if not {"filename", "x", "y", "z", "omega", "phi", "kappa"} <= set(names):
-        raise ParamError(f"The table's fields don't make a known format: {names}")
-    parsed = lines.select(F.from_csv("value", ", ".join(f"`{n}` {'string' if n in ('filename', 'camera') else 'double'}" for n in names), {"sep": delimiter, "ignoreLeadingWhiteSpace": "true"}).alias("r")).select("r.*")
-    return parsed if radians else parsed.withColumns({c: F.radians(c) for c in ("omega", "phi", "kappa")})
+def cameras_of(docs: DataFrame) -> DataFrame:
+    """Objects of cameras (value) by id, from such objects or from reconstructions that hold one."""
+    whole = F.get_json_object("value", "$[0].cameras")
+    return docs.select(F.coalesce(whole, F.col("value")).alias("value"))
 
 
 def read_interior_json(docs: DataFrame) -> DataFrame:
@@ -50,13 +41,17 @@ def read_interior_json(docs: DataFrame) -> DataFrame:
     return out.where("kind is not null")
 
 
-def write_gcps(gcps: DataFrame) -> DataFrame:
-    """filename, value: a GeoJSON feature collection an image, points in order."""
-    feature = F.struct(
+def gcp_feature() -> Column:
+    return F.struct(
         F.lit("Feature").alias("type"),
         F.struct(F.col("filename"), F.array("j", "i").alias("ji"), F.col("ord").alias("id")).alias("properties"),
         F.struct(F.lit("Point").alias("type"), F.array("lon", "lat", "h").alias("coordinates")).alias("geometry"),
     )
+
+
+def write_gcps(gcps: DataFrame) -> DataFrame:
+    """filename, value: a GeoJSON feature collection an image, points in order."""
+    feature = gcp_feature()
     grouped = gcps.groupBy("filename").agg(F.sort_array(F.collect_list(F.struct("ord", feature.alias("f")))).alias("f"))
     return grouped.select("filename", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.transform("f", lambda x: x["f"]).alias("features"))).alias("value"))
 
@@ -67,9 +62,62 @@ def read_gcps(docs: DataFrame) -> DataFrame:
     return f.select("f.properties.filename", "ord", F.col("f.properties.ji")[0].alias("j"), F.col("f.properties.ji")[1].alias("i"), *(F.col("f.geometry.coordinates")[k].alias(c) for k, c in enumerate(("lon", "lat", "h"))), F.col("f.properties.id").alias("id"))
 
 
-def write_exterior_features(shots: DataFrame) -> DataFrame:
-    """value: a GeoJSON feature a shot."""
-    return shots.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct("filename", F.array("x", "y", "z").alias("xyz"), F.array("omega", "phi", "kappa").alias("opk"), F.col("cam_id").cast("string").alias("camera")).alias("properties"))).alias("value"))
+def exterior_features(shots: DataFrame, crs: C.Crs | None = None) -> DataFrame:
+    """value: a GeoJSON feature a shot, with the place in longitude, latitude and height where the system is known."""
+    camera = next((F.col(c).cast("string") for c in ("camera", "cam_id") if c in shots.columns), F.lit(None).cast("string"))
+    props = F.struct("filename", camera.alias("camera"), F.array("x", "y", "z").alias("xyz"), F.array("omega", "phi", "kappa").alias("opk"))
+    parts = [F.lit("Feature").alias("type"), props.alias("properties")]
+    if crs is not None:
+        lon, lat = C.back(crs, F.col("x"), F.col("y"))
+        parts.append(F.struct(F.lit("Point").alias("type"), F.array(lon, lat, F.col("z") * crs.z_scale).alias("coordinates")).alias("geometry"))
+    return shots.select("filename", F.to_json(F.struct(*parts)).alias("value"))
+
+
+def collected(features: DataFrame, head: str) -> Iterator[str]:
+    """A GeoJSON collection, feature by feature, in order of file names: the driver holds a part at a time."""
+    yield head
+    for k, r in enumerate(features.toLocalIterator()):
+        yield ("\n" if not k else ",\n") + r["value"]
+    yield "\n]}\n"
+
+
+def write_exterior(shots: DataFrame, crs: C.Crs, path: str, overwrite: bool = False) -> None:
+    """A GeoJSON file of shots in a projected system."""
+    if not crs.projected:
+        raise CrsError("Exterior parameters are written in a projected system")
+    head = f'{{"type": "FeatureCollection", "world_crs": {json.dumps(crs.text())}, "features": ['
+    store.write_text(shots.sparkSession, path, collected(exterior_features(shots, crs).orderBy("filename"), head), overwrite)
+
+
+def write_gcp_file(gcps: DataFrame, path: str, overwrite: bool = False) -> None:
+    """One GeoJSON file of all images' control points."""
+    rows = gcps.orderBy("filename", "ord") if "ord" in gcps.columns else gcps.orderBy("filename")
+    store.write_text(gcps.sparkSession, path, collected(rows.select(F.to_json(gcp_feature()).alias("value")), '{"type": "FeatureCollection", "features": ['), overwrite)
+
+
+def rpc_of_heads(heads: DataFrame) -> DataFrame:
+    """filename, im_size and rpc of image heads; an image without a model is an error."""
+    bad = heads.where("rpc is null").select("filename").first()
+    if bad:
+        raise ParamError(f"{bad['filename']} has no rational polynomial model")
+    return heads.select("filename", F.array("width", "height").alias("im_size"), "rpc")
+
+
+def gcps_of_heads(heads: DataFrame) -> DataFrame:
+    """Control points (filename, ord, j, i, lon, lat, h) of image heads, in longitude, latitude and height."""
+    bad = heads.where("gcps is null or size(gcps) = 0").select("filename").first()
+    if bad:
+        raise ParamError(f"{bad['filename']} has no control points")
+    g = heads.select("filename", "epsg", F.posexplode("gcps").alias("ord", "g"))
+    codes = [r["epsg"] for r in g.select("epsg").distinct().collect()]
+    x, y = F.col("g")[3], F.col("g")[4]
+    lon, lat = x, y
+    for code in codes:
+        system = C.parse_crs(f"EPSG:{code}") if code is not None else C.Crs("lonlat")
+        a, b = C.back(system, x, y)
+        here = F.col("epsg").eqNullSafe(F.lit(code))
+        lon, lat = F.when(here, a).otherwise(lon), F.when(here, b).otherwise(lat)
+    return g.select("filename", "ord", F.col("g")[0].alias("j"), F.col("g")[1].alias("i"), lon.alias("lon"), lat.alias("lat"), F.col("g")[5].alias("h"))
 
 
 def read_exterior_features(docs: DataFrame) -> DataFrame:
