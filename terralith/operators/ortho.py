@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from terralith.functions import cameras as C
 
 
-def with_heights(cells: DataFrame, dem: DataFrame) -> DataFrame:
-    """Cells with the elevation raster's z of the same row and column; cells without one are left out."""
-    return cells.join(dem.select(F.col("i").alias("r"), F.col("j").alias("c"), "z"), ["r", "c"]).where("z is not null")
+def with_heights(cells: DataFrame, dem: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """Cells with the elevation raster's z of the same row and column, and more of its columns; cells without one are left out."""
+    return cells.join(dem.select(*(more or []), F.col("i").alias("r"), F.col("j").alias("c"), "z"), ["r", "c"]).where("z is not null")
 
 
 def seen(cells: DataFrame, camera: C.Frame) -> DataFrame:
@@ -22,10 +22,15 @@ def seen(cells: DataFrame, camera: C.Frame) -> DataFrame:
 
 
 def ray_hits(rays: DataFrame, dem: DataFrame, steps: int, row: Callable[[Column, Column], Column], column: Callable[[Column, Column], Column]) -> DataFrame:
-    """id, step, x, y: the first of the steps at which each ray (x, y, z, dx, dy, dz) is at or below the surface."""
+    """id, step, x, y, hit: the first of the steps at which each ray (x, y, z, dx, dy, dz) is at or below the surface.
+
+    A ray that meets no surface gives its last step, the lowest point, and hit is false.
+    """
     s = F.col("step")
     at = rays.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps)).cast("array<long>")))
     at = at.select("id", "step", (F.col("x") + F.col("dx") * s).alias("x"), (F.col("y") + F.col("dy") * s).alias("y"), (F.col("z") + F.col("dz") * s).alias("rz"))
     at = at.withColumn("i", row(F.col("x"), F.col("y")).cast("long")).withColumn("j", column(F.col("x"), F.col("y")).cast("long"))
-    below = at.join(dem.select("i", "j", F.col("z").alias("surface")), ["i", "j"]).where("rz <= surface")
-    return below.groupBy("id").agg(F.min(F.struct("step", "x", "y")).alias("h")).select("id", "h.step", "h.x", "h.y")
+    met = at.join(dem.select("i", "j", F.col("z").alias("surface")), ["i", "j"], "left")
+    point = F.struct("step", "x", "y")
+    ends = met.groupBy("id").agg(F.min(F.when(F.col("rz") <= F.col("surface"), point)).alias("first"), F.max(point).alias("last"))
+    return ends.select("id", F.coalesce("first", "last").alias("h"), F.col("first").isNotNull().alias("hit")).select("id", "h.step", "h.x", "h.y", "hit")

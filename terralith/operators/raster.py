@@ -1,4 +1,4 @@
-"""Rasters as pixel tables (i, j, v): grids, gathers, resampling, masks, overviews and windows.
+"""Rasters as pixel tables (i, j, v, and keys such as image and band): grids, gathers, resampling, masks, overviews and windows.
 
 Masked pixels have no row or a NULL value. Gathers are equi-joins on whole coordinates, so that Catalyst
 picks broadcast or shuffle by the size of the source; nothing here holds a raster in one place.
@@ -6,12 +6,10 @@ picks broadcast or shuffle by the size of the source; nothing here holds a raste
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terralith.functions.num import total
+from terralith.operators import blocks
 
 
 def grid(spark: SparkSession, rows: int, cols: int, partitions: int | None = None) -> DataFrame:
@@ -25,56 +23,32 @@ def placed(cells: DataFrame, x0: float, y0: float, dx: float, dy: float) -> Data
     return cells.withColumn("x", x0 + dx * (F.col("c") + 0.5)).withColumn("y", y0 + dy * (F.col("r") + 0.5))
 
 
-def nearest(cells: DataFrame, source: DataFrame, j: Column, i: Column, value: str = "v") -> DataFrame:
-    """Cells with the source's value at the pixel nearest to (j, i), half to even; cells without one are left out."""
-    at = cells.withColumn("_i", F.rint(i).cast("long")).withColumn("_j", F.rint(j).cast("long"))
-    src = source.select(F.col("i").alias("_i"), F.col("j").alias("_j"), value)
-    return at.join(src, ["_i", "_j"]).drop("_i", "_j")
-
-
-def cubic(t: Column, a: float = -0.75) -> Column:
-    """Weight of the cubic convolution kernel at a distance."""
-    d = F.abs(t)
-    near = ((a + 2) * d - (a + 3)) * d * d + 1
-    far = ((a * d - 5 * a) * d + 8 * a) * d - 4 * a
-    return F.when(d <= 1, near).when(d < 2, far).otherwise(0.0)
-
-
-def linear(t: Column) -> Column:
-    return F.greatest(F.lit(0.0), 1 - F.abs(t))
-
-
-def lanczos(t: Column, lobes: int = 4) -> Column:
-    x = F.lit(3.141592653589793) * t
-    return F.when(F.abs(t) < 1e-12, 1.0).when(F.abs(t) < lobes, F.try_divide(lobes * F.sin(x) * F.sin(x / lobes), x * x)).otherwise(0.0)
-
-
-KERNELS: dict[str, tuple[int, Callable[[Column], Column]]] = {"bilinear": (1, linear), "cubic": (2, cubic), "lanczos": (4, lanczos)}
+def nearest(cells: DataFrame, source: DataFrame, j: Column, i: Column, by: list[str] | None = None) -> DataFrame:
+    """Cells with the source's value at the pixel nearest to (j, i), half to even; cells without one are left out.
 
+    by: columns that cells and source share, such as the image; other columns of the source, such as the band, multiply
+    the cells.
+    """
+    by = by or []
+    more = [c for c in source.columns if c not in (*by, "i", "j")]
+    at = cells.withColumn("at_i", F.rint(i).cast("long")).withColumn("at_j", F.rint(j).cast("long"))
+    src = source.select(*by, F.col("i").alias("at_i"), F.col("j").alias("at_j"), *more)
+    return at.join(src, [*by, "at_i", "at_j"]).drop("at_i", "at_j")
 
-def interpolated(cells: DataFrame, keys: list[str], source: DataFrame, j: Column, i: Column, kernel: str) -> DataFrame:
-    """keys and v: a weighted mean of the source's pixels around (j, i).
 
-    Joined on rows alone: each cell meets the source rows its taps need, as arrays, and picks columns
-    by place, so that a cell costs twice the kernel's reach in joined rows, not its square. A cell with a tap
-    outside the source or on a masked pixel is left out.
-    """
-    reach, weight = KERNELS[kernel]
-    lines = source.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "v"))).alias("_line"))
-    at = cells.select(*keys, j.alias("_x"), i.alias("_y")).withColumn("_i0", F.floor("_y") - (reach - 1)).withColumn("_j0", F.floor("_x") - (reach - 1))
-    taps = at.withColumn("i", F.explode(F.transform(F.sequence(F.lit(0), F.lit(2 * reach - 1)), lambda k: F.col("_i0") + k))).join(lines, "i")
-    across = [(F.try_element_at("_line", F.col("_j0") + n), weight(F.col("_x") - (F.col("_j0") + n))) for n in range(2 * reach)]
-    row = total(v * w for v, w in across)
-    size = total(w for _, w in across)
-    own = weight(F.col("_y") - F.col("i"))
-    out = taps.groupBy(*keys).agg(F.sum(row * own).alias("_v"), F.sum(size * own).alias("_w"), F.count(row).alias("_n"))
-    return out.where(F.col("_n") == 2 * reach).select(*keys, (F.col("_v") / F.col("_w")).alias("v"))
+def interpolated(cells: DataFrame, source: DataFrame, j: Column, i: Column, kernel: str, by: list[str] | None = None) -> DataFrame:
+    """Cells with a weighted mean of the source's pixels around (j, i), in blocks: see blocks.interpolated()."""
+    others = [c for c in cells.columns if c not in ("i", "j")]
+    return blocks.interpolated(cells.select(*others, j.cast("double").alias("j"), i.cast("double").alias("i")), source, kernel, by)
 
 
-def overview(source: DataFrame, level: int) -> DataFrame:
-    """The mean of blocks of 2**level pixels a side."""
-    k = 1 << level
-    return source.groupBy(F.expr(f"i div {k}").alias("i"), F.expr(f"j div {k}").alias("j")).agg(F.avg("v").alias("v")).withColumn("level", F.lit(level))
+def resampled(cells: DataFrame, source: DataFrame, j: Column, i: Column, kernel: str, by: list[str] | None = None) -> DataFrame:
+    """By the nearest pixel or a kernel."""
+    if kernel == "nearest":
+        return nearest(cells, source, j, i, by).drop("i", "j")
+    if kernel not in blocks.KERNELS:
+        raise ValueError(f"Unknown kernel {kernel}: nearest, {', '.join(blocks.KERNELS)}")
+    return interpolated(cells, source, j, i, kernel, by)
 
 
 def overview_levels(rows: int, cols: int, most: int = 8, least_pixels: int = 256) -> int:
@@ -83,18 +57,22 @@ def overview_levels(rows: int, cols: int, most: int = 8, least_pixels: int = 256
     return max(0, min(most, short.bit_length() - 1 - (least_pixels.bit_length() - 1)))
 
 
-def overviews(source: DataFrame, levels: int) -> DataFrame:
-    """Every level from the source itself, in one pass: each pixel goes to its block of each level."""
-    if not levels:
-        return source.limit(0).select("i", "j", "v", F.lit(0).alias("level"))
-    each = source.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(levels))))
-    block = lambda c: F.shiftright(c, F.col("level"))
-    each = each.select(F.expr("shiftright(i, level)").alias("i"), F.expr("shiftright(j, level)").alias("j"), "v", "level")
-    return each.groupBy("level", "i", "j").agg(F.avg("v").alias("v"))
+def overviews(source: DataFrame, levels: int, by: list[str] | None = None) -> DataFrame:
+    """by, level, i, j, v: means of blocks of 2, 4, 8, ... pixels a side; each level adds up the sums of the one before."""
+    by = by or []
+    half = lambda c: F.shiftright(c, 1).alias(c)
+    sums = source.where("v is not null").select(*by, "i", "j", F.col("v").alias("s"), F.lit(1).cast("long").alias("n"))
+    out = source.limit(0).select(*by, F.lit(0).alias("level"), "i", "j", "v")
+    for level in range(1, levels + 1):
+        sums = sums.groupBy(*by, half("i"), half("j")).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+        out = out.unionByName(sums.select(*by, F.lit(level).alias("level"), "i", "j", (F.col("s") / F.col("n")).alias("v")))
+    return out
+
 
+def averaged(source: DataFrame, factor_i: float, factor_j: float, by: list[str] | None = None) -> DataFrame:
+    """by, r, c, v: area-weighted means on a grid whose cells are so many pixels high and wide."""
+    by = by or []
 
-def averaged(source: DataFrame, factor_i: float, factor_j: float) -> DataFrame:
-    """Area-weighted means on a grid whose cells are so many pixels high and wide."""
     def parts(c: str, f: float):
         first, last = F.floor(F.col(c) / f), F.ceil((F.col(c) + 1) / f) - 1
         return F.explode(F.sequence(first.cast("long"), last.cast("long")))
@@ -102,14 +80,32 @@ def averaged(source: DataFrame, factor_i: float, factor_j: float) -> DataFrame:
     share = lambda c, cell, f: F.least(F.col(c) + 1, (F.col(cell) + 1) * f) - F.greatest(F.col(c).cast("double"), F.col(cell) * f)
     cells = source.withColumn("r", parts("i", factor_i)).withColumn("c", parts("j", factor_j))
     cells = cells.withColumn("w", share("i", "r", factor_i) * share("j", "c", factor_j)).where("w > 1e-12 and v is not null")
-    return cells.groupBy("r", "c").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"))
+    return cells.groupBy(*by, "r", "c").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"))
 
 
-def dilated(mask: DataFrame, reach: int) -> DataFrame:
-    """i, j, m: the maximum of a dense mask in a square of 2*reach+1 pixels, a side at a time."""
-    across = Window.partitionBy("i").orderBy("j").rangeBetween(-reach, reach)
-    down = Window.partitionBy("j").orderBy("i").rangeBetween(-reach, reach)
-    return mask.withColumn("m", F.max("m").over(across)).withColumn("m", F.max("m").over(down))
+def dilated(mask: DataFrame, reach: int, by: list[str] | None = None) -> DataFrame:
+    """by, i, j, m: the maximum of a mask in a square of 2*reach+1 pixels."""
+    return blocks.around(mask, reach, blocks.widest(reach), by, "m").withColumn("m", F.col("m").cast(mask.schema["m"].dataType))
+
+
+def median(rows: DataFrame, value: str = "z", bins: int = 4096) -> DataFrame:
+    """One row with the median of a column, NULLs left out; NULL of no rows.
+
+    Exact without sorting all: values are counted in bins of equal width between the least and the greatest, and only
+    those of the one or two bins that hold the middle are ranked. The table of counts is bounded by bins.
+    """
+    v = F.col(value)
+    known = rows.where(v.isNotNull()).select(v.cast("double").alias("v"))
+    ends = F.broadcast(known.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")))
+    bin_of = F.least(F.lit(bins - 1), F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")) * bins), F.lit(0))).cast("int")
+    binned = known.join(ends).withColumn("bin", bin_of)
+    upto = binned.groupBy("bin").agg(F.count("*").alias("m"), F.first("n").alias("n")).withColumn("upto", F.sum("m").over(Window.orderBy("bin")))
+    # the middle one, or the two middle ones, of n values in order
+    low, high = F.expr("(n - 1) div 2"), F.expr("n div 2")
+    holds = lambda k: (k >= F.col("upto") - F.col("m")) & (k < F.col("upto"))
+    chosen = upto.where(holds(low) | holds(high)).select("bin", (F.col("upto") - F.col("m")).alias("before"), low.alias("low"), high.alias("high"))
+    ranked = binned.join(F.broadcast(chosen), "bin").withColumn("k", F.row_number().over(Window.partitionBy("bin").orderBy("v")) - 1 + F.col("before"))
+    return ranked.where("k = low or k = high").agg(F.avg("v").alias(value))
 
 
 def extremes(dem: DataFrame) -> DataFrame:

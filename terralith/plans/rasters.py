@@ -15,58 +15,66 @@ from terralith.functions import cameras as C
 from terralith.plans.catalog import query
 
 L = lambda c: F.col(c).cast("long").alias(c)
-#: The ortho grid of all queries: 60 x 64 cells of 4 m, north up, below the camera.
+#: The ortho grid of an image: 60 x 64 cells of 4 m, north up, below the camera.
 GRID = {"rows": 60, "cols": 64, "x0": 19880.0, "y0": 30120.0, "dx": 4.0, "dy": -4.0}
 CELLS = "select r, c, 19880.0::double + 4.0::double * (c + 0.5::double) as x, 30120.0::double - 4.0::double * (r + 0.5::double) as y from (select unnest(range(0, 60)) as r), (select unnest(range(0, 64)) as c)"
-#: Heights of the grid come from the elevation raster's pixel of the same number.
-Z = "select r, c, x, y, z from cells join v_dem on i = r and j = c"
-SHOT = "select r, c, (r00*(x-tx)+r10*(y-ty)+r20*(z-tz)) as a, (r01*(x-tx)+r11*(y-ty)+r21*(z-tz)) as b, (r02*(x-tx)+r12*(y-ty)+r22*(z-tz)) as w, fx, fy, cx, cy from cz, cam"
-PXS = "select r, c, fx*(a/w)+cx as j, fy*(b/w)+cy as i from shot"
-#: The image is the raster seen as 150 rows and 64 columns: pixel columns beyond it are masked.
-IMAGE = "select i, j, v from v_raster where i < 150"
+#: Heights of an image's grid come from the elevation raster's pixels beside the image's rows.
+Z = "select d.i // 150 as image, r, c, x, y, z from cells join v_dem d on d.i % 150 = r and d.j = c"
+SHOT = "select image, r, c, (r00*(x-tx)+r10*(y-ty)+r20*(z-tz)) as a, (r01*(x-tx)+r11*(y-ty)+r21*(z-tz)) as b, (r02*(x-tx)+r12*(y-ty)+r22*(z-tz)) as w, fx, fy, cx, cy from cz, cam"
+PXS = "select image, r, c, fx*(a/w)+cx as j, fy*(b/w)+cy as i from shot"
+#: The raster is a pile of images of 150 rows and 64 columns with two bands; pixel columns beyond them are masked.
+IMAGE = "select i // 150 as image, band, i % 150 as i, j, case when band = 1 then v else 2 * v + 1 end as v from v_raster, (values (1), (2)) as b(band)"
 GRID_PARTS = {"cells": CELLS, "rot": ROT, "cam": CAM, "cz": Z, "shot": SHOT, "px": PXS, "image": IMAGE}
 
 
 def image(spark: SparkSession, sf: str) -> DataFrame:
-    return V.raster(spark, sf).where("i < 150")
+    """image, band, i, j, v: all images of the raster."""
+    rows = V.raster(spark, sf).select(F.expr("i div 150").alias("image"), (F.col("i") % 150).alias("i"), "j", "v")
+    both = F.explode(F.array(F.struct(F.lit(1).alias("band"), F.col("v").alias("v")), F.struct(F.lit(2).alias("band"), (2 * F.col("v") + 1).alias("v"))))
+    return rows.withColumn("b", both).select("image", "b.band", "i", "j", "b.v")
 
 
 def cells_in_pixels(spark: SparkSession, sf: str, kind: str = "pinhole", d: dict | None = None) -> DataFrame:
-    """r, c, j, i: where each cell of the ortho grid lies in the image."""
+    """image, r, c, j, i: where each cell of each image's grid lies in it."""
     cells = R.placed(R.grid(spark, GRID["rows"], GRID["cols"]), GRID["x0"], GRID["y0"], GRID["dx"], GRID["dy"])
-    return O.seen(O.with_heights(cells, V.dem(spark, sf)), C.Frame(K, POSE, kind, d or {}))
+    heights = V.dem(spark, sf).select(F.expr("i div 150").alias("image"), (F.col("i") % 150).alias("i"), "j", "z")
+    return O.seen(O.with_heights(cells, heights, ["image"]), C.Frame(K, POSE, kind, d or {})).select("image", "r", "c", "j", "i")
 
 
 def _ortho(value_sql: str) -> str:
     return V.sql(value_sql, "v_raster", "v_dem", **GRID_PARTS)
 
 
-@query("ortho_nearest", _ortho("select r::bigint as r, c::bigint as c, v from px join image on image.i = round_even(px.i, 0)::bigint and image.j = round_even(px.j, 0)::bigint"))
+NEAREST = "px join image on image.image = px.image and image.i = round_even(px.i, 0)::bigint and image.j = round_even(px.j, 0)::bigint"
+
+
+@query("ortho_nearest", _ortho(f"select px.image::bigint as image, band::integer as band, r::bigint as r, c::bigint as c, v from {NEAREST}"))
 def ortho_nearest(spark: SparkSession, sf: str) -> DataFrame:
-    """Orthorectification: grid, heights, projection through the camera, gather of the nearest pixel."""
-    out = R.nearest(cells_in_pixels(spark, sf), image(spark, sf), F.col("j"), F.col("i"))
-    return out.select(L("r"), L("c"), "v")
+    """Orthorectification of all images: grid, heights, projection through the camera, gather of the nearest pixel of all bands."""
+    out = R.nearest(cells_in_pixels(spark, sf), image(spark, sf), F.col("j"), F.col("i"), ["image"])
+    return out.select(L("image"), "band", L("r"), L("c"), "v")
 
 
-@query("ortho_tiles", _ortho("select (r // 16)::bigint as tile_r, (c // 16)::bigint as tile_c, count(*)::bigint as n, round(avg(v), 9) + 0.0 as mean from px join image on image.i = round_even(px.i, 0)::bigint and image.j = round_even(px.j, 0)::bigint group by 1, 2"))
+@query("ortho_tiles", _ortho(f"select px.image::bigint as image, band::integer as band, (r // 16)::bigint as tile_r, (c // 16)::bigint as tile_c, count(*)::bigint as n, round(avg(v), 9) + 0.0 as mean from {NEAREST} group by 1, 2, 3, 4"))
 def ortho_tiles(spark: SparkSession, sf: str) -> DataFrame:
-    """What each tile of the ortho image holds."""
-    out = ortho_nearest(spark, sf).groupBy(F.expr("r div 16").alias("tile_r"), F.expr("c div 16").alias("tile_c"))
+    """What each tile of the ortho images holds."""
+    out = ortho_nearest(spark, sf).groupBy("image", "band", F.expr("r div 16").alias("tile_r"), F.expr("c div 16").alias("tile_c"))
     return out.agg(F.count("*").alias("n"), shown(F.avg("v"), 9).alias("mean"))
 
 
 #: Places at fractions of pixels for the resampling queries.
-TAPS = "select id, (id * 37 % 6100) * 0.01::double as j, (id * 53 % 14700) * 0.01::double as i from v_world"
+TAPS = "select id, id % (select max(vec_id) // 150 + 1 from embeddings) as image, (id * 37 % 6100) * 0.01::double as j, (id * 53 % 14700) * 0.01::double as i from v_world"
 
 
 def taps(spark: SparkSession, sf: str) -> DataFrame:
+    images = V.table(spark, sf, "embeddings").agg(F.expr("max(vec_id) div 150 + 1")).first()[0]
     e = F.col("id")
-    return V.world(spark, sf).select(L("id"), ((e * 37 % 6100) * 0.01).alias("j"), ((e * 53 % 14700) * 0.01).alias("i"))
+    return V.world(spark, sf).select(L("id"), (e % images).cast("long").alias("image"), ((e * 37 % 6100) * 0.01).alias("j"), ((e * 53 % 14700) * 0.01).alias("i"))
 
 
-@query("remap_nearest", V.sql("select id::bigint as id, v from taps join image on image.i = round_even(taps.i, 0)::bigint and image.j = round_even(taps.j, 0)::bigint", "v_world", "v_raster", taps=TAPS, image=IMAGE))
+@query("remap_nearest", V.sql("select id::bigint as id, band::integer as band, v from taps join image on image.image = taps.image and image.i = round_even(taps.i, 0)::bigint and image.j = round_even(taps.j, 0)::bigint", "v_world", "v_raster", taps=TAPS, image=IMAGE))
 def remap_nearest(spark: SparkSession, sf: str) -> DataFrame:
-    return R.nearest(taps(spark, sf), image(spark, sf), F.col("j"), F.col("i")).select("id", "v")
+    return R.nearest(taps(spark, sf), image(spark, sf), F.col("j"), F.col("i"), ["image"]).select("id", "band", "v")
 
 
 BI = "greatest(0, 1 - abs(t.j - p.j)) * greatest(0, 1 - abs(t.i - p.i))"
@@ -74,30 +82,36 @@ CU = "(case when {d} <= 1 then (1.25::double*{d} - 2.25::double)*{d}*{d} + 1 whe
 CUBIC = CU.format(d="abs(t.j - p.j)") + "*" + CU.format(d="abs(t.i - p.i)")
 
 
-def _kernel_sql(weight: str, reach: int, places: str = "taps", *views: str, **parts: str) -> str:
+LANCZOS = "(case when {d} < 1e-12::double then 1 when {d} < 4 then 4 * sin(pi() * {d}) * sin(pi() * {d} / 4) / (pi() * pi() * {d} * {d}) else 0 end)"
+LANCZOS_2D = LANCZOS.format(d="abs(t.j - p.j)") + "*" + LANCZOS.format(d="abs(t.i - p.i)")
+
+
+def _kernel_sql(weight: str, reach: int, keys: str = "id", places: str = "taps", *views: str, **parts: str) -> str:
+    names = [k.strip() for k in keys.split(",")]
+    spread = f"select t.*, floor(t.i)::bigint + di as pi, floor(t.j)::bigint + dj as pj from {places} t, (select unnest(range({1 - reach}, {reach + 1})) as di) a, (select unnest(range({1 - reach}, {reach + 1})) as dj) b"
     return V.sql(
-        f"select id::bigint as id, round(sum(v * w) / sum(w), 6) + 0.0 as v from (select id, v, {weight} as w from {places} t, (select unnest(range({1 - reach}, {reach + 1})) as di) a, (select unnest(range({1 - reach}, {reach + 1})) as dj) b, image p where p.i = floor(t.i)::bigint + di and p.j = floor(t.j)::bigint + dj) group by id having count(*) = {4 * reach * reach}",
-        "v_world", "v_raster", *views, **({"taps": TAPS, "image": IMAGE} | parts),
+        f"select {', '.join(f'{k}::bigint as {k}' for k in names)}, band::integer as band, round(sum(v * w) / sum(w), 6) + 0.0 as v from (select {', '.join(f't.{k}' for k in names)}, band, v, {weight} as w from spread t join image p on p.image = t.image and p.i = t.pi and p.j = t.pj) group by {keys}, band having count(*) = {4 * reach * reach}",
+        "v_world", "v_raster", *views, **({"taps": TAPS, "image": IMAGE} | parts | {"spread": spread}),
     )
 
 
 def _remap(kernel: str, digits: int = 6):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        out = R.interpolated(taps(spark, sf), ["id"], image(spark, sf), F.col("j"), F.col("i"), kernel)
-        return out.select("id", shown(F.col("v"), digits).alias("v"))
+        out = R.interpolated(taps(spark, sf), image(spark, sf), F.col("j"), F.col("i"), kernel, ["image"])
+        return out.select("id", "band", shown(F.col("v"), digits).alias("v"))
 
     return run
 
 
 query("remap_bilinear", _kernel_sql(BI, 1))(_remap("bilinear"))
 query("remap_cubic", _kernel_sql(CUBIC, 2))(_remap("cubic"))
-query("remap_lanczos")(_remap("lanczos"))
+query("remap_lanczos", _kernel_sql(LANCZOS_2D, 4))(_remap("lanczos"))
 
 
-@query("ortho_bilinear", _kernel_sql(BI, 1, "(select r * 64 + c as id, j, i from px)", "v_dem", **GRID_PARTS))
+@query("ortho_bilinear", _kernel_sql(BI, 1, "image, r, c", "px", "v_dem", **GRID_PARTS))
 def ortho_bilinear(spark: SparkSession, sf: str) -> DataFrame:
-    px = cells_in_pixels(spark, sf).withColumn("id", F.col("r") * 64 + F.col("c"))
-    return R.interpolated(px, ["id"], image(spark, sf), F.col("j"), F.col("i"), "bilinear").select(L("id"), shown(F.col("v")).alias("v"))
+    out = R.interpolated(cells_in_pixels(spark, sf), image(spark, sf), F.col("j"), F.col("i"), "bilinear", ["image"])
+    return out.select(L("image"), L("r"), L("c"), "band", shown(F.col("v")).alias("v"))
 
 
 @query("remap_mask", V.sql("select i::bigint as i, j::bigint as j, bool_and(v is null) as masked from (select i, j, 1 as band, case when v > -0.1 then v end as v from v_raster union all select i, j, 2, case when v < 0.05 then v end from v_raster union all select i, j, 3, case when v > 0.3 or v < -0.3 then v end from v_raster) group by i, j", "v_raster"))
@@ -157,7 +171,7 @@ def dem_minmax(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("dem_median", V.sql("select round(median(z), 9) + 0.0 as z from v_dem", "v_dem"))
 def dem_median(spark: SparkSession, sf: str) -> DataFrame:
-    return V.dem(spark, sf).agg(shown(F.median("z"), 9).alias("z"))
+    return R.median(V.dem(spark, sf)).select(shown(F.col("z"), 9).alias("z"))
 
 
 @query("dem_argminmax", V.sql("select a.z as z_min, a.i::bigint as i_min, a.j::bigint as j_min, b.z as z_max, b.i::bigint as i_max, b.j::bigint as j_max from (select * from v_dem order by z, i, j limit 1) a, (select * from v_dem order by z desc, i, j limit 1) b", "v_dem"))
@@ -219,14 +233,14 @@ def world_ring(spark: SparkSession, z) -> DataFrame:
 @query("gsd", V.sql("select round(sqrt(abs(sum(x * ny - nx * y)) / 2 / (199.0::double * 149)), 9) + 0.0 as gsd from (select x, y, coalesce(lead(x) over w, first_value(x) over w) as nx, coalesce(lead(y) over w, first_value(y) over w) as ny from wr window w as (order by ord))", "v_dem", **GSD_PARTS))
 def gsd(spark: SparkSession, sf: str) -> DataFrame:
     """Ground size of a pixel: the root of the boundary's area in the world, at the median height, over that in pixels."""
-    mid = V.dem(spark, sf).agg(F.median("z").alias("z")).first()["z"]
+    mid = R.median(V.dem(spark, sf)).first()["z"]
     world, px = (R.ring_area(r.withColumn("k", F.lit(0)), ["k"], "ord", *c) for r, c in ((world_ring(spark, mid), "xy"), (B.pixel_boundary(spark, *V.SIZE), "ji")))
     return world.join(px.withColumnRenamed("area", "px"), "k").select(shown(F.sqrt(F.col("area") / F.col("px")), 9).alias("gsd"))
 
 
 @query("world_bounds", V.sql("select round(min(x), 6) + 0.0 as x0, round(max(x), 6) + 0.0 as x1, round(min(y), 6) + 0.0 as y0, round(max(y), 6) + 0.0 as y1 from wr", "v_dem", **GSD_PARTS))
 def world_bounds(spark: SparkSession, sf: str) -> DataFrame:
-    mid = V.dem(spark, sf).agg(F.median("z").alias("z")).first()["z"]
+    mid = R.median(V.dem(spark, sf)).first()["z"]
     return world_ring(spark, mid).agg(*(shown(f(c)).alias(f"{c}{n}") for c in "xy" for n, f in ((0, F.min), (1, F.max))))
 
 
@@ -240,37 +254,38 @@ def mask_dem(spark: SparkSession, sf: str) -> DataFrame:
     return R.inside_ring(cells, world_ring(spark, 825.0)).select(L("r"), L("c"))
 
 
-@query("tile_dem", V.sql("select (r // 16)::bigint as tile_r, (c // 16)::bigint as tile_c, round(avg(z), 9) + 0.0 as z from cz group by 1, 2", "v_dem", cells=CELLS, cz=Z))
+@query("tile_dem", V.sql("select (r // 16)::bigint as tile_r, (c // 16)::bigint as tile_c, image::bigint as image, round(avg(z), 9) + 0.0 as z from cz group by 1, 2, 3", "v_dem", cells=CELLS, cz=Z))
 def tile_dem(spark: SparkSession, sf: str) -> DataFrame:
     cells = R.placed(R.grid(spark, GRID["rows"], GRID["cols"]), GRID["x0"], GRID["y0"], GRID["dx"], GRID["dy"])
-    return O.with_heights(cells, V.dem(spark, sf)).groupBy(F.expr("r div 16").alias("tile_r"), F.expr("c div 16").alias("tile_c")).agg(shown(F.avg("z"), 9).alias("z"))
+    heights = V.dem(spark, sf).select(F.expr("i div 150").alias("image"), (F.col("i") % 150).alias("i"), "j", "z")
+    return O.with_heights(cells, heights, ["image"]).groupBy(L("image"), F.expr("r div 16").alias("tile_r"), F.expr("c div 16").alias("tile_c")).agg(shown(F.avg("z"), 9).alias("z"))
 
 
-RAY = """select id::bigint as id, step::bigint as step, round(19990.0::double + dx * step, 6) + 0.0 as x, round(30010.0::double + dy * step, 6) + 0.0 as y from (
- select id, dx, dy, min(step) as step from (select id, dx, dy, step, 860.0::double - step * 0.9::double as rz, floor((30120 - (30010.0::double + dy * step)) / 4)::bigint as i, floor((19990.0::double + dx * step - 19880) / 4)::bigint as j
-  from (select id, (id % 41 - 20) * 0.05::double as dx, (id % 37 - 18) * 0.05::double as dy from v_world where id < 2000), (select unnest(range(0, 81)) as step)) s
- join v_dem d on d.i = s.i and d.j = s.j where rz <= d.z group by id, dx, dy)"""
+RAY = """select id::bigint as id, coalesce(first, 80)::bigint as step, round(19990.0::double + dx * coalesce(first, 80), 6) + 0.0 as x, round(30010.0::double + dy * coalesce(first, 80), 6) + 0.0 as y, first is not null as hit from (
+ select id, dx, dy, min(case when rz <= d.z then step end) as first from (select id, dx, dy, step, 860.0::double - step * 0.9::double as rz, floor((30120 - (30010.0::double + dy * step)) / 4)::bigint as i, floor((19990.0::double + dx * step - 19880) / 4)::bigint as j
+  from (select id, (id % 41 - 20) * 0.05::double as dx, (id % 37 - 18) * 0.05::double as dy from v_world), (select unnest(range(0, 81)) as step)) s
+ left join v_dem d on d.i = s.i and d.j = s.j group by id, dx, dy)"""
 
 
 @query("ray_dem", V.sql(RAY, "v_world", "v_dem"))
 def ray_dem(spark: SparkSession, sf: str) -> DataFrame:
-    """Where rays that go down in steps first meet the surface."""
+    """Where rays that go down in steps first meet the surface; those that don't give their lowest point."""
     e = F.col("id")
-    rays = V.world(spark, sf).where("id < 2000").select(L("id"), F.lit(19990.0).alias("x"), F.lit(30010.0).alias("y"), F.lit(860.0).alias("z"), ((e % 41 - 20) * 0.05).alias("dx"), ((e % 37 - 18) * 0.05).alias("dy"), F.lit(-0.9).alias("dz"))
+    rays = V.world(spark, sf).select(L("id"), F.lit(19990.0).alias("x"), F.lit(30010.0).alias("y"), F.lit(860.0).alias("z"), ((e % 41 - 20) * 0.05).alias("dx"), ((e % 37 - 18) * 0.05).alias("dy"), F.lit(-0.9).alias("dz"))
     hits = O.ray_hits(rays, V.dem(spark, sf), steps=80, row=lambda x, y: F.floor((30120 - y) / 4), column=lambda x, y: F.floor((x - 19880) / 4))
-    return hits.select("id", "step", shown(F.col("x")).alias("x"), shown(F.col("y")).alias("y"))
+    return hits.select("id", "step", shown(F.col("x")).alias("x"), shown(F.col("y")).alias("y"), "hit")
 
 
 @query("reproject_dem", V.sql("select r::bigint as r, c::bigint as c, round(sum(z * w) / sum(w) * 0.3048::double, 6) + 0.0 as z from (select r, c, z, greatest(0, 1 - abs(fj - d.j)) * greatest(0, 1 - abs(fi - d.i)) as w from (select r, c, r * 1.7::double + 0.3::double as fi, c * 1.3::double + 0.2::double as fj from (select unnest(range(0, 80)) as r), (select unnest(range(0, 48)) as c)) t, (select unnest(range(0, 2)) as di), (select unnest(range(0, 2)) as dj), v_dem d where d.i = floor(fi)::bigint + di and d.j = floor(fj)::bigint + dj) group by r, c having count(*) = 4", "v_dem"))
 def reproject_dem(spark: SparkSession, sf: str) -> DataFrame:
     """Heights on another grid, in another unit."""
     cells = R.grid(spark, 80, 48)
-    out = R.interpolated(cells, ["r", "c"], V.dem(spark, sf).select("i", "j", F.col("z").alias("v")), F.col("c") * 1.3 + 0.2, F.col("r") * 1.7 + 0.3, "bilinear")
+    out = R.interpolated(cells, V.dem(spark, sf).select("i", "j", F.col("z").alias("v")), F.col("c") * 1.3 + 0.2, F.col("r") * 1.7 + 0.3, "bilinear")
     return out.select(L("r"), L("c"), shown(F.col("v") * 0.3048).alias("z"))
 
 
-@query("undistort_im", V.sql(f"select r::bigint as r, c::bigint as c, v from (select r, c, fx*du+cx as j, fy*dv+cy as i from (select *, {BROWN_SQL} from (select r, c, fx, fy, cx, cy, (c-cx)/fx as u, (r-cy)/fy as v, ((c-cx)/fx)*((c-cx)/fx)+((r-cy)/fy)*((r-cy)/fy) as q from (select unnest(range(0, 150)) as r), (select unnest(range(0, 200)) as c), cam))) px join image on image.i = round_even(px.i, 0)::bigint and image.j = round_even(px.j, 0)::bigint", "v_raster", rot=ROT, cam=CAM, image=IMAGE))
+@query("undistort_im", V.sql(f"select image::bigint as image, band::integer as band, r::bigint as r, c::bigint as c, v from (select r, c, fx*du+cx as j, fy*dv+cy as i from (select *, {BROWN_SQL} from (select r, c, fx, fy, cx, cy, (c-cx)/fx as u, (r-cy)/fy as v, ((c-cx)/fx)*((c-cx)/fx)+((r-cy)/fy)*((r-cy)/fy) as q from (select unnest(range(0, 150)) as r), (select unnest(range(0, 200)) as c), cam))) px join image on image.i = round_even(px.i, 0)::bigint and image.j = round_even(px.j, 0)::bigint", "v_raster", rot=ROT, cam=CAM, image=IMAGE))
 def undistort_im(spark: SparkSession, sf: str) -> DataFrame:
     """Each pixel of the undistorted image from the nearest of the distorted one."""
     j, i = C.pixel(K, *C.Frame(K, POSE, "brown", V.BROWN).distorted((F.col("c") - K.cx) / K.fx, (F.col("r") - K.cy) / K.fy))
-    return R.nearest(R.grid(spark, 150, 200), image(spark, sf), j, i).select(L("r"), L("c"), "v")
+    return R.nearest(R.grid(spark, 150, 200).select("r", "c", j.alias("j"), i.alias("i")), image(spark, sf), F.col("j"), F.col("i")).select(L("image"), "band", L("r"), L("c"), "v")
