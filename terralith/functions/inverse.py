@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from terralith.functions.cameras import RPC_TERMS
+from terralith.functions.cameras import COEFFICIENTS, RPC_TERMS
 
 
 def undistort_brown(u: np.ndarray, v: np.ndarray, k1=0.0, k2=0.0, p1=0.0, p2=0.0, k3=0.0, steps: int = 50):
@@ -20,6 +20,24 @@ def undistort_brown(u: np.ndarray, v: np.ndarray, k1=0.0, k2=0.0, p1=0.0, p2=0.0
     return x, y
 
 
+def undistort_opencv(u: np.ndarray, v: np.ndarray, k1=0.0, k2=0.0, p1=0.0, p2=0.0, k3=0.0, k4=0.0, k5=0.0, k6=0.0, s1=0.0, s2=0.0, s3=0.0, s4=0.0, t1=0.0, t2=0.0, steps: int = 50):
+    """The tilt of the sensor is undone in one step, then a fixed-point iteration undoes prism, tangential and radial terms."""
+    if t1 or t2:
+        (ca, sa), (cb, sb) = ((np.cos(a), np.sin(a)) for a in (t1, t2))
+        rot = np.array([[cb, sb * sa, -sb * ca], [0.0, ca, sa], [sb, -cb * sa, cb * ca]])
+        tilt = np.array([[rot[2, 2], 0.0, -rot[0, 2]], [0.0, rot[2, 2], -rot[1, 2]], [0.0, 0.0, 1.0]]) @ rot
+        a, b, w = np.linalg.inv(tilt) @ np.stack([u, v, np.ones_like(u)])
+        u, v = a / w, b / w
+    x, y = u.copy(), v.copy()
+    for _ in range(steps):
+        r2 = x * x + y * y
+        scale = (1 + r2 * (k4 + r2 * (k5 + r2 * k6))) / (1 + r2 * (k1 + r2 * (k2 + r2 * k3)))
+        dx = 2 * p1 * x * y + p2 * (r2 + 2 * x * x) + r2 * (s1 + r2 * s2)
+        dy = p1 * (r2 + 2 * y * y) + 2 * p2 * x * y + r2 * (s3 + r2 * s4)
+        x, y = (u - dx) * scale, (v - dy) * scale
+    return x, y
+
+
 def undistort_fisheye(u: np.ndarray, v: np.ndarray, k1=0.0, k2=0.0, k3=0.0, k4=0.0, steps: int = 20):
     """Newton's method for the angle."""
     bent = np.hypot(u, v)
@@ -33,9 +51,16 @@ def undistort_fisheye(u: np.ndarray, v: np.ndarray, k1=0.0, k2=0.0, k3=0.0, k4=0
     return u * scale, v * scale
 
 
+def same(u: np.ndarray, v: np.ndarray):
+    return u, v
+
+
+INVERSES = {"pinhole": same, "brown": undistort_brown, "opencv": undistort_opencv, "fisheye": undistort_fisheye}
+
+
 def undistorted(kind: str, coefficients: dict[str, float], u: Column, v: Column) -> Column:
     """struct<u, v>: ideal camera coordinates of distorted ones."""
-    inverse = {"brown": undistort_brown, "opencv": undistort_brown, "fisheye": undistort_fisheye}[kind]
+    inverse = INVERSES[kind]
 
     @F.pandas_udf("u double, v double")
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
@@ -70,3 +95,26 @@ def rpc_to_world(rpc: dict, j: Column, i: Column, height: Column, steps: int = 1
         return pd.DataFrame({"lon": x * rpc["long_scale"] + rpc["long_off"], "lat": y * rpc["lat_scale"] + rpc["lat_off"]})
 
     return run(j, i, height)
+
+
+def undistorted_each(kind: Column, lens: dict[str, Column], u: Column, v: Column) -> Column:
+    """struct<u, v>: ideal camera coordinates of distorted ones, each row by its own kind of camera and coefficients."""
+    names = list(lens)
+
+    @F.pandas_udf("u double, v double")
+    def run(kinds: pd.Series, a: pd.Series, b: pd.Series, *values: pd.Series) -> pd.DataFrame:
+        x, y = a.to_numpy(float).copy(), b.to_numpy(float).copy()
+        given = {n: s.fillna(0.0).to_numpy(float) for n, s in zip(names, values, strict=True)}
+        for one in kinds.dropna().unique():
+            at = np.flatnonzero((kinds == one).to_numpy())
+            own = {n: given[n][at] for n in COEFFICIENTS[one] if n in given}
+            if one == "opencv":  # tilts are undone camera by camera, as each has a matrix of its own
+                for t1, t2 in {(p, q) for p, q in zip(own.get("t1", [0.0]), own.get("t2", [0.0]), strict=True)}:
+                    some = np.flatnonzero((own["t1"] == t1) & (own["t2"] == t2)) if "t1" in own else np.arange(len(at))
+                    part = {n: c[some] for n, c in own.items() if n not in ("t1", "t2")}
+                    x[at[some]], y[at[some]] = undistort_opencv(x[at[some]], y[at[some]], **part, t1=t1, t2=t2)
+            else:
+                x[at], y[at] = INVERSES[one](x[at], y[at], **own)
+        return pd.DataFrame({"u": x, "v": y}).replace([np.inf, -np.inf], np.nan)
+
+    return run(kind, u, v, *lens.values())

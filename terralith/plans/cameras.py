@@ -11,6 +11,7 @@ from terralith.functions import cameras as C
 from terralith.functions import inverse
 from terralith.functions.num import shown
 from terralith.operators import boundary as B
+from terralith.operators import undistort as U
 from terralith.plans import views as V
 from terralith.plans.catalog import query
 
@@ -89,13 +90,34 @@ def _unprojected(kind: str, d: dict):
         c = frame(kind, d)
         px = V.pixels(spark, sf).withColumn("uv", inverse.undistorted(kind, d, (F.col("j") - K.cx) / K.fx, (F.col("i") - K.cy) / K.fy))
         x, y = c.ray_to_world(F.col("uv.u"), F.col("uv.v"), F.col("z"))
-        return px.select(F.col("id").cast("long").alias("id"), "z", x.alias("x"), y.alias("y"))
+        return px.select(F.col("id").cast("long").alias("id"), shown(x, 5).alias("x"), shown(y, 5).alias("y"))
 
     return run
 
 
-query("p2w_brown")(_unprojected("brown", V.BROWN))
-query("p2w_fisheye")(_unprojected("fisheye", V.FISHEYE))
+#: Steps of the inverses in SQL: of a row's distorted u0, v0, as often as the engine's own.
+BROWN_STEP = "(u0 - 0.02::double*x*y - 0.01::double*(x*x+y*y+2*x*x)) / (1+(x*x+y*y)*(-0.25::double+(x*x+y*y)*(0.2::double+(x*x+y*y)*-0.1::double))) as x, (v0 - 0.01::double*(x*x+y*y+2*y*y) - 0.02::double*x*y) / (1+(x*x+y*y)*(-0.25::double+(x*x+y*y)*(0.2::double+(x*x+y*y)*-0.1::double))) as y"
+OPENCV_STEP = BROWN_STEP.replace(") / (1+", ") * (1+(x*x+y*y)*(0.001::double+(x*x+y*y)*(0.001::double+(x*x+y*y)*-0.001::double))) / (1+")
+FISHEYE_STEP = "x - (x*(1+x*x*(-0.25::double+x*x*(0.1::double+x*x*(0.01::double+x*x*-0.01::double)))) - sqrt(u0*u0+v0*v0)) / (1+x*x*(3*-0.25::double+x*x*(5*0.1::double+x*x*(7*0.01::double+x*x*9*-0.01::double)))) as x"
+
+
+def iterated(rows: str, step: str, first: str = "u0 as x, v0 as y", steps: int = 50) -> dict[str, str]:
+    """Parts of a query whose last, fixed, has the rows (with u0 and v0) and x, y after so many steps."""
+    return {"steps": f"select *, {first}, 0 as n_ from ({rows}) union all select * replace ({step}, n_ + 1 as n_) from steps where n_ < {steps}", "fixed": f"select * from steps where n_ = {steps}"}
+
+
+def iterated_sql(body: str, rows: str, step: str, *views: str, first: str = "u0 as x, v0 as y", steps: int = 50, before: dict[str, str] | None = None, after: dict[str, str] | None = None) -> str:
+    return V.sql(body, *views, **(before or {}), **iterated(rows, step, first, steps), **(after or {})).replace("with ", "with recursive ", 1)
+
+
+BENT_PIXELS = "select id, z, (j-cx)/fx as u0, (i-cy)/fy as v0, cam.* from v_pixel, cam"
+GROUND = "select id::bigint as id, round(tx+(r00*u+r01*v+r02)*(z-tz)/(r20*u+r21*v+r22), 5)+0.0 as x, round(ty+(r10*u+r11*v+r12)*(z-tz)/(r20*u+r21*v+r22), 5)+0.0 as y from "
+PAIRS = {"rot": ROT, "cam": CAM}
+FISHEYE_FIRST = "least(sqrt(u0*u0+v0*v0), pi()/2) as x, v0 as y"
+FISHEYE_UV = "(select *, case when u0*u0+v0*v0 > 0 then u0*tan(x)/sqrt(u0*u0+v0*v0) else u0 end as u, case when u0*u0+v0*v0 > 0 then v0*tan(x)/sqrt(u0*u0+v0*v0) else v0 end as v from fixed)"
+query("p2w_brown", iterated_sql(GROUND + "(select *, x as u, y as v from fixed)", BENT_PIXELS, BROWN_STEP, "v_pixel", before=PAIRS))(_unprojected("brown", V.BROWN))
+query("p2w_opencv", iterated_sql(GROUND + "(select *, x as u, y as v from fixed)", BENT_PIXELS, OPENCV_STEP, "v_pixel", before=PAIRS))(_unprojected("opencv", V.OPENCV))
+query("p2w_fisheye", iterated_sql(GROUND + FISHEYE_UV, BENT_PIXELS, FISHEYE_STEP, "v_pixel", before=PAIRS, first=FISHEYE_FIRST, steps=20))(_unprojected("fisheye", V.FISHEYE))
 
 
 @query("broadcast_z", V.sql(P2W.replace("z, (j", "700.0::double as z, (j"), "v_pixel", rot=ROT, cam=CAM))
@@ -121,17 +143,6 @@ def extrinsic(spark: SparkSession, sf: str) -> DataFrame:
     return V.shots(spark, sf).select("filename", *(shown(p.rotation[a][b], 12).alias(f"r{a}{b}") for a in range(3) for b in range(3)), "x", "y", "z")
 
 
-UNDISTORTED = "select 150.0::double as ux, 151.0::double as uy, 99.5::double as uj, 74.5::double as ui"
-
-
-@query("w2p_nodistort", V.sql("select id::bigint as id, round(ux*u+uj, 6)+0.0 as j, round(uy*v+ui, 6)+0.0 as i from uv, un", "v_world", rot=ROT, cam=CAM, rays=RAYS, uv=UV, un=UNDISTORTED))
-def w2p_nodistort(spark: SparkSession, sf: str) -> DataFrame:
-    """Undistorted images project through their own intrinsics, whatever the model."""
-    k = C.Intrinsic(*(F.lit(v) for v in (150.0, 151.0, 99.5, 74.5)))
-    j, i = frame("brown", V.BROWN, k).world_to_pixel(F.col("x"), F.col("y"), F.col("z"))
-    return V.world(spark, sf).select(F.col("id").cast("long").alias("id"), shown(j).alias("j"), shown(i).alias("i"))
-
-
 @query("distort_px", V.sql(f"select id::bigint as id, round(greatest(0, least(199, fx*du+cx)), 6)+0.0 as j, round(greatest(0, least(149, fy*dv+cy)), 6)+0.0 as i from (select *, {BROWN_SQL} from uv)", "v_pixel", rot=ROT, cam=CAM, uv="select id, (j-cx)/fx as u, (i-cy)/fy as v, ((j-cx)/fx)*((j-cx)/fx)+((i-cy)/fy)*((i-cy)/fy) as q, fx, fy, cx, cy from v_pixel, cam"))
 def distort_px(spark: SparkSession, sf: str) -> DataFrame:
     """Pixels of an undistorted image in the distorted one, kept inside it."""
@@ -140,23 +151,52 @@ def distort_px(spark: SparkSession, sf: str) -> DataFrame:
     return V.pixels(spark, sf).select(F.col("id").cast("long").alias("id"), shown(inside(j, 200)).alias("j"), shown(inside(i, 150)).alias("i"))
 
 
-@query("undistort_px")
+def lens(kind: str = "brown", d: dict | None = None) -> U.Lens:
+    return U.Lens.of(V.SIZE, V.FOCAL, V.SENSOR, *V.CENTRE, kind, V.BROWN if d is None else d)
+
+
+@query("undistort_px", iterated_sql("select id::bigint as id, round(fx*x+cx, 6)+0.0 as j, round(fy*y+cy, 6)+0.0 as i from fixed", BENT_PIXELS, BROWN_STEP, "v_pixel", before=PAIRS))
 def undistort_px(spark: SparkSession, sf: str) -> DataFrame:
-    px = V.pixels(spark, sf).withColumn("uv", inverse.undistorted("brown", V.BROWN, (F.col("j") - K.cx) / K.fx, (F.col("i") - K.cy) / K.fy))
-    j, i = C.pixel(K, F.col("uv.u"), F.col("uv.v"))
-    return px.select(F.col("id").cast("long").alias("id"), j.alias("j"), i.alias("i"))
+    """Pixels of a distorted image in an undistorted one of the same intrinsics."""
+    own = lens()
+    straight = U.Lens(own.size, own.fx, own.fy, own.cx, own.cy)
+    out = U.undistorted(V.pixels(spark, sf).select("id", "j", "i"), own, straight)
+    return out.select(F.col("id").cast("long").alias("id"), shown(F.col("j")).alias("j"), shown(F.col("i")).alias("i"))
 
 
-@query("undistort_rects")
+#: The rectangles of a 9 x 9 grid of undistorted pixels, and the intrinsics that show them.
+GRID81 = "select a, b, (b*199/8.0::double-cx)/fx as u0, (a*149/8.0::double-cy)/fy as v0 from (select unnest(range(0, 9)) as a), (select unnest(range(0, 9)) as b), cam"
+RECT = "select max(case when b = 0 then x end) as iu0, max(case when a = 0 then y end) as iv0, min(case when b = 8 then x end) as iu1, min(case when a = 8 then y end) as iv1, min(x) as ou0, min(y) as ov0, max(x) as ou1, max(y) as ov1 from fixed"
+STRAIGHT = "select alpha, " + ", ".join(f"{i}*(1-alpha)+{o}*alpha as {n}" for n, i, o in (("ux", "199/(iu1-iu0)", "199/(ou1-ou0)"), ("uy", "149/(iv1-iv0)", "149/(ov1-ov0)"), ("uj", "-199/(iu1-iu0)*iu0", "-199/(ou1-ou0)*ou0"), ("ui", "-149/(iv1-iv0)*iv0", "-149/(ov1-ov0)*ov0"))) + " from rect, (values (0.0::double), (0.5), (1.0)) as al(alpha)"
+RECT_PARTS = {"rect": RECT, "straight": STRAIGHT}
+
+
+@query("undistort_rects", iterated_sql("select rect as rect, round(u0, 9)+0.0 as u0, round(v0, 9)+0.0 as v0, round(u1, 9)+0.0 as u1, round(v1, 9)+0.0 as v1 from (select 'inner' as rect, iu0 as u0, iv0 as v0, iu1 as u1, iv1 as v1 from rect union all select 'outer', ou0, ov0, ou1, ov1 from rect) as q", GRID81, BROWN_STEP, before=PAIRS, after=RECT_PARTS))
 def undistort_rects(spark: SparkSession, sf: str) -> DataFrame:
     """The largest rectangle inside and the least around a 9 x 9 grid of undistorted pixels."""
-    return B.undistorted_rectangles(spark, K, V.SIZE, "brown", V.BROWN)
+    return B.undistorted_rectangles(spark, K, V.SIZE, "brown", V.BROWN).select("rect", *(shown(F.col(c), 9).alias(c) for c in ("u0", "v0", "u1", "v1")))
 
 
-@query("undistort_k")
+@query("undistort_k", iterated_sql("select alpha, round(ux, 7)+0.0 as fx, round(uy, 7)+0.0 as fy, round(uj, 7)+0.0 as cx, round(ui, 7)+0.0 as cy from straight", GRID81, BROWN_STEP, before=PAIRS, after=RECT_PARTS))
 def undistort_k(spark: SparkSession, sf: str) -> DataFrame:
-    """Intrinsics between the two rectangles, for three blends."""
-    return B.undistorted_intrinsic(B.undistorted_rectangles(spark, K, V.SIZE, "brown", V.BROWN), V.SIZE, [0.0, 0.5, 1.0])
+    """Intrinsics between the two rectangles, for three blends: those of the lens itself."""
+    rows = [(a, k.fx, k.fy, k.cx, k.cy) for a in (0.0, 0.5, 1.0) for k in [lens().straight(a)]]
+    made = spark.createDataFrame(rows, "alpha double, fx double, fy double, cx double, cy double")
+    return made.select("alpha", *(shown(F.col(c), 7).alias(c) for c in ("fx", "fy", "cx", "cy")))
+
+
+@query("w2p_nodistort", iterated_sql("select id::bigint as id, round(ux*u+uj, 5)+0.0 as j, round(uy*v+ui, 5)+0.0 as i from uv, straight where alpha = 1", GRID81, BROWN_STEP, "v_world", before=PAIRS, after=RECT_PARTS | {"rays": RAYS, "uv": UV}))
+def w2p_nodistort(spark: SparkSession, sf: str) -> DataFrame:
+    """Undistorted images project through their own intrinsics, whatever the model."""
+    j, i = frame("brown", V.BROWN, lens().straight(1.0).intrinsic()).world_to_pixel(F.col("x"), F.col("y"), F.col("z"))
+    return V.world(spark, sf).select(F.col("id").cast("long").alias("id"), shown(j, 5).alias("j"), shown(i, 5).alias("i"))
+
+
+@query("pixel_boundary_und", iterated_sql("select ord::integer as ord, round(greatest(0, least(199, ux*x+uj)), 6)+0.0 as j, round(greatest(0, least(149, uy*y+ui)), 6)+0.0 as i from bound, straight where alpha = 0.5", GRID81 + " union all select 100 + ord, -1, (j-cx)/fx, (i-cy)/fy from (select * from (values (0, 0.0::double, 0.0::double), (1, 99.5, 0.0), (2, 199.0, 0.0), (3, 199.0, 74.5), (4, 199.0, 149.0), (5, 99.5, 149.0), (6, 0.0, 149.0), (7, 0.0, 74.5)) as t(ord, j, i)), cam", BROWN_STEP, before=PAIRS, after={"rect": RECT + " where a < 100", "straight": STRAIGHT, "bound": "select a - 100 as ord, x, y from fixed where a >= 100"}))
+def pixel_boundary_und(spark: SparkSession, sf: str) -> DataFrame:
+    """The boundary of what an undistorted image shows, kept inside it."""
+    out = U.undistorted(B.pixel_boundary(spark, *V.SIZE), lens(), lens().straight(0.5), clip=True)
+    return out.select("ord", shown(F.col("j")).alias("j"), shown(F.col("i")).alias("i"))
 
 
 RPC_SQL = """select id::bigint as id,
@@ -229,10 +269,10 @@ def world_boundary(spark: SparkSession, sf: str) -> DataFrame:
     return B.world_boundary(B.pixel_boundary(spark, *V.SIZE), frame(), 825.0)
 
 
-@query("world_boundary_clip", V.sql(WB.format(z="least(1e3::double - 10, tz)"), rot=ROT, cam=CAM, b=BOUNDARY))
+@query("world_boundary_clip", V.sql(WB.format(z="least(700.0::double + 100 * ord, tz)"), rot=ROT, cam=CAM, b=BOUNDARY))
 def world_boundary_clip(spark: SparkSession, sf: str) -> DataFrame:
-    """Heights above the camera are taken as its own."""
-    return B.world_boundary(B.pixel_boundary(spark, *V.SIZE), frame(), F.least(F.lit(990.0), POSE.position[2]))
+    """Heights above the camera, as those of the last points are, are taken as its own."""
+    return B.world_boundary(B.pixel_boundary(spark, *V.SIZE), frame(), F.least(700.0 + 100 * F.col("ord"), POSE.position[2]))
 
 
 HORIZON = "select filename, bool_or(rz >= 0) as horizon from (select filename, (sin(omega)*sin(kappa)-cos(omega)*sin(phi)*cos(kappa))*((j-99.5)/160) - (sin(omega)*cos(kappa)+cos(omega)*sin(phi)*sin(kappa))*((i-74.5)/160) - cos(omega)*cos(phi) as rz from (select filename, omega*6 as omega, phi*5 as phi, kappa from v_shot), b) group by filename"

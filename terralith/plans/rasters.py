@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralith.functions.num import shown, to_dtype
 from terralith.operators import boundary as B
 from terralith.operators import ortho as O
+from terralith.operators import orthorectify as ORTHO
 from terralith.operators import raster as R
+from terralith.operators import undistort as U
 from terralith.plans import views as V
-from terralith.plans.cameras import BROWN_SQL, CAM, K, POSE, ROT
+from terralith.plans.cameras import BROWN_SQL, BROWN_STEP, CAM, GRID81, K, PAIRS, POSE, RECT, RECT_PARTS, ROT, STRAIGHT, iterated_sql, lens
 from terralith.functions import cameras as C
 from terralith.plans.catalog import query
+from terralith.sources import files, sinks, store
 
 L = lambda c: F.col(c).cast("long").alias(c)
 #: The ortho grid of an image: 60 x 64 cells of 4 m, north up, below the camera.
@@ -289,3 +294,79 @@ def undistort_im(spark: SparkSession, sf: str) -> DataFrame:
     """Each pixel of the undistorted image from the nearest of the distorted one."""
     j, i = C.pixel(K, *C.Frame(K, POSE, "brown", V.BROWN).distorted((F.col("c") - K.cx) / K.fx, (F.col("r") - K.cy) / K.fy))
     return R.nearest(R.grid(spark, 150, 200).select("r", "c", j.alias("j"), i.alias("i")), image(spark, sf), F.col("j"), F.col("i")).select(L("image"), "band", L("r"), L("c"), "v")
+
+
+#: Where pixels of the undistorted image (alpha 1) lie in the distorted one, and the images seen through that.
+STRAIGHT_PX = f"select r, c, fx*du+cx as j, fy*dv+cy as i from (select *, {BROWN_SQL} from (select *, u*u+v*v as q from (select r, c, fx, fy, cx, cy, (c-uj)/ux as u, (r-ui)/uy as v from (select unnest(range(0, 150)) as r), (select unnest(range(0, 200)) as c), cam, straight where alpha = 1)))"
+SEEN = "select p.image, p.band, t.r, t.c, v, greatest(0, 1 - abs(t.j - p.j)) * greatest(0, 1 - abs(t.i - p.i)) as w from (select t.*, floor(t.i)::bigint + di as pi, floor(t.j)::bigint + dj as pj from spx t, (select unnest(range(0, 2)) as di), (select unnest(range(0, 2)) as dj)) t join image p on p.i = t.pi and p.j = t.pj"
+
+
+@query("read_undistort", iterated_sql("select image::bigint as image, band::integer as band, r::bigint as i, c::bigint as j, round(sum(v * w) / sum(w), 5) + 0.0 as v from seen group by 1, 2, 3, 4 having count(*) = 4", GRID81, BROWN_STEP, "v_raster", before=PAIRS | {"image": IMAGE}, after=RECT_PARTS | {"spx": STRAIGHT_PX, "seen": SEEN}))
+def read_undistort(spark: SparkSession, sf: str) -> DataFrame:
+    """All bands of images as a camera without distortion takes them."""
+    out = U.undistort_image(image(spark, sf), lens(), 1.0, "bilinear")
+    return out.select(L("image"), "band", L("i"), L("j"), shown(F.col("v"), 5).alias("v"))
+
+
+@query("distort_im", iterated_sql("select image::bigint as image, band::integer as band, t.a::bigint as i, t.b::bigint as j, v from (select a, b, ux*x+uj as j, uy*y+ui as i from fixed, straight where alpha = 1 and a >= 0) t join image p on p.i = round_even(t.i, 0)::bigint and p.j = round_even(t.j, 0)::bigint", "select a, b, (b-cx)/fx as u0, (a-cy)/fy as v0 from (select unnest(range(0, 150)) as a), (select unnest(range(0, 200)) as b), cam union all select -1 - g.a, -1 - g.b, u0, v0 from g81 g", BROWN_STEP, "v_raster", before=PAIRS | {"image": IMAGE, "g81": GRID81}, after={"rect": RECT.replace("b = ", "-1 - b = ").replace("a = ", "-1 - a = ") + " where a < 0", "straight": STRAIGHT}))
+def distort_im(spark: SparkSession, sf: str) -> DataFrame:
+    """The image that a camera with distortion takes of what an undistorted one shows."""
+    out = U.distort_image(image(spark, sf), lens(), 1.0)
+    return out.select(L("image"), "band", L("i"), L("j"), "v")
+
+
+@query("remap_dilate", _kernel_sql(BI, 1, "image, r, c", "px", "v_dem", **GRID_PARTS).replace("having count(*) = 4", "having count(*) = 4").join(["with all_ as (", ") select a.image, a.r, a.c, a.band, a.v from all_ a where (select count(*) from all_ b where b.image = a.image and b.band = 1 and abs(b.r - a.r) <= 1 and abs(b.c - a.c) <= 1) = (1 + least(a.r, 1) + least(59 - a.r, 1) ) * (1 + least(a.c, 1) + least(63 - a.c, 1))"]))
+def remap_dilate(spark: SparkSession, sf: str) -> DataFrame:
+    """Orthorectified cells of all bands without those beside a cell that the image doesn't show."""
+    cells = R.grid(spark, GRID["rows"], GRID["cols"]).crossJoin(F.broadcast(image(spark, sf).select("image").distinct()))
+    out = U.without_blur(cells, ortho_bilinear(spark, sf), 1, ["image"])
+    return out.select("image", "r", "c", "band", "v")
+
+
+#: A camera an image of the pile, each above its own part of the elevation raster, whose cells are 4 m.
+def pile_cameras(spark: SparkSession, sf: str) -> DataFrame:
+    lens = {c: F.lit(None).cast("double") for c in ORTHO.LENS} | {k: F.lit(v) for k, v in V.BROWN.items()}
+    at = {"x": F.lit(20000.0), "y": 30000.0 - 600.0 * F.col("image"), "z": F.lit(1000.0)} | {n: F.lit(math.radians(a)) for n, a in zip(("omega", "phi", "kappa"), V.ANGLES, strict=True)}
+    k = {"width": 200.0, "height": 150.0, "fx": 500 / 3, "fy": 500 / 3, "cx": 97.5, "cy": 78.5}
+    images = V.raster(spark, sf).select(F.expr("i div 150").alias("image")).distinct()
+    return images.select("image", F.lit("brown").alias("kind"), *(F.lit(v).alias(n) for n, v in k.items()), *(v.alias(n) for n, v in (at | lens).items()))
+
+
+PILE_CELLS = "select 19880.0::double + 4.0::double * (j + 0.5::double) as x, 30120.0::double - 4.0::double * (i + 0.5::double) as y, z from v_dem"
+PILE_RAYS = "select image, x as wx, y as wy, (r00*(x-tx)+r10*(y-ty+600*image)+r20*(z-tz)) as a, (r01*(x-tx)+r11*(y-ty+600*image)+r21*(z-tz)) as b, (r02*(x-tx)+r12*(y-ty+600*image)+r22*(z-tz)) as w, fx, fy, cx, cy from cells4, (select distinct i // 150 as image from v_raster), cam where abs(30000 - 600 * image - y) < 2000"
+PILE_PX = f"select image, wx, wy, fx*du+cx as j, fy*dv+cy as i from (select *, {BROWN_SQL} from (select *, a/w as u, b/w as v, (a/w)*(a/w)+(b/w)*(b/w) as q from rays4)) where abs(u) < 0.8 and abs(v) < 0.8"
+PILE = {"rot": ROT, "cam": CAM, "image": IMAGE, "cells4": PILE_CELLS, "rays4": PILE_RAYS, "px4": PILE_PX}
+PILE_VALUES = "select t.image::bigint as image, band::integer as band, round(wx, 3) as x, round(wy, 3) as y, round(sum(v * greatest(0, 1 - abs(t.j - p.j)) * greatest(0, 1 - abs(t.i - p.i))), 5) + 0.0 as v from (select t.*, floor(t.i)::bigint + di as pi, floor(t.j)::bigint + dj as pj from px4 t, (select unnest(range(0, 2)) as di), (select unnest(range(0, 2)) as dj)) t join image p on p.image = t.image and p.i = t.pi and p.j = t.pj group by t.image, band, wx, wy having count(*) = 4"
+
+
+def pile_ortho(spark: SparkSession, sf: str) -> ORTHO.Ortho:
+    return ORTHO.orthorectify(image(spark, sf), pile_cameras(spark, sf), V.dem(spark, sf), ORTHO.Grid(19880.0, 30120.0, 4.0, -4.0), resolution=4.0, kernel="bilinear", dem_kernel="nearest", tile=64)
+
+
+@query("orthorectify", V.sql(PILE_VALUES, "v_raster", "v_dem", **PILE))
+def orthorectify(spark: SparkSession, sf: str) -> DataFrame:
+    """Images of a pile of cameras from end to end: windows of the elevation raster, grids, heights, projection with distortion, all bands."""
+    out = pile_ortho(spark, sf)
+    x, y = F.col("x0") + F.col("res") * (F.col("c") + 0.5), F.col("y0") - F.col("res") * (F.col("r") + 0.5)
+    return out.pixels.join(out.grids, "image").select(L("image"), "band", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"), shown(F.col("v"), 5).alias("v"))
+
+
+@query("write_tiles", V.sql(f"select band::integer as band, count(*)::bigint as n, round(sum(v), 2) + 0.0 as total from ({PILE_VALUES}) group by band", "v_raster", "v_dem", **PILE))
+def write_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Orthorectified images written as georeferenced tiles, and read again."""
+    folder, out = store.scratch(spark), pile_ortho(spark, sf)
+    done = sinks.write_tiles(out.pixels, out.grids, folder, "float64", 32735, 64)
+    done.select(F.sum("n")).first()  # the writing
+    back = files.pixels_of(files.read_rasters(spark, f"{folder}/*/*.tif"))
+    return back.groupBy("band").agg(F.count("*").alias("n"), shown(F.sum(F.round("v", 5)), 2).alias("total"))
+
+
+@query("ortho_grids", "select image::bigint as image, case when image >= 0 then 4.0::double end as res, case when image < 0 then case when image = -1 then '-1 sees the horizon' else '-2 lies outside the elevation raster' end end as reason from (select distinct vec_id // 150 as image from embeddings union all select -1 union all select -2)")
+def ortho_grids(spark: SparkSession, sf: str) -> DataFrame:
+    """Which images have a grid: a camera that looks level and one far away have none."""
+    c = pile_cameras(spark, sf)
+    one = c.where("image = 0")
+    level = one.withColumns({"image": F.lit(-1).cast("long"), "omega": F.lit(math.pi / 2)})
+    away = one.withColumns({"image": F.lit(-2).cast("long"), "x": F.lit(900_000.0)})
+    g = ORTHO.grids(c.unionByName(level).unionByName(away), V.dem(spark, sf), ORTHO.Grid(19880.0, 30120.0, 4.0, -4.0), resolution=4.0)
+    return g.select(L("image"), "res", "reason")
