@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terralith.errors import ParamError, TerralithError
 from terralith.functions.num import total
+from terralith.operators import raster as R
 
 
 @dataclass
@@ -133,3 +136,73 @@ def overlap(rects: DataFrame, other: tuple[float, float, float, float]) -> Colum
     """Whether rectangles (x0, y0, x1, y1) share an area with another."""
     x0, y0, x1, y1 = other
     return (F.col("x0") < x1) & (F.col("x1") > x0) & (F.col("y0") < y1) & (F.col("y1") > y0)
+
+
+@dataclass(frozen=True)
+class Raster:
+    """Where a raster lies: the corner of its first pixel, its pixels' size (dy is negative), rows and columns."""
+
+    x0: float
+    y0: float
+    dx: float
+    dy: float
+    rows: int
+    cols: int
+
+    @property
+    def bounds(self) -> tuple[float, float, float, float]:
+        return self.x0, self.y0 + self.dy * self.rows, self.x0 + self.dx * self.cols, self.y0
+
+    def window(self, bounds: tuple[float, float, float, float]) -> tuple[int, int, int, int]:
+        """First column and row, and the ones after the last, of whole pixels that hold the part of bounds within the raster."""
+        x0, y0, x1, y1 = bounds
+        cols = (x0 - self.x0) / self.dx, (x1 - self.x0) / self.dx
+        rows = (y1 - self.y0) / self.dy, (y0 - self.y0) / self.dy
+        (c0, c1), (r0, r1) = ((max(0.0, a), min(float(n), b)) for (a, b), n in ((cols, self.cols), (rows, self.rows)))
+        if c0 >= c1 or r0 >= r1:
+            raise TerralithError("The pan image and the others don't overlap")
+        return math.floor(c0), math.floor(r0), math.ceil(c1), math.ceil(r1)
+
+
+def fitted_over(other: Raster, rows: int, cols: int) -> Raster:
+    """A raster without a place of its own that covers what another does."""
+    return Raster(other.x0, other.y0, other.dx * other.cols / cols, other.dy * other.rows / rows, rows, cols)
+
+
+def check_rasters(pan: Raster, ms: Raster) -> tuple[tuple[int, int, int, int], tuple[int, int, int, int]]:
+    """The windows of both that their shared bounds need; a pan image that is coarser than the others is an error."""
+    if pan.dx > ms.dx or -pan.dy > -ms.dy:
+        raise TerralithError("The pan image is coarser than the others")
+    return pan.window(ms.bounds), ms.window(pan.bounds)
+
+
+def colour_bands(alpha: list[bool]) -> list[int]:
+    """Numbers of the bands that aren't alpha."""
+    return [k + 1 for k, a in enumerate(alpha) if not a]
+
+
+def check_weights(weights: list[float] | None, bands: int) -> None:
+    if weights is not None and (len(weights) != bands or min(weights) < 0):
+        raise ParamError(f"{bands} weights that aren't negative are needed")
+
+
+def sharpen_images(pan: DataFrame, pan_at: Raster, ms: DataFrame, ms_at: Raster, bands: list[int], kernel: str = "cubic", weights: list[float] | None = None) -> DataFrame:
+    """i, j and bands (b1, b2, ... by number) on the pan image's pixels, of pan (i, j, v) and others (band, i, j, v).
+
+    The model is fitted where the pan image, averaged, meets the others' pixels; the others are resampled to the pan
+    image's pixels for the transform. Pixels that are masked in any band are left out.
+    """
+    check_weights(weights, len(bands))
+    (pj0, pi0, pj1, pi1), (mj0, mi0, mj1, mi1) = check_rasters(pan_at, ms_at)
+    names = [f"b{b}" for b in bands]
+    inside = lambda t, i0, i1, j0, j1: t.where(F.col("i").between(i0, i1 - 1) & F.col("j").between(j0, j1 - 1))
+    wide = ms.where(F.col("band").isin(bands)).groupBy("i", "j").agg(*(F.max(F.when(F.col("band") == b, F.col("v"))).alias(f"b{b}") for b in bands))
+    factor = ms_at.dx / pan_at.dx, ms_at.dy / pan_at.dy
+    shift = (pan_at.x0 - ms_at.x0) / pan_at.dx, (pan_at.y0 - ms_at.y0) / pan_at.dy
+    coarse = R.averaged(inside(pan, pi0, pi1, pj0, pj1), factor[1], factor[0], None, shift[1], shift[0]).select(F.col("r").alias("i"), F.col("c").alias("j"), F.col("v").alias("pan"))
+    fit = parameters(inside(wide, mi0, mi1, mj0, mj1).join(coarse, ["i", "j"]), "pan", names, weights)
+    fine = inside(pan, pi0, pi1, pj0, pj1).select("i", "j", F.col("v").alias("pan"))
+    at = fine.select(F.col("i").alias("r"), F.col("j").alias("c"), "pan")
+    j, i = ((F.col(n) + 0.5 + s) / f - 0.5 for n, s, f in (("c", shift[0], factor[0]), ("r", shift[1], factor[1])))
+    up = R.resampled(at, ms.where(F.col("band").isin(bands)), j, i, kernel).groupBy("r", "c", "pan").agg(*(F.max(F.when(F.col("band") == b, F.col("v"))).alias(f"b{b}") for b in bands))
+    return apply(valid(up, ["pan", *names]), "pan", names, fit).select(F.col("r").alias("i"), F.col("c").alias("j"), *names)

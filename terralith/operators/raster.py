@@ -69,17 +69,18 @@ def overviews(source: DataFrame, levels: int, by: list[str] | None = None) -> Da
     return out
 
 
-def averaged(source: DataFrame, factor_i: float, factor_j: float, by: list[str] | None = None) -> DataFrame:
-    """by, r, c, v: area-weighted means on a grid whose cells are so many pixels high and wide."""
+def averaged(source: DataFrame, factor_i: float, factor_j: float, by: list[str] | None = None, shift_i: float = 0.0, shift_j: float = 0.0) -> DataFrame:
+    """by, r, c, v: area-weighted means on a grid whose cells are so many pixels high and wide, and whose corner lies so many pixels before the source's."""
     by = by or []
+    at = lambda c, s: F.col(c) + s
 
-    def parts(c: str, f: float):
-        first, last = F.floor(F.col(c) / f), F.ceil((F.col(c) + 1) / f) - 1
+    def parts(c: str, f: float, s: float):
+        first, last = F.floor(at(c, s) / f), F.ceil((at(c, s) + 1) / f) - 1
         return F.explode(F.sequence(first.cast("long"), last.cast("long")))
 
-    share = lambda c, cell, f: F.least(F.col(c) + 1, (F.col(cell) + 1) * f) - F.greatest(F.col(c).cast("double"), F.col(cell) * f)
-    cells = source.withColumn("r", parts("i", factor_i)).withColumn("c", parts("j", factor_j))
-    cells = cells.withColumn("w", share("i", "r", factor_i) * share("j", "c", factor_j)).where("w > 1e-12 and v is not null")
+    share = lambda c, cell, f, s: F.least(at(c, s) + 1, (F.col(cell) + 1) * f) - F.greatest(at(c, s).cast("double"), F.col(cell) * f)
+    cells = source.withColumn("r", parts("i", factor_i, shift_i)).withColumn("c", parts("j", factor_j, shift_j))
+    cells = cells.withColumn("w", share("i", "r", factor_i, shift_i) * share("j", "c", factor_j, shift_j)).where("w > 1e-12 and v is not null")
     return cells.groupBy(*by, "r", "c").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"))
 
 

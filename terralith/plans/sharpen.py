@@ -127,11 +127,53 @@ def gs_reverse(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("id", *(shown(F.col(b)).alias(b) for b in BANDS))
 
 
-@query("pan_sharpen", V.sql("select n::bigint as n, round(s1, 3) + 0.0 as s1, round(s2, 3) + 0.0 as s2, round(s3, 3) + 0.0 as s3 from (select count(*) as n, " + ", ".join(f"avg({b} + f{k}*(gain*pan+bias-(w1*b1+w2*b2+w3*b3))) as s{k}" for k, b in enumerate(BANDS, 1)) + " from v_panms, fin)", "v_panms", **PARTS))
+@query("pan_sharpen", V.sql("select l_orderkey::bigint as id, l_linenumber::integer as line, " + ", ".join(f"round({b} + f{k}*(gain*pan+bias-(w1*b1+w2*b2+w3*b3)), 4) + 0.0 as s{k}" for k, b in enumerate(BANDS, 1)) + " from keyed_panms, fin", "v_panms", **PARTS, keyed_panms="select l_orderkey, l_linenumber, " + V.SQL["v_panms"].removeprefix("select ")))
 def pan_sharpen(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole transform, and the mean of each sharpened band."""
-    out = P.sharpen(V.panms(spark, sf), "pan", BANDS)
-    return out.agg(F.count("*").alias("n"), *(shown(F.avg(b), 3).alias(f"s{k}") for k, b in enumerate(BANDS, 1)))
+    """Every pixel sharpened, by weights, coefficients and gain that the pixels give."""
+    rows = V.panms(spark, sf, "l_orderkey", "l_linenumber")
+    out = P.sharpen(rows, "pan", BANDS)
+    return out.select(F.col("l_orderkey").cast("long").alias("id"), F.col("l_linenumber").cast("int").alias("line"), *(shown(F.col(b), 4).alias(f"s{k}") for k, b in enumerate(BANDS, 1)))
+
+
+#: Three bands on the raster's pixels, and a pan image of twice as many rows and columns over them.
+MS3 = "select a.i, a.j, 100 * a.v as b1, 100 * b.v as b2, 100 * c.v as b3 from v_raster a join v_raster b on b.i = a.i and b.j = 63 - a.j join v_raster c on c.i = a.i and c.j = (a.j * 5) % 64"
+PAN2 = "select 2 * i + di as i, 2 * j + dj as j, 0.5::double * b1 + 0.3::double * b2 + 0.2::double * b3 + (((2 * i + di) * 7 + (2 * j + dj) * 3) % 11 - 5) * 0.5::double as pan from ms3, (select unnest(range(0, 2)) as di), (select unnest(range(0, 2)) as dj)"
+MEET = "select m.i, m.j, b1, b2, b3, pan from ms3 m join (select i // 2 as i, j // 2 as j, avg(pan) as pan from pan2 group by 1, 2) p on p.i = m.i and p.j = m.j"
+FINE = "select p.i, p.j, pan, " + ", ".join(f"sum({b} * w) as {b}" for b in BANDS) + " from (select t.i, t.j, pan, b1, b2, b3, greatest(0, 1 - abs(t.y - m.i)) * greatest(0, 1 - abs(t.x - m.j)) as w from (select *, floor(y)::bigint + di as mi, floor(x)::bigint + dj as mj from (select i, j, pan, (i + 0.5::double) / 2 - 0.5 as y, (j + 0.5::double) / 2 - 0.5 as x from pan2), (select unnest(range(0, 2)) as di), (select unnest(range(0, 2)) as dj)) t join ms3 m on m.i = t.mi and m.j = t.mj) p group by 1, 2, 3 having count(*) = 4"
+GRIDDED = {"ms3": MS3, "pan2": PAN2, "meet": MEET} | {k: v.replace("v_panms", "meet") for k, v in PARTS.items()} | {"fine": FINE}
+
+
+def gridded(spark: SparkSession, sf: str) -> tuple[DataFrame, P.Raster, DataFrame, P.Raster]:
+    """A pan image (i, j, v) and three bands (band, i, j, v) with their places."""
+    r = V.raster(spark, sf)
+    b2, b3 = (r.select("i", j.alias("j"), (100 * F.col("v")).alias(n)) for j, n in ((63 - F.col("j"), "b2"), ((F.col("j") * 13) % 64, "b3")))
+    wide = r.select("i", "j", (100 * F.col("v")).alias("b1")).join(b2, ["i", "j"]).join(b3, ["i", "j"])
+    quad = F.explode(F.array(*(F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a in range(2) for b in range(2))))
+    pan = wide.withColumn("q", quad).select((2 * F.col("i") + F.col("q.di")).alias("i"), (2 * F.col("j") + F.col("q.dj")).alias("j"), (0.5 * F.col("b1") + 0.3 * F.col("b2") + 0.2 * F.col("b3")).alias("p"))
+    pan = pan.select("i", "j", (F.col("p") + ((F.col("i") * 7 + F.col("j") * 3) % 11 - 5) * 0.5).alias("v"))
+    bands = wide.select("i", "j", F.explode(F.array(*(F.struct(F.lit(k).alias("band"), F.col(f"b{k}").alias("v")) for k in (1, 2, 3)))).alias("b")).select("b.band", "i", "j", "b.v")
+    n = r.agg(F.max("i") + 1).first()[0]
+    return pan, P.Raster(500.0, 900.0, 1.0, -1.0, 2 * n, 128), bands, P.Raster(500.0, 900.0, 2.0, -2.0, n, 64)
+
+
+@query("sharpen_images", V.sql("select i::bigint as i, j::bigint as j, " + ", ".join(f"round({b} + f{k}*(gain*pan+bias-(w1*b1+w2*b2+w3*b3)), 5) + 0.0 as {b}" for k, b in enumerate(BANDS, 1)) + " from fine, fin", "v_raster", **GRIDDED))
+def sharpen_images(spark: SparkSession, sf: str) -> DataFrame:
+    """Bands of an image sharpened by a pan image of twice the resolution, from end to end."""
+    out = P.sharpen_images(*gridded(spark, sf), [1, 2, 3], "bilinear")
+    return out.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), *(shown(F.col(b), 5).alias(b) for b in BANDS))
+
+
+@query("pan_ms_grid", "select * from (values ('shared', 25::integer, 0::integer, 100::integer, 50::integer, 0::integer, 0::integer, 38::integer, 25::integer), ('apart', -1, -1, -1, -1, -1, -1, -1, -1), ('coarse', -2, -2, -2, -2, -2, -2, -2, -2)) as t(pair, pj0, pi0, pj1, pi1, mj0, mi0, mj1, mi1)")
+def pan_ms_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows of whole pixels that two rasters share; none that lie apart, or where the pan image is the coarser."""
+    pan, rows = P.Raster(0.0, 100.0, 1.0, -1.0, 50, 100), []
+    for name, other in (("shared", P.Raster(25.0, 100.0, 2.0, -2.0, 60, 60)), ("apart", P.Raster(500.0, 100.0, 2.0, -2.0, 60, 60)), ("coarse", P.Raster(0.0, 100.0, 0.5, -0.5, 60, 60))):
+        try:
+            a, b = P.check_rasters(pan, other)
+            rows.append((name, *a, *b))
+        except P.TerralithError as e:
+            rows.append((name, *[-2 if "coarser" in str(e) else -1] * 8))
+    return spark.createDataFrame(rows, "pair string, pj0 int, pi0 int, pj1 int, pi1 int, mj0 int, mi0 int, mj1 int, mi1 int")
 
 
 @query("pan_sharpen_pixels", V.sql("select id::bigint as id, " + ", ".join(f"round({b} + {f}::double*(1.1::double*pan+2-(0.5::double*b1+0.3::double*b2+0.2::double*b3)), 6) + 0.0 as {b}" for b, f in zip(BANDS, (0.9, 0.7, 0.4), strict=True)) + " from k", k=KEYED))

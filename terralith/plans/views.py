@@ -37,9 +37,9 @@ def pixels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(e.alias("id"), (e % 200).cast("double").alias("j"), ((e * 3) % 150).cast("double").alias("i"), F.col("value").alias("z"))
 
 
-def panms(spark: SparkSession, d: str) -> DataFrame:
+def panms(spark: SparkSession, d: str, *keys: str) -> DataFrame:
     b1, b2, b3 = F.col("l_quantity"), F.col("l_discount") * 1000, F.col("l_tax") * 1000
-    return table(spark, d, "lineitem").select((0.5 * b1 + 0.3 * b2 + 0.2 * b3 + F.col("l_extendedprice") / 50000).alias("pan"), b1.alias("b1"), b2.alias("b2"), b3.alias("b3"))
+    return table(spark, d, "lineitem").select(*keys, (0.5 * b1 + 0.3 * b2 + 0.2 * b3 + F.col("l_extendedprice") / 50000).alias("pan"), b1.alias("b1"), b2.alias("b2"), b3.alias("b3"))
 
 
 def panms_raw(spark: SparkSession, d: str) -> DataFrame:
