@@ -13,6 +13,9 @@ different components is missed. (The heap merge of short lists is one vectorised
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +41,8 @@ MARK_BITS = 512
 #: A member of a list carries its set's size, its token's place in the set's order and, of the short lists of its set, the
 #: share that are of common tokens: so many bits each for the last two.
 PLACE_BITS, SHARE_BITS = 26, 10
+#: Bands of sizes that there may be: sets of up to 10**9 tokens at 75 percent.
+BANDS = 80
 #: Tasks that the lists of one home are dealt to.
 HOME_PARTS = 4
 LISTED = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("place", pa.int64())])
@@ -50,6 +55,10 @@ PAIR = pa.schema([("hub", pa.int64()), ("other", pa.int64())])
 PAIR_DDL = "hub long, other long"
 
 
+#: Sorted distinct tokens of each text of a column.
+Sets = Callable[[pa.Array], list[np.ndarray]]
+
+
 def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     """The sorted distinct fingerprints of each text's k-word shingles, A-Z as a-z; of fewer words, one of the whole."""
     data, offsets = T.utf8(column)
@@ -110,14 +119,14 @@ def overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return (percent * (a + b) + 99 + percent) // (100 + percent)
 
 
-def signatures(k: int, schema: pa.Schema):
+def signatures(sets_of: Sets, schema: pa.Schema):
     """Of each document the size, key and sketch of its set (kind 0); of each batch its common tokens (kind 1)."""
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            sets = shingle_sets(b.column("text"), k)
+            sets = sets_of(b.column("text"))
             sizes, keys = np.array([len(s) for s in sets]), np.array([set_key(s) for s in sets])
             yield T.batch(schema, np.zeros(len(sets), np.int8), b.column("doc_id"), sizes, keys, b.column("text_hash"), [sketch(s) if len(s) else None for s in sets])
             _, one = np.unique(keys, return_index=True)
@@ -129,16 +138,27 @@ def signatures(k: int, schema: pa.Schema):
     return run
 
 
-def rare_tokens(k: int, percent: int, common: np.ndarray, rank: np.ndarray):
+def size_band(n: np.ndarray, percent: int) -> np.ndarray:
+    """Bands of set sizes: similar sets are of one band or of two next to each other."""
+    return np.floor(np.log(n) / np.log(100 / percent) + 1e-9).astype(np.int64)
+
+
+def in_band(tokens: np.ndarray, band: np.ndarray | int) -> np.ndarray:
+    """Names of the lists of tokens in a band."""
+    return T.mix(tokens + np.asarray(band).astype(np.uint64) * T.U(0x9E3779B97F4A7C15))
+
+
+def rare_tokens(sets_of: Sets, percent: int, common: np.ndarray, rank: np.ndarray, banded: bool = False):
     """Each set's short lists: all but its T-1 most frequent tokens, with their places in its order; equal sets of a batch go once.
 
-    common: sorted common tokens, rank: their place in the order of tokens, after all others. The third column holds packed().
+    common: sorted common tokens, rank: their place in the order of tokens, after all others. The third column holds packed(). banded: a token has a list for each band of sizes, and a set is in
+    those of its own and the next band.
     """
 
     def run(batches):
         for b in batches:
             least = {}
-            for s in shingle_sets(b.column("text"), k) if b.num_rows else ():
+            for s in sets_of(b.column("text")) if b.num_rows else ():
                 if len(s):
                     least.setdefault(set_key(s), s)
             if not least:
@@ -157,7 +177,11 @@ def rare_tokens(k: int, percent: int, common: np.ndarray, rank: np.ndarray):
             n = np.array([len(x) for x in out])
             sizes = np.array([len(s) for s in least.values()])
             place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            yield T.batch(LISTED, T.signed(np.concatenate(out)), np.repeat(np.array(list(least)), n), packed(np.repeat(sizes, n), place, np.repeat(share, n)))
+            token, node, where = np.concatenate(out), np.repeat(np.array(list(least)), n), packed(np.repeat(sizes, n), place, np.repeat(share, n))
+            if banded:
+                band = np.repeat(size_band(sizes, percent), n)
+                token, node, where = np.concatenate([in_band(token, band), in_band(token, band + 1)]), np.tile(node, 2), np.tile(where, 2)
+            yield T.batch(LISTED, T.signed(token), node, where)
 
     return run
 
@@ -335,13 +359,13 @@ def first_texts(batches):
             yield b.take(pa.array(at))
 
 
-def linked(k: int, percent: int):
+def linked(sets_of: Sets, percent: int):
     """Links of a group: each of its hubs is searched for in an index of the others."""
 
     def run(t: pa.Table) -> pa.Table:
         hub = t.column("hub").to_numpy()
         nodes = T.column(t, "node")
-        sets = shingle_sets(t.column("text"), k)
+        sets = sets_of(t.column("text").combine_chunks())
         others = np.flatnonzero(~hub)
         index = Index([sets[i] for i in others])
         u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -362,15 +386,15 @@ def small(df: DataFrame) -> DataFrame:
 class Join:
     """The sets of a table's documents (signature: a row a document) and the links between different sets."""
 
-    def __init__(self, docs: DataFrame, k: int, percent: int, chunk: int, list_rows: int):
-        self.k, self.percent, self.chunk, self.list_rows = k, percent, chunk, list_rows
+    def __init__(self, docs: DataFrame, sets_of: Sets, percent: int, chunk: int = CHUNK, list_rows: int = LIST_ROWS, banded: bool = False):
+        self.sets_of, self.percent, self.chunk, self.list_rows, self.banded = sets_of, percent, chunk, list_rows, banded
         self.spark = docs.sparkSession
         self.n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
         kind = docs.schema["doc_id"].dataType.simpleString()
         arrow = docs.select("doc_id").limit(0).toArrow().schema.field("doc_id").type
         schema = pa.schema([("kind", pa.int8()), ("doc_id", arrow), ("n", pa.int64()), ("key", pa.int64()), ("text_hash", pa.int64()), ("sketch", pa.binary())])
-        made = G.kept(self.docs.mapInArrow(T.lean(signatures(k, schema)), f"kind byte, doc_id {kind}, n long, key long, text_hash long, sketch binary"))
+        made = G.kept(self.docs.mapInArrow(T.lean(signatures(sets_of, schema)), f"kind byte, doc_id {kind}, n long, key long, text_hash long, sketch binary"))
         self.signature = made.where("kind = 0").drop("kind")
         common = made.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(MOST_COMMON).collect()
         self.common = [(r["key"], r["n"]) for r in common]
@@ -383,7 +407,9 @@ class Join:
         order = np.argsort(tokens)
         rank = (len(tokens) - 1 - order).astype(np.int64)
         many = {x: n for x, n in self.common if n > self.list_rows}
-        listed = self.docs.mapInArrow(T.lean(rare_tokens(self.k, self.percent, tokens[order], rank)), LISTED_DDL)
+        if self.banded:
+            many = {int(x): n for t, n in many.items() for x in T.signed(in_band(np.full(BANDS, t, np.int64).view(np.uint64), np.arange(BANDS)))}
+        listed = self.docs.mapInArrow(T.lean(rare_tokens(self.sets_of, self.percent, tokens[order], rank, self.banded)), LISTED_DDL)
         by = ["token"]
         if many:
             parts = F.create_map(*(F.lit(y) for x, n in many.items() for y in (x, -(-n // self.list_rows))))
@@ -406,7 +432,7 @@ class Join:
         needed = G.kept(wanted.select("node").distinct().join(self.sets.select("node", "text_hash"), "node"))
         texts = self.docs.select("text_hash", "text").join(small(needed), "text_hash").select("node", "text").mapInArrow(T.lean(first_texts), "node long, text string")
         texts = texts.groupBy("node").agg(F.first("text").alias("text"))
-        found = wanted.join(texts, "node").select("g", "node", "hub", "text").groupBy("g").applyInArrow(T.lean_group(linked(self.k, self.percent)), "u long, v long")
+        found = wanted.join(texts, "node").select("g", "node", "hub", "text").groupBy("g").applyInArrow(T.lean_group(linked(self.sets_of, self.percent)), "u long, v long")
         out = G.kept(found)
         G.dropped(similar, wanted, needed)
         return out
@@ -451,14 +477,18 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, chunk: in
     texts alone, and a null is no least doc_id, so that component_id is null only if all of a component are. An empty
     table gives an empty result. Exact but for 64-bit fingerprints.
     """
-    join = Join(docs, k, percent, chunk, list_rows)
-    own = join.signature.select("doc_id", F.col("n").alias("n_shingles"), "key")
-    classes = own.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
+    return components_of(Join(docs, partial(shingle_sets, k=k), percent, chunk, list_rows), "n_shingles")
+
+
+def components_of(join: Join, size: str) -> DataFrame:
+    """doc_id, the size of its set and component_id of each row of a join's documents."""
+    own = join.signature.select("doc_id", F.col("n").alias(size), "key")
+    classes = own.where(F.col(size) > 0).groupBy("key").agg(F.min("doc_id").alias("least"))
     classes = classes.join(join.labels().withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = classes.groupBy("label").agg(F.min("least").alias("component_id"))
     classes = G.kept(classes.join(least, "label").select("key", "component_id", F.lit(True).alias("has")))
-    out = own.join(classes, (own["key"] == classes["key"]) & (own["n_shingles"] > 0), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("has"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = own.join(classes, (own["key"] == classes["key"]) & (own[size] > 0), "left")
+    return out.select("doc_id", size, F.when(F.col("has"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

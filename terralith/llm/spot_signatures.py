@@ -7,6 +7,7 @@ signatures of 48 bits, written as sorted codes of eight characters. Likeness is
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralith.llm import _text as T
+from terralith.llm import ngram_join as N
 
 #: Common words of English, German, French and Spanish: fixed values.
 ANCHORS = (
@@ -83,6 +85,19 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def similar_documents(docs: DataFrame, percent: int = 75, chain: int = CHAIN, chunk: int = N.CHUNK) -> DataFrame:
+    """Groups all documents whose signature sets have a Jaccard similarity of percent/100 or more.
+
+    Lists of signatures are partitioned by bands of set length, so that a set meets only those whose length allows the
+    similarity; within a band the lists of each set's rarest signatures alone are compared, and a pair goes no further
+    once lengths, places or sketches rule the overlap out. docs: doc_id and text; other columns are ignored. Returns
+    doc_id, n_signatures and component_id, the least doc_id reachable over links, a row a row of docs. Null and empty
+    texts have no signatures and link with nothing; rows are linked by their texts alone, whatever their ids; an empty
+    table gives an empty result. Copies are one set, and a family of near copies is linked over a few of its members.
+    """
+    return N.components_of(N.Join(docs, partial(spot_sets, chain=chain), percent, chunk, banded=True), "n_signatures")
+
+
 def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
     """Of each document its fingerprint, that of its edited text, and how alike they and the next document's are.
 

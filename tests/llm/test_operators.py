@@ -161,6 +161,39 @@ def test_ngram_join_near_the_threshold(spark, chunk, list_rows):
     assert collections.Counter(map(tuple, got)) == jaccard_components(rows)
 
 
+@pytest.mark.parametrize("chunk", [ngram_join.CHUNK, 4])
+def test_spot_signature_join(docs, empty, chunk):
+    rows = [r[:2] for r in corpus()]
+    sets = [set(x.tolist()) for x in spot_signatures.spot_sets(pa.array([t for _, t in rows], pa.large_string()))]
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, s in enumerate(sets):
+        for b, t in enumerate(sets[:a]):
+            both = len(s & t)
+            if both and 100 * both >= 75 * (len(s) + len(t) - both):
+                up[find(a)] = find(b)
+    least = collections.defaultdict(list)
+    for a, (i, _) in enumerate(rows):
+        least[find(a)] += [] if i is None else [i]
+    want = collections.Counter((i, len(sets[a]), min(least[find(a)], default=None)) for a, (i, _) in enumerate(rows))
+    assert collections.Counter(map(tuple, spot_signatures.similar_documents(docs, chunk=chunk).collect())) == want
+    if chunk == 4:
+        assert spot_signatures.similar_documents(empty).collect() == []
+
+
+def test_size_bands_hold_similar_sets():
+    n = np.arange(1, 3000)
+    band = ngram_join.size_band(n, 75)
+    for a in range(1, 3000, 7):
+        near = (100 * np.minimum(a, n) >= 75 * np.maximum(a, n))
+        assert (abs(band[near] - band[a - 1]) <= 1).all()
+
+
 def test_sketches_differ_less_than_sets():
     rng = np.random.default_rng(5)
     for size in (1, 3, 40, 300, 900):
