@@ -26,10 +26,11 @@ class Runs(NamedTuple):
     last: np.ndarray
     seed: np.ndarray
     name: np.ndarray  # of seed, place and content together
+    place: np.ndarray  # where the seed begins, within the text
 
     @staticmethod
     def of(parts: list[Runs]) -> Runs:
-        return Runs(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else Runs(*(np.zeros(0, np.int64),) * 3, *(np.zeros(0, np.uint64),) * 2)
+        return Runs(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else Runs(*(np.zeros(0, np.int64),) * 3, *(np.zeros(0, np.uint64),) * 2, np.zeros(0, np.int64))
 
 
 def pieces(sizes: np.ndarray, starts: np.ndarray, window: int, limit: int):
@@ -75,7 +76,7 @@ def runs_of(values: np.ndarray, starts: np.ndarray, k: int, window: int, limit:
             seed = grams[at[first]]
             name = T.mix(T.span_hash(h, first, last + window) ^ T.mix(seed + (at[first] - first).astype(np.uint64)))
             base = starts[row[first]] - lo
-            out.append(Runs(row[first], first - base, last - base, seed, name))
+            out.append(Runs(row[first], first - base, last - base, seed, name, at[first] - base))
     return Runs.of(out)
 
 

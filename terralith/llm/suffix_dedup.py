@@ -1,35 +1,41 @@
 """Removal of repeated byte strings with a distributed sparse suffix array.
 
-Method: sampled splitters range-partition suffixes by their leading tokens; each bucket sorts
-its suffixes with a multikey quicksort and compares neighbours. Two sorted levels keep the
-number of suffixes low without losing a repeat:
-
-1. one suffix for each run of windows with a common winnowed seed (about one in fifty bytes).
-   Its tokens are the seed's fingerprint and the fingerprint of the whole run. A window can only
-   repeat if its seed does; where whole runs repeat, all their windows do.
-2. one suffix for each window start of the runs that share a seed but not the run, that is at the
-   edges of repeats. Its tokens are its first eight bytes and the fingerprint of the window.
-
-Documents are dealt into groups of bounded size by a hash of doc_id. Before a suffix leaves its
-group, equal ones merge into one that is marked as repeated, so that a passage which a third of
-all rows hold gives a row a group, not a row a copy. All suffixes with one leading token meet in
-one bucket: splitters never divide equal tokens, so that the comparison across a bucket's
-boundary can find nothing and is left out.
+Method: sampled splitters range-partition suffixes by their leading tokens; each bucket sorts its suffixes with a
+multikey quicksort, compares neighbours, and hands what lies at its ends to the buckets beside it. Two sorted levels
+keep the number of suffixes low without losing a repeat:
+
+1. one suffix for each run of windows with a common winnowed seed (about one in fifty bytes). Its tokens are its
+   first eight bytes, the fingerprint of its seed, and that of the whole run. Neighbours that agree on the first two
+   have a common prefix of the seed's length at least: a window can only repeat if its seed does. Those that agree on
+   all three repeat as a whole, and so do all their windows.
+2. one suffix for each window start of the runs that share a seed but not the run, that is at the edges of repeats.
+   Its tokens are its first eight bytes and the fingerprint of the window.
+
+Documents are dealt into groups of bounded size. Before a suffix leaves its group, equal ones merge into one that is
+marked as repeated, so that a passage which a third of all rows hold gives a row a group, not a row a copy. The group is
+the last token: splitters may divide the suffixes of one hot passage, and a bucket's first and last suffixes are settled
+by comparison across the boundary: each bucket tells what its two ends hold, a table bounded by the buckets.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terralith.llm import _graph as G
 from terralith.llm import _seeds as S
 from terralith.llm import _text as T
 
 GROUP_BYTES = 4 << 20
 DUPLICATE, EXPAND = 1, 2
-SUFFIX = pa.schema([("g", pa.int32()), ("t0", pa.int64()), ("t1", pa.int64()), ("twice", pa.bool_())])
+SUFFIX = pa.schema([("g", pa.int32()), ("lead", pa.int64()), ("seed", pa.int64()), ("name", pa.int64()), ("twice", pa.bool_())])
+SUFFIX_DDL = "g int, lead long, seed long, name long, twice boolean"
+#: What a bucket says. Kind 0: a suffix within it; 1: one at its ends; 2: what an end holds, whose names are the least and greatest.
+SAID = pa.schema([("kind", pa.int8()), ("bucket", pa.int32()), ("g", pa.int32()), ("seed", pa.int64()), ("name", pa.int64()), ("last", pa.int64()), ("repeated", pa.bool_()), ("head", pa.bool_()), ("several", pa.bool_())])
+SAID_DDL = "kind byte, bucket int, g int, seed long, name long, last long, repeated boolean, head boolean, several boolean"
 FOUND = pa.schema([("g", pa.int32()), ("key", pa.int64()), ("flag", pa.int8())])
 SPAN = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", SPAN), ("kept", pa.binary())])
@@ -58,44 +64,77 @@ def starts_of_equal(*sorted_keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def merged(g: int, t0: np.ndarray, t1: np.ndarray) -> pa.Table:
+def merged(g: int, lead: np.ndarray, seed: np.ndarray, name: np.ndarray) -> pa.Table:
     """Suffixes of one group, equal ones as one."""
-    order = np.lexsort((t1, t0))
-    t0, t1 = t0[order], t1[order]
-    at = np.flatnonzero(starts_of_equal(t0, t1)) if len(t0) else np.zeros(0, np.int64)
-    n = np.diff(np.append(at, len(t0)))
-    return pa.Table.from_arrays([pa.array(np.full(len(at), g, np.int32)), pa.array(t0[at]), pa.array(t1[at]), pa.array(n > 1)], schema=SUFFIX)
+    order = np.lexsort((name, seed, lead))
+    lead, seed, name = lead[order], seed[order], name[order]
+    at = np.flatnonzero(starts_of_equal(lead, seed, name)) if len(lead) else np.zeros(0, np.int64)
+    n = np.diff(np.append(at, len(lead)))
+    return pa.Table.from_arrays([pa.array(np.full(len(at), g, np.int32)), pa.array(lead[at]), pa.array(seed[at]), pa.array(name[at]), pa.array(n > 1)], schema=SUFFIX)
 
 
-def _sorted_bucket(batches) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compared(batches):
+    """What neighbours in a sorted bucket say about each suffix, and what the bucket's two ends hold."""
     t = T.table_of(batches, SUFFIX)
-    t0, t1 = T.column(t, "t0"), T.column(t, "t1")
-    order = multikey_order([t0, t1])
-    return t, t0[order], t1[order], T.column(t, "g")[order], T.column(t, "twice")[order].astype(bool)
-
-
-def compare_runs(batches):
-    """Level 1: what neighbours in a sorted bucket say about each run."""
-    t, t0, t1, g, twice = _sorted_bucket(batches)
     if not t.num_rows:
         return
-    seed, name = starts_of_equal(t0), starts_of_equal(t0, t1)
-    of_seed, of_name = np.cumsum(seed) - 1, np.cumsum(name) - 1
-    names = np.bincount(of_seed[name])[of_seed]
-    dup = (np.bincount(of_name)[of_name] > 1) | (np.bincount(of_name, twice)[of_name] > 0)
-    flag = dup * DUPLICATE + ((names > 1) & (~dup | name)) * EXPAND
-    keep = flag > 0
-    yield T.batch(FOUND, g[keep], t1[keep], flag[keep].astype(np.int8))
-
-
-def compare_windows(batches):
-    """Level 2: windows that equal a neighbour."""
-    t, t0, t1, g, twice = _sorted_bucket(batches)
-    if not t.num_rows:
-        return
-    of = np.cumsum(starts_of_equal(t0, t1)) - 1
-    dup = (np.bincount(of)[of] > 1) | (np.bincount(of, twice)[of] > 0)
-    yield T.batch(FOUND, g[dup], t1[dup], np.zeros(dup.sum(), np.int8))
+    context = TaskContext.get()
+    bucket = context.partitionId() if context else 0
+    yield from _compared(t, bucket)
+
+
+def _compared(t: pa.Table, bucket: int):
+    order = multikey_order([T.column(t, c) for c in ("lead", "seed", "name")])
+    g, lead, seed, name = (T.column(t, c)[order] for c in ("g", "lead", "seed", "name"))
+    twice = T.column(t, "twice")[order].astype(bool)
+    new_seed, head = starts_of_equal(lead, seed), starts_of_equal(lead, seed, name)
+    of_seed, of_name = np.cumsum(new_seed) - 1, np.cumsum(head) - 1
+    several = np.bincount(of_seed[head])[of_seed] > 1
+    repeated = (np.bincount(of_name)[of_name] > 1) | (np.bincount(of_name, twice)[of_name] > 0)
+    at_end = (of_seed == 0) | (of_seed == of_seed[-1])
+    keep = at_end | repeated | several
+    n = int(keep.sum())
+    yield T.batch(SAID, at_end[keep].astype(np.int8), np.full(n, bucket, np.int32), g[keep], seed[keep], name[keep], name[keep], repeated[keep], head[keep], several[keep])
+    ends = [0] if of_seed[-1] == 0 else [0, int(np.flatnonzero(new_seed)[-1])]
+    stops = [int(np.searchsorted(of_seed, of_seed[k], "right")) - 1 for k in ends]
+    first = np.arange(len(ends)) == 0
+    yield T.batch(SAID, np.full(len(ends), 2, np.int8), np.full(len(ends), bucket, np.int32), np.zeros(len(ends), np.int32), seed[ends], name[ends], name[stops], ~first, first, several[ends])
+
+
+def across(ends: list[tuple[int, int, int, int, bool]]) -> list[tuple[int, bool, list[int]]]:
+    """(seed, several, names that lie on both sides of a boundary) for the seeds at buckets' ends.
+
+    ends: (bucket, seed, least name, greatest name, several), a bucket's first end before its last. A seed that fills
+    buckets is one seed over all of them.
+    """
+    out: dict[int, tuple[bool, list[int]]] = {}
+    before = None
+    for bucket, seed, least, most, several in ends:
+        if seed in out:
+            had, names = out[seed]
+            # the same seed follows on from the bucket before, with names in order
+            if before is not None and before[1] == seed:
+                if before[3] == least:
+                    names.append(least)
+                had = had or before[3] != least
+            out[seed] = (had or several, names)
+        else:
+            out[seed] = (several, [])
+        before = (bucket, seed, least, most)
+    return [(k, several, sorted(set(names))) for k, (several, names) in out.items()]
+
+
+def settled(suffixes: DataFrame) -> DataFrame:
+    """g, seed, name, repeated, head, several: what all suffixes' neighbours say, across the boundaries of buckets too."""
+    spark = suffixes.sparkSession
+    said = G.kept(suffixes.repartitionByRange(_buckets(spark), "lead", "seed", "name", "g").mapInArrow(T.lean(compared), SAID_DDL))
+    # two rows a bucket at most
+    ends = sorted((r["bucket"], not r["head"], k, r["seed"], r["name"], r["last"], r["several"]) for k, r in enumerate(said.where("kind = 2").select("bucket", "head", "seed", "name", "last", "several").collect()))
+    table = spark.createDataFrame(across([(b, seed, least, most, several) for b, _, _, seed, least, most, several in ends]), "seed long, more boolean, names array<long>")
+    columns = ("g", "seed", "name", "repeated", "head", "several")
+    inner = said.where("kind = 0").select(*columns)
+    edge = said.where("kind = 1").join(F.broadcast(table), "seed").select("g", "seed", "name", (F.col("repeated") | F.array_contains("names", F.col("name"))).alias("repeated"), "head", (F.col("several") | F.col("more")).alias("several"))
+    return inner.unionByName(edge.where("repeated or several"))
 
 
 class _Group:
@@ -105,9 +144,17 @@ class _Group:
         self.ids = docs.column("doc_id")
         self.data, self.offsets = T.utf8(docs.column("text"))
         self.data, self.offsets = self.data[self.offsets[0] : self.offsets[-1]], self.offsets - self.offsets[0]
-        self.window = window
+        self.window, self.seed = window, seed
         self.runs = S.runs_of(T.BYTE_VALUE[self.data], self.offsets, seed, window)
 
+    def leads(self) -> np.ndarray:
+        """The first eight bytes of each run's seed, in the order of bytes."""
+        at = self.offsets[self.runs.row] + self.runs.place
+        token = np.zeros(len(at), np.uint64)
+        for k in range(min(8, self.seed)):
+            token = token << T.U(8) | self.data[at + k].astype(np.uint64)
+        return T.signed(token ^ T.U(1 << 63))
+
     def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Row, start, leading token and fingerprint of each window of the chosen runs."""
         parts = []
@@ -152,14 +199,14 @@ def suffix_array_dedup(docs: DataFrame, window: int = 400, seed: int = 300, grou
 
     def level_1(t: pa.Table) -> pa.Table:
         group = _Group(t, window, seed)
-        return merged(t.column("g")[0].as_py(), T.signed(group.runs.seed), T.signed(group.runs.name))
+        return merged(t.column("g")[0].as_py(), group.leads(), T.signed(group.runs.seed), T.signed(group.runs.name))
 
     def level_2(t: pa.Table, found: pa.Table) -> pa.Table:
         if not t.num_rows or not found.num_rows:
             return SUFFIX.empty_table()
         group = _Group(t, window, seed)
-        _, _, t0, t1 = group.windows((group.flags(found) & EXPAND) > 0)
-        return merged(t.column("g")[0].as_py(), T.signed(t0), T.signed(t1))
+        _, _, lead, name = group.windows((group.flags(found) & EXPAND) > 0)
+        return merged(t.column("g")[0].as_py(), T.signed(lead), T.signed(name), T.signed(name))
 
     def cut(t: pa.Table, found: pa.Table) -> pa.Table:
         group = _Group(t, window, seed) if found.num_rows else None
@@ -190,10 +237,12 @@ def suffix_array_dedup(docs: DataFrame, window: int = 400, seed: int = 300, grou
                 kept.append(body.tobytes())
         return pa.Table.from_arrays([t.column("doc_id").combine_chunks(), pa.array(np.diff(offsets)), pa.array(spans, SPAN), pa.array(kept, pa.binary())], schema=RESULT)
 
-    level = dealt.groupBy("g").applyInArrow(level_1, "g int, t0 long, t1 long, twice boolean")
-    runs = level.repartitionByRange(_buckets(docs.sparkSession), "t0").mapInArrow(compare_runs, "g int, key long, flag byte")
-    edges = dealt.groupBy("g").cogroup(runs.groupBy("g")).applyInArrow(level_2, "g int, t0 long, t1 long, twice boolean")
-    windows = edges.repartitionByRange(_buckets(docs.sparkSession), "t0", "t1").mapInArrow(compare_windows, "g int, key long, flag byte")
+    # of a run that repeats, one copy a bucket is enough to tell its windows from those of other runs
+    said = settled(dealt.groupBy("g").applyInArrow(level_1, SUFFIX_DDL))
+    flag = F.when(F.col("repeated"), F.lit(DUPLICATE)).otherwise(F.lit(0)) + F.when(F.col("several") & (~F.col("repeated") | F.col("head")), F.lit(EXPAND)).otherwise(F.lit(0))
+    runs = said.select("g", F.col("name").alias("key"), flag.cast("byte").alias("flag")).where("flag > 0")
+    edges = dealt.groupBy("g").cogroup(runs.groupBy("g")).applyInArrow(level_2, SUFFIX_DDL)
+    windows = settled(edges).where("repeated").select("g", F.col("name").alias("key"), F.lit(0).cast("byte").alias("flag"))
     found = runs.unionByName(windows)
     return dealt.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(cut, RESULT_DDL)
 

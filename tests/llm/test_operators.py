@@ -95,6 +95,33 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.suffix_array_dedup(empty).collect() == []
 
 
+def test_suffixes_across_boundaries():
+    """Whatever the places where sorted suffixes are cut, what is said of them is the same."""
+    rng = np.random.default_rng(9)
+    rows = [(int(rng.integers(0, 40)), s % 4, s, s * 100 + int(rng.integers(0, 1 + s % 3)), False) for s in rng.integers(0, 6, 120).tolist()]
+    rows = sorted({(g, lead, seed, name): (g, lead, seed, name, t) for g, lead, seed, name, t in rows}.values(), key=lambda r: (r[1], r[2], r[3], r[0]))
+
+    def say(cuts):
+        inner, pending, ends = [], [], []
+        for bucket, (a, z) in enumerate(zip([0, *cuts], [*cuts, len(rows)], strict=True)):
+            if a == z:
+                continue
+            table = pa.Table.from_pydict({n: [r[k] for r in rows[a:z]] for k, n in enumerate(suffix_dedup.SUFFIX.names)}, schema=suffix_dedup.SUFFIX)
+            for b in suffix_dedup._compared(table, bucket):
+                for r in b.to_pylist():
+                    (inner, pending, ends)[r["kind"]].append(r)
+        ends.sort(key=lambda r: (r["bucket"], not r["head"]))
+        over = {s: (several, names) for s, several, names in suffix_dedup.across([(r["bucket"], r["seed"], r["name"], r["last"], r["several"]) for r in ends])}
+        for r in pending:
+            several, names = over[r["seed"]]
+            r["repeated"], r["several"] = r["repeated"] or r["name"] in names, r["several"] or several
+        return {(r["g"], r["seed"], r["name"], r["repeated"], r["several"]) for r in inner + pending if r["repeated"] or r["several"]}
+
+    whole = say([])
+    for _ in range(60):
+        assert say(sorted(rng.integers(0, len(rows) + 1, rng.integers(1, 14)).tolist())) == whole
+
+
 def test_multikey_order():
     rng = np.random.default_rng(0)
     keys = [rng.integers(0, 50, 30000), rng.integers(0, 9, 30000)]
