@@ -7,6 +7,7 @@ from terralith.llm.ngram_join import op5_ngram_jaccard_join
 from terralith.llm.quality_net import op10_quality_net
 from terralith.llm.ring_shards import op1_ring_shards
 from terralith.llm.source_mix import op4_source_mix
+from terralith.llm.sql import ORACLES
 from terralith.llm.spot_signatures import op6_spot_signatures
 from terralith.llm.substring_dedup import op2_seed_extend_dedup
 from terralith.llm.suffix_dedup import op3_suffix_array_dedup
@@ -32,4 +33,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
