@@ -202,3 +202,36 @@ def orthorectify(images: DataFrame, cameras: DataFrame, dem: DataFrame, dem_grid
     seen = projected(cells, cameras)
     keep = seen.select("image", "r", "c", "j", "i")
     return Ortho(R.resampled(keep, images, F.col("j"), F.col("i"), kernel, ["image"]), made)
+
+
+def rpc_grids(models: DataFrame, crs: X.Crs, resolution: float | None = None) -> DataFrame:
+    """image, x0, y0, res, rows, cols, reason: a grid for each model (image, im_size, rpc) over the region it is normalised for.
+
+    Without a resolution it is the root of the region's area over that of the pixels it is normalised to.
+    """
+    lon, lat = (F.array(F.col(f"rpc.{n}_off") - F.col(f"rpc.{n}_scale"), F.col(f"rpc.{n}_off") + F.col(f"rpc.{n}_scale")) for n in ("long", "lat"))
+    edges = [X.forward(crs, lon[a], lat[b]) for a in range(2) for b in range(2)]
+    xs, ys = ([e[k] for e in edges] for k in range(2))
+    b = models.select("image", "rpc", F.least(*xs).alias("bx0"), F.greatest(*xs).alias("bx1"), F.least(*ys).alias("by0"), F.greatest(*ys).alias("by1"))
+    gsd = F.sqrt((F.col("bx1") - F.col("bx0")) * (F.col("by1") - F.col("by0")) / (4 * F.col("rpc.samp_scale") * F.col("rpc.line_scale")))
+    b = b.withColumn("res", F.lit(float(resolution)) if resolution else gsd)
+    first, top = F.floor(F.col("bx0") / F.col("res")), F.ceil(F.col("by1") / F.col("res"))
+    rows, cols = (top - F.floor(F.col("by0") / F.col("res"))).cast("long"), (F.ceil(F.col("bx1") / F.col("res")) - first).cast("long")
+    return b.select("image", (first * F.col("res")).alias("x0"), (top * F.col("res")).alias("y0"), "res", rows.alias("rows"), cols.alias("cols"), F.lit(None).cast("string").alias("reason"))
+
+
+def rpc_projected(cells: DataFrame, models: DataFrame, crs: X.Crs) -> DataFrame:
+    """Cells (image, wx, wy, wz) with the pixel (j, i) by their image's rational polynomials, of those within the image."""
+    lon, lat = X.back(crs, F.col("wx"), F.col("wy"))
+    rows = cells.withColumns({"lon": lon, "lat": lat}).join(models.select("image", "im_size", "rpc"), "image")
+    j, i = C.rpc_to_pixel(F.col("rpc"), F.col("lon"), F.col("lat"), F.col("wz") * crs.z_scale)
+    rows = rows.withColumns({"j": j, "i": i})
+    inside = F.col("j").between(-0.5, F.col("im_size")[0] - 0.5) & F.col("i").between(-0.5, F.col("im_size")[1] - 0.5)
+    return rows.where(inside).select(*cells.columns, "j", "i")
+
+
+def orthorectify_rpc(images: DataFrame, models: DataFrame, dem: DataFrame, dem_grid: Grid, crs: X.Crs, resolution: float | None = None, kernel: str = "cubic", dem_kernel: str = "cubic", tile: int = TILE) -> Ortho:
+    """The same for images whose cameras are rational polynomial models."""
+    made = rpc_grids(models, crs, resolution)
+    seen = rpc_projected(heights(cells_of(made, tile), dem, dem_grid, crs, dem_kernel), models, crs)
+    return Ortho(R.resampled(seen.select("image", "r", "c", "j", "i"), images, F.col("j"), F.col("i"), kernel, ["image"]), made)
