@@ -71,30 +71,42 @@ def undistorted(kind: str, coefficients: dict[str, float], u: Column, v: Column)
 
 
 def rpc_value(c: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
-    return sum(k * x**a * y**b * z**d for k, (a, b, d) in zip(c, RPC_TERMS, strict=True))
+    """A 20-term cubic with a row of coefficients for each place."""
+    return sum(c[:, k] * x**a * y**b * z**d for k, (a, b, d) in enumerate(RPC_TERMS))
 
 
-def rpc_to_world(rpc: dict, j: Column, i: Column, height: Column, steps: int = 12) -> Column:
-    """struct<lon, lat> that an RPC model projects to a pixel at a height: Newton's method with finite differences."""
-    coefficients = {k: np.array(rpc[f"{k}_coeff"], float) for k in ("samp_num", "samp_den", "line_num", "line_den")}
+RPC_PARTS = ("samp_num", "samp_den", "line_num", "line_den")
 
-    def project(x, y, z):
-        return rpc_value(coefficients["samp_num"], x, y, z) / rpc_value(coefficients["samp_den"], x, y, z), rpc_value(coefficients["line_num"], x, y, z) / rpc_value(coefficients["line_den"], x, y, z)
+
+def rpc_to_world(rpc: Column, j: Column, i: Column, height: Column, steps: int = 12) -> Column:
+    """struct<lon, lat> that a row's rational polynomial model projects to a pixel at a height: Newton's method with finite differences.
+
+    NULL where any of the four is.
+    """
 
     @F.pandas_udf("lon double, lat double")
-    def run(js: pd.Series, is_: pd.Series, hs: pd.Series) -> pd.DataFrame:
-        s, t = (js.to_numpy(float) - rpc["samp_off"]) / rpc["samp_scale"], (is_.to_numpy(float) - rpc["line_off"]) / rpc["line_scale"]
-        z = (hs.to_numpy(float) - rpc["height_off"]) / rpc["height_scale"]
-        x, y, e = np.zeros_like(s), np.zeros_like(s), 1e-6
-        for _ in range(steps):
-            a, b = project(x, y, z)
-            ax, bx = (np.subtract(p, q) / e for p, q in zip(project(x + e, y, z), (a, b), strict=True))
-            ay, by = (np.subtract(p, q) / e for p, q in zip(project(x, y + e, z), (a, b), strict=True))
-            det = ax * by - ay * bx
-            x, y = x + ((s - a) * by - (t - b) * ay) / det, y + ((t - b) * ax - (s - a) * bx) / det
-        return pd.DataFrame({"lon": x * rpc["long_scale"] + rpc["long_off"], "lat": y * rpc["lat_scale"] + rpc["lat_off"]})
-
-    return run(j, i, height)
+    def run(js: pd.Series, is_: pd.Series, hs: pd.Series, off: pd.Series, *parts: pd.Series) -> pd.DataFrame:
+        known = (js.notna() & is_.notna() & hs.notna() & off.notna()).to_numpy()
+        out = np.full((len(js), 2), np.nan)
+        if known.any():
+            n = np.stack(off[known].to_numpy()).astype(float)
+            samp_off, samp_scale, line_off, line_scale, long_off, long_scale, lat_off, lat_scale, height_off, height_scale = n.T
+            c = [np.stack(p[known].to_numpy()).astype(float) for p in parts]
+            project = lambda x, y: (rpc_value(c[0], x, y, z) / rpc_value(c[1], x, y, z), rpc_value(c[2], x, y, z) / rpc_value(c[3], x, y, z))
+            s, t = (js[known].to_numpy(float) - samp_off) / samp_scale, (is_[known].to_numpy(float) - line_off) / line_scale
+            z = (hs[known].to_numpy(float) - height_off) / height_scale
+            x, y, e = np.zeros_like(s), np.zeros_like(s), 1e-6
+            for _ in range(steps):
+                a, b = project(x, y)
+                ax, bx = (np.subtract(p, q) / e for p, q in zip(project(x + e, y), (a, b), strict=True))
+                ay, by = (np.subtract(p, q) / e for p, q in zip(project(x, y + e), (a, b), strict=True))
+                det = ax * by - ay * bx
+                x, y = x + ((s - a) * by - (t - b) * ay) / det, y + ((t - b) * ax - (s - a) * bx) / det
+            out[known] = np.stack([x * long_scale + long_off, y * lat_scale + lat_off], 1)
+        return pd.DataFrame({"lon": out[:, 0], "lat": out[:, 1]})
+
+    scalars = F.array(*(rpc[f"{n}_{part}"].cast("double") for n in ("samp", "line", "long", "lat", "height") for part in ("off", "scale")))
+    return run(j.cast("double"), i.cast("double"), height.cast("double"), scalars, *(rpc[f"{p}_coeff"] for p in RPC_PARTS))
 
 
 def undistorted_each(kind: Column, lens: dict[str, Column], u: Column, v: Column) -> Column:

@@ -238,10 +238,13 @@ query("w2p_rpc", V.sql(RPC_SQL, "v_world", pts=POINTS.format("z")))(_rpc(False))
 query("rpc_nulls", V.sql(RPC_SQL, "v_world", pts=POINTS.format("case when id % 5 <> 0 then z end")))(_rpc(True))
 
 
-@query("p2w_rpc")
+@query("p2w_rpc", V.sql("select id::bigint as id, round(j, 5)+0.0 as j, round(i, 5)+0.0 as i, lost from (select id, case when id % 9 = 0 then -1 else j end as j, case when id % 9 = 0 then -1 else i end as i, id % 9 = 0 as lost from v_pixel)", "v_pixel"))
 def p2w_rpc(spark: SparkSession, sf: str) -> DataFrame:
-    row = spark.range(1).select(rpc_struct().alias("r")).first()["r"].asDict()
-    return V.pixels(spark, sf).withColumn("w", inverse.rpc_to_world(row, F.col("j"), F.col("i"), F.col("z"))).select(F.col("id").cast("long").alias("id"), "j", "i", "z", "w.lon", "w.lat")
+    """Places that models project to pixels at a height, projected again; without a height there is none."""
+    px = V.pixels(spark, sf).withColumn("rpc", rpc_struct()).withColumn("h", F.when(F.col("id") % 9 != 0, F.col("z")))
+    px = px.withColumn("w", inverse.rpc_to_world(F.col("rpc"), F.col("j"), F.col("i"), F.col("h")))
+    j, i = C.rpc_to_pixel(F.col("rpc"), F.col("w.lon"), F.col("w.lat"), F.col("h"))
+    return px.select(F.col("id").cast("long").alias("id"), shown(F.coalesce(F.nanvl(j, F.lit(-1.0)), F.lit(-1.0)), 5).alias("j"), shown(F.coalesce(F.nanvl(i, F.lit(-1.0)), F.lit(-1.0)), 5).alias("i"), (F.col("w.lon").isNull() | F.coalesce(F.isnan("w.lon"), F.lit(True))).alias("lost"))
 
 
 BOUNDARY = "select * from (values (0, 0.0::double, 0.0::double), (1, 99.5, 0.0), (2, 199.0, 0.0), (3, 199.0, 74.5), (4, 199.0, 149.0), (5, 99.5, 149.0), (6, 0.0, 149.0), (7, 0.0, 74.5)) as t(ord, j, i)"

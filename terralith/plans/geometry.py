@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralith.functions import angles as A
+from terralith.functions import checks as K
 from terralith.functions import crs as X
 from terralith.functions.num import same, shown
 from terralith.plans import views as V
@@ -132,17 +133,20 @@ def rpy_opk(spark: SparkSession, sf: str) -> DataFrame:
     return p.select(F.col("id").cast("long").alias("id"), *(shown(v, 8).alias(n) for v, n in zip(out, ("omega", "phi", "kappa"), strict=True)))
 
 
+TRANSFORM = (4.0, 0.25, 19880.0, 0.125, -4.0, 30120.0)
+
+
 @query("affine", V.sql("select id::bigint as id, 19880 + 4*(j+0.5::double) + 0.25::double*(i+0.5::double) as x, 30120 + 0.125::double*(j+0.5::double) - 4*(i+0.5::double) as y from v_pixel", "v_pixel"))
 def affine(spark: SparkSession, sf: str) -> DataFrame:
     """Pixel centres to the world, as transforms address corners."""
-    j, i = F.col("j") + 0.5, F.col("i") + 0.5
-    return V.pixels(spark, sf).select(F.col("id").cast("long").alias("id"), (19880 + 4 * j + 0.25 * i).alias("x"), (30120 + 0.125 * j - 4 * i).alias("y"))
+    x, y = K.affine(TRANSFORM, F.col("j"), F.col("i"))
+    return V.pixels(spark, sf).select(F.col("id").cast("long").alias("id"), x.alias("x"), y.alias("y"))
 
 
 @query("affine_inv", V.sql("select id::bigint as id, round((-4*(x-19880) - 0.25::double*(y-30120))/(-16.03125::double) - 0.5::double, 9) + 0.0 as j, round((4*(y-30120) - 0.125::double*(x-19880))/(-16.03125::double) - 0.5::double, 9) + 0.0 as i from v_world", "v_world"))
 def affine_inv(spark: SparkSession, sf: str) -> DataFrame:
-    u, v, det = F.col("x") - 19880, F.col("y") - 30120, 4 * -4 - 0.25 * 0.125
-    return V.world(spark, sf).select(F.col("id").cast("long").alias("id"), shown((-4 * u - 0.25 * v) / det - 0.5, 9).alias("j"), shown((4 * v - 0.125 * u) / det - 0.5, 9).alias("i"))
+    j, i = K.affine_inverse(TRANSFORM, F.col("x"), F.col("y"))
+    return V.world(spark, sf).select(F.col("id").cast("long").alias("id"), shown(j, 9).alias("j"), shown(i, 9).alias("i"))
 
 
 @query("nan_equals", "select event_id::bigint as id, (case when event_id % 3 = 0 then null else value end is not distinct from case when event_id % 2 = 0 then null else value end) as same from events")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terralith.functions.checks import too_coarse
 from terralith.functions.num import shown
 from terralith.operators import pansharp as P
 from terralith.plans import views as V
@@ -77,11 +78,24 @@ def gs_weights(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([tuple(p.weights)], "w1 double, w2 double, w3 double").select(*(shown(F.col(f"w{k}"), 8).alias(f"w{k}") for k in (1, 2, 3)))
 
 
-@query("gs_weights_raw")
+def _pair(k: int) -> list[str]:
+    """Weights of least squares without one band, whose own is 0."""
+    p, q = (n for n in range(3) if n != k)
+    det = f"({M[p][p]}*{M[q][q]}-{M[p][q]}*{M[p][q]})"
+    out = ["0.0::double"] * 3
+    out[p], out[q] = f"({Y[p]}*{M[q][q]}-{Y[q]}*{M[p][q]})/{det}", f"({Y[q]}*{M[p][p]}-{Y[p]}*{M[p][q]})/{det}"
+    return out
+
+
+#: Where one weight is negative the others are fitted again; should one of them be negative then, the first fit stands.
+REFIT = "select *, " + ", ".join("case " + " ".join(f"when x{k + 1} < 0 and least({', '.join(_pair(k))}) >= 0 then {_pair(k)[n]}" for k in range(3)) + f" else x{n + 1} end as z{n + 1}" for n in range(3)) + " from solved"
+
+
+@query("gs_weights_raw", V.sql("select " + ", ".join(f"round(greatest(z{k}, 0)/(greatest(z1,0)+greatest(z2,0)+greatest(z3,0)), 6) + 0.0 as w{k}" for k in (1, 2, 3)) + " from refit", "v_panms_raw", cov=COV.replace("v_panms", "v_panms_raw"), solved=SOLVED, refit=REFIT))
 def gs_weights_raw(spark: SparkSession, sf: str) -> DataFrame:
     """A pan band whose weights include a negative one, which is fitted again without."""
     p = P.parameters(V.panms_raw(spark, sf), "pan", BANDS)
-    return spark.createDataFrame([tuple(p.weights)], "w1 double, w2 double, w3 double")
+    return spark.createDataFrame([tuple(p.weights)], "w1 double, w2 double, w3 double").select(*(shown(F.col(f"w{k}"), 6).alias(f"w{k}") for k in (1, 2, 3)))
 
 
 @query("gs_coeffs", V.sql("select " + ", ".join(f"round(f{k}, 7) + 0.0 as phi_{k - 1}_0" for k in (1, 2, 3)) + " from fin", "v_panms", **PARTS))
@@ -212,4 +226,4 @@ def bounds_overlap(spark: SparkSession, sf: str) -> DataFrame:
 def pan_res_check(spark: SparkSession, sf: str) -> DataFrame:
     """Whether the pan band is coarser than the others, which is an error."""
     e = F.col("event_id")
-    return V.table(spark, sf, "events").select(e.cast("long").alias("id"), ((e % 10 + 1) > (e % 7 + 1)).alias("coarser"))
+    return V.table(spark, sf, "events").select(e.cast("long").alias("id"), too_coarse(e % 10 + 1, e % 7 + 1).alias("coarser"))

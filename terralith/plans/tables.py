@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terralith.functions import checks as K
 from terralith.functions.num import shown
 from terralith.operators import catalog as J
 from terralith.operators import refine as R
@@ -116,7 +117,7 @@ def ms_indexes(spark: SparkSession, sf: str) -> DataFrame:
     """Bands that aren't alpha, by number."""
     e = F.col("event_id")
     alpha = F.when(e % 2 == 0, F.array(*map(F.lit, (False, False, False, True)))).otherwise(F.array(*map(F.lit, (True, False, False, False))))
-    bands = F.filter(F.transform(alpha, lambda a, k: F.when(~a, k + 1)), lambda k: k.isNotNull())
+    bands = K.colour_bands(alpha)
     return V.table(spark, sf, "events").select(e.cast("long").alias("id"), F.concat_ws(",", bands.cast("array<string>")).alias("bands"))
 
 
@@ -125,14 +126,14 @@ def validate_image(spark: SparkSession, sf: str) -> DataFrame:
     """Images of a supported type whose sides aren't too long."""
     e = F.col("event_id")
     dtype = F.element_at(F.array(*map(F.lit, ("uint8", "float32", "int64"))), (e % 3 + 1).cast("int"))
-    return V.table(spark, sf, "events").select(e.cast("long").alias("id"), ((e % 40000 <= 32767) & dtype.isin("uint8", "uint16", "int16", "float32", "float64")).alias("valid"))
+    return V.table(spark, sf, "events").select(e.cast("long").alias("id"), K.image_fits(e % 40000, e % 100, dtype).alias("valid"))
 
 
 @query("res_check", "select event_id::bigint as id, (event_id % 50 + 1) > (event_id % 30) as too_coarse from events")
 def res_check(spark: SparkSession, sf: str) -> DataFrame:
     """Whether a resolution exceeds the extent."""
     e = F.col("event_id")
-    return V.table(spark, sf, "events").select(e.cast("long").alias("id"), ((e % 50 + 1) > (e % 30)).alias("too_coarse"))
+    return V.table(spark, sf, "events").select(e.cast("long").alias("id"), K.too_coarse(e % 50 + 1, e % 30).alias("too_coarse"))
 
 
 @query("overview_count", "select 1024::integer as rows, 2::integer as levels union all select 300, 0 union all select 200000, 8")
