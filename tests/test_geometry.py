@@ -14,6 +14,7 @@ from terralith.functions import cameras as C
 from terralith.functions import crs as X
 from terralith.functions import inverse
 from terralith.operators import pansharp as P
+from terralith.operators import raster
 from terralith.plans import catalog
 from terralith.plans import views as V
 from terralith.plans.cameras import K, POSE, frame, rpc_struct
@@ -61,9 +62,8 @@ def test_fisheye_on_axis_is_the_principal_point(spark):
 
 
 def test_rpc_round_trip(spark):
-    row = spark.range(1).select(rpc_struct().alias("r")).first()["r"].asDict()
     px = spark.createDataFrame([(60.0, 40.0, 200.0), (120.0, 100.0, 300.0)], "j double, i double, z double").withColumn("rpc", rpc_struct())
-    px = px.withColumn("w", inverse.rpc_to_world(row, F.col("j"), F.col("i"), F.col("z")))
+    px = px.withColumn("w", inverse.rpc_to_world(F.col("rpc"), F.col("j"), F.col("i"), F.col("z")))
     j, i = C.rpc_to_pixel(F.col("rpc"), F.col("w.lon"), F.col("w.lat"), F.col("z"))
     for r in px.select("j", "i", j.alias("j2"), i.alias("i2")).collect():
         assert (r.j2, r.i2) == pytest.approx((r.j, r.i), abs=1e-6)
@@ -122,3 +122,41 @@ def test_body_angles_at_all_latitudes(spark):
     for r in got:
         for a, b in ((r.omega, r.w0), (r.phi, r.w1), (r.kappa, r.w2)):
             assert math.remainder(a - b, 2 * math.pi) == pytest.approx(0, abs=2e-6)
+
+
+@pytest.mark.parametrize("kind,d", [("brown", V.BROWN), ("opencv", V.OPENCV), ("opencv", V.OPENCV | {"s1": 0.01, "s3": -0.01, "t1": 0.05, "t2": -0.03}), ("fisheye", V.FISHEYE), ("pinhole", {})])
+def test_inverse_of_every_kind(spark, kind, d):
+    """Undistorting what a camera distorts gives the same place, for one camera and for cameras that differ by row."""
+    px = spark.createDataFrame([(0.1 * a - 0.3, 0.1 * b - 0.2) for a in range(7) for b in range(5)], "u double, v double")
+    at = C.Frame(K, POSE, kind, d).distorted(F.col("u"), F.col("v"))
+    bent = px.withColumns({"du": at[0], "dv": at[1]})
+    each = {k: F.lit(float(d.get(k, 0.0))) for k in C.COEFFICIENTS["opencv"]}
+    rows = bent.withColumn("a", inverse.undistorted(kind, d, F.col("du"), F.col("dv"))).withColumn("b", inverse.undistorted_each(F.lit(kind), each, F.col("du"), F.col("dv"))).collect()
+    for r in rows:
+        assert (r.a.u, r.a.v) == pytest.approx((r.u, r.v), abs=1e-6) and (r.b.u, r.b.v) == pytest.approx((r.u, r.v), abs=1e-6)
+
+
+def test_medians(spark):
+    for values in ([3.0], [1.0, 2.0], [5.0, 5.0, 5.0], list(range(101)), [0.1 * k * k for k in range(50)], [None, 2.0, None, 9.0, 4.0]):
+        got = raster.median(spark.createDataFrame([(None if v is None else float(v),) for v in values], "z double"), bins=8).first()["z"]
+        assert got == pytest.approx(np.median([v for v in values if v is not None]))
+    assert raster.median(spark.createDataFrame([], "z double")).first()["z"] is None
+
+
+def test_images_and_bands_stay_apart(spark):
+    """Rasters in one table are resampled, dilated and averaged each by itself, across the edges of blocks too."""
+    rng = np.random.default_rng(3)
+    data = {(im, b): rng.random((300, 20)) for im in ("p", "q") for b in (1, 2)}
+    source = spark.createDataFrame([(im, b, i, j, float(a[i, j])) for (im, b), a in data.items() for i in range(240, 300) for j in range(20)], "image string, band int, i long, j long, v double")
+    cells = spark.createDataFrame([(im, k, 250.0 + 0.37 * k, 4.0 + 0.21 * k) for im in ("p", "q") for k in range(40)], "image string, id long, i double, j double")
+    got = raster.interpolated(cells, source, F.col("j"), F.col("i"), "bilinear", ["image"]).collect()
+    assert len(got) == 160
+    for r in got:
+        y, x = 250 + 0.37 * r.id, 4 + 0.21 * r.id
+        a, i, j = data[r.image, r.band], int(y), int(x)
+        want = sum(a[i + di, j + dj] * (1 - abs(y - i - di)) * (1 - abs(x - j - dj)) for di in (0, 1) for dj in (0, 1))
+        assert r.v == pytest.approx(want)
+    mask = source.where("band = 1").select("image", "i", "j", (F.col("v") > 0.97).cast("int").alias("m"))
+    for r in raster.dilated(mask, 2, ["image"]).collect():
+        part = data[r.image, 1][max(240, r.i - 2) : r.i + 3, max(0, r.j - 2) : r.j + 3]
+        assert r.m == int((part > 0.97).any())
