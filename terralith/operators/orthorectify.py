@@ -18,6 +18,7 @@ from terralith.functions import crs as X
 from terralith.functions import inverse
 from terralith.functions.num import applied, over, transposed
 from terralith.operators import raster as R
+from terralith.operators.ortho import ray_hits
 
 #: Least and greatest heights on Earth above the ellipsoid: the highest mountain, and the geoid's range: fixed values.
 LOWEST, HIGHEST = -106.71, 8850.0 + 82.28
@@ -235,3 +236,15 @@ def orthorectify_rpc(images: DataFrame, models: DataFrame, dem: DataFrame, dem_g
     made = rpc_grids(models, crs, resolution)
     seen = rpc_projected(heights(cells_of(made, tile), dem, dem_grid, crs, dem_kernel), models, crs)
     return Ortho(R.resampled(seen.select("image", "r", "c", "j", "i"), images, F.col("j"), F.col("i"), kernel, ["image"]), made)
+
+
+def on_surface(rays: DataFrame, dem: DataFrame, grid: Grid, top: float, low: float, steps: int) -> DataFrame:
+    """image, ord, x, y, hit: where boundary rays, followed down from one height to another in steps, first meet the elevation raster.
+
+    A ray that meets it nowhere gives its lowest point.
+    """
+    down = over(F.lit((low - top) / steps), F.col("rz"))
+    start = over(F.lit(top) - F.col("z"), F.col("rz"))
+    from_top = rays.select(F.struct("image", "ord").alias("id"), (F.col("x") + F.col("rx") * start).alias("x"), (F.col("y") + F.col("ry") * start).alias("y"), F.lit(float(top)).alias("z"), (F.col("rx") * down).alias("dx"), (F.col("ry") * down).alias("dy"), F.lit((low - top) / steps).alias("dz"))
+    met = ray_hits(from_top, dem, steps, lambda x, y: F.rint(grid.pixel(x, y)[1]), lambda x, y: F.rint(grid.pixel(x, y)[0]))
+    return met.select("id.image", "id.ord", "x", "y", "hit")

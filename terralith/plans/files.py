@@ -27,7 +27,7 @@ def scan_text(spark: SparkSession, sf: str) -> DataFrame:
 def _write_rasters(spark: SparkSession, sf: str) -> str:
     """Two georeferenced images a label of the raster table's rows, one in tiles and one in strips."""
     folder = store.scratch(spark)
-    rows = V.table(spark, sf, "embeddings").where("label < 4").groupBy("label").agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("rows")).toLocalIterator()
+    rows = V.table(spark, sf, "embeddings").groupBy("label").agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("rows")).toLocalIterator()
     for r in rows:
         a = np.array([x["embedding"] for x in r["rows"]], np.float32)
         b = np.stack([a, a * 2])
@@ -36,7 +36,7 @@ def _write_rasters(spark: SparkSession, sf: str) -> str:
     return folder
 
 
-@query("scan_raster", "with x as (select label, embedding[p]::double as v from embeddings, unnest(range(1, 65)) as t(p) where label < 4) select 'a' || label || '.tif' as filename, band::integer as band, count(*)::bigint as n, round(sum(v * band), 3) + 0.0 as total from x, (values (1), (2)) as b(band) group by label, band")
+@query("scan_raster", "with x as (select label, embedding[p]::double as v from embeddings, unnest(range(1, 65)) as t(p)) select 'a' || label || '.tif' as filename, band::integer as band, count(*)::bigint as n, round(sum(v * band), 3) + 0.0 as total from x, (values (1), (2)) as b(band) group by label, band")
 def scan_raster(spark: SparkSession, sf: str) -> DataFrame:
     """Images read in bands and lines, by a wildcard."""
     folder = _write_rasters(spark, sf)
@@ -44,14 +44,14 @@ def scan_raster(spark: SparkSession, sf: str) -> DataFrame:
     return p.groupBy(F.substring_index("path", "/", -1).alias("filename"), "band").agg(F.count("*").alias("n"), shown(F.sum("v"), 3).alias("total"))
 
 
-@query("scan_heads", "with x as (select label, count(*) as n from embeddings where label < 4 group by label) select 'a' || label || '.tif' as filename, 64::integer as width, n::integer as height, 'f4' as dtype, 32735::integer as epsg, 19880.0::double as x0 from x union all select 'b' || label || '.tif', 64, n, 'u2', 0, 0 from x")
+@query("scan_heads", "with x as (select label, count(*) as n from embeddings group by label) select 'a' || label || '.tif' as filename, 64::integer as width, n::integer as height, 'f4' as dtype, 32735::integer as epsg, 19880.0::double as x0 from x union all select 'b' || label || '.tif', 64, n, 'u2', 0, 0 from x")
 def scan_heads(spark: SparkSession, sf: str) -> DataFrame:
     """Sizes, types and georeferencing of images, without their pixels."""
     h = files.read_heads(spark, f"{_write_rasters(spark, sf)}/*.tif")
     return h.select("filename", "width", "height", "dtype", F.coalesce(F.col("epsg").cast("int"), F.lit(0)).alias("epsg"), F.coalesce(F.col("transform")[2], F.lit(0.0)).alias("x0"))
 
 
-@query("scan_glob", "select distinct 'a' || label || '.tif' as filename from embeddings where label < 4")
+@query("scan_glob", "select distinct 'a' || label || '.tif' as filename from embeddings")
 def scan_glob(spark: SparkSession, sf: str) -> DataFrame:
     return files.paths(spark, f"{_write_rasters(spark, sf)}/a*.tif").select(F.substring_index("path", "/", -1).alias("filename"))
 

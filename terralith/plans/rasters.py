@@ -370,3 +370,17 @@ def ortho_grids(spark: SparkSession, sf: str) -> DataFrame:
     away = one.withColumns({"image": F.lit(-2).cast("long"), "x": F.lit(900_000.0)})
     g = ORTHO.grids(c.unionByName(level).unionByName(away), V.dem(spark, sf), ORTHO.Grid(19880.0, 30120.0, 4.0, -4.0), resolution=4.0)
     return g.select(L("image"), "res", "reason")
+
+
+SURFACE = "select ord, tx+(r00*u+r01*v+r02)*(h-tz)/(r20*u+r21*v+r22) as x, ty+(r10*u+r11*v+r12)*(h-tz)/(r20*u+r21*v+r22) as y, h, step from (select ord, (j-cx)/fx as u, (i-cy)/fy as v, cam.* from bound8, cam), (select step, 850 - step::double as h from (select unnest(range(0, 61)) as step))"
+
+
+@query(
+    "world_boundary_dem",
+    V.sql("select ord::integer as ord, round(x, 5) + 0.0 as x, round(y, 5) + 0.0 as y, hit from (select s.ord, s.x, s.y, f.first is not null as hit from on_ray s join (select ord, min(case when h <= z then step end) as first from (select r.*, d.z from on_ray r left join v_dem d on d.i = round_even((30120 - r.y) / 4 - 0.5::double, 0)::bigint and d.j = round_even((r.x - 19880) / 4 - 0.5::double, 0)::bigint) group by ord) f on f.ord = s.ord and s.step = coalesce(f.first, 60)) q", "v_dem", rot=ROT, cam=CAM, bound8="select * from (values (0, 0.0::double, 0.0::double), (1, 99.5, 0.0), (2, 199.0, 0.0), (3, 199.0, 74.5), (4, 199.0, 149.0), (5, 99.5, 149.0), (6, 0.0, 149.0), (7, 0.0, 74.5)) as t(ord, j, i)", on_ray=SURFACE),
+)
+def world_boundary_dem(spark: SparkSession, sf: str) -> DataFrame:
+    """The boundary of an image on the elevation raster, by following its rays down."""
+    camera = pile_cameras(spark, sf).where("image = 0").withColumn("kind", F.lit("pinhole"))
+    out = ORTHO.on_surface(ORTHO.with_rays(camera), V.dem(spark, sf), ORTHO.Grid(19880.0, 30120.0, 4.0, -4.0), 850.0, 790.0, 60)
+    return out.select(F.col("ord").cast("int").alias("ord"), shown(F.col("x"), 5).alias("x"), shown(F.col("y"), 5).alias("y"), "hit")

@@ -57,7 +57,8 @@ def shots(spark: SparkSession, d: str) -> DataFrame:
 
 def cams(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("c_custkey")
-    return table(spark, d, "customer").where(c % 7 != 3).select(c.alias("cam_id"), (0.7 + (c % 40) * 0.01).alias("focal"), ((c % 11 - 5) * 0.001).alias("cx"), ((c % 13 - 6) * 0.001).alias("cy"), ((c % 9 - 4) * 0.01).alias("k1"))
+    # shots name customers: every seventh camera goes by a number that none names
+    return table(spark, d, "customer").select((c + F.when(c % 7 == 3, 10_000_000).otherwise(0)).alias("cam_id"), (0.7 + (c % 40) * 0.01).alias("focal"), ((c % 11 - 5) * 0.001).alias("cx"), ((c % 13 - 6) * 0.001).alias("cy"), ((c % 9 - 4) * 0.01).alias("k1"))
 
 
 def gcps(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +84,7 @@ SQL = {
     "v_panms": "select 0.5::double * l_quantity + 0.3::double * (l_discount * 1000) + 0.2::double * (l_tax * 1000) + l_extendedprice / 50000 as pan, l_quantity as b1, l_discount * 1000 as b2, l_tax * 1000 as b3 from lineitem",
     "v_panms_raw": "select l_extendedprice as pan, l_quantity as b1, l_discount * 1000 as b2, l_tax * 1000 as b3 from lineitem",
     "v_shot": "select 'img_' || o_orderkey || case when o_orderkey % 2 = 0 then '.tif' else '' end as filename, o_custkey as cam_id, 20000.0::double + o_orderkey % 1000 as x, 30000.0::double + (o_orderkey * 3) % 1000 as y, 1000.0::double + o_orderkey % 50 as z, (o_orderkey % 21 - 10) * 0.01::double as omega, (o_orderkey % 19 - 9) * 0.01::double as phi, (o_orderkey % 180) * 0.03::double as kappa from orders",
-    "v_cam": "select c_custkey as cam_id, 0.7::double + (c_custkey % 40) * 0.01::double as focal, (c_custkey % 11 - 5) * 0.001::double as cx, (c_custkey % 13 - 6) * 0.001::double as cy, (c_custkey % 9 - 4) * 0.01::double as k1 from customer where c_custkey % 7 <> 3",
+    "v_cam": "select c_custkey + case when c_custkey % 7 = 3 then 10000000 else 0 end as cam_id, 0.7::double + (c_custkey % 40) * 0.01::double as focal, (c_custkey % 11 - 5) * 0.001::double as cx, (c_custkey % 13 - 6) * 0.001::double as cy, (c_custkey % 9 - 4) * 0.01::double as k1 from customer",
     "v_gcp": "select 'img_' || o_custkey || '.tif' as filename, o_orderkey as ord, 100.0::double + o_orderkey % 700 + (o_orderkey % 13) * 0.25::double as j, 80.0::double + (o_orderkey * 7) % 500 + (o_orderkey % 7) * 0.5::double as i, 24.0::double + (o_orderkey % 1000) * 0.001::double as lon, -33.0::double - ((o_orderkey * 3) % 1000) * 0.001::double as lat, 500.0::double + o_orderkey % 300 as h from orders",
     "v_lla": "select event_id as id, -80.0::double + ((event_id * 37) % 16399) * 0.01::double as lat, -180.0::double + ((event_id * 101) % 35999) * 0.01::double as lon, value as alt from events",
 }
