@@ -33,7 +33,7 @@ class FrameCatalogue:
             case ".yaml" | ".yml":
                 cams = yamls.read_interior(spark, interior).drop("path")
             case ".json":
-                cams = yamls.interior_of_json(params.read_interior_json(params.cameras_of(files.texts(spark, interior))))
+                cams = yamls.interior_of_json(params.read_interior_json(params.check_interior_json(params.cameras_of(files.texts(spark, interior)))))
             case other:
                 raise ParamError(f"Interior parameters aren't read from {other or 'such'} files")
         match _suffix(exterior):

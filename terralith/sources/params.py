@@ -89,6 +89,32 @@ def write_exterior(shots: DataFrame, crs: C.Crs, path: str, overwrite: bool = Fa
     store.write_text(shots.sparkSession, path, collected(exterior_features(shots, crs).orderBy("filename"), head), overwrite)
 
 
+#: What a camera's JSON object may hold besides its projection, size, focal lengths and centre, by kind of camera.
+JSON_KEYS = ("projection_type", "width", "height", "focal", "focal_x", "focal_y", "c_x", "c_y")
+
+
+def check_interior_json(docs: DataFrame) -> DataFrame:
+    """The documents, if all cameras are of known projections, whole, and without unknown parameters; else ParamError."""
+    keys = F.map_keys("c")
+    kind = projection_kind(F.try_element_at("c", F.lit("projection_type")))
+    known = F.lit(None).cast("array<string>")
+    for k in ("brown", "fisheye"):
+        known = F.when(kind == k, F.array(*map(F.lit, (*JSON_KEYS, *COEFFICIENTS[k])))).otherwise(known)
+    has = lambda *names: F.size(F.array_except(F.array(*map(F.lit, names)), keys)) == 0
+    unknown = F.array_except(keys, known)
+    problem = (
+        F.when(~has("projection_type", "width", "height"), "lacks projection_type, width or height")
+        .when(kind.isNull(), "has an unknown projection")
+        .when(~(has("focal") | has("focal_x", "focal_y")), "lacks focal, or focal_x and focal_y")
+        .when(F.size(unknown) > 0, F.concat(F.lit("has unknown parameters: "), F.array_join(unknown, ", ")))
+    )
+    cams = docs.select(F.explode(F.from_json("value", "map<string,map<string,string>>")).alias("id", "c"))
+    bad = cams.select("id", problem.alias("problem")).where("problem is not null").first()
+    if bad:
+        raise ParamError(f"Camera {bad['id']} {bad['problem']}")
+    return docs
+
+
 def write_gcp_file(gcps: DataFrame, path: str, overwrite: bool = False) -> None:
     """One GeoJSON file of all images' control points."""
     rows = gcps.orderBy("filename", "ord") if "ord" in gcps.columns else gcps.orderBy("filename")

@@ -102,6 +102,32 @@ def test_sharpen(spark, folder):
         cli.run(spark, ["sharpen", "--pan", f"{folder}/pan.tif", "--multispectral", f"{folder}/ms.tif", "--weight", "1", "--out-dir", f"{folder}/sharp2"])
 
 
+def test_odm(spark, tmp_path):
+    """A dataset folder: images, elevation, and a reconstruction with one shot that looks down from 100 m above its reference."""
+    from terralith.functions.crs import meridian
+
+    (tmp_path / "images").mkdir()
+    (tmp_path / "opensfm").mkdir()
+    (tmp_path / "odm_dem").mkdir()
+    camera = {"projection_type": "brown", "width": 60, "height": 40, "focal_x": 0.8, "focal_y": 0.8, "c_x": 0.0, "c_y": 0.0, "k1": 0.0}
+    shot = {"rotation": [math.pi, 0.0, 0.0], "translation": [0.0, 0.0, 100.0], "camera": "v2 cam"}
+    doc = [{"cameras": {"v2 cam": camera}, "shots": {"a.tif": shot}, "reference_lla": {"latitude": -33.0, "longitude": 27.0, "altitude": 10.0}}]
+    (tmp_path / "opensfm" / "reconstruction.json").write_text(json.dumps(doc))
+    y = 1e7 - 0.9996 * meridian(33.0)
+    east = 100 * (np.arange(60) - 29.5) / 48
+    (tmp_path / "images" / "a.tif").write_bytes(tiff.write(np.broadcast_to(east, (1, 40, 60)).astype("f4")))
+    (tmp_path / "odm_dem" / "dsm.tif").write_bytes(tiff.write(np.full((1, 60, 60), 10.0, "f4"), [5.0, 0, 500000.0 - 150, 0, -5.0, y + 150], 32735))
+    files = cli.run(spark, ["odm", "--dataset-dir", str(tmp_path), "--resolution", "4", "--interp", "bilinear", "--out-dir", f"{tmp_path}/out"]).collect()
+    data = open(files[0].path.removeprefix("file:"), "rb").read()
+    a, h = tiff.read_pixels(data)[0], tiff.head_of(data)
+    i, j = np.nonzero(~np.isnan(a))
+    assert len(i) > 300 and np.allclose(a[i, j], h.transform[2] + 4 * (j + 0.5) - 500000, atol=0.05)
+    for bad in ({"projection_type": "dual"}, {"k9": 1.0}):
+        (tmp_path / "opensfm" / "reconstruction.json").write_text(json.dumps([doc[0] | {"cameras": {"v2 cam": camera | bad}}]))
+        with pytest.raises(ParamError):
+            cli.run(spark, ["odm", "--dataset-dir", str(tmp_path), "--out-dir", f"{tmp_path}/no"])
+
+
 def test_values_of_options():
     assert cli.options(["TILED = yes", "NoData=None", "level=6"]) == {"tiled": True, "nodata": None, "level": 6}
     assert cli.resolution(None) is None and cli.resolution([2.0]) == (2.0, 2.0) and cli.resolution([2.0, 3.0]) == (2.0, 3.0)
