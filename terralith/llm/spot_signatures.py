@@ -146,7 +146,8 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
 
 def _compared(t: pa.Table, chain: int) -> pa.RecordBatch:
     """Each row of a range with the one after it."""
-    rows = [i for i in range(t.num_rows - 1) if not t["tail"][i].as_py() and t["b"][i].as_py() == t["b"][i + 1].as_py()]
+    tail, b = (t[c].to_numpy() for c in ("tail", "b"))
+    rows = np.flatnonzero(~tail[:-1].astype(bool) & (b[:-1] == b[1:])).tolist()
     texts = t["text"].to_pylist()
     edited = []
     for i in rows:
@@ -155,7 +156,7 @@ def _compared(t: pa.Table, chain: int) -> pa.RecordBatch:
     own, new = spot_sets(t["text"].combine_chunks(), chain), spot_sets(pa.array(edited, pa.large_string()), chain)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([t["doc_id"][i].as_py() for i in rows], pa.int64()),
+            t["doc_id"].take(pa.array(rows, pa.int64())).combine_chunks(),
             pa.array([len(texts[i]) for i in rows], pa.int64()),
             pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited], pa.string()),
             pa.array([written(own[i]) for i in rows], pa.string()),
