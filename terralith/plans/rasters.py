@@ -137,7 +137,7 @@ def mask_crop(spark: SparkSession, sf: str) -> DataFrame:
     return V.raster(spark, sf).where("v > 0.35").agg(*(f(c).cast("long").alias(f"{c}{n}") for c in "ij" for n, f in ((0, F.min), (1, F.max))))
 
 
-@query("mask_and", V.sql("select a.i::bigint as i, a.j::bigint as j from (select i, j from v_raster where v > 0) a join (select i, j from v_raster where v < 0.1) b on a.i = b.i and a.j = b.j", "v_raster"))
+@query("mask_and", V.sql("select i::bigint as i, j::bigint as j from v_raster where v > 0 and v < 0.1", "v_raster"))
 def mask_and(spark: SparkSession, sf: str) -> DataFrame:
     """Pixels valid in both masks."""
     r = V.raster(spark, sf)

@@ -197,7 +197,7 @@ def pan_sharpen_pixels(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("id", *(shown(F.col(b)).alias(b) for b in BANDS))
 
 
-@query("pan_ms_align", V.sql("select p.i::bigint as i, p.j::bigint as j, p.v as pan, m.v as ms from v_raster p join (select i * 2 as i, j * 2 as j, v from v_raster) m on p.i = m.i and p.j = m.j", "v_raster"))
+@query("pan_ms_align", "select p.vec_id::bigint as i, (2 * k)::bigint as j, p.embedding[2 * k + 1]::double as pan, m.embedding[k + 1]::double as ms from embeddings p join embeddings m on p.vec_id = 2 * m.vec_id, unnest(range(0, 32)) as t(k)")
 def pan_ms_align(spark: SparkSession, sf: str) -> DataFrame:
     """Pixels of two rasters at the same place."""
     r = V.raster(spark, sf)

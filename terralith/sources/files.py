@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,20 +67,27 @@ def read_heads(spark: SparkSession, globs: str | list[str]) -> DataFrame:
 def read_rasters(spark: SparkSession, globs: str | list[str], bands: list[int] | None = None) -> DataFrame:
     """path, band, i, v: a row a line of a band (1 first), for all TIFF files; explode v for pixels. Masked values are NULL."""
 
-    def run(frames):
-        for pdf in frames:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                data = bytes(content)
+    schema = pa.schema([("path", pa.string()), ("band", pa.int32()), ("i", pa.int64()), ("v", pa.list_(pa.float64()))])
+
+    def run(batches):
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                data = content.as_buffer().to_pybytes()
                 image, nodata = tiff.read_pixels(data), tiff.head_of(data).nodata
                 if bands and not set(bands) <= set(range(1, len(image) + 1)):
                     raise ParamError(f"{path} has {len(image)} bands, not {bands}")
-                for b in bands or range(1, len(image) + 1):
-                    band = image[b - 1].astype(float)
+                for k in bands or range(1, len(image) + 1):
+                    band = image[k - 1].astype(float)
                     if nodata is not None:
                         band[band == nodata] = np.nan
-                    yield pd.DataFrame({"path": path, "band": b, "i": np.arange(len(band)), "v": list(band)})
-
-    lines = binaries(spark, globs).mapInPandas(run, "path string, band int, i long, v array<double>")
+                    # lines of a band at a time: offsets of lists stay small
+                    for at in range(0, len(band), 256):
+                        part = band[at : at + 256]
+                        n, cols = part.shape
+                        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * cols, pa.int32()), pa.array(part.ravel()))
+                        yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array(np.full(n, k), pa.int32()), pa.array(np.arange(at, at + n), pa.int64()), lists], schema=schema)
+
+    lines = binaries(spark, globs).mapInArrow(run, "path string, band int, i long, v array<double>")
     return lines.withColumn("v", F.transform("v", lambda x: F.when(~F.isnan(x), x)))
 
 
