@@ -27,6 +27,8 @@ PART = 2048
 FIT_ROWS = 3000
 #: Chunks that go through the filters at a time when the net is fitted.
 FIT_PART = 256
+#: Weights under the maxima are multiples of 2^-GRID, of at most LIMIT: sums of WIDTH*DIM products of two are exact in 53 bits.
+GRID, LIMIT = 20, 8.0
 
 
 class Net(NamedTuple):
@@ -37,10 +39,15 @@ class Net(NamedTuple):
     last: float
 
 
-def windows(flat: np.ndarray, places: int) -> np.ndarray:
-    """The embedded bytes under each place of a filter."""
+def on_grid(weights: np.ndarray) -> np.ndarray:
+    """The nearest weights whose products add up without rounding."""
+    return np.ldexp(np.rint(np.ldexp(np.clip(weights, -LIMIT, LIMIT), GRID)), -GRID).astype(np.float32)
+
+
+def activations(filters: np.ndarray, flat: np.ndarray, places: int) -> np.ndarray:
+    """Each filter at each place of embedded bytes, rounded once: no order in which a product is added up changes a bit."""
     view = np.lib.stride_tricks.as_strided(flat, (places, WIDTH * DIM), (STRIDE * DIM * 4, 4), writeable=False)
-    return np.ascontiguousarray(view)
+    return (view.astype(np.float64, order="C") @ filters.astype(np.float64)).astype(np.float32)
 
 
 def pooled(net: Net, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -58,8 +65,7 @@ def pooled(net: Net, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     to = np.repeat(start[:-1] * BLOCK * STRIDE, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     buffer[to] = data
     flat = net.embed[buffer].ravel()
-    # products of one shape: the order of their sums, and so their last bits, don't depend on what else is in the batch
-    act = np.concatenate([windows(flat[k * PART * STRIDE * DIM :], PART) @ net.filters for k in range(parts)])[:n]
+    act = np.concatenate([activations(net.filters, flat[k * PART * STRIDE * DIM :], PART) for k in range(parts)])[:n]
     place = np.arange(n) - np.repeat(start[:-1] * BLOCK, room * BLOCK)
     act[place >= np.repeat(places, room * BLOCK)] = -1e9
     act = np.maximum(act.reshape(-1, BLOCK, FILTERS).max(1) + net.bias, 0)
@@ -112,7 +118,7 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = 8, batch: int = 64,
     rng = np.random.default_rng(seed)
     net = [rng.normal(0, 0.5, (256, DIM)).astype(np.float32), rng.normal(0, 0.25, (WIDTH * DIM, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32), np.zeros(1, np.float32)]
     if not texts:
-        return Net(*net[:4], 0.0)
+        return Net(on_grid(net[0]), on_grid(net[1]), *net[2:4], 0.0)
     parts = [chunks_of(t) for t in texts]
     y_all = np.array(labels, np.float32)
     share = float(np.clip(y_all.mean(), 0.01, 0.99))
@@ -151,7 +157,7 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = 8, batch: int = 64,
             for i, q in enumerate(net):
                 m[i], v[i] = 0.9 * m[i] + 0.1 * grad[i], 0.999 * v[i] + 0.001 * grad[i] ** 2
                 q -= rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-7)
-    return Net(*net[:4], float(net[4][0]))
+    return Net(on_grid(net[0]), on_grid(net[1]), *net[2:4], float(net[4][0]))
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, fit_rows: int = FIT_ROWS) -> Net:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -422,6 +423,19 @@ def test_quality_net_scores_of_each_text_alone():
         assert s == pytest.approx(1 / (1 + np.exp(-x)), abs=1e-5)
 
 
+def test_quality_net_sums_are_exact():
+    """What a place says doesn't depend on the order of a sum, and so on the machine's kernels or the rows beside it."""
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 256, n, dtype=np.uint8).tobytes() for n in rng.integers(0, 300, 80).tolist()]
+    for net in (quality_net.fit([], []), quality_net.fit(texts, [len(t) % 2 for t in texts])):
+        # texts of one chunk, whose last place ends with the text
+        for t in [t[: len(t) // 2 * 2] for t in texts if 12 <= len(t) <= quality_net.CHUNK_BYTES]:
+            got = quality_net.pooled(net, np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0, quality_net.FILTERS :]
+            under = [net.embed[np.frombuffer(t[k : k + quality_net.WIDTH], np.uint8)].ravel().astype(float) for k in range(0, len(t) - quality_net.WIDTH + 1, 2)]
+            most = np.array([max(math.fsum(u * f) for u in under) for f in net.filters.T.astype(float)]).astype(np.float32)
+            assert got.tolist() == np.maximum(most + net.bias, 0).tolist()
+
+
 def test_pipeline_stages(spark, docs):
     rows = docs
     for _, stage in corpus_pipeline.STAGES[:-1]:
