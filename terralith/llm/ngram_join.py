@@ -43,8 +43,8 @@ MARK_BITS = 512
 PLACE_BITS, SHARE_BITS = 26, 10
 #: Bands of sizes that there may be: sets of up to 10**9 tokens at 75 percent.
 BANDS = 80
-#: Tasks that the lists of one home are dealt to.
-HOME_PARTS = 4
+#: Parts that the lists of one home are dealt in; of a home with more rows, a part for so many.
+HOME_PARTS, HOME_ROWS = 4, 500
 LISTED = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("place", pa.int64())])
 LISTED_DDL = "token long, node long, place long"
 #: Kind 0: a member of a list of several, dealt by the list's hub. Kind 1: token and node are a pair.
@@ -446,12 +446,17 @@ class Join:
         G.release(self.spark)
         marks = self.sets.mapInArrow(T.lean(_marks), "node long, mark binary").join(near, "node", "left").withColumn("label", F.coalesce("label", "node"))
         chunks = F.ceil(F.col("size") / self.chunk).cast("int")
-        tiles = listed.where("kind = 0").join(marks, "node").withColumn("own", F.pmod(F.xxhash64("node"), chunks).cast("int"))
+        lists = listed.where("kind = 0")
+        # a large family's lists share a home: the more rows it has, the more parts
+        large = lists.groupBy("home").agg(F.sum(chunks).alias("rows")).where(F.col("rows") > HOME_PARTS * HOME_ROWS)
+        large = G.kept(large.select("home", F.ceil(F.col("rows") / HOME_ROWS).alias("parts")))
+        lists = lists.join(small(large), "home", "left").withColumn("part", F.pmod(F.xxhash64("token"), F.coalesce("parts", F.lit(HOME_PARTS))))
+        tiles = lists.join(marks, "node").withColumn("own", F.pmod(F.xxhash64("node"), chunks).cast("int"))
         tiles = tiles.withColumn("with", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        tiles = tiles.select(*LISTED.names, "home", "label", "mark", F.least("own", "with").alias("a"), F.greatest("own", "with").alias("b"), "own")
-        pairs = G.kept(tiles.repartition(self.n, "home", F.pmod(F.xxhash64("token"), F.lit(HOME_PARTS)), "a", "b").mapInArrow(T.lean(tile_pairs(self.percent)), PAIR_DDL).distinct())
+        tiles = tiles.select(*LISTED.names, "home", "label", "mark", F.least("own", "with").alias("a"), F.greatest("own", "with").alias("b"), "own", "part")
+        pairs = G.kept(tiles.repartition(self.n, "home", "part", "a", "b").drop("part").mapInArrow(T.lean(tile_pairs(self.percent)), PAIR_DDL).distinct())
         more = self.links(pairs)
-        G.dropped(listed, near, pairs)
+        G.dropped(listed, near, large, pairs)
         G.release(self.spark)
         out = G.components(found.unionByName(more))
         G.dropped(found, more)

@@ -189,6 +189,37 @@ def test_ngram_join_near_the_threshold(spark, chunk, list_rows):
     assert collections.Counter(map(tuple, got)) == jaccard_components(rows)
 
 
+def test_large_family_is_dealt_to_many_tasks(spark, monkeypatch):
+    """Copies of one text that share most of their tokens: a task gets a few of the lists, not a fourth of them."""
+    rng = random.Random(12)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(300)]
+    rows = []
+    for i in range(80):
+        w = list(base)
+        w[rng.randrange(len(w))] = f"e{i}"
+        rows.append((i, " ".join(w)))
+    plain = ngram_join.tile_pairs
+
+    def tile_pairs(percent):
+        run = plain(percent)
+
+        def watched(batches):
+            got = list(batches)
+            if sum(b.num_rows for b in got) > 1200:
+                raise ValueError("too many rows in a task")
+            return run(got)
+
+        return watched
+
+    monkeypatch.setattr(ngram_join, "tile_pairs", tile_pairs)
+    spark.conf.set("spark.sql.shuffle.partitions", 64)
+    try:
+        got = ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert collections.Counter(map(tuple, got)) == jaccard_components(rows)
+
+
 @pytest.mark.parametrize("chunk", [ngram_join.CHUNK, 4])
 def test_spot_signature_join(docs, empty, chunk):
     rows = [r[:2] for r in corpus()]
