@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terralith.functions.num import total
+from terralith.operators.groups import in_batches
 
 #: Control points that polynomials of each order need at least: fixed values.
 LEAST = {1: 3, 2: 6, 3: 10}
@@ -23,30 +24,47 @@ def order_for(points: int, most: int = 3) -> int:
     return max((k for k, n in LEAST.items() if k <= most and points >= n), default=0)
 
 
-def _solve(x: np.ndarray, y: np.ndarray, out: np.ndarray, order: int) -> np.ndarray:
-    return np.linalg.lstsq(np.stack([x**a * y**b for a, b in powers(order)], 1), out, rcond=None)[0]
+def _solve(design: np.ndarray, outs: list[np.ndarray], counts: np.ndarray) -> list[np.ndarray]:
+    """Least squares of the least norm, a stack of images at once: rows of zeros after an image's own change nothing."""
+    inverse = np.linalg.pinv(design, rcond=np.finfo(float).eps * np.maximum(counts, design.shape[2]))
+    return [np.einsum("ntp,np->nt", inverse, out) for out in outs]
 
 
 def fit(gcps: DataFrame, most: int = 3) -> DataFrame:
     """filename, points, order, and polynomials of normalised coordinates, of images with at least three points.
 
     gcps: filename, j, i, lon, lat. to_j and to_i go from the world to pixels, to_lon and to_lat back; centre and scale
-    (lon, lat, j, i) normalise. An image's control points are few; each group fits in a task.
+    (lon, lat, j, i) normalise. An image's control points are few; images are fitted many at a time, in stacks of like
+    numbers of points.
     """
-
-    def one(t: pa.Table) -> pa.Table:
-        xy = {c: t.column(c).to_numpy().astype(float) for c in ("lon", "lat", "j", "i")}
-        order = order_for(t.num_rows, most)
-        if not order:
-            return pa.table({"filename": pa.array([], pa.string()), "points": pa.array([], pa.int32()), "order": pa.array([], pa.int32()), **{c: pa.array([], pa.list_(pa.float64())) for c in ("centre", "scale", "to_j", "to_i", "to_lon", "to_lat")}})
-        centre = {c: v.mean() for c, v in xy.items()}
-        scale = {c: max(np.abs(v - centre[c]).max(), 1e-12) for c, v in xy.items()}
-        n = {c: (v - centre[c]) / scale[c] for c, v in xy.items()}
-        to = {"to_j": _solve(n["lon"], n["lat"], n["j"], order), "to_i": _solve(n["lon"], n["lat"], n["i"], order), "to_lon": _solve(n["j"], n["i"], n["lon"], order), "to_lat": _solve(n["j"], n["i"], n["lat"], order)}
-        return pa.table({"filename": [t.column("filename")[0].as_py()], "points": pa.array([t.num_rows], pa.int32()), "order": pa.array([order], pa.int32()), "centre": [list(centre.values())], "scale": [list(scale.values())], **{c: [v.tolist()] for c, v in to.items()}})
-
-    ddl = "filename string, points int, order int, " + ", ".join(f"{c} array<double>" for c in ("centre", "scale", "to_j", "to_i", "to_lon", "to_lat"))
-    return gcps.select("filename", "j", "i", "lon", "lat").groupBy("filename").applyInArrow(one, ddl)
+    lists = ("centre", "scale", "to_j", "to_i", "to_lon", "to_lat")
+    ddl = "filename string, points int, order int, " + ", ".join(f"{c} array<double>" for c in lists)
+    schema = pa.schema([("filename", pa.string()), ("points", pa.int32()), ("order", pa.int32()), *((c, pa.list_(pa.float64())) for c in lists)])
+
+    def stack(t: pa.Table, starts: np.ndarray, counts: np.ndarray, order: int) -> pa.Table:
+        place = np.arange(counts.max())
+        own = place < counts[:, None]
+        at = np.where(own, starts[:, None] + place, 0)
+        xy = {c: np.where(own, t.column(c).to_numpy().astype(float)[at], 0.0) for c in ("lon", "lat", "j", "i")}
+        centre = {c: v.sum(1) / counts for c, v in xy.items()}
+        n = {c: np.where(own, v - centre[c][:, None], 0.0) for c, v in xy.items()}
+        scale = {c: np.maximum(np.abs(v).max(1), 1e-12) for c, v in n.items()}
+        n = {c: v / scale[c][:, None] for c, v in n.items()}
+        design = lambda x, y: np.stack([np.where(own, x**a * y**b, 0.0) for a, b in powers(order)], 2)
+        to = [*_solve(design(n["lon"], n["lat"]), [n["j"], n["i"]], counts), *_solve(design(n["j"], n["i"]), [n["lon"], n["lat"]], counts)]
+        values = [np.stack(list(centre.values()), 1), np.stack(list(scale.values()), 1), *to]
+        arrays = [pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1]), pa.array(v.ravel())) for v in values]
+        return pa.table([t.column("filename").take(pa.array(starts)).cast(pa.string()), pa.array(counts.astype(np.int32)), pa.array(np.full(len(counts), order, np.int32)), *arrays], schema=schema)
+
+    def all_(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        counts = np.diff(np.r_[starts, t.num_rows])
+        order = np.array([order_for(c, most) for c in counts])
+        # images of a stack have at most twice as many points as one another, and take about as much room as the table
+        like = order * 64 + np.ceil(np.log2(counts)).astype(int)
+        parts = [stack(t, starts[mine], counts[mine], int(order[mine][0])) for mine in (like == k for k in np.unique(like[order > 0]))]
+        return pa.concat_tables(parts) if parts else schema.empty_table()
+
+    return in_batches(gcps.select("filename", "j", "i", "lon", "lat"), "filename", all_, ddl)
 
 
 def _value(c: Column, x: Column, y: Column, most: int = 3) -> Column:

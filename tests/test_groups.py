@@ -6,7 +6,7 @@ import pytest
 
 from conftest import SF
 
-from terralith.operators import groups, pose
+from terralith.operators import gcpcamera, groups, pose
 from terralith.plans import catalog
 
 K = pose.Interior(500 / 3, 500 / 3, 97.5, 78.5)
@@ -16,7 +16,7 @@ def plan(df):
     return df._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name", ["fit_exterior"])
+@pytest.mark.parametrize("name", ["fit_exterior", "gcp_camera"])
 def test_no_call_a_group(spark, name):
     assert "FlatMapGroups" not in plan(catalog.queries()[name](spark, SF))
 
@@ -41,3 +41,21 @@ def test_poses_side_by_side():
     found, rmse = pose.solve_all(np.concatenate(xyz), np.concatenate(px), np.r_[0, np.cumsum([len(x) for x in xyz])[:-1]], K)
     alone = np.array([pose.solve(a, b, K)[0] for a, b in zip(xyz, px, strict=True)])
     assert found == pytest.approx(alone, abs=1e-6) and rmse.max() < 1e-4
+
+
+def test_polynomials_of_unlike_images(spark):
+    rng = np.random.default_rng(1)
+    rows, want = [], {}
+    for k, n in enumerate((2, 3, 5, 6, 9, 10, 17, 40)):
+        lon, lat = rng.uniform(24, 25, n), rng.uniform(-34, -33, n)
+        j, i = 5000 * (lon - 24) + 300 * (lat + 33), 200 * (lon - 24) - 4000 * (lat + 33)
+        rows += [(f"a{k}", *map(float, r)) for r in zip(j, i, lon, lat, strict=True)]
+        if n > 2:
+            want[f"a{k}"] = (n, gcpcamera.order_for(n))
+    fitted = gcpcamera.fit(spark.createDataFrame(rows, "filename string, j double, i double, lon double, lat double"))
+    from pyspark.sql import functions as F
+
+    j, i = gcpcamera.to_pixel(F.lit(24.5), F.lit(-33.5))
+    got = fitted.select("filename", "points", "order", j.alias("j"), i.alias("i")).collect()
+    assert {r["filename"]: (r["points"], r["order"]) for r in got} == want
+    assert all(r["j"] == pytest.approx(2350, abs=1e-5) and r["i"] == pytest.approx(2100, abs=1e-5) for r in got)
