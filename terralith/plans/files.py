@@ -98,7 +98,7 @@ def write_gcps(spark: SparkSession, sf: str) -> DataFrame:
     """All control points in one GeoJSON file, read again."""
     path = f"{store.scratch(spark)}/gcps.geojson"
     params.write_gcp_file(V.gcps(spark, sf), path)
-    return params.read_gcps(files.texts(spark, path)).groupBy("filename").agg(F.count("*").alias("n"), F.round(F.sum("j"), 4).alias("j"), F.round(F.sum("lon"), 6).alias("lon"))
+    return params.read_gcp_file(spark, path).groupBy("filename").agg(F.count("*").alias("n"), F.round(F.sum("j"), 4).alias("j"), F.round(F.sum("lon"), 6).alias("lon"))
 
 
 def _write_tagged(spark: SparkSession, sf: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 import numpy as np
@@ -23,6 +24,22 @@ def texts(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
+#: Bytes from which on a text is read in blocks, if its lines allow it: a smaller one is a row.
+LARGE = 8 << 20
+
+
+def large(spark: SparkSession, glob: str, least: int = LARGE) -> tuple[list[str], list[str]]:
+    """The files of a path or wildcard with so many bytes at least, and the others, as paths without wildcards."""
+    found = spark.read.format("binaryFile").load(glob).select("path", "length").collect()
+    escaped = lambda p: re.sub(r"([\[\]{}*?\\])", r"\\\1", p)
+    return tuple([escaped(r["path"]) for r in found if (r["length"] >= least) == big] for big in (True, False))
+
+
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, start, at, value: the lines of a file in blocks, where each block starts, and the lines' order in a block."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value")
+
+
 def paths(spark: SparkSession, globs: str | Iterable[str]) -> DataFrame:
     """ord, path: the files that paths and wildcards name, in the order given; one that names none is an error."""
     found = []

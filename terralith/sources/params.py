@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terralith.errors import CrsError, ParamError
@@ -13,6 +13,7 @@ from terralith.functions import crs as C
 from terralith.functions.cameras import COEFFICIENTS
 from terralith.functions.text import plain_id, projection_kind
 from terralith.sources import store
+from terralith.sources.files import LARGE, large, lines, texts
 
 #: Parameters that all kinds of camera have: fixed names.
 COMMON = ("im_size", "focal_len", "sensor_size", "cx", "cy")
@@ -56,10 +57,50 @@ def write_gcps(gcps: DataFrame) -> DataFrame:
     return grouped.select("filename", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.transform("f", lambda x: x["f"]).alias("features"))).alias("value"))
 
 
+FEATURE = "struct<type:string,properties:struct<filename:string,ji:array<double>,id:string>,geometry:struct<coordinates:array<double>>>"
+
+
+def _points(f: DataFrame) -> DataFrame:
+    return f.select("f.properties.filename", "ord", F.col("f.properties.ji")[0].alias("j"), F.col("f.properties.ji")[1].alias("i"), *(F.col("f.geometry.coordinates")[k].alias(c) for k, c in enumerate(("lon", "lat", "h"))), F.col("f.properties.id").alias("id"))
+
+
 def read_gcps(docs: DataFrame) -> DataFrame:
     schema = "type string, features array<struct<properties:struct<filename:string,ji:array<double>,id:string>,geometry:struct<coordinates:array<double>>>>"
-    f = docs.select(F.posexplode(F.from_json("value", schema)["features"]).alias("ord", "f"))
-    return f.select("f.properties.filename", "ord", F.col("f.properties.ji")[0].alias("j"), F.col("f.properties.ji")[1].alias("i"), *(F.col("f.geometry.coordinates")[k].alias(c) for k, c in enumerate(("lon", "lat", "h"))), F.col("f.properties.id").alias("id"))
+    return _points(docs.select(F.posexplode(F.from_json("value", schema)["features"]).alias("ord", "f")))
+
+
+def _line_features(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a file with the features that they hold (f), and whether each begins or ends a collection."""
+    text = F.regexp_replace("value", r",?\s*$", "")
+    f = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{FEATURE}>")
+    return lines(spark, path).select("start", "at", f.alias("f"), F.col("value").rlike(r'^\s*\{[^\[]*"features"\s*:\s*\[\s*$').alias("head"), F.col("value").rlike(r"^\s*\]\s*\}\s*$").alias("tail"))
+
+
+def _in_blocks(spark: SparkSession, path: str) -> bool:
+    """Whether a file is a collection with a feature a line, whole and alone, as write_gcp_file() writes it."""
+    first = F.get("f", F.lit(0))
+    one = F.coalesce((F.size("f") == 1) & (first["type"] == "Feature") & first["properties"].isNotNull() & first["geometry"].isNotNull(), F.lit(False))
+    n = _line_features(spark, path).agg(F.count_if(one & ~F.col("head")).alias("features"), F.count_if("head").alias("heads"), F.count_if("tail").alias("tails"), F.count("*").alias("all")).first()
+    return n["heads"] == n["tails"] == 1 and n["all"] == n["features"] + 2
+
+
+def read_gcp_file(spark: SparkSession, glob: str, least: int = LARGE) -> DataFrame:
+    """Control points of GeoJSON files. A large file with a feature a line is read in blocks, others a file a row.
+
+    Points are numbered within their file by their block's place and their line in it.
+    """
+    big, others = large(spark, glob, least)
+    blocks = [p for p in big if _in_blocks(spark, p)]
+    if not blocks:
+        return read_gcps(texts(spark, glob))
+    others += [p for p in big if p not in blocks]
+    parts = [read_gcps(texts(spark, others))] if others else []
+    for path in blocks:
+        rows = _line_features(spark, path).where("not head and not tail")
+        counts = rows.groupBy("start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+        before = counts.select("start", "first", (F.sum("n").over(Window.orderBy("start")) - F.col("n")).alias("before"))  # a row a block
+        parts.append(_points(rows.join(F.broadcast(before), "start").select((F.col("at") - F.col("first") + F.col("before")).cast("int").alias("ord"), F.col("f")[0].alias("f"))))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def exterior_features(shots: DataFrame, crs: C.Crs | None = None) -> DataFrame:
@@ -73,12 +114,9 @@ def exterior_features(shots: DataFrame, crs: C.Crs | None = None) -> DataFrame:
     return shots.select("filename", F.to_json(F.struct(*parts)).alias("value"))
 
 
-def collected(features: DataFrame, head: str) -> Iterator[str]:
-    """A GeoJSON collection, feature by feature, in order of file names: the driver holds a part at a time."""
-    yield head
-    for k, r in enumerate(features.toLocalIterator()):
-        yield ("\n" if not k else ",\n") + r["value"]
-    yield "\n]}\n"
+def _write_collection(features: DataFrame, head: str, path: str, overwrite: bool) -> None:
+    """A GeoJSON collection with a feature a line, in the order of rows (value)."""
+    store.write_rows(features, path, head + "\n", ",\n", "\n]}\n", overwrite)
 
 
 def write_exterior(shots: DataFrame, crs: C.Crs, path: str, overwrite: bool = False) -> None:
@@ -86,7 +124,7 @@ def write_exterior(shots: DataFrame, crs: C.Crs, path: str, overwrite: bool = Fa
     if not crs.projected:
         raise CrsError("Exterior parameters are written in a projected system")
     head = f'{{"type": "FeatureCollection", "world_crs": {json.dumps(crs.text())}, "features": ['
-    store.write_text(shots.sparkSession, path, collected(exterior_features(shots, crs).orderBy("filename"), head), overwrite)
+    _write_collection(exterior_features(shots, crs).orderBy("filename"), head, path, overwrite)
 
 
 #: What a camera's JSON object may hold besides its projection, size, focal lengths and centre, by kind of camera.
@@ -118,7 +156,7 @@ def check_interior_json(docs: DataFrame) -> DataFrame:
 def write_gcp_file(gcps: DataFrame, path: str, overwrite: bool = False) -> None:
     """One GeoJSON file of all images' control points."""
     rows = gcps.orderBy("filename", "ord") if "ord" in gcps.columns else gcps.orderBy("filename")
-    store.write_text(gcps.sparkSession, path, collected(rows.select(F.to_json(gcp_feature()).alias("value")), '{"type": "FeatureCollection", "features": ['), overwrite)
+    _write_collection(rows.select(F.to_json(gcp_feature()).alias("value")), '{"type": "FeatureCollection", "features": [', path, overwrite)
 
 
 def rpc_of_heads(heads: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _at(spark: SparkSession, path: str):
@@ -66,3 +66,34 @@ def write_bytes(spark: SparkSession, path: str, data: bytes, overwrite: bool = F
         out.write(bytearray(data))
     finally:
         out.close()
+
+
+def write_rows(rows: DataFrame, path: str, head: str = "", between: str = "\n", tail: str = "\n", overwrite: bool = False) -> None:
+    """One text file of rows (value) in their order: executors write parts, whose bytes the driver's JVM then joins.
+
+    A separator stands between rows; no row comes to the driver, and it holds a buffer of the bytes at a time.
+    """
+    spark = rows.sparkSession
+    p, fs = _at(spark, path)
+    if fs.exists(p) and not overwrite:
+        raise FileExistsError(path)
+    parts, _ = _at(spark, joined(p.getParent().toString(), f"_parts-{uuid.uuid4().hex}"))
+    try:
+        rows.select("value").write.option("lineSep", between).option("compression", "none").text(parts.toString())
+        found = sorted((s.getPath().getName(), s.getLen()) for s in fs.listStatus(parts) if s.getPath().getName().startswith("part-") and s.getLen())
+        out = fs.create(p, True)
+        try:
+            out.write(bytearray(head.encode()))
+            for k, (name, size) in enumerate(found):
+                part = fs.open(spark._jvm.org.apache.hadoop.fs.Path(parts, name))
+                try:
+                    # no separator follows the last row
+                    own = part if k < len(found) - 1 else spark._jvm.org.apache.commons.io.input.BoundedInputStream(part, size - len(between.encode()))
+                    spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(own, out, 1 << 20, False)
+                finally:
+                    part.close()
+            out.write(bytearray(tail.encode()))
+        finally:
+            out.close()
+    finally:
+        fs.delete(parts, True)
