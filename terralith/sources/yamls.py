@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import math
+import re
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +17,7 @@ from pyspark.sql import functions as F
 from terralith.errors import ParamError
 from terralith.functions.cameras import COEFFICIENTS
 from terralith.sources import store
-from terralith.sources.files import texts
+from terralith.sources.files import LARGE, large, lines, texts
 
 #: Names of the two tilts of a sensor in files, by ours.
 TILTS = {"t1": "tx", "t2": "ty"}
@@ -24,6 +29,7 @@ INTERIOR_DDL = "camera string, kind string, im_size array<int>, focal_len array<
 RPC_NUMBERS = tuple(f"{a}_{b}" for a in ("height", "lat", "line", "long", "samp") for b in ("off", "scale"))
 RPC_LISTS = tuple(f"{a}_{b}_coeff" for a in ("line", "samp") for b in ("num", "den"))
 RPC_DDL = "filename string, im_size array<int>, rpc struct<" + ", ".join([*(f"{n}: double" for n in RPC_NUMBERS), *(f"{n}: array<double>" for n in RPC_LISTS), "err_bias: double", "err_rand: double"]) + ">"
+RPC_ARROW = pa.schema([("filename", pa.string()), ("im_size", pa.list_(pa.int32())), ("rpc", pa.struct([*((n, pa.float64()) for n in RPC_NUMBERS), *((n, pa.list_(pa.float64())) for n in RPC_LISTS), ("err_bias", pa.float64()), ("err_rand", pa.float64())])), ("path", pa.string())])
 
 
 def loaded(text: str) -> dict:
@@ -116,9 +122,122 @@ def rpc_rows(text: str) -> list[dict]:
     return out
 
 
-def read_rpc(spark: SparkSession, glob: str) -> DataFrame:
-    """Rational polynomial models of YAML files, by image."""
-    return _parsed(texts(spark, glob), rpc_rows, RPC_DDL)
+#: A key and numbers that need no YAML reader: its words for other things than texts and floats aren't among them.
+PLAIN = re.compile(r"[A-Za-z_](?:[\w./ -]{0,100}[\w./-])?", re.ASCII)
+WORDS = frozenset(("y", "n", "yes", "no", "on", "off", "true", "false", "null"))
+_FLOAT = r"-?\d+\.\d*(?:[eE][-+]\d+)?"
+_NUMBER, _LIST, _SIZE = re.compile(_FLOAT, re.ASCII), re.compile(rf"\[{_FLOAT}(?:, {_FLOAT})*\]", re.ASCII), re.compile(r"    im_size: \[([1-9]\d*), ([1-9]\d*)\]", re.ASCII)
+
+
+def _plain_rpc(text: str) -> dict | None:
+    """A model in the layout of write_rpc(), or None: rpc_rows() says then what it is."""
+    lines = re.sub(r",\n +", ", ", text.rstrip("\n")).split("\n")
+    size = _SIZE.fullmatch(lines[1]) if len(lines) > 3 else None
+    name = lines[0][:-1]
+    if not size or not lines[0].endswith(":") or not PLAIN.fullmatch(name) or name.lower() in WORDS or lines[2] != "    rpc:":
+        return None
+    rpc: dict = dict.fromkeys(("err_bias", "err_rand"))
+    for line in lines[3:]:
+        key, _, value = line.partition(": ")
+        key = key[8:] if key.startswith("        ") else ""
+        if key in RPC_LISTS and _LIST.fullmatch(value):
+            rpc[key] = [float(v) for v in value[1:-1].split(", ")]
+            if len(rpc[key]) != 20:
+                return None
+        elif (key in RPC_NUMBERS or key in ("err_bias", "err_rand")) and _NUMBER.fullmatch(value):
+            rpc[key] = float(value)
+        else:
+            return None
+    if not all(k in rpc for k in (*RPC_NUMBERS, *RPC_LISTS)):
+        return None
+    return {"filename": name, "im_size": [int(v) for v in size.groups()], "rpc": rpc}
+
+
+def _models_of(text: str) -> list[dict]:
+    plain = _plain_rpc(text)
+    return [plain] if plain else rpc_rows(text)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list[str]]]:
+    """path and start of each block with its lines, batch by batch, as lists."""
+    for b in batches:
+        start, value = b.column("start").to_numpy(), b.column("value").to_pylist()
+        cuts = [0, *(np.flatnonzero(start[1:] != start[:-1]) + 1).tolist(), len(value)]
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            if y > x:
+                yield b.column("path")[x].as_py(), int(start[x]), value[x:y]
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block, the lines before its first key and those from its last one on."""
+    held: dict[int, list] = {}
+    for _, start, got in _blocks(batches):
+        ends = held.setdefault(start, [[], None])
+        keys = [k for k, v in enumerate(got) if v and v[0] != " "]
+        if keys:
+            if ends[1] is None:
+                ends[0] += got[: keys[0]]
+            ends[1] = got[keys[-1] :]
+        else:
+            ends[0 if ends[1] is None else 1].extend(got)
+    if held:
+        join = lambda v: None if v is None else "\n".join(v)
+        yield pa.RecordBatch.from_pydict({"start": list(held), "head": [join(v[0]) for v in held.values()], "tail": [join(v[1]) for v in held.values()]})
+
+
+def _inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The models that begin and end in a block: neither its first lines nor its last model."""
+    at, held, rows = None, None, []
+    for path, start, got in _blocks(batches):
+        if start != at:
+            at, held = start, None
+        for line in got:
+            if line and line[0] != " ":
+                if held:
+                    rows += [r | {"path": path} for r in _models_of("\n".join(held))]
+                held = [line]
+            elif held:
+                held.append(line)
+        if len(rows) >= 2000:
+            yield pa.RecordBatch.from_pylist(rows, RPC_ARROW)
+            rows = []
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, RPC_ARROW)
+
+
+def _split(spark: SparkSession, path: str) -> DataFrame | None:
+    """Models of a file in blocks; None if it isn't plainly a mapping with different keys on lines of their own."""
+    found = lines(spark, path).drop("at")
+    key = F.col("value").rlike(r"^[A-Za-z_][A-Za-z0-9_./ -]*:$")
+    odd = F.col("value").rlike(r"[&*|>\\\\#!%'\"\t{}?]")
+    if found.where(odd | ~(key | F.col("value").startswith(" ") | (F.col("value") == ""))).limit(1).count():
+        return None
+    if found.where(key).groupBy("value").count().where("count > 1").limit(1).count():
+        return None
+    # a model or two a block come to the driver
+    blocks = sorted(found.mapInArrow(_ends, "start long, head string, tail string").collect())
+    whole, open_ = [], []
+    for r in blocks:
+        if r["head"]:
+            open_.append(r["head"])
+        if r["tail"] is not None:
+            whole.append("\n".join(open_))
+            open_ = [r["tail"]]
+    whole = [t for t in (*whole, "\n".join(open_)) if t.strip()]
+    name = found.select("path").first()["path"]
+    edges = _parsed(spark.createDataFrame([(name, t) for t in whole], "path string, value string"), _models_of, RPC_DDL)
+    return found.mapInArrow(_inner, f"{RPC_DDL}, path string").unionByName(edges)
+
+
+def read_rpc(spark: SparkSession, glob: str, least: int = LARGE) -> DataFrame:
+    """Rational polynomial models of YAML files, by image; a large file of plain layout is read in blocks, others a file a row."""
+    big, others = large(spark, glob, least)
+    parts = {p: s for p in big for s in [_split(spark, p)] if s is not None}
+    if not parts:
+        return _parsed(texts(spark, glob), rpc_rows, RPC_DDL)
+    others += [p for p in big if p not in parts]
+    rest = [_parsed(texts(spark, others), rpc_rows, RPC_DDL)] if others else []
+    return reduce(DataFrame.unionByName, [*parts.values(), *rest])
 
 
 def _dumped(doc: dict) -> str:
@@ -143,10 +262,30 @@ def write_interior(rows: DataFrame, path: str, overwrite: bool = False) -> None:
     store.write_text(rows.sparkSession, path, interior_parts(rows), overwrite)
 
 
+def _number(v: float) -> str:
+    """As YAML has it: a power needs a point before it."""
+    text = repr(v)
+    return text.replace("e", ".0e", 1) if "e" in text and "." not in text else text
+
+
+def rpc_text(name: str, im_size: list, rpc: dict) -> str:
+    """YAML of a model; what isn't plain is left to the YAML writer."""
+    rpc = {k: v for k, v in rpc.items() if v is not None}
+    numbers = [v for values in rpc.values() for v in (values if isinstance(values, list) else [values])]
+    if not PLAIN.fullmatch(name) or name.lower() in WORDS or not all(isinstance(v, float) and math.isfinite(v) for v in numbers):
+        return _dumped({name: {"im_size": list(im_size), "rpc": rpc}}).rstrip("\n")
+    shown = (f"        {k}: [{', '.join(map(_number, v))}]" if isinstance(v, list) else f"        {k}: {_number(v)}" for k, v in rpc.items())
+    return "\n".join([f"{name}:", f"    im_size: [{', '.join(map(str, im_size))}]", "    rpc:", *shown])
+
+
 def write_rpc(rows: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Models (filename, im_size, rpc) in one YAML file, an image at a time."""
-    parts = (_dumped({r["filename"]: {"im_size": list(r["im_size"]), "rpc": {k: v for k, v in r["rpc"].asDict(True).items() if v is not None}}}) for r in rows.orderBy("filename").toLocalIterator())
-    store.write_text(rows.sparkSession, path, parts, overwrite)
+    """Models (filename, im_size, rpc) in one YAML file, in order of their names; executors write its parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"value": [rpc_text(r["filename"], r["im_size"], r["rpc"]) for r in b.to_pylist()]})
+
+    store.write_rows(rows.select("filename", "im_size", "rpc").orderBy("filename").mapInArrow(run, "value string"), path, overwrite=overwrite)
 
 
 def write_options(options: dict, path: str, spark: SparkSession, overwrite: bool = False) -> None:
