@@ -16,6 +16,8 @@ from pyspark.sql import types as st
 
 #: Pixels along a block's side. A dense block of doubles then takes half a megabyte.
 SIDE = 256
+#: Rasters (images and bands) that a task takes at once where cells are the same for all.
+TOGETHER = 16
 
 
 def cubic(t: np.ndarray, a: float = -0.75) -> np.ndarray:
@@ -54,7 +56,8 @@ def interpolated(cells: DataFrame, source: DataFrame, kernel: str, by: list[str]
     """Cells (j, i in the source's pixels, and others) with v: a weighted mean of the source's pixels around each.
 
     by: columns that cells and source share, such as the image; other columns of the source, such as the band, multiply
-    the cells. A cell with a tap outside the source or on a masked pixel is left out.
+    the cells. A cell with a tap outside the source or on a masked pixel is left out. Without such columns, cells are sent
+    once for some rasters each, so that a task holds these rasters' block and no more, however many there are.
     """
     by = by or []
     reach, weight = KERNELS[kernel]
@@ -70,6 +73,12 @@ def interpolated(cells: DataFrame, source: DataFrame, kernel: str, by: list[str]
         at = at.withColumn(f"block_{c}", F.explode(near))
     schema = st.StructType([*kept, *(source.schema[c] for c in per), st.StructField("v", st.DoubleType())])
     names = [f.name for f in kept]
+    keys = [*by, "block_i", "block_j"]
+    deals = -(-source.select(*per).distinct().count() // TOGETHER) if per and not by else 1
+    if deals > 1:
+        at = at.withColumn("block_deal", F.pmod(F.xxhash64(*per), F.lit(deals)).cast("long"))
+        asked = asked.withColumn("block_deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1)).cast("array<long>")))
+        keys.append("block_deal")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = []
@@ -81,8 +90,9 @@ def interpolated(cells: DataFrame, source: DataFrame, kernel: str, by: list[str]
             wx = [weight(x - (j0 + k)) for k in range(taps)]
             code, first = _codes(right, per)
             side = SIDE + taps
+            rows, ends = np.argsort(code, kind="stable"), np.cumsum(np.bincount(code))
             for k in range(len(first)):
-                mine = code == k
+                mine = rows[ends[k - 1] if k else 0 : ends[k]]
                 dense = np.full((side, side), np.nan)
                 dense[_numbers(right, "i")[mine] - top, _numbers(right, "j")[mine] - edge] = _numbers(right, "v")[mine]
                 total, size = np.zeros(len(y)), np.zeros(len(y))
@@ -99,7 +109,6 @@ def interpolated(cells: DataFrame, source: DataFrame, kernel: str, by: list[str]
             return pa.concat_tables(parts)
         return pa.table([*(left.column(n).slice(0, 0) for n in names), *(right.column(c).slice(0, 0) for c in per), pa.array([], pa.float64())], names=[*names, *per, "v"])
 
-    keys = [*by, "block_i", "block_j"]
     return asked.groupBy(*keys).cogroup(at.groupBy(*keys)).applyInArrow(run, schema)
 
 

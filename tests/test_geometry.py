@@ -160,3 +160,17 @@ def test_images_and_bands_stay_apart(spark):
     for r in raster.dilated(mask, 2, ["image"]).collect():
         part = data[r.image, 1][max(240, r.i - 2) : r.i + 3, max(0, r.j - 2) : r.j + 3]
         assert r.m == int((part > 0.97).any())
+
+
+def test_cells_shared_by_many_images(spark, monkeypatch):
+    """Images that share cells are dealt to tasks, a few to each, with the same values."""
+    from terralith.operators import blocks
+
+    source = spark.range(40 * 30).selectExpr("id div 30 as image", "id % 30 div 6 as i", "id % 6 as j", "cast(id as double) as v")
+    cells = spark.range(12).selectExpr("id as r", "id * 0.3 as i", "id * 0.4 as j")
+    monkeypatch.setattr(blocks, "TOGETHER", 1000)
+    want = {(r["image"], r["r"]): r["v"] for r in blocks.interpolated(cells, source, "bilinear").collect()}
+    monkeypatch.setattr(blocks, "TOGETHER", 3)
+    out = blocks.interpolated(cells, source, "bilinear")
+    assert "block_deal" in out._jdf.queryExecution().toString()
+    assert {(r["image"], r["r"]): r["v"] for r in out.collect()} == want and len(want) == 40 * 12
