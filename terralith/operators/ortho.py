@@ -24,13 +24,17 @@ def seen(cells: DataFrame, camera: C.Frame) -> DataFrame:
 def ray_hits(rays: DataFrame, dem: DataFrame, steps: int, row: Callable[[Column, Column], Column], column: Callable[[Column, Column], Column]) -> DataFrame:
     """id, step, x, y, hit: the first of the steps at which each ray (x, y, z, dx, dy, dz) is at or below the surface.
 
-    A ray that meets no surface gives its last step, the lowest point, and hit is false.
+    A ray that meets no surface gives its last step, the lowest point, and hit is false. Rays with the same place and
+    direction are followed once.
     """
-    s = F.col("step")
-    at = rays.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps)).cast("array<long>")))
-    at = at.select("id", "step", (F.col("x") + F.col("dx") * s).alias("x"), (F.col("y") + F.col("dy") * s).alias("y"), (F.col("z") + F.col("dz") * s).alias("rz"))
+    s, way = F.col("step"), F.struct("x", "y", "z", "dx", "dy", "dz").alias("way")
+    named = rays.select("id", way)
+    at = rays.select(way).distinct().withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps)).cast("array<long>")))
+    along = lambda c: F.col(f"way.{c}") + F.col(f"way.d{c}") * s
+    at = at.select("way", "step", along("x").alias("x"), along("y").alias("y"), along("z").alias("rz"))
     at = at.withColumn("i", row(F.col("x"), F.col("y")).cast("long")).withColumn("j", column(F.col("x"), F.col("y")).cast("long"))
     met = at.join(dem.select("i", "j", F.col("z").alias("surface")), ["i", "j"], "left")
     point = F.struct("step", "x", "y")
-    ends = met.groupBy("id").agg(F.min(F.when(F.col("rz") <= F.col("surface"), point)).alias("first"), F.max(point).alias("last"))
-    return ends.select("id", F.coalesce("first", "last").alias("h"), F.col("first").isNotNull().alias("hit")).select("id", "h.step", "h.x", "h.y", "hit")
+    ends = met.groupBy("way").agg(F.min(F.when(F.col("rz") <= F.col("surface"), point)).alias("first"), F.max(point).alias("last"))
+    found = ends.select("way", F.coalesce("first", "last").alias("h"), F.col("first").isNotNull().alias("hit"))
+    return named.join(found, "way").select("id", "h.step", "h.x", "h.y", "hit")

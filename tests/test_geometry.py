@@ -174,3 +174,15 @@ def test_cells_shared_by_many_images(spark, monkeypatch):
     out = blocks.interpolated(cells, source, "bilinear")
     assert "block_deal" in out._jdf.queryExecution().toString()
     assert {(r["image"], r["r"]): r["v"] for r in out.collect()} == want and len(want) == 40 * 12
+
+
+def test_equal_rays_are_followed_once(spark):
+    from terralith.operators import ortho
+
+    rays = spark.range(1000).selectExpr("id", "0.0D as x", "0.0D as y", "if(id % 4 = 3, null, 10.0D) as z", "if(id % 4 = 0, 1.0D, 0.5D) as dx", "0.0D as dy", "-1.0D as dz")
+    dem = spark.range(40).selectExpr("0L as i", "id as j", "3.0D as z")
+    out = ortho.ray_hits(rays, dem, 9, lambda x, y: F.floor(y), lambda x, y: F.floor(x))
+    got = {r["id"]: (r["step"], r["x"], r["hit"]) for r in out.collect()}
+    assert got == {k: (9, 4.5, False) if k % 4 == 3 else (7, 7.0 if k % 4 == 0 else 3.5, True) for k in range(1000)}
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("Generate") < text.rindex("Aggregate")  # below the steps, equal rays are one
