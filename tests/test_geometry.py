@@ -162,6 +162,22 @@ def test_images_and_bands_stay_apart(spark):
         assert r.m == int((part > 0.97).any())
 
 
+def test_a_task_refines_few_models(spark, monkeypatch):
+    """Models are wide but shrink in a shuffle: they are parted by their number, and points don't carry them."""
+    from pyspark.sql import functions as F
+
+    from terralith.operators import refine
+    from terralith.plans import tags
+
+    monkeypatch.setattr(refine, "MODELS", 20)
+    models, gcps = tags.rpc_models(spark, SF), tags.V.gcps(spark, SF)
+    out = refine.refine(models, gcps, "shift")
+    assert out.withColumn("p", F.spark_partition_id()).groupBy("p").count().agg(F.max("count")).first()[0] < 60
+    assert out.count() == models.count()
+    twice = refine.refine(models.union(models), gcps, "shift").where("n > 0")
+    assert {r["n"] for r in twice.select("n").collect()} == {2 * r["n"] for r in out.where("n > 0").select("n").collect()}
+
+
 def test_cells_shared_by_many_images(spark, monkeypatch):
     """Images that share cells are dealt to tasks, a few to each, with the same values."""
     from terralith.operators import blocks
